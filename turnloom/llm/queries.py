@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import chat, licenses, lines, mixing, ogg, simhash
+from turnloom.llm import chat, licenses, lines, mixing, ogg, simhash, suffix
 from turnloom.llm.common import read_table
 
 
@@ -31,12 +31,16 @@ def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ogg_media, op2_snapshot_collapse, op4_pareto_mix, op5_license_scan, op7_simhash_bktree, op9_fuzzy_lines)
+    f.__name__: f for f in (op1_ogg_media, op2_snapshot_collapse, op4_pareto_mix, op5_license_scan, op7_simhash_bktree, op8_suffix_repeats, op9_fuzzy_lines)
 }
 ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat.ORACLE, "op4_pareto_mix": mixing.ORACLE}
