@@ -11,7 +11,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 DOC_KEY, TIE_KEY = "__d", "__t"
@@ -102,5 +101,18 @@ def spans_of_rows(offsets: np.ndarray, most_bytes: int) -> Iterator[tuple[int, i
         i = j
 
 
-def long_field(name: str) -> T.StructField:
-    return T.StructField(name, T.LongType())
+def held_out(doc_id: F.Column) -> F.Column:
+    """One document in five never trains a model: crc32 of its id as text."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """doc_id, text, y of at most ``most`` labelled documents that aren't held out.
+
+    The ids with the least hashes are taken, so that every run takes the same.
+    Of several labels of one id the largest counts, of several texts the least.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    found = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
