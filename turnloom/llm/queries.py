@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import chat, licenses, lines, mixing, ogg, simhash, suffix
+from turnloom.llm import chat, decontam, licenses, lines, mixing, ogg, quality, simhash, suffix, toxicity
 from turnloom.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_snapshots(read_table(spark, sf_dir, "conversations"))
 
 
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severities(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,15 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ogg_media, op2_snapshot_collapse, op4_pareto_mix, op5_license_scan, op7_simhash_bktree, op8_suffix_repeats, op9_fuzzy_lines)
+    f.__name__: f
+    for f in (
+        op1_ogg_media, op2_snapshot_collapse, op3_ordinal_toxicity, op4_pareto_mix, op5_license_scan,
+        op6_attention_quality, op7_simhash_bktree, op8_suffix_repeats, op9_fuzzy_lines, op10_benchmark_leaks,
+    )
 }
 ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat.ORACLE, "op4_pareto_mix": mixing.ORACLE}
