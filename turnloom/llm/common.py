@@ -37,6 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of plans that nothing refers to any more.
+
+    Spark removes them when the driver's garbage collector meets them, which a
+    driver with little to do puts off while executors' disks fill.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a slim table with a reliable checkpoint."""
     shared_dir(df.sparkSession)
@@ -51,6 +60,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/turnloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

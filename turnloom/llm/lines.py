@@ -9,7 +9,7 @@ from turnloom.llm.common import DOC_KEY, TIE_KEY, cut, materialize, with_row_key
 from turnloom.llm.components import connected_components
 
 #: Characters per shingle, bands and rows of the signature, least similarity of a link.
-SHINGLE, BANDS, ROWS, LEAST = 8, 8, 4, 0.8
+SHINGLE, BANDS, ROWS, LEAST = 10, 6, 3, 0.8
 #: Lines up to SHORT shingles sign all of them, lines from LONG on one in 2**SPARSE;
 #: lines in between do both. LONG is at most LEAST * SHORT, so that similar lines
 #: always have one kind of signature in common.
@@ -35,9 +35,11 @@ def masks(n: int) -> list[int]:
     return out
 
 
-def shingle_hashes(column: str, n: str) -> Column:
-    """Distinct shingle hashes of one encoded line, as an array."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.col(n).cast("int")), lambda i: F.xxhash64(F.substring(F.col(column), i * 2 - 1, F.lit(2 * SHINGLE)))))
+def shingle_set(line: Column) -> Column:
+    """The distinct shingle hashes of a line."""
+    coded = F.encode(line, "UTF-16BE")
+    places = F.sequence(F.lit(1), F.greatest((F.length(coded) / 2).cast("int") - (SHINGLE - 1), F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(coded, i * 2 - 1, F.lit(2 * SHINGLE)))))
 
 
 def encoded_lines(docs: DataFrame) -> DataFrame:
@@ -70,24 +72,27 @@ def line_signatures(docs: DataFrame) -> DataFrame:
     return signed.select(DOC_KEY, TIE_KEY, "pos", "k", "kind", *(x.alias(f"b{b}") for b, x in enumerate(bands)))
 
 
-def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """k, the shingles of one line for each key of ``keys(k, __d, __t, pos)``."""
-    wanted = keys.groupBy(DOC_KEY, TIE_KEY).agg(F.collect_list("pos").alias("at"))
+def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """k, line (normalised) at each of the places (__d, __t, pos)."""
+    wanted = places.groupBy(DOC_KEY, TIE_KEY).agg(F.collect_set("pos").alias("at"))
     found = docs.select(DOC_KEY, TIE_KEY, "text").join(wanted, [DOC_KEY, TIE_KEY])
-    lines = found.select(DOC_KEY, TIE_KEY, F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), normal_line(F.element_at(split_lines(F.col("text")), p + 1)).alias("line")))).alias("x"))
-    encoded = lines.select(F.xxhash64("x.line").alias("k"), F.encode("x.line", "UTF-16BE").alias("b"))
-    sized = encoded.withColumn("n", F.greatest(F.expr("cast(length(b) div 2 as int)") - (SHINGLE - 1), F.lit(1)))
-    return sized.select("k", shingle_hashes("b", "n").alias("s"))
+    lines = found.select("at", F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).filter(F.array_contains("at", F.col("pos")))
+    return lines.select(normal_line(F.col("line")).alias("line")).select(F.xxhash64("line").alias("k"), "line")
 
 
-def similar_pairs(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (u, v) whose shingle sets have Jaccard similarity LEAST or more."""
+def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (u, v) whose shingle sets have Jaccard similarity LEAST or more.
+
+    Lines travel as text, which is an eighth of their shingles' hashes.
+    """
     both = (
-        pairs.join(shingles.select(F.col("k").alias("u"), F.col("s").alias("su")), "u")
-        .join(shingles.select(F.col("k").alias("v"), F.col("s").alias("sv")), "v")
+        pairs.join(lines.select(F.col("k").alias("u"), F.col("line").alias("lu")), "u")
+        .join(lines.select(F.col("k").alias("v"), F.col("line").alias("lv")), "v")
+        .filter(F.least(F.length("lu"), F.length("lv")) >= LEAST * F.greatest(F.length("lu"), F.length("lv")) - 2 * SHINGLE)
+        .select("u", "v", shingle_set(F.col("lu")).alias("su"), shingle_set(F.col("lv")).alias("sv"))
+        .select("u", "v", F.size(F.array_intersect("su", "sv")).alias("common"), (F.size("su") + F.size("sv")).alias("all"))
     )
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.filter(common >= LEAST * (F.size("su") + F.size("sv") - common)).select("u", "v")
+    return both.filter("common >= %s * (all - common)" % LEAST).select("u", "v")
 
 
 def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -99,13 +104,13 @@ def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
     component; within a component no pair can join anything more, so the large
     buckets of copies are done after the first step and no link is lost.
     """
-    once = signatures.groupBy("k", "kind").agg(F.min(F.struct(DOC_KEY, TIE_KEY, "pos")).alias("p"), *(F.min(f"b{b}").alias(f"b{b}") for b in range(BANDS)))
-    members = once.select("k", "p", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("bucket"))
+    members = signatures.select("k", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("k").alias("hub"), F.max("k").alias("top")).filter("hub < top").select("bucket", "hub")
-    full = materialize(members.join(hubs, "bucket").select("bucket", "hub", "k", "p"), "line-buckets")
-    keys = full.groupBy("k").agg(F.min("p").alias("p")).select("k", "p.*")
-    shingles = materialize(texts_of(docs, keys), "line-shingles")
-    first = cut(similar_pairs(full.filter("k <> hub").select(F.col("hub").alias("u"), F.col("k").alias("v")).distinct(), shingles))
+    full = materialize(members.join(hubs, "bucket").select("bucket", "hub", "k").distinct(), "line-buckets")
+    keys = full.select("k").distinct()
+    firsts = signatures.select("k", F.struct(DOC_KEY, TIE_KEY, "pos").alias("p")).join(keys, "k", "left_semi").groupBy("k").agg(F.min("p").alias("p")).select("p.*")
+    lines = materialize(texts_of(docs, firsts), "line-texts")
+    first = cut(similar_pairs(full.filter("k <> hub").select(F.col("hub").alias("u"), F.col("k").alias("v")).distinct(), lines))
     roots = connected_components(first)
     placed = full.join(roots, full["k"] == roots["node"], "left").select("bucket", "hub", "k", F.coalesce("root", "k").alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
@@ -116,7 +121,7 @@ def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
         .filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & (F.col("u") != F.col("hub")))
         .select("u", "v").distinct()
     )
-    more = similar_pairs(rest, shingles)
+    more = similar_pairs(rest, lines)
     return connected_components(first.unionByName(more))
 
 
