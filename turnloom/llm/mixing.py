@@ -16,6 +16,8 @@ TOTAL_HALVES = 3
 MOST_COPIES = 2
 #: Ranks are cut into so many steps, so that no source's ranking has to be in one task.
 STEPS = 1024
+#: Sources whose targets are broadcast; beyond, the join on the source is left to skew handling.
+FEW_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -118,6 +120,8 @@ def mix(docs: DataFrame) -> DataFrame:
         .groupBy("k", "source_size", "target")
         .agg(F.max("level").alias("level"))
     )
+    if targets.count() <= FEW_SOURCES:
+        per_class = F.broadcast(per_class)
     sized = sizes.withColumn("k", key).join(per_class, "k")
     wanted = F.when(F.col("size") > 0, F.least(F.col("level") * tilt(F.col("size")).cast("long"), F.lit(float(MOST_COPIES)))).otherwise(0.0)
     u = (F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
