@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import cut
+from turnloom.llm.common import DOC_KEY, TIE_KEY, cut, with_row_key
 from turnloom.llm.components import connected_components
 
 BITS, SEED, RADIUS = 64, 42, 3
@@ -42,15 +42,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for every row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The key columns and fp (the fingerprint as a signed long) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            *own, texts = batch.columns
+            found = np.fromiter((fingerprint(x.as_py(), shingle) for x in texts), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found.view(np.int64))], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(*keys, "text")
+    return slim.mapInArrow(run, ", ".join(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys) + ", fp long")
 
 
 class BKTree:
@@ -202,10 +204,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     other; rows with equal ids are linked by their own texts; a component of
     rows without ids has a null component_id. An empty table gives no rows.
     """
-    marked = cut(fingerprints(docs, shingle))
+    marked = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = fingerprint_components(nodes.select("fp"), radius)
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = placed.join(ids, "root").select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Dropped rows up to which their keys are broadcast; beyond, documents are joined by key.
+FEW_DROPPED = 1_000_000
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """One document of each group of linked fingerprints, the first by id, with its columns as they are."""
+    keyed = with_row_key(docs)
+    marked = cut(fingerprints(keyed, shingle, (DOC_KEY, TIE_KEY)))
+    roots = fingerprint_components(marked.select("fp").distinct(), radius)
+    placed = marked.join(roots, marked["fp"] == roots["node"], "left").select(DOC_KEY, TIE_KEY, F.coalesce("root", "fp").alias("root"))
+    firsts = placed.groupBy("root").agg(F.min(F.struct(DOC_KEY, TIE_KEY)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dropped = cut(placed.join(firsts, "root").filter(F.struct(DOC_KEY, TIE_KEY) != F.col("first")).select(DOC_KEY, TIE_KEY))
+    if dropped.count() <= FEW_DROPPED:
+        dropped = F.broadcast(dropped)
+    return keyed.join(dropped, [DOC_KEY, TIE_KEY], "left_anti").select(*docs.columns)
