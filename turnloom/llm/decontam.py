@@ -76,6 +76,8 @@ class Items:
     prints: np.ndarray
     blocks: list[list[np.ndarray]]
     shingles: dict[int, np.ndarray]
+    #: For each of the shingles the numbers of words of the items that have it.
+    sizes: dict[int, list[set[int]]]
 
     @property
     def most_words(self) -> int:
@@ -103,7 +105,12 @@ def index_items(rows: list[tuple]) -> Items:
     for k in range(BLOCKS):
         own = ((codes >> np.uint64(BLOCK_BITS * k)) & np.uint64(255)).astype(np.int64)
         blocks.append([np.flatnonzero(near[value][own]) for value in range(256)])
-    return Items(ids, np.array(sizes, np.int64), bags, codes, blocks, {n: np.unique(np.concatenate(x)) for n, x in known.items()})
+    owners: dict[int, dict[int, set[int]]] = {}
+    for bag, size in zip(bags, sizes):
+        for shingle in bag:
+            owners.setdefault(min(SHINGLE, size), {}).setdefault(shingle, set()).add(size)
+    shingles = {n: np.unique(np.concatenate(x)) for n, x in known.items()}
+    return Items(ids, np.array(sizes, np.int64), bags, codes, blocks, shingles, {n: [owners[n][x] for x in own.tolist()] for n, own in shingles.items()})
 
 
 def candidates(code: int, items: Items) -> np.ndarray:
@@ -118,18 +125,23 @@ def similarity(a: Counter, b: Counter) -> float:
     return common / (a.total() + b.total() - common)
 
 
-def document_matches(words: np.ndarray, hits: dict[int, np.ndarray], items: Items) -> dict[int, tuple]:
+def document_matches(words: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]], items: Items) -> dict[int, tuple]:
     """item number to (similarity, start word, words, distance) of its best window in one run of words.
 
-    ``hits[n]`` are the places of n-word shingles that some item has too. Windows
-    without any can't be similar to an item; all others of each item size are
-    fingerprinted.
+    ``hits[n]`` are the places of n-word shingles that some item has too, and
+    which ones they are. Windows without a shingle of any item of their size
+    can't be similar to one; all others are fingerprinted.
     """
     best: dict[int, tuple] = {}
-    for size in np.unique(items.words).tolist():
+    places: dict[int, list[int]] = {}
+    for n, (at, which) in hits.items():
+        for p, k in zip(at.tolist(), which.tolist()):
+            for size in items.sizes[n][k]:
+                places.setdefault(size, []).append(p)
+    for size, own in sorted(places.items()):
         n = min(SHINGLE, size)
-        at = hits.get(n)
-        if at is None or not len(at) or len(words) < size:
+        at = np.array(own, np.int64)
+        if len(words) < size:
             continue
         span = size - n + 1
         lo, hi = np.maximum(at - span + 1, 0), np.minimum(at, len(words) - size)
@@ -185,15 +197,19 @@ def scan_batch(buf: np.ndarray, offsets: np.ndarray, items: Items) -> dict[int,
             hasher = Hasher(len(part) + 1)
         starts, _, words = word_hashes(part, hasher)
         row = np.searchsorted(ends, starts, side="right")
-        hits: dict[int, np.ndarray] = {}
+        hits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n, known in items.shingles.items():
             shingles = shingle_hashes(words, n)
             at = np.flatnonzero(filters[n][shingles & np.uint64((1 << FILTER_BITS) - 1)])
-            at = at[known[np.minimum(np.searchsorted(known, shingles[at]), len(known) - 1)] == shingles[at]]
-            hits[n] = at[row[at] == row[at + n - 1]]
-        for r in np.unique(np.concatenate([row[at] for at in hits.values()])).tolist() if hits else []:
+            which = np.minimum(np.searchsorted(known, shingles[at]), len(known) - 1)
+            real = (known[which] == shingles[at]) & (row[at] == row[at + n - 1])
+            hits[n] = at[real], which[real]
+        for r in np.unique(np.concatenate([row[at] for at, _ in hits.values()])).tolist() if hits else []:
             lo, hi = int(np.searchsorted(row, r)), int(np.searchsorted(row, r, side="right"))
-            own = {n: at[(at >= lo) & (at < hi)] - lo for n, at in hits.items()}
+            own = {}
+            for n, (at, which) in hits.items():
+                a, b = np.searchsorted(at, [lo, hi])
+                own[n] = at[a:b] - lo, which[a:b]
             into = found.setdefault(first + r, {})
             for item, (s, p, size, distance) in document_matches(words[lo:hi], own, items).items():
                 if item not in into or s > into[item][0]:
