@@ -10,10 +10,6 @@ from turnloom.llm.components import connected_components
 
 #: Characters per shingle, bands and rows of the signature, least similarity of a link.
 SHINGLE, BANDS, ROWS, LEAST = 10, 6, 3, 0.8
-#: Lines up to SHORT shingles sign all of them, lines from LONG on one in 2**SPARSE;
-#: lines in between do both. LONG is at most LEAST * SHORT, so that similar lines
-#: always have one kind of signature in common.
-SHORT, LONG, SPARSE = 160, 128, 2
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -35,11 +31,10 @@ def masks(n: int) -> list[int]:
     return out
 
 
-def shingle_set(line: Column) -> Column:
-    """The distinct shingle hashes of a line."""
-    coded = F.encode(line, "UTF-16BE")
+def shingle_set(coded: str) -> Column:
+    """The distinct shingle hashes of a line, given as a column of UTF-16 bytes."""
     places = F.sequence(F.lit(1), F.greatest((F.length(coded) / 2).cast("int") - (SHINGLE - 1), F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(coded, i * 2 - 1, F.lit(2 * SHINGLE)))))
+    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(F.col(coded), i * 2 - 1, F.lit(2 * SHINGLE)))))
 
 
 def encoded_lines(docs: DataFrame) -> DataFrame:
@@ -52,7 +47,7 @@ def encoded_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_signatures(docs: DataFrame) -> DataFrame:
-    """One row per line that isn't blank and kind of signature: place, ``k``, band keys.
+    """One row per line that isn't blank: place, ``k``, band keys.
 
     Shingles are runs of SHINGLE characters (UTF-16 units), or the whole of a
     shorter line. Each is hashed once; a signature value is the least xor of
@@ -61,35 +56,33 @@ def line_signatures(docs: DataFrame) -> DataFrame:
     are dealt out by their key before that, so that the aggregate needs no
     shuffle of its own and what is shuffled once is text, not signatures.
     """
-    kinds = F.array_compact(F.array(F.when(F.col("n") <= SHORT, F.lit(0)), F.when(F.col("n") >= LONG, F.lit(1))))
     lines = encoded_lines(docs.select(DOC_KEY, TIE_KEY, "text").repartition(DOC_KEY, TIE_KEY))
-    at = lines.withColumn("kind", F.explode(kinds)).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    hashed = at.select(DOC_KEY, TIE_KEY, "pos", "k", "kind", F.xxhash64(F.substring("b", F.col("i") * 2 - 1, F.lit(2 * SHINGLE))).alias("h"))
-    kept = hashed.filter((F.col("kind") == 0) | (F.col("h").bitwiseAND(F.lit(2**SPARSE - 1)) == 0))
+    at = lines.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    hashed = at.select(DOC_KEY, TIE_KEY, "pos", "k", F.xxhash64(F.substring("b", F.col("i") * 2 - 1, F.lit(2 * SHINGLE))).alias("h"))
     least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks(BANDS * ROWS))]
-    signed = kept.groupBy(DOC_KEY, TIE_KEY, "pos", "k", "kind").agg(*least)
-    bands = [F.xxhash64(F.lit(b), "kind", *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    return signed.select(DOC_KEY, TIE_KEY, "pos", "k", "kind", *(x.alias(f"b{b}") for b, x in enumerate(bands)))
+    signed = hashed.groupBy(DOC_KEY, TIE_KEY, "pos", "k").agg(*least)
+    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
+    return signed.select(DOC_KEY, TIE_KEY, "pos", "k", *(x.alias(f"b{b}") for b, x in enumerate(bands)))
 
 
 def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """k, line (normalised) at each of the places (__d, __t, pos)."""
+    """k and b, the UTF-16 bytes of the normalised line, at each of the places (__d, __t, pos)."""
     wanted = places.groupBy(DOC_KEY, TIE_KEY).agg(F.collect_set("pos").alias("at"))
     found = docs.select(DOC_KEY, TIE_KEY, "text").join(wanted, [DOC_KEY, TIE_KEY])
     lines = found.select("at", F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).filter(F.array_contains("at", F.col("pos")))
-    return lines.select(normal_line(F.col("line")).alias("line")).select(F.xxhash64("line").alias("k"), "line")
+    return lines.select(normal_line(F.col("line")).alias("line")).select(F.xxhash64("line").alias("k"), F.encode("line", "UTF-16BE").alias("b"))
 
 
 def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Those of the distinct pairs (u, v) whose shingle sets have Jaccard similarity LEAST or more.
 
-    Lines travel as text, which is an eighth of their shingles' hashes.
+    Lines travel as text, a quarter of their shingles' hashes. Their bytes have to
+    be stored columns: an expression would be evaluated again for each shingle.
     """
     both = (
-        pairs.join(lines.select(F.col("k").alias("u"), F.col("line").alias("lu")), "u")
-        .join(lines.select(F.col("k").alias("v"), F.col("line").alias("lv")), "v")
-        .filter(F.least(F.length("lu"), F.length("lv")) >= LEAST * F.greatest(F.length("lu"), F.length("lv")) - 2 * SHINGLE)
-        .select("u", "v", shingle_set(F.col("lu")).alias("su"), shingle_set(F.col("lv")).alias("sv"))
+        pairs.join(lines.select(F.col("k").alias("u"), F.col("b").alias("lu")), "u")
+        .join(lines.select(F.col("k").alias("v"), F.col("b").alias("lv")), "v")
+        .select("u", "v", shingle_set("lu").alias("su"), shingle_set("lv").alias("sv"))
         .select("u", "v", F.size(F.array_intersect("su", "sv")).alias("common"), (F.size("su") + F.size("sv")).alias("all"))
     )
     return both.filter("common >= %s * (all - common)" % LEAST).select("u", "v")
@@ -131,7 +124,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     Of each component the line of the smallest document and place stays.
     """
     signatures = materialize(line_signatures(docs), "line-bands")
-    places = signatures.select(DOC_KEY, TIE_KEY, "pos", "k").distinct()
+    places = signatures.select(DOC_KEY, TIE_KEY, "pos", "k")
     classes = line_classes(docs, signatures)
     joined = places.join(classes, places["k"] == classes["node"], "left").select(DOC_KEY, TIE_KEY, "pos", F.coalesce("root", "k").alias("c"))
     firsts = joined.groupBy("c").agg(F.min(F.struct(DOC_KEY, TIE_KEY, "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "first")
