@@ -145,7 +145,7 @@ def shard_rows(nodes: DataFrame, radius: int, n: int) -> DataFrame:
         mask = sum(((1 << edges[b + 1]) - 1) ^ ((1 << edges[b]) - 1) for b in chosen)
         signed = mask - (1 << 64) if mask >> 63 else mask
         keys.append(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(signed).cast("long"))))
-    return nodes.select("fp", F.explode(F.array(*keys)).alias("shard"))
+    return nodes.select(F.explode(F.array(*keys)).alias("shard"), "fp")
 
 
 def shard_forests(shards: DataFrame, radius: int) -> DataFrame:
