@@ -60,7 +60,7 @@ def passage_features(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int
         begin = np.empty(total, np.int64)
         opens = nth % PASSAGE == 0
         begin[own[opens]] = starts[opens]
-        begin[base[:-1]] = np.concatenate([[0], ends])[: j - i]
+        begin[base[:-1]] = np.concatenate([[0], ends + 1])[: j - i]
         size = np.diff(np.append(begin, len(part)))
         at = np.repeat(np.arange(total), size) * N_CLASSES + classes[part]
         single = np.bincount(at, minlength=total * N_CLASSES).reshape(total, N_CLASSES)
