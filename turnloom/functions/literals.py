@@ -282,7 +282,7 @@ def extract_calls(s: pd.Series) -> pd.Series:
     return s.map(parse_calls, na_action=None)
 
 
-@F.pandas_udf("call string, parser string")
+@F.pandas_udf(T.StructType([T.StructField("call", T.StringType()), T.StructField("parser", T.StringType())]))
 def read_generation(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_generation(x) for x in s], columns=["call", "parser"], index=s.index)
 

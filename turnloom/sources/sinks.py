@@ -30,7 +30,7 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], mode: str =
 def write_split(df: DataFrame, flag: str, kept: str, rest: str) -> None:
     """Kept rows and redundant ones to two folders; the plan runs once, over its written form."""
     df.write.partitionBy(flag).parquet(f"{kept}.parts")
-    parts = df.sparkSession.read.parquet(f"{kept}.parts")
+    parts = df.sparkSession.read.schema(df.schema).parquet(f"{kept}.parts")
     parts.filter(F.col(flag)).drop(flag).write.parquet(kept)
     parts.filter(~F.col(flag)).drop(flag).write.parquet(rest)
 

@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def watermarked(events: DataFrame, late: str) -> DataFrame:
+    """A watermark on a stream's ``ts``; tables need none."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Tumbling or sliding counts and sums per event type; works on streams and on tables."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    source = events.withWatermark("ts", late) if events.isStreaming else events
-    return source.groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")).select("w.start", "w.end", "event_type", "n", "v")
+    return watermarked(events, late).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")).select("w.start", "w.end", "event_type", "n", "v")
 
 
 def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
-    source = events.withWatermark("ts", late) if events.isStreaming else events
-    return source.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", "user_id", "n")
+    return watermarked(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", "user_id", "n")
 
 
 def quota_stream(events: DataFrame, key: str, quota: int) -> DataFrame:
