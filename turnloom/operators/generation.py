@@ -98,3 +98,24 @@ def harden(df: DataFrame, plan: str, rules: dict[str, Column], target: str) -> D
     for name, rule in rules.items():
         out = F.when(F.col(plan) == name, rule).otherwise(out)
     return df.withColumn("before", F.col(target)).withColumn(target, out).withColumn("changed", ~F.col("before").eqNullSafe(F.col(target)))
+
+
+def collect_until(targets: DataFrame, key: str, wanted: int, produce: Callable[[DataFrame, int], DataFrame], rounds: int = 3) -> DataFrame:
+    """Rounds of production for keys that still lack accepted rows; ``produce`` gets (key, missing) and the round.
+
+    Surplus rows of a key are dropped in their order ``_pos``. Each round is cut by
+    a checkpoint, so the plan doesn't grow with the rounds.
+    """
+    from turnloom.operators.ranking import head_n
+
+    got: DataFrame | None = None
+    for n in range(rounds):
+        have = targets.select(key) if got is None else targets.select(key).join(got.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key, "left")
+        missing = F.lit(wanted) if got is None else F.lit(wanted) - F.coalesce("__n", F.lit(0))
+        short = have.withColumn("missing", missing).filter("missing > 0").select(key, "missing")
+        made = produce(short, n).withColumn("__round", F.lit(n))
+        got = made if got is None else got.unionByName(made)
+        got = head_n(got, [key], ["__round", "_pos"], wanted).checkpoint()
+        if got.count() >= targets.count() * wanted:
+            break
+    return got.drop("__round")

@@ -84,3 +84,12 @@ def latex(df: DataFrame) -> str:
     body = [" & ".join("--" if v is None else str(v) for v in r) + r" \\" for r in rows]
     head = " & ".join(df.columns) + r" \\ \hline"
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", head, *body, r"\end{tabular}"])
+
+
+def scratch(spark, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local one only where the session names none."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/turnloom/{name}-{uuid.uuid4().hex}"
