@@ -225,6 +225,11 @@ def parse_generation(text: str | None) -> tuple[str | None, str]:
     return None, "none"
 
 
+def parses(text: str | None) -> bool:
+    """Whether any strategy reads a call."""
+    return parse_generation(text)[0] is not None
+
+
 def classify_error(text: str | None) -> str:
     raw = text or ""
     if not raw.strip():

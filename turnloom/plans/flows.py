@@ -79,7 +79,7 @@ def or1_generation_turn(t: Tables) -> DataFrame:
     start = t.conversations.filter("role = 'user' and turn <= 2").select("conv_id", "turn", F.col("text").alias("query"), F.concat_ws("-", F.lit("user"), "conv_id").alias("unique_idx"))
 
     def respond(df: DataFrame) -> DataFrame:
-        return generation.generate(df.withColumn("prompt", generation.render("Respond: %s", ["query"])), "prompt", generation.stub, lambda x: literals.parse_generation(x)[0] is not None)
+        return generation.generate(df.withColumn("prompt", generation.render("Respond: %s", ["query"])), "prompt", generation.stub, literals.parses)
 
     def parsed(df: DataFrame) -> DataFrame:
         return df.select("conv_id", "turn", "query", "unique_idx", literals.read_generation(F.col("output")).alias("r")).select("conv_id", "turn", "query", "unique_idx", F.get_json_object("r.call", "$.plan").alias("plan"))

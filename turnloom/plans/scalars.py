@@ -154,7 +154,7 @@ def sc65_select_turns(t: Tables) -> DataFrame:
 
 def _prompted(t: Tables) -> DataFrame:
     prompts = t.conversations.filter("role = 'user'").select("conv_id", "turn", generation.render("Plan for: %s", ["text"]).alias("prompt"))
-    return generation.generate(prompts, "prompt", generation.stub, lambda x: literals.parse_generation(x)[0] is not None)
+    return generation.generate(prompts, "prompt", generation.stub, literals.parses)
 
 
 @query("UD4 UD5 UD7 UD11 SC45")
