@@ -12,6 +12,8 @@ from turnloom.llm.components import connected_components
 SHINGLE, BANDS, ROWS, LEAST = 10, 6, 3, 0.8
 #: The second banding, over lines that the first left open: passes, bands per pass, rows.
 PASSES, BANDS2, ROWS2 = 5, 4, 8
+#: Further hubs that each bucket's members are verified against, one pair each.
+ROUNDS = 2
 #: Shingles hashed per exploded row; the aggregate's cost is per row.
 STRIDE = 4
 _GOLD = 0x9E3779B97F4A7C15
@@ -114,7 +116,8 @@ def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
 
     Lines of one band bucket are candidates. First each is verified against
     the least key of its bucket, one pair per member, which joins large groups
-    of copies. Buckets that then hold more than one component are mostly lines
+    of copies; ROUNDS more times members are verified against another hub of
+    their bucket that is in another component. What is open then are mostly lines
     that share a passage without being similar; a group of these has a
     quadratic number of pairs. Their lines are banded again by a signature
     of 160 values in bands of 8, whose recall at a similarity of 0.8 is above
@@ -128,11 +131,19 @@ def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
     firsts = signatures.select("k", F.struct(DOC_KEY, TIE_KEY, "pos").alias("p")).join(keys, "k", "left_semi").groupBy("k").agg(F.min("p").alias("p")).select("p.*")
     lines = materialize(texts_of(docs, firsts), "line-texts")
     tried = cut(full.filter("k <> hub").select(F.col("hub").alias("u"), F.col("k").alias("v")).distinct())
-    first = cut(similar_pairs(tried, lines))
-    roots = connected_components(first)
-    placed = full.join(roots, full["k"] == roots["node"], "left").select("bucket", "k", F.coalesce("root", "k").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = cut(placed.join(split, "bucket").select("k", "root").distinct())
+    links = cut(similar_pairs(tried, lines))
+    for r in range(ROUNDS):
+        placed = open_members(full, links)
+        hubs = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("k", F.lit(r)).alias("h"), "k", "root")).alias("hub"))
+        pairs = (
+            placed.join(hubs, "bucket").filter(F.col("root") != F.col("hub.root"))
+            .select(F.least("k", "hub.k").alias("u"), F.greatest("k", "hub.k").alias("v")).distinct()
+            .join(tried, ["u", "v"], "left_anti")
+        )
+        pairs = cut(pairs)
+        links = cut(links.unionByName(similar_pairs(pairs, lines)))
+        tried = tried.unionByName(pairs)
+    open_ = cut(open_members(full, links).select("k", "root").distinct())
     again = open_.join(second_bands(lines.join(open_.select("k"), "k", "left_semi")), "k")
     a, b = (again.select("bucket", F.col("k").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
     rest = (
@@ -141,7 +152,15 @@ def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
         .select("u", "v").distinct()
         .join(tried, ["u", "v"], "left_anti")
     )
-    return connected_components(first.unionByName(similar_pairs(cut(rest), lines)))
+    return connected_components(links.unionByName(similar_pairs(cut(rest), lines)))
+
+
+def open_members(full: DataFrame, links: DataFrame) -> DataFrame:
+    """bucket, k, root of the members of buckets that hold more than one component."""
+    roots = connected_components(links)
+    placed = full.join(roots, full["k"] == roots["node"], "left").select("bucket", "k", F.coalesce("root", "k").alias("root"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    return cut(placed.join(split, "bucket"))
 
 
 def second_bands(lines: DataFrame) -> DataFrame:
