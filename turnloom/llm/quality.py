@@ -17,7 +17,7 @@ from turnloom.llm.suffix import Hasher
 #: Labelled documents that train the model, and passages of one that do, at most. Scoring reads all passages.
 SAMPLE, BAG = 4000, 24
 #: Words per passage, bytes in memory at a time, sizes of the passage code and of the attention.
-PASSAGE, CHUNK, CODE, ATTENTION = 64, 1 << 20, 32, 16
+PASSAGE, CHUNK, CODE, ATTENTION = 64, 1 << 18, 32, 16
 EPOCHS, BATCH, RATE, DECAY = 24, 64, 3e-3, 1e-4
 THRESHOLD = 0.3
 
