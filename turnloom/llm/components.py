@@ -53,3 +53,28 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if then == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+#: Members per block when all pairs of a bucket are made.
+BLOCK = 256
+
+
+def open_members(full: DataFrame, links: DataFrame) -> DataFrame:
+    """bucket, k, root of the members of buckets that hold more than one component."""
+    roots = connected_components(links)
+    placed = full.join(roots, full["k"] == roots["node"], "left").select("bucket", "k", F.coalesce("root", "k").alias("root"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    return cut(placed.join(split, "bucket"))
+
+
+def cross_pairs(members: DataFrame) -> DataFrame:
+    """All distinct pairs (u, v) of one bucket whose roots differ, of members (bucket, k, root).
+
+    A large bucket's members are dealt to blocks, and each pair of blocks is
+    joined apart, so that no task holds more than two blocks of a bucket.
+    """
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("k", "bucket"), F.col("blocks")).cast("int"))
+    a = dealt.select("bucket", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("k").alias("u"), F.col("root").alias("ru"))
+    b = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("own").alias("j"), F.col("k").alias("v"), F.col("root").alias("rv"))
+    return a.join(b, ["bucket", "i", "j"]).filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv"))).select("u", "v").distinct()
