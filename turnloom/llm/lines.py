@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import DOC_KEY, TIE_KEY, cut, materialize, with_row_key
-from turnloom.llm.components import connected_components
+from turnloom.llm.components import connected_components, cross_pairs, open_members
 
 #: Characters per shingle, bands and rows of the signature, least similarity of a link.
-SHINGLE, BANDS, ROWS, LEAST = 10, 6, 3, 0.8
-#: The second banding, over lines that the first left open: passes, bands per pass, rows.
-PASSES, BANDS2, ROWS2 = 5, 4, 8
+SHINGLE, BANDS, ROWS, LEAST = 10, 12, 3, 0.8
 #: Further hubs that each bucket's members are verified against, one pair each.
 ROUNDS = 2
 #: Shingles hashed per exploded row; the aggregate's cost is per row.
@@ -117,12 +115,10 @@ def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
     Lines of one band bucket are candidates. First each is verified against
     the least key of its bucket, one pair per member, which joins large groups
     of copies; ROUNDS more times members are verified against another hub of
-    their bucket that is in another component. What is open then are mostly lines
-    that share a passage without being similar; a group of these has a
-    quadratic number of pairs. Their lines are banded again by a signature
-    of 160 values in bands of 8, whose recall at a similarity of 0.8 is above
-    0.97 while few pairs at 0.5 meet, and pairs of different components that
-    meet there are verified. Nothing is capped.
+    their bucket that is in another component. Then every pair of different
+    components that is left in a bucket is verified, in blocks of a bucket's
+    members, whose number grows with the square of a group of lines that share
+    a passage without being similar. No pair that met in a bucket is lost.
     """
     members = signatures.select("k", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("k").alias("hub"), F.max("k").alias("top")).filter("hub < top").select("bucket", "hub")
@@ -143,35 +139,10 @@ def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         links = cut(links.unionByName(similar_pairs(pairs, lines)))
         tried = tried.unionByName(pairs)
-    open_ = cut(open_members(full, links).select("k", "root").distinct())
-    again = open_.join(second_bands(lines.join(open_.select("k"), "k", "left_semi")), "k")
-    a, b = (again.select("bucket", F.col("k").alias(x), F.col("root").alias(f"r{x}")) for x in "uv")
-    rest = (
-        a.join(b, "bucket")
-        .filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")))
-        .select("u", "v").distinct()
-        .join(tried, ["u", "v"], "left_anti")
-    )
+    rest = cross_pairs(open_members(full, links)).join(tried, ["u", "v"], "left_anti")
     return connected_components(links.unionByName(similar_pairs(cut(rest), lines)))
 
 
-def open_members(full: DataFrame, links: DataFrame) -> DataFrame:
-    """bucket, k, root of the members of buckets that hold more than one component."""
-    roots = connected_components(links)
-    placed = full.join(roots, full["k"] == roots["node"], "left").select("bucket", "k", F.coalesce("root", "k").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    return cut(placed.join(split, "bucket"))
-
-
-def second_bands(lines: DataFrame) -> DataFrame:
-    """k, bucket: the bands of the second signature of lines (k, b); each pass hashes shingles anew."""
-    sized = lines.withColumn("n", F.greatest(F.expr("cast(length(b) div 2 as int)") - (SHINGLE - 1), F.lit(1)))
-    at = sized.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(PASSES)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STRIDE))))
-    signed = at.select("k", "pass", *strided(F.col("pass"))).groupBy("k", "pass").agg(*least_xors(BANDS2 * ROWS2))
-    bands = [F.xxhash64(F.lit(b), "pass", *(f"m{b * ROWS2 + r}" for r in range(ROWS2))) for b in range(BANDS2)]
-    return signed.select("k", F.explode(F.array(*bands)).alias("bucket"))
-
-
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """Places (__d, __t, pos) of lines that repeat an earlier one, exactly or nearly.
 
