@@ -29,3 +29,13 @@ def test_pairs_of_buckets_with_many_components_are_found(spark):
     want = slow_lines(rows)
     assert len(want) == 250
     assert removed(spark, rows) >= 0.99 * len(want)
+
+
+def test_short_lines_with_one_changed_character_are_copies(spark):
+    rng = random.Random(23)
+    rows = []
+    for i in range(120):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randrange(52, 97))) + "z"
+        at = rng.randrange(5, 45)
+        rows += [(2 * i, line), (2 * i + 1, line[:at] + "#" + line[at + 1 :])]
+    assert removed(spark, rows) >= 119

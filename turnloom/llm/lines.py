@@ -9,7 +9,7 @@ from turnloom.llm.common import DOC_KEY, TIE_KEY, cut, materialize, with_row_key
 from turnloom.llm.components import connected_components, cross_pairs, open_members
 
 #: Characters per shingle, bands and rows of the signature, least similarity of a link.
-SHINGLE, BANDS, ROWS, LEAST = 10, 12, 3, 0.8
+SHINGLE, BANDS, ROWS, LEAST = 5, 12, 3, 0.8
 #: Further hubs that each bucket's members are verified against, one pair each.
 ROUNDS = 2
 #: Shingles hashed per exploded row; the aggregate's cost is per row.
@@ -113,20 +113,20 @@ def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
     """Map each line key that has a similar other line to its component's root.
 
     Lines of one band bucket are candidates. First each is verified against
-    the least key of its bucket, one pair per member, which joins large groups
+    the least key of all its buckets, one pair per line, which joins large groups
     of copies; ROUNDS more times members are verified against another hub of
     their bucket that is in another component. Then every pair of different
     components that is left in a bucket is verified, in blocks of a bucket's
     members, whose number grows with the square of a group of lines that share
     a passage without being similar. No pair that met in a bucket is lost.
     """
-    members = signatures.select("k", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("bucket"))
+    members = signatures.select("k", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("bucket")).repartition("bucket")
     hubs = members.groupBy("bucket").agg(F.min("k").alias("hub"), F.max("k").alias("top")).filter("hub < top").select("bucket", "hub")
     full = materialize(members.join(hubs, "bucket").select("bucket", "hub", "k").distinct(), "line-buckets")
     keys = full.select("k").distinct()
     firsts = signatures.select("k", F.struct(DOC_KEY, TIE_KEY, "pos").alias("p")).join(keys, "k", "left_semi").groupBy("k").agg(F.min("p").alias("p")).select("p.*")
     lines = materialize(texts_of(docs, firsts), "line-texts")
-    tried = cut(full.filter("k <> hub").select(F.col("hub").alias("u"), F.col("k").alias("v")).distinct())
+    tried = cut(full.groupBy("k").agg(F.min("hub").alias("hub")).filter("k <> hub").select(F.col("hub").alias("u"), F.col("k").alias("v")))
     links = cut(similar_pairs(tried, lines))
     for r in range(ROUNDS):
         placed = open_members(full, links)
