@@ -169,22 +169,49 @@ _MESSY = """'[' || '{''plan'': ''' || event_type || ''', ''arguments'': {''v'':
 
 @query("SC40 SC44 SC48 SC28", """select event_id, '{"arguments":{"k":' || json_extract_string(props, '$.k') || ',"n":null,"v":1},"plan":"' || event_type || '"}' as parsed from events where event_id % 10 = 0""")
 def sc44_literals(t: Tables) -> DataFrame:
+    return _literals(t.events.filter("event_id % 10 = 0"))
+
+
+@query("SC40 SC44 SC48 SC28", """select event_id, '{"arguments":{"k":' || json_extract_string(props, '$.k') || ',"n":null,"v":1},"plan":"' || event_type || '"}' as parsed from events""")
+def sc44_literals_whole(t: Tables) -> DataFrame:
+    return _literals(t.events)
+
+
+def _literals(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     raw = F.concat(F.lit("noise [{'plan': ' "), "event_type", F.lit("', 'arguments': {'v': True, 'n': None, 'k': "), k, F.lit("}}] tail"))
-    return t.events.filter("event_id % 10 = 0").select("event_id", F.explode(literals.extract_embedded(raw)).alias("parsed"))
+    return events.select("event_id", F.explode(literals.extract_embedded(raw)).alias("parsed"))
 
 
 @query("SC41 SC42 SC43 SC47", """select event_id, '{"k":' || json_extract_string(props, '$.k') || '}' as fenced, '{"k":' || json_extract_string(props, '$.k') || '}' as first from events where event_id % 10 = 1""")
 def sc41_markdown(t: Tables) -> DataFrame:
-    e = t.events.filter("event_id % 10 = 1").select("event_id", "props")
+    return _markdown(t.events.filter("event_id % 10 = 1"))
+
+
+@query("SC41 SC42 SC43 SC47", """select event_id, '{"k":' || json_extract_string(props, '$.k') || '}' as fenced, '{"k":' || json_extract_string(props, '$.k') || '}' as first from events""")
+def sc41_markdown_whole(t: Tables) -> DataFrame:
+    return _markdown(t.events)
+
+
+def _markdown(events: DataFrame) -> DataFrame:
+    e = events.select("event_id", "props")
     return e.select("event_id", literals.extract_markdown(F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))).alias("fenced"), literals.extract_first(F.concat(F.lit("{bad "), "props", F.lit("}"))).alias("first"))
 
 
 @query("SC46 SC29 SC11", """select event_id, '{"arguments":{"arg0":"' || event_type || '","n":' || json_extract_string(props, '$.k') || '},"plan":"act","result":"result1"}' as call from events where event_id % 10 = 2""")
 def sc46_calls(t: Tables) -> DataFrame:
+    return _calls(t.events.filter("event_id % 10 = 2"))
+
+
+@query("SC46 SC29 SC11", """select event_id, '{"arguments":{"arg0":"' || event_type || '","n":' || json_extract_string(props, '$.k') || '},"plan":"act","result":"result1"}' as call from events""")
+def sc46_calls_whole(t: Tables) -> DataFrame:
+    return _calls(t.events)
+
+
+def _calls(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     raw = F.concat(F.lit("result1 = act(n="), k, F.lit(", '"), "event_type", F.lit("')"))
-    return t.events.filter("event_id % 10 = 2").select("event_id", F.explode(literals.extract_calls(raw)).alias("call"))
+    return events.select("event_id", F.explode(literals.extract_calls(raw)).alias("call"))
 
 
 @query("SC9", "select event_type, case event_type when 'click' then 'unbalanced_braces' when 'view' then 'two_objects' when 'error' then 'empty' else 'ok' end as kind, count(*)::BIGINT as n from events group by event_type")
@@ -195,8 +222,17 @@ def sc9_error_classes(t: Tables) -> DataFrame:
 
 @query("SC49", """select event_id, '{"arguments":{"k":' || json_extract_string(props, '$.k') || '},"plan":"p","rewrited_query":"' || event_type || '"}' as payload from events where event_id % 10 = 3""")
 def sc49_oneshot(t: Tables) -> DataFrame:
+    return _oneshot(t.events.filter("event_id % 10 = 3"))
+
+
+@query("SC49", """select event_id, '{"arguments":{"k":' || json_extract_string(props, '$.k') || '},"plan":"p","rewrited_query":"' || event_type || '"}' as payload from events""")
+def sc49_oneshot_whole(t: Tables) -> DataFrame:
+    return _oneshot(t.events)
+
+
+def _oneshot(events: DataFrame) -> DataFrame:
     raw = F.concat(F.lit('{"rewrited_query": "'), "event_type", F.lit('", "plan": "p", "extra": 1, "arguments": '), "props", F.lit("}"))
-    return t.events.filter("event_id % 10 = 3").select("event_id", literals.normalise_oneshot(raw).alias("payload"))
+    return events.select("event_id", literals.normalise_oneshot(raw).alias("payload"))
 
 
 @query("SC50", "select n_nationkey, n_name || '(' || string_agg(r_name || '=?', ', ' order by r_name) || ')' as doc from nation, region where r_regionkey <> n_regionkey group by n_nationkey, n_name")
