@@ -11,3 +11,9 @@ def test_parsers_read_every_event(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").count()
     for name in ("sc44_literals_whole", "sc41_markdown_whole", "sc46_calls_whole", "sc49_oneshot_whole"):
         assert QUERIES[name].run(spark, sf).select("event_id").distinct().count() == events, name
+
+
+def test_top_k_answers_every_twentieth_id(spark, sf):
+    want = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 20 = 0").collect()}
+    got = QUERIES["sc65_top_k_whole"].run(spark, sf).groupBy("query").count().collect()
+    assert {r["query"] for r in got} == want and all(r["count"] == 5 for r in got)

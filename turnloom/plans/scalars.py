@@ -144,6 +144,14 @@ def sc65_top_k(t: Tables) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
+@query("SC65 UD8", """with q as (select vec_id, embedding from embeddings where vec_id % 20 = 0),
+s as (select q.vec_id as query, e.vec_id as item, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 9) as score from q, embeddings e where q.vec_id <> e.vec_id)
+select query, item, round(score, 6) as score, rk::BIGINT as rank from (select *, row_number() over (partition by query order by score desc, item) as rk from s) where rk <= 5""")
+def sc65_top_k_whole(t: Tables) -> DataFrame:
+    out = similarity.top_k(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, "vec_id", "vec_id", "embedding", 5)
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query("SC65", HISTORY + """, x as (select conv_id, idx, h[idx + 1] as turn, len(h) as n from history, range(0, 50) r(idx) where idx < len(h)),
 s as (select *, length(turn)::DOUBLE / 1000 + 0.1::DOUBLE * case when n = 1 then 1.0::DOUBLE else idx::DOUBLE / (n - 1) end as total from x)
 select conv_id, idx::BIGINT as idx, turn from (select *, row_number() over (partition by conv_id order by total desc, idx) as rk from s) where rk <= 2""")
