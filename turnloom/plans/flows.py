@@ -67,6 +67,19 @@ def snk4_fresh_keys(t: Tables) -> DataFrame:
     return sinks.manifest(new.withColumn("stem", stem), ["stem"], "id").join(sinks.fresh_keys(new, old, "id", ["c_custkey"]).select(stem.alias("stem")).distinct(), "stem")
 
 
+@query("SNK4 SNK10", """with k as (select c_custkey, c_mktsegment = 'BUILDING' as old, 'C-' || (c_custkey // 10) || '-' || (100 + c_custkey % 3) as id from customer),
+m as (select *, rn > 1 or id in (select id from k where old) as clash from (select *, row_number() over (partition by id order by c_custkey) as rn from k where not old)),
+u as (select id from k where old union all select id from m where not clash),
+top as (select regexp_replace(id, '-[0-9]+$', '') as stem, max(regexp_extract(id, '-([0-9]+)$', 1)::BIGINT) as top from u group by 1),
+j as (select m.*, regexp_replace(id, '-[0-9]+$', '') as stem from m)
+select c_custkey, case when clash then stem || '-' || (greatest(coalesce(top + 1, 100), 100) + row_number() over (partition by stem, clash order by c_custkey) - 1) else id end as id from j left join top using (stem)""")
+def snk4_fresh_keys_whole(t: Tables) -> DataFrame:
+    key = F.concat(F.lit("C-"), F.floor(F.col("c_custkey") / 10).cast("string"), F.lit("-"), (F.col("c_custkey") % 3 + 100).cast("string")).alias("id")
+    old = t.customer.filter("c_mktsegment = 'BUILDING'").select("c_custkey", key)
+    new = t.customer.filter("c_mktsegment <> 'BUILDING'").select("c_custkey", key)
+    return sinks.fresh_keys(new, old, "id", ["c_custkey"])
+
+
 @query("SNK8 SC10", "select lang, case when avg(case when quality = 0 then n_chars end) is null then 'N/A' else printf('%.2f', avg(case when quality = 0 then n_chars end)) end as mean from documents join labels using (doc_id) group by lang")
 def snk8_formatted(t: Tables) -> DataFrame:
     means = t.documents.select("doc_id", "lang", "n_chars").join(t.labels, "doc_id").groupBy("lang").agg(F.avg(F.when(F.col("quality") == 0, F.col("n_chars"))).alias("mean"))
