@@ -25,3 +25,9 @@ def test_fresh_keys_of_all_new_customers_are_new(spark, sf):
     got = QUERIES["snk4_fresh_keys_whole"].run(spark, sf).collect()
     assert len(got) + len(old) == len(customers) and len({r.id for r in got}) == len(got)
     assert not {r.id for r in got} & {f"C-{k // 10}-{100 + k % 3}" for k in old}
+
+
+def test_histories_hold_whole_texts(spark, sf):
+    said = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"))
+    h = QUERIES["sc20_append_whole"].run(spark, sf)
+    assert said.join(h, "conv_id").filter("length(h) < n").count() == 0

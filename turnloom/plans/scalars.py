@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from turnloom.functions import history as H
 from turnloom.functions import literals, strings
 from turnloom.operators import generation, similarity
-from turnloom.plans.base import HISTORY, history
-from turnloom.registry import Tables, query
+from turnloom.plans.base import HISTORY, WHOLE_HISTORY, history, whole_history
+from turnloom.registry import Tables, query, registered
 
 
 def joined(c) -> F.Column:
@@ -22,8 +22,8 @@ def sc1_blanks(t: Tables) -> DataFrame:
 
 
 @query("SC2 SC30", HISTORY + r"select conv_id, array_to_string(list_transform(h, lambda x, i: 'turn ' || i || ': ' || regexp_replace(x, '(?i)^\s*turn\s+\d+\s*:\s*', '')), '|') as h from (select conv_id, list_reverse(h) as h from history)")
-def sc2_relabel(t: Tables) -> DataFrame:
-    return history(t).select("conv_id", joined(H.relabel(F.reverse("h"))).alias("h"))
+def sc2_relabel(t: Tables, turns=history) -> DataFrame:
+    return turns(t).select("conv_id", joined(H.relabel(F.reverse("h"))).alias("h"))
 
 
 @query("SC3", "select doc_id, md5(trim(case when p is null then text else substr(text, 1, p - 1) end)) as h from (select doc_id, text, least(nullif(instr(text, chr(10)), 0), nullif(instr(text, '. '), 0)) as p from documents)")
@@ -65,47 +65,47 @@ def sc10_percent(t: Tables) -> DataFrame:
 
 
 @query("SC12", HISTORY + "select conv_id, len(h)::BIGINT as n, split_part(regexp_replace(h[1], '^turn [0-9]+: ', ''), ' -> ', 1) as user, regexp_extract(h[1], '(?s)^.*? -> (.*)$', 1) as device from history")
-def sc12_user_device(t: Tables) -> DataFrame:
+def sc12_user_device(t: Tables, turns=history) -> DataFrame:
     first = F.element_at("h", 1)
-    return history(t).select("conv_id", F.size("h").cast("long").alias("n"), H.user_part(first).alias("user"), H.device_part(first).alias("device"))
+    return turns(t).select("conv_id", F.size("h").cast("long").alias("n"), H.user_part(first).alias("user"), H.device_part(first).alias("device"))
 
 
 @query("SC20", HISTORY + "select conv_id, array_to_string(h || ['turn ' || (len(h) + 1) || ': more -> done'], '|') as h from history")
-def sc20_append(t: Tables) -> DataFrame:
-    return history(t).select("conv_id", joined(H.append(F.col("h"), F.lit("more"), F.lit("done"))).alias("h"))
+def sc20_append(t: Tables, turns=history) -> DataFrame:
+    return turns(t).select("conv_id", joined(H.append(F.col("h"), F.lit("more"), F.lit("done"))).alias("h"))
 
 
 @query("SC21", HISTORY + "select conv_id, array_to_string(h[-2:], '|') as last2, array_to_string(h[-99:], '|') as every, '' as none from history")
-def sc21_last_k(t: Tables) -> DataFrame:
-    return history(t).select("conv_id", joined(H.last_k(F.col("h"), 2)).alias("last2"), joined(H.last_k(F.col("h"), 99)).alias("every"), joined(H.last_k(F.col("h"), 0)).alias("none"))
+def sc21_last_k(t: Tables, turns=history) -> DataFrame:
+    return turns(t).select("conv_id", joined(H.last_k(F.col("h"), 2)).alias("last2"), joined(H.last_k(F.col("h"), 99)).alias("every"), joined(H.last_k(F.col("h"), 0)).alias("none"))
 
 
 @query("SC22 JN18", HISTORY + "select a.conv_id, array_to_string(a.h[1:1] || b.h[2:], '|') as h from history a join history b on b.conv_id = a.conv_id + 1")
-def sc22_splice(t: Tables) -> DataFrame:
-    a = history(t)
+def sc22_splice(t: Tables, turns=history) -> DataFrame:
+    a = turns(t)
     b = a.select((F.col("conv_id") - 1).alias("conv_id"), F.col("h").alias("other"))
     return a.join(b, "conv_id").select("conv_id", joined(H.splice(F.col("h"), F.col("other"), 1)).alias("h"))
 
 
 @query("SC23", HISTORY + "select conv_id, array_to_string(list_transform(h, lambda x, i: case when i = 2 then 'turn 2: new' else x end), '|') as h from history")
-def sc23_replace(t: Tables) -> DataFrame:
-    return history(t).select("conv_id", joined(H.replace_at(F.col("h"), 1, F.lit("turn 2: new"))).alias("h"))
+def sc23_replace(t: Tables, turns=history) -> DataFrame:
+    return turns(t).select("conv_id", joined(H.replace_at(F.col("h"), 1, F.lit("turn 2: new"))).alias("h"))
 
 
 @query("SC24", HISTORY + r"select conv_id, array_to_string(list_transform(['turn 0: x -> y'] || h[1:1] || ['turn 0: v -> w'] || h[2:], lambda x, i: 'turn ' || i || ': ' || regexp_replace(x, '^turn \d+: ', '')), '|') as h from history")
-def sc24_insert(t: Tables) -> DataFrame:
-    return history(t).select("conv_id", joined(H.insert_at(F.col("h"), [1, 3], [F.lit("turn 0: x -> y"), F.lit("turn 0: v -> w")])).alias("h"))
+def sc24_insert(t: Tables, turns=history) -> DataFrame:
+    return turns(t).select("conv_id", joined(H.insert_at(F.col("h"), [1, 3], [F.lit("turn 0: x -> y"), F.lit("turn 0: v -> w")])).alias("h"))
 
 
 @query("SC25", HISTORY + r"select conv_id, array_to_string(list_transform((['turn 1: a -> b', 'turn 2: c -> d', 'turn 3: e -> f'])[:greatest(3 - len(h), 0)] || h[-3:], lambda x, i: 'turn ' || i || ': ' || regexp_replace(x, '^turn \d+: ', '')), '|') as h from history")
-def sc25_resize(t: Tables) -> DataFrame:
+def sc25_resize(t: Tables, turns=history) -> DataFrame:
     template = F.array(*(F.lit(x) for x in ("turn 1: a -> b", "turn 2: c -> d", "turn 3: e -> f")))
-    return history(t).select("conv_id", joined(H.resize(F.col("h"), 3, template)).alias("h"))
+    return turns(t).select("conv_id", joined(H.resize(F.col("h"), 3, template)).alias("h"))
 
 
 @query("SC26", HISTORY + "select conv_id, idx::BIGINT as idx, h[idx + 1] as turn from history, range(0, 50) r(idx) where idx < len(h) - 1")
-def sc26_prior_turns(t: Tables) -> DataFrame:
-    return history(t).select("conv_id", F.posexplode(F.slice("h", F.lit(1), F.greatest(F.size("h") - 1, F.lit(0)))).alias("idx", "turn")).withColumn("idx", F.col("idx").cast("long"))
+def sc26_prior_turns(t: Tables, turns=history) -> DataFrame:
+    return turns(t).select("conv_id", F.posexplode(F.slice("h", F.lit(1), F.greatest(F.size("h") - 1, F.lit(0)))).alias("idx", "turn")).withColumn("idx", F.col("idx").cast("long"))
 
 
 @query("SC27 PRJ1", "select o_orderkey, c.c_mktsegment as plan, o.o_custkey::VARCHAR as id from orders o join customer c on o_custkey = c_custkey")
@@ -155,8 +155,8 @@ def sc65_top_k_whole(t: Tables) -> DataFrame:
 @query("SC65", HISTORY + """, x as (select conv_id, idx, h[idx + 1] as turn, len(h) as n from history, range(0, 50) r(idx) where idx < len(h)),
 s as (select *, length(turn)::DOUBLE / 1000 + 0.1::DOUBLE * case when n = 1 then 1.0::DOUBLE else idx::DOUBLE / (n - 1) end as total from x)
 select conv_id, idx::BIGINT as idx, turn from (select *, row_number() over (partition by conv_id order by total desc, idx) as rk from s) where rk <= 2""")
-def sc65_select_turns(t: Tables) -> DataFrame:
-    rows = history(t).select("conv_id", F.posexplode("h").alias("idx", "turn")).withColumn("idx", F.col("idx").cast("long"))
+def sc65_select_turns(t: Tables, turns=history) -> DataFrame:
+    rows = turns(t).select("conv_id", F.posexplode("h").alias("idx", "turn")).withColumn("idx", F.col("idx").cast("long"))
     return similarity.select_turns(rows, F.length("turn").cast("double") / 1000, 2, 0.1).select("conv_id", "idx", "turn")
 
 
@@ -270,3 +270,18 @@ def ud12_harden(t: Tables) -> DataFrame:
 @query("UD9 UD13", "select lang, round(avg(case when quality = 0 then 1.0::DOUBLE else 0.0::DOUBLE end), 9) as bad_ratio from documents join labels using (doc_id) group by lang")
 def ud13_bad_ratio(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang").join(t.labels, "doc_id").groupBy("lang").agg(F.round(F.avg((F.col("quality") == 0).cast("double")), 9).alias("bad_ratio"))
+
+
+def _whole(f) -> None:
+    """Register the query over histories of whole texts, with the suffix _whole."""
+    known = registered(f.__name__)
+
+    def run(t: Tables) -> DataFrame:
+        return f(t, whole_history)
+
+    run.__name__ = f"{f.__name__}_whole"
+    query(known.ops, known.sql.replace(HISTORY, WHOLE_HISTORY))(run)
+
+
+for _f in (sc2_relabel, sc12_user_device, sc20_append, sc21_last_k, sc22_splice, sc23_replace, sc24_insert, sc25_resize, sc26_prior_turns, sc65_select_turns):
+    _whole(_f)

@@ -33,6 +33,10 @@ def query(ops: str, sql: str | None = None):
     return add
 
 
+def registered(name: str) -> Query:
+    return _QUERIES[name]
+
+
 class Tables:
     """The driver's tables by attribute, read lazily: ``t.orders``."""
 
