@@ -14,8 +14,8 @@ from turnloom.llm.common import held_out, labelled_sample, spans_of_rows, utf8_b
 from turnloom.llm.decontam import separated, word_hashes
 from turnloom.llm.suffix import Hasher
 
-#: Labelled documents that train the model, and passages of one that do, at most. Scoring reads all passages.
-SAMPLE, BAG = 4000, 24
+#: Labelled documents that train the model, at most, with all their passages.
+SAMPLE = 4000
 #: Words per passage, bytes in memory at a time, sizes of the passage code and of the attention.
 PASSAGE, CHUNK, CODE, ATTENTION = 64, 1 << 18, 32, 16
 EPOCHS, BATCH, RATE, DECAY = 24, 64, 3e-3, 1e-4
@@ -142,7 +142,7 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Atten
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Attention:
-    """Fit on at most ``most`` labelled documents that aren't held out, and BAG evenly spread passages of each."""
+    """Fit on at most ``most`` labelled documents that aren't held out, and all their passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             for _, _, passages, x in passage_features(*utf8_buffer(batch.column(1))):
                 at = 0
                 for n in passages.tolist():
-                    rows = at + (np.arange(min(n, BAG)) * n // min(n, BAG))
-                    out.append(x[rows].tobytes())
+                    out.append(x[at : at + n].tobytes())
                     at += n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "x", "y"])
 
