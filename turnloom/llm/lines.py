@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import DOC_KEY, TIE_KEY, cut, materialize, with_row_key
+from turnloom.llm.common import DOC_KEY, TIE_KEY, cut, free_shuffles, materialize, with_row_key
 from turnloom.llm.components import connected_components, cross_pairs, open_members
 
 #: Characters per shingle, bands and rows of the signature, least similarity of a link.
@@ -128,6 +128,7 @@ def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
     lines = materialize(texts_of(docs, firsts), "line-texts")
     tried = cut(full.groupBy("k").agg(F.min("hub").alias("hub")).filter("k <> hub").select(F.col("hub").alias("u"), F.col("k").alias("v")))
     links = cut(similar_pairs(tried, lines))
+    free_shuffles(docs.sparkSession)
     for r in range(ROUNDS):
         placed = open_members(full, links)
         hubs = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("k", F.lit(r)).alias("h"), "k", "root")).alias("hub"))
@@ -139,6 +140,7 @@ def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
         pairs = cut(pairs)
         links = cut(links.unionByName(similar_pairs(pairs, lines)))
         tried = tried.unionByName(pairs)
+        free_shuffles(docs.sparkSession)
     rest = cross_pairs(open_members(full, links)).join(tried, ["u", "v"], "left_anti")
     return connected_components(links.unionByName(similar_pairs(cut(rest), lines)))
 
