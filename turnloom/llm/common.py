@@ -64,6 +64,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that no later plan reads."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def refuse_names(df: DataFrame, *names: str) -> None:
+    """Columns of these names, or of the row keys, would be overwritten: they are an error."""
+    taken = {DOC_KEY, TIE_KEY, *names} & set(df.columns)
+    if taken:
+        raise ValueError(f"the input may not have columns named {', '.join(sorted(taken))}")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

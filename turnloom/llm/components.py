@@ -59,12 +59,29 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 BLOCK = 256
 
 
+def open_buckets(placed: DataFrame) -> DataFrame:
+    """Those of the rows bucket, k, root whose bucket holds more than one component."""
+    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    return cut(placed.join(split, "bucket"))
+
+
 def open_members(full: DataFrame, links: DataFrame) -> DataFrame:
     """bucket, k, root of the members of buckets that hold more than one component."""
     roots = connected_components(links)
-    placed = full.join(roots, full["k"] == roots["node"], "left").select("bucket", "k", F.coalesce("root", "k").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    return cut(placed.join(split, "bucket"))
+    return open_buckets(full.join(roots, full["k"] == roots["node"], "left").select("bucket", "k", F.coalesce("root", "k").alias("root")))
+
+
+def lift_roots(roots: DataFrame, members: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """roots(node, root) and the open members after the components that ``merged`` maps to each other became one.
+
+    ``merged`` comes from edges between roots, so it is as small as what is
+    still open; the graph of all nodes isn't walked again. Its nodes are roots,
+    which ``roots`` doesn't list.
+    """
+    up = merged.toDF("r", "top")
+    lifted = roots.join(up, F.col("root") == F.col("r"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    placed = members.join(up, F.col("root") == F.col("r"), "left").select("bucket", "k", F.coalesce("top", "root").alias("root"))
+    return cut(lifted.unionByName(merged)), open_buckets(placed)
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:

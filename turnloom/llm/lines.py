@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import DOC_KEY, TIE_KEY, cut, free_shuffles, materialize, with_row_key
-from turnloom.llm.components import connected_components, cross_pairs, open_members
-
-#: Characters per shingle, bands and rows of the signature, least similarity of a link.
-SHINGLE, BANDS, ROWS, LEAST = 5, 12, 3, 0.8
+from turnloom.llm.common import DOC_KEY, TIE_KEY, cut, discard, free_shuffles, materialize, refuse_names, with_row_key
+from turnloom.llm.components import connected_components, cross_pairs, lift_roots, open_buckets
+
+#: Characters per shingle, least similarity of a link.
+SHINGLE, LEAST = 5, 0.8
+#: Signature values and values per band. Each value is in two bands: one of neighbours, one of values VALUES / ROWS apart.
+VALUES, ROWS = 72, 6
+#: Bands that are shuffled at a time.
+BANDS_AT_ONCE = 6
 #: Further hubs that each bucket's members are verified against, one pair each.
 ROUNDS = 2
 #: Shingles hashed per exploded row; the aggregate's cost is per row.
@@ -35,127 +39,152 @@ def masks(n: int) -> list[int]:
     return out
 
 
-def shingle_set(coded: str) -> Column:
-    """The distinct shingle hashes of a line, given as a column of UTF-16 bytes.
+def band_values(values: int = VALUES, rows: int = ROWS) -> list[list[int]]:
+    """The signature values of each band: the rows of a grid of all values, then its columns."""
+    bands = values // rows
+    return [[b * rows + r for r in range(rows)] for b in range(bands)] + [[r * bands + b for r in range(rows)] for b in range(bands)]
 
-    The bytes are bound once by an outer function: read from a row, they would be
-    copied for every shingle.
-    """
 
-    def hashes(b: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest((F.length(b) / 2).cast("int") - (SHINGLE - 1), F.lit(1)))
-        return F.transform(places, lambda i: F.xxhash64(F.substring(b, i * 2 - 1, F.lit(2 * SHINGLE))))
+def bound(value: Column, of) -> Column:
+    """``of(value)`` with the value evaluated once, also where ``of`` reads it in an inner function."""
+    return F.get(F.transform(F.array(value), of), 0)
 
-    return F.array_distinct(F.get(F.transform(F.array(coded), hashes), 0))
 
+def shingle_set(coded: Column) -> Column:
+    """The shingle hashes of a line of UTF-16 bytes, repeats included."""
 
-def encoded_lines(docs: DataFrame) -> DataFrame:
-    """Lines that aren't blank: place, key ``k`` (hash of the normalised line), UTF-16 bytes, shingle count."""
-    lines = docs.select(DOC_KEY, TIE_KEY, F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
-    lines = lines.withColumn("line", normal_line(F.col("line"))).filter("line <> ''")
-    return lines.select(
-        DOC_KEY, TIE_KEY, "pos", F.xxhash64("line").alias("k"), F.encode("line", "UTF-16BE").alias("b"),
-    ).withColumn("n", F.greatest(F.expr("cast(length(b) div 2 as int)") - (SHINGLE - 1), F.lit(1)))
+    def hashes(b: Column) -> Column:
+        last = F.greatest(F.length(b) - (2 * SHINGLE - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), last, F.lit(2)), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * SHINGLE))))
 
+    return bound(coded, hashes)
 
-def strided(*salt: Column) -> list[Column]:
-    """Hashes of the STRIDE shingles from place ``i`` on; beyond the last one it is repeated."""
-    return [F.xxhash64(*salt, F.substring("b", F.least(F.col("i") + j, F.col("n")) * 2 - 1, F.lit(2 * SHINGLE))).alias(f"h{j}") for j in range(STRIDE)]
 
+def different_lines(docs: DataFrame) -> DataFrame:
+    """Each different line that isn't blank once: h1, h2, the least place (d, t, pos) and its UTF-16 bytes b.
 
-def least_xors(n: int) -> list[Column]:
-    """The n signature values of all hashes h0, h1 and so on of a group."""
-    return [F.min(F.least(*(F.col(f"h{s}").bitwiseXOR(F.lit(m)) for s in range(STRIDE)))).alias(f"m{j}") for j, m in enumerate(masks(n))]
+    Two independent 64-bit hashes tell normalised lines apart. Occurrences are
+    reduced before the shuffle, so a line that is everywhere is a row per task.
+    """
+    lines = docs.select(DOC_KEY, TIE_KEY, F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    lines = lines.withColumn("line", normal_line(F.col("line"))).filter("line <> ''")
+    keyed = lines.select(
+        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(_GOLD - 2**63), "line").alias("h2"),
+        F.struct(DOC_KEY, TIE_KEY, "pos").alias("p"), F.encode("line", "UTF-16BE").alias("b"),
+    )
+    return keyed.groupBy("h1", "h2").agg(F.min("p").alias("p"), F.first("b").alias("b")).select("h1", "h2", "p.*", "b")
 
 
-def line_signatures(docs: DataFrame) -> DataFrame:
-    """One row per line that isn't blank: place, ``k``, band keys.
+def line_bands(docs: DataFrame) -> DataFrame:
+    """Each different line with its place (__d, __t, pos), a number ``k`` and its band keys b0, b1 and so on.
 
     Shingles are runs of SHINGLE characters (UTF-16 units), or the whole of a
     shorter line. Each is hashed once; a signature value is the least xor of
     the hashes with a fixed mask, and a band is the hash of ROWS values. The
-    positions are exploded and aggregated again in generated code. Documents
-    are dealt out by their key before that, so that the aggregate needs no
-    shuffle of its own and what is shuffled once is text, not signatures.
+    positions are exploded and aggregated again in generated code, where the
+    lines lie by their hashes already: the text is shuffled once, signatures
+    never. ``k`` is settled only when the table is written.
+    """
+    n = F.greatest(F.expr("cast(length(b) div 2 as int)") - (SHINGLE - 1), F.lit(1))
+    own = ["h1", "h2", DOC_KEY, TIE_KEY, "pos"]
+    at = different_lines(docs).withColumn("n", n).select(*own, "b", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STRIDE))).alias("i"))
+    places = [F.least(F.col("i") + j, F.col("n")) * 2 - 1 for j in range(STRIDE)]
+    hashed = at.select(*own, *(F.xxhash64(F.substring("b", x, F.lit(2 * SHINGLE))).alias(f"s{j}") for j, x in enumerate(places)))
+    least = [F.min(F.least(*(F.col(f"s{s}").bitwiseXOR(F.lit(m)) for s in range(STRIDE)))).alias(f"m{j}") for j, m in enumerate(masks(VALUES))]
+    bands = [F.xxhash64(F.lit(b), *(f"m{v}" for v in values)).alias(f"b{b}") for b, values in enumerate(band_values())]
+    return hashed.groupBy(*own).agg(*least).select(F.monotonically_increasing_id().alias("k"), DOC_KEY, TIE_KEY, "pos", *bands)
+
+
+def line_buckets(marked: DataFrame) -> tuple[DataFrame, list[str]]:
+    """bucket, hub (its least line), k of all buckets with several lines, and the folders that hold them.
+
+    A few bands are shuffled at a time, which bounds the disk that takes.
     """
-    lines = encoded_lines(docs.select(DOC_KEY, TIE_KEY, "text").repartition(DOC_KEY, TIE_KEY))
-    at = lines.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STRIDE))))
-    hashed = at.select(DOC_KEY, TIE_KEY, "pos", "k", *strided())
-    signed = hashed.groupBy(DOC_KEY, TIE_KEY, "pos", "k").agg(*least_xors(BANDS * ROWS))
-    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    return signed.select(DOC_KEY, TIE_KEY, "pos", "k", *(x.alias(f"b{b}") for b, x in enumerate(bands)))
+    parts = []
+    bands = len(band_values())
+    for first in range(0, bands, BANDS_AT_ONCE):
+        few = F.array(*(f"b{b}" for b in range(first, min(bands, first + BANDS_AT_ONCE))))
+        members = marked.select("k", F.explode(few).alias("bucket"))
+        hubs = members.groupBy("bucket").agg(F.min("k").alias("hub"), F.max("k").alias("top")).filter("hub < top").select("bucket", "hub")
+        parts.append(materialize(members.join(hubs, "bucket").select("bucket", "hub", "k"), "line-buckets"))
+    full = parts[0]
+    for part in parts[1:]:
+        full = full.unionByName(part)
+    return full, parts
 
 
 def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """k and b, the UTF-16 bytes of the normalised line, at each of the places (__d, __t, pos)."""
-    wanted = places.groupBy(DOC_KEY, TIE_KEY).agg(F.collect_set("pos").alias("at"))
+    """k and b, the UTF-16 bytes of the normalised line, at each of the places (__d, __t, pos, k)."""
+    wanted = places.groupBy(DOC_KEY, TIE_KEY).agg(F.collect_list(F.struct("pos", "k")).alias("at"))
     found = docs.select(DOC_KEY, TIE_KEY, "text").join(wanted, [DOC_KEY, TIE_KEY])
-    lines = found.select("at", F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).filter(F.array_contains("at", F.col("pos")))
-    return lines.select(normal_line(F.col("line")).alias("line")).select(F.xxhash64("line").alias("k"), F.encode("line", "UTF-16BE").alias("b"))
+    lines = bound(split_lines(F.col("text")), lambda own: F.transform("at", lambda x: F.struct(x["k"].alias("k"), F.get(own, x["pos"]).alias("line"))))
+    return found.select(F.inline(lines)).select("k", F.encode(normal_line(F.col("line")), "UTF-16BE").alias("b"))
 
 
 def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Those of the distinct pairs (u, v) whose shingle sets have Jaccard similarity LEAST or more.
 
-    Lines travel as text, a quarter of their shingles' hashes. Their bytes have to
-    be stored columns: an expression would be evaluated again for each shingle.
+    Lines travel as text, a quarter of their shingles' hashes.
     """
     both = (
         pairs.join(lines.select(F.col("k").alias("u"), F.col("b").alias("lu")), "u")
         .join(lines.select(F.col("k").alias("v"), F.col("b").alias("lv")), "v")
-        .select("u", "v", shingle_set("lu").alias("su"), shingle_set("lv").alias("sv"))
-        .select("u", "v", F.size(F.array_intersect("su", "sv")).alias("common"), (F.size("su") + F.size("sv")).alias("all"))
+        .select("u", "v", shingle_set(F.col("lu")).alias("su"), shingle_set(F.col("lv")).alias("sv"))
+        .select("u", "v", F.size(F.array_intersect("su", "sv")).alias("common"), F.size(F.array_union("su", "sv")).alias("all"))
     )
-    return both.filter("common >= %s * (all - common)" % LEAST).select("u", "v")
+    return both.filter(f"common >= {LEAST} * all").select("u", "v")
 
 
-def line_classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Map each line key that has a similar other line to its component's root.
+def line_classes(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Map each line ``k`` that has a similar other line to its component's root.
 
     Lines of one band bucket are candidates. First each is verified against
-    the least key of all its buckets, one pair per line, which joins large groups
-    of copies; ROUNDS more times members are verified against another hub of
-    their bucket that is in another component. Then every pair of different
-    components that is left in a bucket is verified, in blocks of a bucket's
-    members, whose number grows with the square of a group of lines that share
-    a passage without being similar. No pair that met in a bucket is lost.
+    the least line of all its buckets, one pair per line, which joins large
+    groups of copies; ROUNDS more times members are verified against another
+    hub of their bucket that is in another component. Then every pair of
+    different components that is left in a bucket is verified, in blocks of a
+    bucket's members. No pair that met in a bucket is lost.
     """
-    members = signatures.select("k", F.explode(F.array(*(f"b{b}" for b in range(BANDS)))).alias("bucket")).repartition("bucket")
-    hubs = members.groupBy("bucket").agg(F.min("k").alias("hub"), F.max("k").alias("top")).filter("hub < top").select("bucket", "hub")
-    full = materialize(members.join(hubs, "bucket").select("bucket", "hub", "k").distinct(), "line-buckets")
-    keys = full.select("k").distinct()
-    firsts = signatures.select("k", F.struct(DOC_KEY, TIE_KEY, "pos").alias("p")).join(keys, "k", "left_semi").groupBy("k").agg(F.min("p").alias("p")).select("p.*")
-    lines = materialize(texts_of(docs, firsts), "line-texts")
+    full, parts = line_buckets(marked)
+    wanted = marked.select("k", DOC_KEY, TIE_KEY, "pos").join(full.select("k").distinct(), "k", "left_semi")
+    lines = materialize(texts_of(docs, wanted), "line-texts")
     tried = cut(full.groupBy("k").agg(F.min("hub").alias("hub")).filter("k <> hub").select(F.col("hub").alias("u"), F.col("k").alias("v")))
-    links = cut(similar_pairs(tried, lines))
+    roots = connected_components(similar_pairs(tried, lines))
+    members = open_buckets(full.select("bucket", "k").join(roots, F.col("k") == F.col("node"), "left").select("bucket", "k", F.coalesce("root", "k").alias("root")))
     free_shuffles(docs.sparkSession)
-    for r in range(ROUNDS):
-        placed = open_members(full, links)
-        hubs = placed.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("k", F.lit(r)).alias("h"), "k", "root")).alias("hub"))
-        pairs = (
-            placed.join(hubs, "bucket").filter(F.col("root") != F.col("hub.root"))
-            .select(F.least("k", "hub.k").alias("u"), F.greatest("k", "hub.k").alias("v")).distinct()
-            .join(tried, ["u", "v"], "left_anti")
-        )
-        pairs = cut(pairs)
-        links = cut(links.unionByName(similar_pairs(pairs, lines)))
+    for r in range(ROUNDS + 1):
+        if r < ROUNDS:
+            hubs = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("k", F.lit(r)).alias("h"), "k", "root")).alias("hub"))
+            pairs = members.join(hubs, "bucket").filter(F.col("root") != F.col("hub.root")).select(F.least("k", "hub.k").alias("u"), F.greatest("k", "hub.k").alias("v")).distinct()
+        else:
+            pairs = cross_pairs(members)
+        pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
         tried = tried.unionByName(pairs)
+        links = similar_pairs(pairs, lines)
+        of = members.select("k", "root").distinct()
+        joined = links.join(of.toDF("u", "ru"), "u").join(of.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        merged = connected_components(joined)
+        roots, members = lift_roots(roots, members, merged)
         free_shuffles(docs.sparkSession)
-    rest = cross_pairs(open_members(full, links)).join(tried, ["u", "v"], "left_anti")
-    return connected_components(links.unionByName(similar_pairs(cut(rest), lines)))
+    for table in (*parts, lines):
+        discard(table)
+    return roots
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Places (__d, __t, pos) of lines that repeat an earlier one, exactly or nearly.
+def kept_places(docs: DataFrame) -> DataFrame:
+    """__d, __t and the sorted positions ``at`` of the lines that stay, of documents that keep any line that isn't blank.
 
-    Of each component the line of the smallest document and place stays.
+    Of each component of similar lines the one of the least document and place
+    stays, of each line its first place.
     """
-    signatures = materialize(line_signatures(docs), "line-bands")
-    places = signatures.select(DOC_KEY, TIE_KEY, "pos", "k")
-    classes = line_classes(docs, signatures)
-    joined = places.join(classes, places["k"] == classes["node"], "left").select(DOC_KEY, TIE_KEY, "pos", F.coalesce("root", "k").alias("c"))
-    firsts = joined.groupBy("c").agg(F.min(F.struct(DOC_KEY, TIE_KEY, "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "first")
-    return joined.join(firsts, "c").filter(F.struct(DOC_KEY, TIE_KEY, "pos") != F.col("first")).select(DOC_KEY, TIE_KEY, "pos")
+    marked = materialize(line_bands(docs), "line-bands")
+    roots = line_classes(docs, marked)
+    place = F.struct(DOC_KEY, TIE_KEY, "pos")
+    joined = marked.select("k", DOC_KEY, TIE_KEY, "pos").join(roots, F.col("k") == F.col("node"), "left")
+    firsts = joined.groupBy(F.coalesce("root", "k")).agg(F.min(place).alias("p")).select("p.*")
+    kept = materialize(firsts.groupBy(DOC_KEY, TIE_KEY).agg(F.array_sort(F.collect_list("pos")).alias("at")), "line-kept")
+    discard(marked)
+    return kept
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -165,18 +194,29 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     that are blank stay and are no part of it. A line shorter than a shingle
     equals only itself. A document may lose all its lines: it stays, empty.
     Null texts stay null (no lines). Rows with equal ids are separate documents
-    (``with_row_key`` orders them). All columns are returned as they are, except
-    that input columns named n_lines or n_removed are replaced.
+    (``with_row_key`` orders them); of equal lines the one of the least id, row
+    and position stays. A very long text costs time and memory in proportion to
+    its length in the task that holds it, a line of any length is one row. All
+    columns are returned as they are, except that input columns named n_lines
+    or n_removed are replaced; __d, __t and __at are refused.
     """
+    refuse_names(docs, "__at")
     keyed = with_row_key(docs)
-    gone = repeated_lines(keyed).groupBy(DOC_KEY, TIE_KEY).agg(F.collect_set("pos").alias("__gone"))
-    joined = keyed.join(gone, [DOC_KEY, TIE_KEY], "left")
-    lines = split_lines(F.col("text"))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    joined = keyed.join(kept_places(keyed).withColumnRenamed("at", "__at"), [DOC_KEY, TIE_KEY], "left")
+    at = F.coalesce("__at", F.array().cast("array<int>"))
+
+    def left(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        stay = F.array_sort(F.concat(F.filter(every, lambda i: normal_line(F.get(lines, i)) == ""), at))
+        same = F.size(stay) == F.size(lines)
+        text = F.when(same, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+        return F.struct(text.alias("text"), F.size(lines).alias("n"), (F.size(lines) - F.size(stay)).alias("gone"))
+
+    done = joined.withColumn("__at", bound(split_lines(F.col("text")), left))
     columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return joined.select(
-        *columns,
-        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    none = F.col("text").isNull()
+    return done.select(
+        *columns, F.when(~none, F.col("__at.text")).alias("text"),
+        F.when(none, 0).otherwise(F.col("__at.n")).cast("long").alias("n_lines"),
+        F.when(none, 0).otherwise(F.col("__at.gone")).cast("long").alias("n_removed"),
+    )
