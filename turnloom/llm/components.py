@@ -60,7 +60,7 @@ BLOCK = 256
 
 
 def open_buckets(placed: DataFrame) -> DataFrame:
-    """Those of the rows bucket, k, root whose bucket holds more than one component."""
+    """Those of the rows (bucket, k, root and more) whose bucket holds more than one component."""
     split = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
     return cut(placed.join(split, "bucket"))
 
@@ -71,7 +71,7 @@ def open_members(full: DataFrame, links: DataFrame) -> DataFrame:
     return open_buckets(full.join(roots, full["k"] == roots["node"], "left").select("bucket", "k", F.coalesce("root", "k").alias("root")))
 
 
-def lift_roots(roots: DataFrame, members: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+def lift_roots(roots: DataFrame | None, members: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """roots(node, root) and the open members after the components that ``merged`` maps to each other became one.
 
     ``merged`` comes from edges between roots, so it is as small as what is
@@ -79,9 +79,12 @@ def lift_roots(roots: DataFrame, members: DataFrame, merged: DataFrame) -> tuple
     which ``roots`` doesn't list.
     """
     up = merged.toDF("r", "top")
+    rest = [c for c in members.columns if c != "root"]
+    placed = open_buckets(members.join(up, F.col("root") == F.col("r"), "left").select(*rest, F.coalesce("top", "root").alias("root")))
+    if roots is None:
+        return merged, placed
     lifted = roots.join(up, F.col("root") == F.col("r"), "left").select("node", F.coalesce("top", "root").alias("root"))
-    placed = members.join(up, F.col("root") == F.col("r"), "left").select("bucket", "k", F.coalesce("top", "root").alias("root"))
-    return cut(lifted.unionByName(merged)), open_buckets(placed)
+    return cut(lifted.unionByName(merged)), placed
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import DOC_KEY, TIE_KEY, cut, discard, free_shuffles, materialize, refuse_names, with_row_key
-from turnloom.llm.components import connected_components, cross_pairs, lift_roots, open_buckets
+from turnloom.llm.components import connected_components, lift_roots
 
 #: Characters per shingle, least similarity of a link.
 SHINGLE, LEAST = 5, 0.8
@@ -14,8 +14,10 @@ SHINGLE, LEAST = 5, 0.8
 VALUES, ROWS = 72, 6
 #: Bands that are shuffled at a time.
 BANDS_AT_ONCE = 6
-#: Further hubs that each bucket's members are verified against, one pair each.
-ROUNDS = 2
+#: Rounds of one pair per line at most, before all pairs that are left are compared.
+ROUNDS = 3
+#: Lines and characters of a block of a bucket; two blocks are compared at a time.
+BLOCK_LINES, BLOCK_CHARS = 512, 1 << 22
 #: Shingles hashed per exploded row; the aggregate's cost is per row.
 STRIDE = 4
 _GOLD = 0x9E3779B97F4A7C15
@@ -70,9 +72,10 @@ def different_lines(docs: DataFrame) -> DataFrame:
     lines = lines.withColumn("line", normal_line(F.col("line"))).filter("line <> ''")
     keyed = lines.select(
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(_GOLD - 2**63), "line").alias("h2"),
-        F.struct(DOC_KEY, TIE_KEY, "pos").alias("p"), F.encode("line", "UTF-16BE").alias("b"),
+        F.struct(DOC_KEY, TIE_KEY, "pos").alias("p"), "line",
     )
-    return keyed.groupBy("h1", "h2").agg(F.min("p").alias("p"), F.first("b").alias("b")).select("h1", "h2", "p.*", "b")
+    firsts = keyed.groupBy("h1", "h2").agg(F.min("p").alias("p"), F.first("line").alias("line"))
+    return firsts.select("h1", "h2", "p.*", F.encode("line", "UTF-16BE").alias("b"))
 
 
 def line_bands(docs: DataFrame) -> DataFrame:
@@ -95,8 +98,8 @@ def line_bands(docs: DataFrame) -> DataFrame:
     return hashed.groupBy(*own).agg(*least).select(F.monotonically_increasing_id().alias("k"), DOC_KEY, TIE_KEY, "pos", *bands)
 
 
-def line_buckets(marked: DataFrame) -> tuple[DataFrame, list[str]]:
-    """bucket, hub (its least line), k of all buckets with several lines, and the folders that hold them.
+def line_buckets(marked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """bucket, k of all buckets with several lines, and the tables that hold them.
 
     A few bands are shuffled at a time, which bounds the disk that takes.
     """
@@ -105,8 +108,8 @@ def line_buckets(marked: DataFrame) -> tuple[DataFrame, list[str]]:
     for first in range(0, bands, BANDS_AT_ONCE):
         few = F.array(*(f"b{b}" for b in range(first, min(bands, first + BANDS_AT_ONCE))))
         members = marked.select("k", F.explode(few).alias("bucket"))
-        hubs = members.groupBy("bucket").agg(F.min("k").alias("hub"), F.max("k").alias("top")).filter("hub < top").select("bucket", "hub")
-        parts.append(materialize(members.join(hubs, "bucket").select("bucket", "hub", "k"), "line-buckets"))
+        several = members.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("bucket")
+        parts.append(materialize(members.join(several, "bucket").select("bucket", "k"), "line-buckets"))
     full = parts[0]
     for part in parts[1:]:
         full = full.unionByName(part)
@@ -114,59 +117,109 @@ def line_buckets(marked: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """k and b, the UTF-16 bytes of the normalised line, at each of the places (__d, __t, pos, k)."""
+    """k and the normalised line at each of the places (__d, __t, pos, k)."""
     wanted = places.groupBy(DOC_KEY, TIE_KEY).agg(F.collect_list(F.struct("pos", "k")).alias("at"))
     found = docs.select(DOC_KEY, TIE_KEY, "text").join(wanted, [DOC_KEY, TIE_KEY])
     lines = bound(split_lines(F.col("text")), lambda own: F.transform("at", lambda x: F.struct(x["k"].alias("k"), F.get(own, x["pos"]).alias("line"))))
-    return found.select(F.inline(lines)).select("k", F.encode(normal_line(F.col("line")), "UTF-16BE").alias("b"))
+    return found.select(F.inline(lines)).select("k", normal_line(F.col("line")).alias("line"))
 
 
 def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Those of the distinct pairs (u, v) whose shingle sets have Jaccard similarity LEAST or more.
 
-    Lines travel as text, a quarter of their shingles' hashes.
+    Lines travel as text, a fifth to a tenth of their shingles' hashes.
     """
     both = (
-        pairs.join(lines.select(F.col("k").alias("u"), F.col("b").alias("lu")), "u")
-        .join(lines.select(F.col("k").alias("v"), F.col("b").alias("lv")), "v")
-        .select("u", "v", shingle_set(F.col("lu")).alias("su"), shingle_set(F.col("lv")).alias("sv"))
+        pairs.join(lines.toDF("u", "lu"), "u")
+        .join(lines.toDF("v", "lv"), "v")
+        .select("u", "v", shingle_set(F.encode("lu", "UTF-16BE")).alias("su"), shingle_set(F.encode("lv", "UTF-16BE")).alias("sv"))
         .select("u", "v", F.size(F.array_intersect("su", "sv")).alias("common"), F.size(F.array_union("su", "sv")).alias("all"))
     )
     return both.filter(f"common >= {LEAST} * all").select("u", "v")
 
 
+def hub_pairs(members: DataFrame, tried: DataFrame | None, r: int) -> DataFrame:
+    """One new pair (u, v) per line at most: the line and a hub of another component in one of its buckets.
+
+    The hub of a bucket is drawn anew each round, the sooner the more buckets it
+    shares (``w``): such a line lies in the middle of its group, and most others
+    of the group are similar to it. Of its buckets' hubs a line takes the one
+    that shares most.
+    """
+    u = (F.pmod(F.xxhash64("k", F.lit(r)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    late = -F.log(u) / F.pow("w", F.lit(4.0)) if r else u - F.col("w")
+    drawn = members.withColumn("late", late).groupBy("bucket").agg(F.min_by("k", "late").alias("hub"), F.min_by("root", "late").alias("hub_root"), F.min_by("w", "late").alias("hub_w"))
+    met = members.join(drawn, "bucket").filter("root <> hub_root")
+    pairs = met.select("k", "hub_w", F.least("k", "hub").alias("u"), F.greatest("k", "hub").alias("v"))
+    if tried is not None:
+        pairs = pairs.join(tried, ["u", "v"], "left_anti")
+    return pairs.groupBy("k").agg(F.max_by("u", "hub_w").alias("u"), F.max_by("v", "hub_w").alias("v")).select("u", "v").distinct()
+
+
+def cross_links(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """All similar pairs (u, v) of lines that meet in a bucket and are in different components.
+
+    A bucket's lines are dealt to blocks, and each pair of blocks is a row whose
+    lines are compared in place: shingle sets are made once a block, and only
+    links come out. Of the buckets that two lines share the least compares them.
+    """
+    shared = members.groupBy("k").agg(F.first("root").alias("root"), F.collect_set("bucket").alias("buckets"))
+    texts = shared.join(lines, "k").select("k", F.struct("k", "root", "buckets", "line").alias("x"), F.length("line").alias("chars"))
+    placed = members.select("bucket", "k").join(texts, "k")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_LINES), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
+    sizes = members.select("bucket", "k").join(texts.select("k", "chars"), "k").groupBy("bucket").agg(blocks.alias("blocks"))
+    dealt = placed.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("k", "bucket"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.groupBy("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "x")).alias("all"))
+
+    def with_set(m: Column) -> Column:
+        x = m["x"]
+        return F.struct(m["own"].alias("own"), x["k"].alias("k"), x["root"].alias("root"), x["buckets"].alias("buckets"), F.array_distinct(shingle_set(F.encode(x["line"], "UTF-16BE"))).alias("s"))
+
+    def similar(a: Column, b: Column) -> Column:
+        sizes = F.size(a["s"]) + F.size(b["s"])
+        return (
+            (a["k"] < b["k"]) & (a["root"] != b["root"]) & ((F.col("i") == F.col("j")) | (a["own"] != b["own"]))
+            & (F.least(F.size(a["s"]), F.size(b["s"])) >= LEAST * F.greatest(F.size(a["s"]), F.size(b["s"])))
+            & (F.array_min(F.array_intersect(a["buckets"], b["buckets"])) == F.col("bucket"))
+            & bound(F.size(F.array_intersect(a["s"], b["s"])), lambda common: common >= LEAST * (sizes - common))
+        )
+
+    def links(own: Column) -> Column:
+        return F.flatten(F.transform(own, lambda a: F.transform(F.filter(own, lambda b: similar(a, b)), lambda b: F.struct(a["k"].alias("u"), b["k"].alias("v")))))
+
+    return rows.select(F.inline(bound(F.transform("all", with_set), links))).distinct()
+
+
 def line_classes(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Map each line ``k`` that has a similar other line to its component's root.
 
-    Lines of one band bucket are candidates. First each is verified against
-    the least line of all its buckets, one pair per line, which joins large
-    groups of copies; ROUNDS more times members are verified against another
-    hub of their bucket that is in another component. Then every pair of
-    different components that is left in a bucket is verified, in blocks of a
-    bucket's members. No pair that met in a bucket is lost.
+    Lines of one band bucket are candidates. In ROUNDS rounds every line is
+    verified against one hub at most (``hub_pairs``), which joins most of each
+    large group of copies. Then all pairs of different components that are left
+    in a bucket are compared: no pair that met in a bucket is lost, whatever the
+    rounds have found.
     """
     full, parts = line_buckets(marked)
-    wanted = marked.select("k", DOC_KEY, TIE_KEY, "pos").join(full.select("k").distinct(), "k", "left_semi")
+    shares = full.groupBy("k").agg(F.count(F.lit(1)).alias("w"))
+    wanted = marked.select("k", DOC_KEY, TIE_KEY, "pos").join(shares.select("k"), "k", "left_semi")
     lines = materialize(texts_of(docs, wanted), "line-texts")
-    tried = cut(full.groupBy("k").agg(F.min("hub").alias("hub")).filter("k <> hub").select(F.col("hub").alias("u"), F.col("k").alias("v")))
-    roots = connected_components(similar_pairs(tried, lines))
-    members = open_buckets(full.select("bucket", "k").join(roots, F.col("k") == F.col("node"), "left").select("bucket", "k", F.coalesce("root", "k").alias("root")))
-    free_shuffles(docs.sparkSession)
+    members = materialize(full.join(shares, "k").select("bucket", "k", F.col("k").alias("root"), "w"), "line-members")
+    used = [*parts, lines, members]
+    tried = roots = None
     for r in range(ROUNDS + 1):
         if r < ROUNDS:
-            hubs = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("k", F.lit(r)).alias("h"), "k", "root")).alias("hub"))
-            pairs = members.join(hubs, "bucket").filter(F.col("root") != F.col("hub.root")).select(F.least("k", "hub.k").alias("u"), F.greatest("k", "hub.k").alias("v")).distinct()
+            pairs = cut(hub_pairs(members, tried, r))
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            links = similar_pairs(pairs, lines)
         else:
-            pairs = cross_pairs(members)
-        pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
-        tried = tried.unionByName(pairs)
-        links = similar_pairs(pairs, lines)
-        of = members.select("k", "root").distinct()
-        joined = links.join(of.toDF("u", "ru"), "u").join(of.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-        merged = connected_components(joined)
-        roots, members = lift_roots(roots, members, merged)
+            links = cross_links(members, lines)
+        if r:
+            of = members.select("k", "root").distinct()
+            links = links.join(of.toDF("u", "ru"), "u").join(of.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        roots, members = lift_roots(roots, members, connected_components(links))
         free_shuffles(docs.sparkSession)
-    for table in (*parts, lines):
+    for table in used:
         discard(table)
     return roots
 
