@@ -142,7 +142,11 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Atten
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Attention:
-    """Fit on at most ``most`` labelled documents that aren't held out, and all their passages."""
+    """Fit on at most ``most`` labelled documents that aren't held out, and all their passages.
+
+    One task of an executor learns, with N_FEATURES floats a passage in memory;
+    the driver gets the model only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,13 +158,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
                     at += n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "x", "y"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        bags = [np.frombuffer(r[1], np.float32).reshape(-1, N_FEATURES) for r in rows]
+        y = np.array([float(r[2] > 0) for r in rows], np.float32)
+        sizes = np.array([len(b) for b in bags], np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(bags) else np.zeros(0, np.int64)
+        x = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES), np.float32)
+        del rows, bags
+        net = fit(x, first, y)
+        found = {"mean": net.mean, "scale": net.scale} | net.p
+        arrays = [np.asarray(v, np.float64) for v in found.values()]
+        columns = [pa.array(list(found)), pa.array([list(v.shape) for v in arrays], pa.list_(pa.int32())), pa.array([v.ravel().tolist() for v in arrays], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["name", "shape", "value"])
+
     sample = labelled_sample(docs, labels, label, most).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y")
-    rows = sorted((r["doc_id"], bytes(r["x"]), r["y"]) for r in sample.mapInArrow(run, "doc_id long, x binary, y int").toLocalIterator())
-    bags = [np.frombuffer(r[1], np.float32).reshape(-1, N_FEATURES) for r in rows]
-    sizes = np.array([len(b) for b in bags], np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(bags) else np.zeros(0, np.int64)
-    x = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES), np.float32)
-    return fit(x, first, np.array([float(r[2] > 0) for r in rows], np.float32))
+    passages = sample.mapInArrow(run, "doc_id long, x binary, y int").repartition(1)
+    found = passages.mapInArrow(learn, "name string, shape array<int>, value array<double>").collect()
+    if not found:  # an optimiser that knows that there are no rows starts no task
+        return fit(np.zeros((0, N_FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    p = {r["name"]: np.array(r["value"], np.float32).reshape(r["shape"]) for r in found}
+    return Attention(p.pop("mean"), p.pop("scale"), p)
 
 
 def score_documents(docs: DataFrame, model: Attention) -> DataFrame:

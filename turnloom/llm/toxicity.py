@@ -125,23 +125,33 @@ def fit(bags: list[set[str]], grades: np.ndarray, z: dict[str, float]) -> Ordina
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Ordinal:
-    """Fit on at most ``most`` labelled documents; words are cut on the executors.
+    """Fit on at most ``most`` labelled documents, in one task of an executor; the driver gets the model only.
 
     A label with grades above 1 is used as it is; of a 0/1 label the grades are
     derived (``severity_grades``). Without any positive label nothing is toxic.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [" ".join(sorted(distinct_words(x.as_py()))) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), batch.column(2)], ["doc_id", "words", "y"])
 
-    rows = labelled_sample(docs, labels, label, most).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(run, "doc_id long, words string, y int").collect()
-    rows.sort()
-    bags = [set(r["words"].split(" ")) - {""} for r in rows]
-    y = np.array([max(0, r["y"]) for r in rows], np.int64)
-    z = evidence(bags, y > 0)
-    return fit(bags, y if y.max(initial=0) > 1 else severity_grades(bags, y > 0, z), z)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        bags = [set(words.split(" ")) - {""} for _, words, _ in rows]
+        y = np.array([max(0, grade) for _, _, grade in rows], np.int64)
+        del rows
+        z = evidence(bags, y > 0)
+        model = fit(bags, y if y.max(initial=0) > 1 else severity_grades(bags, y > 0, z), z)
+        found = [*model.weights.items(), *((None, x) for x in model.thresholds)]
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["feature", "value"])
+
+    sample = labelled_sample(docs, labels, label, most).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y")
+    words = sample.mapInArrow(cut_words, "doc_id long, words string, y int").repartition(1)
+    found = words.mapInArrow(learn, "feature string, value double").collect()
+    if not found:  # an optimiser that knows that there are no rows starts no task
+        return fit([], np.zeros(0, np.int64), {})
+    return Ordinal({r["feature"]: r["value"] for r in found if r["feature"] is not None}, sorted(r["value"] for r in found if r["feature"] is None))
 
 
 def with_severity(docs: DataFrame, model: Ordinal) -> DataFrame:
