@@ -13,7 +13,7 @@ SHINGLE, LEAST = 5, 0.8
 #: Signature values and values per band. Each value is in two bands: one of neighbours, one of values VALUES / ROWS apart.
 VALUES, ROWS = 72, 6
 #: Bands that are shuffled at a time.
-BANDS_AT_ONCE = 6
+BANDS_AT_ONCE = 4
 #: Rounds of one pair per line at most, before all pairs that are left are compared.
 ROUNDS = 3
 #: Lines and characters of a block of a bucket; two blocks are compared at a time.
@@ -108,7 +108,7 @@ def line_buckets(marked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     for first in range(0, bands, BANDS_AT_ONCE):
         few = F.array(*(f"b{b}" for b in range(first, min(bands, first + BANDS_AT_ONCE))))
         members = marked.select("k", F.explode(few).alias("bucket"))
-        several = members.groupBy("bucket").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("bucket")
+        several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
         parts.append(materialize(members.join(several, "bucket").select("bucket", "k"), "line-buckets"))
     full = parts[0]
     for part in parts[1:]:
@@ -164,13 +164,13 @@ def cross_links(members: DataFrame, lines: DataFrame) -> DataFrame:
     links come out. Of the buckets that two lines share the least compares them.
     """
     shared = members.groupBy("k").agg(F.first("root").alias("root"), F.collect_set("bucket").alias("buckets"))
-    texts = shared.join(lines, "k").select("k", F.struct("k", "root", "buckets", "line").alias("x"), F.length("line").alias("chars"))
-    placed = members.select("bucket", "k").join(texts, "k")
+    texts = shared.join(lines, "k").select("k", F.struct("k", "root", "buckets", "line").alias("x"))
+    placed = members.select("bucket", "k").join(lines.select("k", F.length("line").alias("chars")), "k")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_LINES), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
-    sizes = members.select("bucket", "k").join(texts.select("k", "chars"), "k").groupBy("bucket").agg(blocks.alias("blocks"))
-    dealt = placed.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("k", "bucket"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.groupBy("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("own", "x")).alias("all"))
+    sizes = placed.groupBy("bucket").agg(blocks.alias("blocks"))
+    dealt = members.select("bucket", "k").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("k", "bucket"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt.join(texts, "k").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "x")).alias("all"))
 
     def with_set(m: Column) -> Column:
         x = m["x"]
