@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import cut
 
 
+#: Edges up to which one task takes all steps, without a shuffle.
+FEW_EDGES = 1 << 17
+
+
 def _checksum(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),
@@ -16,6 +20,10 @@ def _checksum(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
+def _both(a: str, b: str, c: str, d: str) -> F.Column:
+    return F.inline(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(c).alias("u"), F.col(d).alias("v"))))
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Map each node of ``edges(u, v)`` to the smallest node of its component.
 
@@ -23,7 +31,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     round hooks neighbours onto local minima, so chains halve and the result is
     a star around each minimum. State is one row per node; a node's neighbours
     are only ever reduced to their minimum, never gathered. Each round is cut
-    by a checkpoint, and the loop ends when the edge set stops changing.
+    by a checkpoint, and the loop ends when the edge set stops changing. A round
+    over FEW_EDGES edges or fewer, counted before it, is one task without a
+    shuffle; the steps are the same.
 
     Nodes without an edge to another node don't appear in the result
     (``node``, ``root``); null nodes and loops are ignored.
@@ -34,25 +44,21 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     seen = _checksum(now)
-    if not seen[0]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    for _ in range(most_rounds if seen[0] else 0):
+        if seen[0] <= FEW_EDGES:
+            now = now.coalesce(1)
+        both = now.select(_both("u", "v", "v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         hub = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(hub, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .filter("u <> v")
-            .unionByName(hub.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        now = cut(small)
+        now = cut(large.join(hub, "u").select(_both("v", "m", "u", "m")).filter("u <> v").distinct())
         then, seen = seen, _checksum(now)
         if then == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+            break
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 #: Members per block when all pairs of a bucket are made.
