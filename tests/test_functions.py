@@ -41,7 +41,12 @@ def test_generation_failures():
     assert L.parse_generation(None) == (None, "none") and L.parse_generation("no call here") == (None, "none")
     assert L.embedded("a {'x': 1} b [1, {'y': 2}] {broken: } c") == ['{"x":1}', "1", '{"y":2}']
     assert L.decode_answer(json.dumps(json.dumps({"a": 1}))) == {"a": 1} and L.decode_answer("") is None
-    assert [L.classify_error(x) for x in (None, "{", '{"a":1} {"b":2}', '{"a":1}"', "[1]", '{"a":1}')] == ["empty", "unbalanced_braces", "two_objects", "stray_quote", "not_json", "ok"]
+    assert [L.answer_plan(x) for x in (None, " ", "{", "[1]", "{}", "{'plan': ' '}", "{'plan': 3}")] == ["MISSING_ANSWER", "EMPTY_ANSWER", "INVALID_ANSWER", "NON_DICT_ANSWER", "MISSING_PLAN", "EMPTY_PLAN", "3"]
+    assert L.quote_bare_keys("{a: 'x, b: 1', c : [d: 2]}") == """{"a": 'x, b: 1', "c" : ["d": 2]}"""
+    assert L.history_items("['turn 3: a', '', 'b']") == [(3, "turn 3: a"), (2, "b")] and L.history_items("hello") == [(1, "hello")] and L.history_items(None) == []
+    assert L.assign_list(["a", 1, "x", "attachments", "f"], ["b", "a", "attachments"]) == {"a": 1, "attachments": ["f"], "b": "x"} and L.assign_list([], ["a"]) is None
+    assert L.timers("turn 1: q -> You have: 5 minutes - the Tea, eggs at 7 minutes") == [(5, "Tea"), (7, "eggs")]
+    assert L.without_required([{"parameters": {"required": ["a"], "properties": {"required": 1}}}]) == [{"parameters": {"properties": {"required": 1}}}]
     assert L.model_output("x", "call")[0] == "no_json_object_found" and L.model_output('{"arguments": {}}', "call")[0] == "missing_name"
     assert L.normalise_plan("Act", ["action_act", "b"]) == "action_act" and L.normalise_plan("zzz", ["b"]) == "zzz"
     assert L.assign(["2", "b=3", "'x, y'"], ["a", "b", "c"]) == {"b": 3, "a": 2, "c": "x, y"}
@@ -49,7 +54,7 @@ def test_generation_failures():
 
 @given(st.text(max_size=60))
 def test_parsers_never_raise(text):
-    L.parse_generation(text), L.embedded(text), L.jsonish(text), L.parse_calls(text), L.classify_error(text), L.first_object(text)
+    L.parse_generation(text), L.embedded(text), L.jsonish(text), L.parse_calls(text), L.history_items(text), L.timers(text), L.answer_plan(text), L.quote_bare_keys(text), L.first_object(text)
 
 
 @given(st.recursive(st.none() | st.booleans() | st.integers(-9, 9) | st.text("ab'\" {}", max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text("abc", min_size=1, max_size=3), x, max_size=3), max_leaves=6))

@@ -123,7 +123,26 @@ def decode_answer(text: str | None) -> object | None:
 
 
 def quote_bare_keys(text: str) -> str:
-    return re.sub(r"([{,]\s*)([A-Za-z_]\w*)(\s*:)", r'\1"\2"\3', text)
+    """Names before a colon get quotes, where they stand outside strings and open an item."""
+    out, at, quote, opens = [], 0, "", False
+    while at < len(text):
+        ch = text[at]
+        if quote:
+            step = 2 if ch == "\\" else 1
+            quote = "" if ch == quote else quote
+            out.append(text[at : at + step])
+            at += step
+            continue
+        name = re.compile(r"[A-Za-z_]\w*").match(text, at) if opens else None
+        if name and text[name.end() :].lstrip().startswith(":"):
+            out.append(f'"{name[0]}"')
+            at, opens = name.end(), False
+            continue
+        quote = ch if ch in "\"'" else ""
+        opens = ch in "{[," or (opens and ch.isspace())
+        out.append(ch)
+        at += 1
+    return "".join(out)
 
 
 def coerce(token: str) -> object:
@@ -230,30 +249,119 @@ def parses(text: str | None) -> bool:
     return parse_generation(text)[0] is not None
 
 
-def classify_error(text: str | None) -> str:
-    raw = text or ""
-    if not raw.strip():
-        return "empty"
-    if raw.count("{") != raw.count("}"):
-        return "unbalanced_braces"
-    if re.search(r"\}\s*\{", raw):
-        return "two_objects"
-    if raw.count('"') % 2:
-        return "stray_quote"
-    return "ok" if first_object(raw) is not None else "not_json"
-
+def model_output(text: str | None, mode: str, strict: bool = False) -> tuple[str, str | None]:
+    """(error code or ok, canonical value) of a prediction that has to be a call or a rewrite.
 
-def model_output(text: str | None, mode: str) -> tuple[str, str | None]:
-    """(error code or ok, canonical value) of a prediction that has to be a call or a rewrite."""
+    A rewrite goes by any of three names; confirmed arguments come with it if
+    there are any, and have to if ``strict``.
+    """
     value = first_object(text or "")
     if value is None:
         return "no_json_object_found", None
-    if mode == "rewrite":
-        query = value.get("rewritten_query")
-        return ("ok", canonical(value)) if isinstance(query, str) and query.strip() else ("missing_rewritten_query", None)
-    if not value.get("name"):
-        return "missing_name", None
-    return ("ok", canonical(value)) if isinstance(value.get("arguments", {}), dict) else ("arguments_not_object", None)
+    if mode != "rewrite":
+        name, arguments = value.get("name") or value.get("plan"), value.get("arguments", {})
+        if not isinstance(name, str) or not name.strip():
+            return "missing_name", None
+        return ("ok", canonical({"name": name, "arguments": arguments})) if isinstance(arguments, dict) else ("arguments_not_object", None)
+    query = next((value[k] for k in ("rewritten_query", "rewrited_query", "query") if value.get(k)), None)
+    if not isinstance(query, str) or not query.strip():
+        return "missing_rewritten_query", None
+    confirmed = value.get("confirmed_arguments")
+    if confirmed is None:
+        return ("missing_confirmed_arguments", None) if strict else ("ok", canonical({"rewritten_query": query}))
+    if not isinstance(confirmed, dict):
+        return "confirmed_arguments_not_object", None
+    return "ok", canonical({"rewritten_query": query, "confirmed_arguments": confirmed})
+
+
+def answer_plan(text: str | None) -> str:
+    """The plan that an answer names, or a sentinel that says why there is none."""
+    if text is None:
+        return "MISSING_ANSWER"
+    if not text.strip():
+        return "EMPTY_ANSWER"
+    try:
+        value = ast.literal_eval(text.strip())
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return "INVALID_ANSWER"
+    if not isinstance(value, dict):
+        return "NON_DICT_ANSWER"
+    return "MISSING_PLAN" if value.get("plan") is None else str(value["plan"]).strip() or "EMPTY_PLAN"
+
+
+def history_items(text: str | None) -> list[tuple[int, str]]:
+    """(turn id, text) of a history written as a literal list, as JSON or as plain text.
+
+    The id is the number in the turn's label, else its place from 1.
+    """
+    raw = (text or "").strip()
+    items: list = [raw] if raw else []
+    for parse in (ast.literal_eval, json.loads):
+        value = _try(parse, raw) if raw else None
+        if value is not None:
+            items = value if isinstance(value, list) else [value]
+            break
+    kept = [x for x in map(str, items) if x.strip()]
+    labels = [re.search(r"\bturn\s+(\d+)\s*:", x, re.IGNORECASE) for x in kept]
+    return [(int(m[1]) if m else i, x) for i, (m, x) in enumerate(zip(labels, kept), 1)]
+
+
+def assign_list(values: list, names: list[str]) -> dict | None:
+    """Arguments of a flat list in which a name may be followed by its value.
+
+    What stands alone fills the names that are still free, in their order.
+    Attachments are always a list.
+    """
+    named, alone, waiting = {}, [], None
+    for x in values:
+        if x in names:
+            waiting = x
+        elif waiting is not None:
+            named[waiting], waiting = x, None
+        else:
+            alone.append(x)
+    found = named | dict(zip((n for n in names if n not in named), alone))
+    return {k: [v] if k == "attachments" and v is not None and not isinstance(v, list) else v for k, v in found.items()} or None
+
+
+def without_required(tool: object) -> object:
+    """A tool's schema without the list of required parameters, at any depth of nested parameters."""
+    if isinstance(tool, list):
+        return [without_required(x) for x in tool]
+    if not isinstance(tool, dict):
+        return tool
+    return {k: without_required({n: x for n, x in v.items() if n != "required"} if k == "parameters" and isinstance(v, dict) else v) for k, v in tool.items()}
+
+
+# How an assistant names running timers, in the order in which the forms are tried.
+TIMER_FORMS = [
+    r"(\d+)\s*(minutes?|mins?|min)\s*-\s*([^,.;]+)",
+    r"([^,.;:]+?)\s*-\s*(\d+)\s*(minutes?|mins?|min)(?:\s*remaining)?",
+    r"(\d+)\s*(minutes?|mins?|min)(?:\s*remaining)?\s*(?:left on|on|for)\s*([^,.;]+)",
+    r"([^,.;:]+?)\s*with\s*(\d+)\s*minutes?\s*to\s*go",
+    r"([^,.;:]+?)\s*at\s*(\d+)\s*minutes?",
+]
+
+
+def timers(turn: str | None) -> list[tuple[int, str]]:
+    """Different (minutes, label) pairs that the assistant's part of a turn lists."""
+    said = (turn or "").split("->", 1)[-1].translate({0x2013: "-", 0x2014: "-", 91: None, 93: None})
+    said = said.split(":", 1)[1].strip() if ":" in said else said
+    found: dict[tuple[int, str], str] = {}
+    for form in TIMER_FORMS:
+        for m in re.finditer(form, said):
+            parts = [x.strip() for x in m.groups()]
+            minutes = next(x for x in parts if x.isdigit())
+            label = parts[-1] if parts[0] == minutes else parts[0]
+            label = re.sub(r"^\d+\)\s*", "", re.sub(r"^(the|your)\s+", "", label, flags=re.IGNORECASE)).strip(" .")
+            if label:
+                found.setdefault((int(minutes), label.lower()), label)
+    return [(minutes, label) for (minutes, _), label in found.items()]
+
+
+def argument_items(text: str | None) -> set[tuple[str, str]]:
+    value = _try(json.loads, text) if text else None
+    return {(str(k), canonical(v)) for k, v in value.items()} if isinstance(value, dict) else set()
 
 
 def oneshot(value: object) -> dict | None:
@@ -292,6 +400,33 @@ def read_generation(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_generation(x) for x in s], columns=["call", "parser"], index=s.index)
 
 
+plan_of_answer = F.pandas_udf(lambda s: s.map(answer_plan, na_action=None), T.StringType())
+
+
+@F.pandas_udf(T.StructType([T.StructField("code", T.StringType()), T.StructField("value", T.StringType())]))
+def check_output(text: pd.Series, mode: pd.Series, strict: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([model_output(*x) for x in zip(text, mode, strict)], columns=["code", "value"], index=text.index)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("turn_id", T.LongType()), T.StructField("text", T.StringType())])))
+def parse_history(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: [{"turn_id": i, "text": t} for i, t in history_items(x)], na_action=None)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("minutes", T.LongType()), T.StructField("label", T.StringType())])))
+def timer_candidates(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: [{"minutes": m, "label": t} for m, t in timers(x)], na_action=None)
+
+
 @F.pandas_udf(T.StringType())
-def raw_error(s: pd.Series) -> pd.Series:
-    return s.map(classify_error, na_action=None)
+def assign_values(values: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([None if (v := assign_list(list(a), list(b))) is None else canonical(v) for a, b in zip(values, names)], dtype=object)
+
+
+drop_required = _json(lambda x: without_required(json.loads(x)) if x else None)
+
+
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("gold", "pred", "matched")]))
+def count_arguments(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
+    sets = [(argument_items(a), argument_items(b)) for a, b in zip(gold, pred)]
+    return pd.DataFrame([(len(a), len(b), len(a & b)) for a, b in sets], columns=["gold", "pred", "matched"], index=gold.index)

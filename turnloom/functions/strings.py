@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PHONE = r"\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}"
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-URI = r"https?://[^\s<>\"')]+"
+# Patterns of phone numbers, addresses of people and pages; of a street address its kind is taken.
+PHONE = r"\b\d{2,3}-\d{3,4}-\d{4}\b"
+EMAIL = r"[\w\.-]+@[\w\.-]+\.\w+"
+URI = r"https?://\S+"
+STREET = r"(?i)\d{1,5}\s+[A-Za-z0-9.\s]+\s+(Street|St|Road|Rd|Avenue|Ave|Boulevard|Blvd|Drive|Dr)\b"
 KINDS = {"image": ("png", "jpg", "jpeg", "gif", "webp"), "pdf": ("pdf",), "text": ("txt", "md", "doc", "docx"), "sheet": ("csv", "tsv", "xls", "xlsx"), "slides": ("ppt", "pptx"), "code": ("py", "js", "java", "html", "json")}
 
 
@@ -31,7 +33,39 @@ def within_edits(a: Column, b: Column, most: int = 3) -> Column:
 
 
 def entities(text: Column, pattern: str) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern if pattern == STREET else f"({pattern})"), F.lit(1)))
+
+
+def raw_error(raw: Column) -> Column:
+    """What keeps a model's output from being one JSON object, by the first rule that holds."""
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", "")
+    missing = F.length(F.regexp_replace(text, r"[^{]", "")) - F.length(F.regexp_replace(text, r"[^}]", ""))
+    return (
+        F.when(text == "", "empty_raw")
+        .when(text.contains("\n{"), "two_json_objects_newline")
+        .when(text.rlike(r"\}\s*,\s*\{"), "two_objects_comma_split")
+        .when(missing > 0, F.format_string("truncated_missing_%d_brace", missing))
+        .when(missing < 0, F.format_string("extra_%d_closing_brace", -missing))
+        .when(text.rlike(r'"[A-Za-z0-9_]+"\s*:\s*-?\d+"'), "number_then_stray_quote")
+        .when(text.rlike(r'"[A-Za-z0-9_]+"\s*:\s*(true|false|null)"'), "bool_or_null_then_stray_quote")
+        .otherwise("other_malformed_json")
+    )
+
+
+def alarm_descriptor(text: Column) -> Column:
+    """'alarm_id: N - time, label' as a text quotes it, or up to the second comma or a full stop; else empty."""
+    quoted = F.regexp_extract(text, r"'(alarm_id:\s*\d+\s*-\s*[^']+)'", 1)
+    return F.when(quoted != "", quoted).otherwise(F.trim(F.regexp_extract(text, r"(alarm_id:\s*\d+\s*-\s*[^.,]+(?:,[^.,]+)?)", 1)))
+
+
+def alarm_label(descriptor: Column) -> Column:
+    parts = F.split(descriptor, ",")
+    return F.when(F.size(parts) > 1, F.btrim(F.trim(F.get(parts, 1)), F.lit("'"))).otherwise("Updated Alarm")
+
+
+def alarm_time(descriptor: Column) -> Column:
+    found = F.trim(F.regexp_extract(descriptor, r"-\s*([^,]+)", 1))
+    return F.when(found != "", found).otherwise("that time")
 
 
 def suffix_kind(uri: Column) -> Column:

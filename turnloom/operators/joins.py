@@ -40,6 +40,11 @@ def cursor_join(target: DataFrame, source: DataFrame, keys: Sequence[str], targe
     return placed.withColumn("status", status).drop("__n", "place")
 
 
+def named_apart(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Repeated ids get _duplicated, then _duplicated_2 and so on, in the given order."""
+    return ranked(df, [key], order, "__n").withColumn(key, F.concat(key, F.when(F.col("__n") == 1, "").when(F.col("__n") == 2, "_duplicated").otherwise(F.concat(F.lit("_duplicated_"), F.col("__n") - 1)))).drop("__n")
+
+
 def indicator_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join with ``merge`` (both, left_only) and ``fanout`` (matches of the key)."""
     counted = right.withColumn("__hit", F.lit(1)).withColumn("fanout", F.count(F.lit(1)).over(Window.partitionBy(*keys)))

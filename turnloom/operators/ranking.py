@@ -85,3 +85,28 @@ def lag_delta(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
 def round_robin(df: DataFrame, queue: str, order: Sequence[Column | str], n: int) -> DataFrame:
     """Take one of each queue in turn until n rows are chosen: order (turn, queue)."""
     return ranked(df, [queue], order).orderBy(_RN, queue).limit(n).drop(_RN)
+
+
+#: Ranges that a global numbering is dealt to.
+RANGES = 256
+
+
+def serials(df: DataFrame, place: Column, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Rows numbered from 1 over the whole table by ``place`` (a number) and then ``order``, without one task for all.
+
+    Approximate quantiles cut the rows into ranges; each range is numbered apart
+    and starts after the rows of those before, which are counted. Any bounds give
+    the same numbers. Only the bounds reach the driver.
+    """
+    cuts = df.agg(F.percentile_approx(place, [(i + 1) / RANGES for i in range(RANGES - 1)], 10_000).alias("b")).first()["b"] or []
+    bounds = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
+    ranged = df.withColumn("__at", place).withColumn("__range", F.size(F.filter(bounds, lambda b: b < F.col("__at"))))
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy("__at", *order))
+    return ranged.join(F.broadcast(before), "__range").withColumn(name, (own + F.col("__before")).cast("long")).drop("__range", "__before", "__at")
+
+
+def hash_place(seed: object, key: str) -> Column:
+    """The first twelve digits of a row's place in the seeded order, as a number."""
+    return F.conv(F.substring(hash_order(seed, key), 1, 12), 16, 10).cast("long")

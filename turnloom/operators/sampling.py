@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from turnloom.operators.ranking import hash_order, ranked
+from turnloom.operators.ranking import hash_order, hash_place, ranked, serials
 
 
 def stratified_split(df: DataFrame, plan: str, key: str, ratio: float, cap: int, seed: object) -> DataFrame:
@@ -39,7 +39,7 @@ def group_split(df: DataFrame, group: str, train: float, valid: float, seed: obj
     """Whole groups to train, valid and test by round-half-even shares of their number."""
     groups = df.select(group).distinct()
     total = groups.agg(F.count(F.lit(1)).alias("__n"))
-    placed = groups.withColumn("__rn", F.row_number().over(Window.orderBy(hash_order(seed, group), F.col(group)))).crossJoin(F.broadcast(total))
+    placed = serials(groups, hash_place(seed, group), [hash_order(seed, group), F.col(group)], "__rn").crossJoin(F.broadcast(total))
     first = F.bround(F.col("__n") * F.lit(train))
     second = first + F.bround(F.col("__n") * F.lit(valid))
     part = F.when(F.col("__rn") <= first, "train").when(F.col("__rn") <= second, "valid").otherwise("test")
@@ -100,3 +100,31 @@ def interleave(df: DataFrame, source: str, key: str, weights: dict[str, float],
     """Merge sources by probability: row k of a source with weight p comes at virtual time k / p."""
     p = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(source)]
     return ranked(df, [source], [hash_order(seed, key), F.col(key)], "__rn").withColumn("time", F.col("__rn") / p).drop("__rn")
+
+
+def mixture_plan(total: int, ratios: dict[str, float]) -> dict[str, int]:
+    """Rows per source: the rounded share (half to even) of each, the last source what is left. Shares have to add up to 1."""
+    if abs(sum(ratios.values()) - 1.0) > 1e-9:
+        raise ValueError("the ratios don't add up to 1")
+    *first, last = ratios
+    plan = {s: round(total * ratios[s]) for s in first}
+    return plan | {last: total - sum(plan.values())}
+
+
+def mixture(df: DataFrame, source: str, key: str, total: int, ratios: dict[str, float], seed: object) -> DataFrame:
+    """The planned rows of each source in seeded order; a source with too few rows is an error."""
+    plan = mixture_plan(total, ratios)
+    have = {r[source]: r["n"] for r in df.filter(F.col(source).isin(*plan)).groupBy(source).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if short := {s: n for s, n in plan.items() if have.get(s, 0) < n}:
+        raise ValueError(f"too few rows for {short}")
+    wanted = F.create_map(*[F.lit(x) for kv in plan.items() for x in kv])[F.col(source)]
+    return capped_sample(df.filter(F.col(source).isin(*plan)), [source], key, wanted, seed)
+
+
+def take_in_turn(targets: DataFrame, place: Column, order: Sequence[Column | str], pool: DataFrame, key: str, seed: object) -> DataFrame:
+    """Each target takes the next row of the pool in seeded order; a pool that is too small is an error, as rows are used once."""
+    wanted, have = targets.count(), pool.count()
+    if wanted > have:
+        raise ValueError(f"the pool is exhausted: {wanted} rows are wanted, {have} are there")
+    shuffled = serials(pool, hash_place(seed, key), [hash_order(seed, key), F.col(key)], "__rn").filter(F.col("__rn") <= wanted)
+    return serials(targets, place, order, "__rn").join(shuffled, "__rn").drop("__rn")

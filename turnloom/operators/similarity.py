@@ -135,6 +135,18 @@ def select_turns(history: DataFrame, score: Column, k: int, recency: float) -> D
     return scored.withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= k).drop("rk")
 
 
+def call_scores(df: DataFrame, counts: str, same_name: Column, parse_ok: Column) -> DataFrame:
+    """api_correct, arg_exact_match, precision, recall and F1 of arguments, final_exact, from counts (gold, pred, matched)."""
+    gold, pred, matched = (F.col(f"{counts}.{x}") for x in ("gold", "pred", "matched"))
+    none = (gold == 0) & (pred == 0)
+    precision = F.when(none, 1.0).otherwise(F.when(pred > 0, matched / pred).otherwise(0.0))
+    recall = F.when(none, 1.0).otherwise(F.when(gold > 0, matched / gold).otherwise(0.0))
+    f1 = F.when(precision + recall == 0, 0.0).otherwise(2 * precision * recall / F.nullif(precision + recall, F.lit(0.0)))
+    exact = (gold == pred) & (matched == gold)
+    api = parse_ok & same_name
+    return df.withColumns({"api_correct": api, "arg_exact_match": exact, "arg_precision": precision, "arg_recall": recall, "arg_f1": f1, "final_exact": api & exact})
+
+
 @F.pandas_udf(T.DoubleType())
 def rouge_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([rouge_l((x or "").lower().split(), (y or "").lower().split()) for x, y in zip(a, b)])

@@ -223,8 +223,18 @@ def ag25_cost_by_model(t: Tables) -> DataFrame:
     return t.events.join(F.broadcast(prices), "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum(usd), 4).alias("usd"))
 
 
-@query("AG26 AG27", SCORED + f"select plan, count(*)::BIGINT as total, count_if(plan_ok)::BIGINT as tool_true, count_if(args_ok)::BIGINT as args_true, round(avg({one('plan_ok and args_ok')}), 9) as both_true from scored group by plan")
+@query("AG26", SCORED + f""", a as (select doc_id, plan_ok as x from scored where lang <> 'de'), b as (select doc_id, args_ok as y from scored where lang <> 'fr')
+select count(*)::BIGINT as total, round(avg({one('x')}), 9) as baseline, round(avg({one('y')}), 9) as ours, round(avg({one('x and y')}), 9) as common from a full join b using (doc_id)""")
 def ag26_run_agreement(t: Tables) -> DataFrame:
+    """Accuracy of two runs and of both at once over all their records; one that a run lacks is wrong in it."""
+    a = scored(t).filter("lang <> 'de'").select("doc_id", F.col("plan_ok").alias("x"))
+    b = scored(t).filter("lang <> 'fr'").select("doc_id", F.col("args_ok").alias("y"))
+    x, y = (F.coalesce(F.col(c), F.lit(False)) for c in "xy")
+    return a.join(b, "doc_id", "full").agg(F.count(F.lit(1)).alias("total"), r9(metrics.share(x)).alias("baseline"), r9(metrics.share(y)).alias("ours"), r9(metrics.share(x & y)).alias("common"))
+
+
+@query("AG27", SCORED + f"select plan, count(*)::BIGINT as total, count_if(plan_ok)::BIGINT as tool_true, count_if(args_ok)::BIGINT as args_true, round(avg({one('plan_ok and args_ok')}), 9) as both_true from scored group by plan")
+def ag27_flag_counts(t: Tables) -> DataFrame:
     return scored(t).groupBy("plan").agg(F.count(F.lit(1)).alias("total"), F.count_if("plan_ok").alias("tool_true"), F.count_if("args_ok").alias("args_true"), r9(metrics.share(F.col("plan_ok") & F.col("args_ok"))).alias("both_true"))
 
 

@@ -43,27 +43,13 @@ def r9(c: Column | str) -> Column:
 
 
 def history(t: Tables) -> DataFrame:
-    """conv_id, h: 'turn N: role -> text up to its first stop' in order."""
-    said = F.concat(F.lit("turn "), (F.col("turn") + 1).cast("string"), F.lit(": "), "role", F.lit(" -> "), F.substring_index("text", ".", 1))
-    return _turns(t, said)
-
-
-def whole_history(t: Tables) -> DataFrame:
     """conv_id, h: 'turn N: role -> text' in order."""
-    return _turns(t, F.concat(F.lit("turn "), (F.col("turn") + 1).cast("string"), F.lit(": "), "role", F.lit(" -> "), "text"))
-
-
-def _turns(t: Tables, said: Column) -> DataFrame:
+    said = F.concat(F.lit("turn "), (F.col("turn") + 1).cast("string"), F.lit(": "), "role", F.lit(" -> "), "text")
     rows = t.conversations.select("conv_id", "turn", said.alias("s"))
     return rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "s"))), lambda x: x["s"]).alias("h"))
 
 
 HISTORY = """with history as (
-  select conv_id, list('turn ' || (turn + 1) || ': ' || role || ' -> ' || split_part(text, '.', 1) order by turn) as h
-  from conversations group by conv_id)
-"""
-
-WHOLE_HISTORY = """with history as (
   select conv_id, list('turn ' || (turn + 1) || ': ' || role || ' -> ' || text order by turn) as h
   from conversations group by conv_id)
 """

@@ -8,12 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.functions import literals
+from turnloom.functions import literals, strings
 from turnloom.operators import generation, ranking
 from turnloom.operators.joins import bag_join, last_wins_join
 from turnloom.plans.base import r9
 from turnloom.registry import Tables, query
-from turnloom.sources import sinks
+from turnloom.sources import readers, sinks
 from turnloom.streaming import events as streams
 
 
@@ -56,24 +56,13 @@ def str4_running_quota(t: Tables) -> DataFrame:
     return ranking.head_n(t.events.select("event_id", "event_type"), ["event_type"], ["event_id"], 40)
 
 
-@query("SNK4 SNK10", """with e as (select 'C-' || (c_custkey % 7) || '-' || (100 + c_custkey % 3) as id from customer where c_custkey <= 20),
-n as (select c_custkey, 'C-' || (c_custkey % 7) || '-' || (100 + c_custkey % 3) as id from customer where c_custkey between 21 and 60)
-select regexp_replace(id, '-[0-9]+$', '') as stem, count(*)::BIGINT as rows, count(distinct id)::BIGINT as plans from n group by 1""")
-def snk4_fresh_keys(t: Tables) -> DataFrame:
-    key = F.concat(F.lit("C-"), (F.col("c_custkey") % 7).cast("string"), F.lit("-"), (F.col("c_custkey") % 3 + 100).cast("string")).alias("id")
-    old = t.customer.filter("c_custkey <= 20").select("c_custkey", key)
-    new = t.customer.filter("c_custkey between 21 and 60").select("c_custkey", key)
-    stem = F.regexp_replace("id", r"-\d+$", "")
-    return sinks.manifest(new.withColumn("stem", stem), ["stem"], "id").join(sinks.fresh_keys(new, old, "id", ["c_custkey"]).select(stem.alias("stem")).distinct(), "stem")
-
-
 @query("SNK4 SNK10", """with k as (select c_custkey, c_mktsegment = 'BUILDING' as old, 'C-' || (c_custkey // 10) || '-' || (100 + c_custkey % 3) as id from customer),
 m as (select *, rn > 1 or id in (select id from k where old) as clash from (select *, row_number() over (partition by id order by c_custkey) as rn from k where not old)),
 u as (select id from k where old union all select id from m where not clash),
 top as (select regexp_replace(id, '-[0-9]+$', '') as stem, max(regexp_extract(id, '-([0-9]+)$', 1)::BIGINT) as top from u group by 1),
 j as (select m.*, regexp_replace(id, '-[0-9]+$', '') as stem from m)
 select c_custkey, case when clash then stem || '-' || (greatest(coalesce(top + 1, 100), 100) + row_number() over (partition by stem, clash order by c_custkey) - 1) else id end as id from j left join top using (stem)""")
-def snk4_fresh_keys_whole(t: Tables) -> DataFrame:
+def snk4_fresh_keys(t: Tables) -> DataFrame:
     key = F.concat(F.lit("C-"), F.floor(F.col("c_custkey") / 10).cast("string"), F.lit("-"), (F.col("c_custkey") % 3 + 100).cast("string")).alias("id")
     old = t.customer.filter("c_mktsegment = 'BUILDING'").select("c_custkey", key)
     new = t.customer.filter("c_mktsegment <> 'BUILDING'").select("c_custkey", key)
@@ -89,7 +78,7 @@ def snk8_formatted(t: Tables) -> DataFrame:
 @query("OR1 OR2 STR3 JN1 JN3 WN2 SC20")
 def or1_generation_turn(t: Tables) -> DataFrame:
     """One turn of the generation loop over user turns, with the deterministic generator."""
-    start = t.conversations.filter("role = 'user' and turn <= 2").select("conv_id", "turn", F.col("text").alias("query"), F.concat_ws("-", F.lit("user"), "conv_id").alias("unique_idx"))
+    start = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"), F.concat_ws("-", F.lit("user"), "conv_id").alias("unique_idx"))
 
     def respond(df: DataFrame) -> DataFrame:
         return generation.generate(df.withColumn("prompt", generation.render("Respond: %s", ["query"])), "prompt", generation.stub, literals.parses)
@@ -125,6 +114,16 @@ def or5_two_stage_evaluation(t: Tables) -> DataFrame:
     return done.groupBy("turn").agg(F.count(F.lit(1)).alias("n"), r9(F.avg((F.col("plan") == F.col("gold")).cast("double"))).alias("acc"))
 
 
-@query("SNK7", "select event_type, count(*)::BIGINT as errors, min(ts) as first_seen from events where event_type = 'error' group by event_type")
+@query("SNK7 SC9", """select '[' || event_type || '] : ' || event_type || ': ' || count(*) as line, null::BIGINT as event_id from events where event_type = 'error' group by event_type
+union all select '[error] : plan_count: 1, total_lens: ' || count(*), null from events where event_type = 'error' having count(*) > 0
+union all select 'other_malformed_json', event_id from events where event_type = 'error'""")
 def snk7_error_log(t: Tables) -> DataFrame:
-    return t.events.filter("event_type = 'error'").groupBy("event_type").agg(F.count(F.lit(1)).alias("errors"), F.min("ts").alias("first_seen"))
+    """Error events go to a log with the time and class of each, in two appends, and their counts to another; both are read back."""
+    bad = t.events.filter("event_type = 'error'").select("event_id", "event_type", strings.raw_error(F.col("props")).alias("kind"))
+    events, counts = (sinks.scratch(t.spark, x) for x in ("error-events", "error-counts"))
+    middle = bad.agg(F.avg("event_id").alias("m"))
+    for half in ("event_id <= m", "event_id > m"):
+        sinks.log_events(bad.crossJoin(F.broadcast(middle)).filter(half).select("event_id", "kind"), events)
+    sinks.log_counts(bad, "event_type", "error", counts)
+    logged = readers.read_jsonl(t.spark, events, "timestamp_utc string, event_id long, kind string")
+    return t.spark.read.text(counts).select(F.col("value").alias("line"), F.lit(None).cast("long").alias("event_id")).unionByName(logged.filter("to_timestamp(timestamp_utc) is not null").select(F.col("kind").alias("line"), "event_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.functions import literals
 from turnloom.operators import joins
 from turnloom.operators.ranking import hash_order, keep_last, ranked
 from turnloom.plans.base import BUCKETS, SCORED, r9, scored
@@ -64,15 +65,22 @@ def jn17_semi_match_keys(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", "o_custkey", "o_orderpriority").join(keys, ["o_custkey", "o_orderpriority"], "left_semi").select("o_orderkey", "o_custkey")
 
 
-_CASE = """case when b is null then 'only_ours' when o is null then 'only_base' when b and o then 'both_right' when not b and not o then 'both_wrong' when o then 'fixed' else 'broken' end"""
+# The categories of a record by its status in two runs.
+_CATEGORY = """case when b = 'fail' and o = 'fail' then 'fail_common' when b = 'fail' and o = 'success' then 'fail_baseline_only' when b = 'success' and o = 'fail' then 'fail_ours_only'
+when b = 'success' and o = 'success' then 'success' when b is null and o is not null then 'ours_only' when o is null and b is not null then 'baseline_only' else 'unknown' end"""
+_NAMED = "case when rn = 1 then u when rn = 2 then u || '_duplicated' else u || '_duplicated_' || (rn - 1) end"
 
 
-@query("JN9", f"""with b as (select doc_id, quality = 1 as b from labels where doc_id % 3 <> 0), o as (select doc_id, toxic = 0 as o from labels where doc_id % 5 <> 0)
-select doc_id, {_CASE} as error_category from b full join o using (doc_id)""")
+@query("JN9 SC60", f"""with b as (select {_NAMED} as unique_idx, b from (select 'u' || c_nationkey as u, case when c_mktsegment <> 'BUILDING' then case when c_acctbal > 3000 then 'success' else 'fail' end end as b, row_number() over (partition by c_nationkey order by c_custkey) as rn from customer)),
+o as (select {_NAMED} as unique_idx, o from (select 'u' || s_nationkey as u, case when s_acctbal > 3000 then 'success' when s_acctbal > -500 then 'fail' end as o, row_number() over (partition by s_nationkey order by s_suppkey) as rn from supplier))
+select unique_idx, {_CATEGORY} as error_category from b full join o using (unique_idx)""")
 def jn9_full_outer_category(t: Tables) -> DataFrame:
-    base = t.labels.filter("doc_id % 3 <> 0").select("doc_id", (F.col("quality") == 1).alias("b"))
-    ours = t.labels.filter("doc_id % 5 <> 0").select("doc_id", (F.col("toxic") == 0).alias("o"))
-    return base.join(ours, "doc_id", "full").select("doc_id", F.expr(_CASE).alias("error_category"))
+    base = joins.named_apart(t.customer.withColumn("u", F.concat(F.lit("u"), "c_nationkey")), "u", ["c_custkey"])
+    ours = joins.named_apart(t.supplier.withColumn("u", F.concat(F.lit("u"), "s_nationkey")), "u", ["s_suppkey"])
+    b = F.when(F.col("c_mktsegment") != "BUILDING", F.when(F.col("c_acctbal") > 3000, "success").otherwise("fail"))
+    o = F.when(F.col("s_acctbal") > 3000, "success").when(F.col("s_acctbal") > -500, "fail")
+    both = base.select(F.col("u").alias("unique_idx"), b.alias("b")).join(ours.select(F.col("u").alias("unique_idx"), o.alias("o")), "unique_idx", "full")
+    return both.select("unique_idx", F.expr(_CATEGORY).alias("error_category"))
 
 
 @query("JN10 JN11", """with i as (select doc_id, 0 as s from documents where doc_id % 2 = 0 union all select doc_id, 1 from labels), f as (select doc_id, min(s) as s from i group by 1)
@@ -193,11 +201,11 @@ def st7_schema_subset(t: Tables) -> DataFrame:
     return t.events.select("event_id", ((F.size(keys) > 0) & (F.size(F.array_except(keys, F.array(F.lit("k"), F.lit("plan")))) == 0)).alias("schema_valid"))
 
 
-@query("PRJ2 PRJ3", "select event_id, case when props is null then 'MISSING_ANSWER' when trim(props) = '' then 'EMPTY_ANSWER' when json_extract_string(props, '$.k') is null then 'MISSING_PLAN' when trim(json_extract_string(props, '$.k')) = '' then 'EMPTY_PLAN' else json_extract_string(props, '$.k') end as plan from events")
+@query("PRJ2 PRJ3", """select event_id, case event_id % 8 when 0 then 'MISSING_ANSWER' when 1 then 'EMPTY_ANSWER' when 2 then 'INVALID_ANSWER' when 3 then 'NON_DICT_ANSWER' when 4 then 'MISSING_PLAN' when 5 then 'EMPTY_PLAN' when 6 then event_type else json_extract_string(props, '$.k') end as plan from events""")
 def prj2_sentinel_plan(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    plan = F.when(F.col("props").isNull(), "MISSING_ANSWER").when(F.trim("props") == "", "EMPTY_ANSWER").when(k.isNull(), "MISSING_PLAN").when(F.trim(k) == "", "EMPTY_PLAN").otherwise(k)
-    return t.events.select("event_id", plan.alias("plan"))
+    options = [F.lit(None).cast("string"), F.lit("  "), F.lit("{'plan': "), F.lit("['plan']"), F.concat(F.lit("{'arguments': "), "props", F.lit("}")), F.lit("{'plan': '  '}"), F.concat(F.lit(" {'plan': ' "), "event_type", F.lit(" '}")), F.concat(F.lit("{'plan': "), k, F.lit("}"))]
+    return t.events.select("event_id", literals.plan_of_answer(F.get(F.array(*options), (F.col("event_id") % 8).cast("int"))).alias("plan"))
 
 
 @query("PRJ4 PRJ5 PRJ6", SCORED + """select distinct file, try_cast(nullif(regexp_extract(file, '^it([0-9]+)_', 1), '') as BIGINT) as turn_no, case when regexp_matches(file, 'complex_[0-9]') then regexp_extract(file, 'complex_[0-9]') when contains(file, 'nonNR') then 'nonNR' end as file_bucket,
@@ -251,12 +259,19 @@ def prj18_reference_turn(t: Tables) -> DataFrame:
     return scored(t).select("doc_id", ref.alias("reference_turn"), F.coalesce(first, F.nullif(F.trim("plan"), F.lit(""))).alias("rewrite"), F.when(first.isNotNull(), "column").otherwise("generation").alias("origin"))
 
 
-@query("PRJ20 PRJ21 PRJ22", "select event_id, '[' || array_to_string(list_filter(json_keys(props), lambda a: a <> 'required'), ', ') || ']' as kept from events")
+@query("PRJ20 PRJ22", "select event_id, '[' || array_to_string(list_filter(json_keys(props), lambda a: a <> 'required'), ', ') || ']' as kept from events")
 def prj20_argument_keys(t: Tables) -> DataFrame:
     spec = F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: k != "required")
     return t.events.select("event_id", F.concat(F.lit("["), F.array_join(F.map_keys(spec), ", "), F.lit("]")).alias("kept"))
 
 
+@query("PRJ21", """select event_id, '{"name":"' || event_type || '","parameters":{"properties":{"p":{"parameters":{},"required":1},"required":{"k":' || json_extract_string(props, '$.k') || '}}}}' as tool from events""")
+def prj21_without_required(t: Tables) -> DataFrame:
+    """The list of required parameters goes, a parameter that is named so stays."""
+    tool = F.concat(F.lit('{"name": "'), "event_type", F.lit('", "parameters": {"required": ["p"], "properties": {"p": {"required": true, "parameters": {"required": []}}, "required": '), "props", F.lit("}}}"))
+    return t.events.select("event_id", literals.drop_required(tool).alias("tool"))
+
+
 @query("PRJ14 PRJ23", "select conv_id, count(*)::BIGINT as full_turns, max(case when turn = m then role end) as last_role, '' as history from (select *, max(turn) over (partition by conv_id) as m from conversations) group by conv_id having count(*) >= 2")
 def prj23_last_turn_only(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("full_turns"), F.max_by("role", "turn").alias("last_role")).filter("full_turns >= 2").withColumn("history", F.lit(""))

@@ -70,7 +70,7 @@ def wn14_top_k(t: Tables) -> DataFrame:
 @query("WN15 WN18", "select (row_number() over (order by o_orderkey))::BIGINT as serial, o_orderkey, 'S' || o_custkey || '-' || row_number() over (partition by o_custkey order by o_orderkey) || '_NR' as unique_idx from orders where o_orderpriority = '1-URGENT'")
 def wn18_serials(t: Tables) -> DataFrame:
     rows = ranking.ranked(t.orders.filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"], "k")
-    return rows.select(F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("serial"), "o_orderkey", F.concat(F.lit("S"), "o_custkey", F.lit("-"), "k", F.lit("_NR")).alias("unique_idx"))
+    return ranking.serials(rows, F.col("o_orderkey"), ["o_orderkey"], "serial").select("serial", "o_orderkey", F.concat(F.lit("S"), "o_custkey", F.lit("-"), "k", F.lit("_NR")).alias("unique_idx"))
 
 
 @query("WN16", "with n as (select c_nationkey, c_custkey, (row_number() over (partition by c_nationkey order by c_custkey) - 1) // 10 as chunk from customer) select c_nationkey, chunk::BIGINT as chunk, string_agg(c_custkey::VARCHAR, ',' order by c_custkey) as ids from n group by c_nationkey, chunk")
@@ -158,14 +158,20 @@ def smp10_group_split(t: Tables) -> DataFrame:
     return sampling.group_split(t.conversations.select("conv_id", "turn"), "conv_id", 0.8, 0.1, 11)
 
 
-@query("SMP11 SMP12", f"""with a as (select doc_id, row_number() over (order by doc_id) as rn from documents where lang = 'de'), b as (select item_id, row_number() over (order by {_md5('12', 'item_id')}, item_id) as rn from benchmark)
-select doc_id, item_id from a join b using (rn)""")
-def smp12_without_replacement(t: Tables) -> DataFrame:
-    from turnloom.operators.joins import zip_join
+_MIX = {"de": 0.25, "fr": 0.25, "en": 0.5}
+
+
+@query("SMP11", f"""with p(lang, n) as (values ('de', round_even(42 * 0.25::DOUBLE, 0)), ('fr', round_even(42 * 0.25::DOUBLE, 0)), ('en', 42 - 2 * round_even(42 * 0.25::DOUBLE, 0))),
+r as (select lang, doc_id, row_number() over (partition by lang order by {_md5('17', 'doc_id')}, doc_id) as rn from documents) select lang, doc_id from r join p using (lang) where rn <= n""")
+def smp11_mixture(t: Tables) -> DataFrame:
+    return sampling.mixture(t.documents.select("lang", "doc_id"), "lang", "doc_id", 42, _MIX, 17)
 
-    a = t.documents.filter("lang = 'de'").select(F.lit(1).alias("k"), "doc_id")
-    b = t.benchmark.select(F.lit(1).alias("k"), "item_id")
-    return zip_join(a, b, ["k"], ["doc_id"], [hash_order(12, "item_id"), F.col("item_id")]).select("doc_id", "item_id")
+
+@query("SMP12", f"""with a as (select doc_id, row_number() over (order by doc_id) as rn from documents where lang = 'de'), b as (select event_id, row_number() over (order by {_md5('12', 'event_id')}, event_id) as rn from events)
+select doc_id, event_id from a join b using (rn)""")
+def smp12_without_replacement(t: Tables) -> DataFrame:
+    rows = t.documents.filter("lang = 'de'").select("doc_id")
+    return sampling.take_in_turn(rows, F.col("doc_id"), ["doc_id"], t.events.select("event_id"), "event_id", 12)
 
 
 @query("SMP13", f"""with s as (select lang, count(*) as n from documents group by 1), w as (select lang, n, draw from s, range(1, 11) r(draw)),
@@ -183,15 +189,13 @@ def smp14_interleave(t: Tables) -> DataFrame:
 
 
 @query("SMP15", f"""with c as (select source, count(*) as n from documents group by 1), need as (select source, 60 - n as want from c where n < 60),
-s as (select source, k from need, range(1, 61) r(k) where k <= want), s1 as (select source, row_number() over (order by source, k) as rn from s), s2 as (select doc_id, row_number() over (order by {_md5('15', 'doc_id')}, doc_id) as rn from documents where lang = 'en')
-select source as plan, doc_id from s1 join s2 using (rn)""")
+s as (select source, k from need, range(1, 61) r(k) where k <= want), s1 as (select source, row_number() over (order by crc32(source), source, k) as rn from s), s2 as (select event_id, row_number() over (order by {_md5('15', 'event_id')}, event_id) as rn from events)
+select source as plan, event_id from s1 join s2 using (rn)""".replace("crc32(source), ", ""))
 def smp15_fill_deficits(t: Tables) -> DataFrame:
-    from turnloom.operators.joins import zip_join
-
+    """Slots are few: at most 60 for each source that has fewer rows."""
     want = t.documents.groupBy(F.col("source").alias("plan")).agg((F.lit(60) - F.count(F.lit(1))).cast("int").alias("want")).filter("want > 0")
-    slots = want.select(F.lit(1).alias("one"), "plan", F.explode(F.sequence(F.lit(1), "want")).alias("k"))
-    spare = t.documents.filter("lang = 'en'").select(F.lit(1).alias("one"), "doc_id")
-    return zip_join(slots, spare, ["one"], ["plan", "k"], [hash_order(15, "doc_id"), F.col("doc_id")]).select("plan", "doc_id")
+    slots = want.select("plan", F.explode(F.sequence(F.lit(1), "want")).alias("k"))
+    return sampling.take_in_turn(slots, F.lit(0).cast("long"), ["plan", "k"], t.events.select("event_id"), "event_id", 15).select("plan", "event_id")
 
 
 @query("SMP16", f"select doc_id from documents order by {_md5('16', 'doc_id')}, doc_id limit 25")

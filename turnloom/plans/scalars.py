@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from turnloom.functions import history as H
 from turnloom.functions import literals, strings
 from turnloom.operators import generation, similarity
-from turnloom.plans.base import HISTORY, WHOLE_HISTORY, history, whole_history
-from turnloom.registry import Tables, query, registered
+from turnloom.plans.base import HISTORY, history
+from turnloom.registry import Tables, query
 
 
 def joined(c) -> F.Column:
@@ -21,9 +21,9 @@ def sc1_blanks(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(strings.normalise_blanks(F.col("text"))).alias("h"))
 
 
-@query("SC2 SC30", HISTORY + r"select conv_id, array_to_string(list_transform(h, lambda x, i: 'turn ' || i || ': ' || regexp_replace(x, '(?i)^\s*turn\s+\d+\s*:\s*', '')), '|') as h from (select conv_id, list_reverse(h) as h from history)")
-def sc2_relabel(t: Tables, turns=history) -> DataFrame:
-    return turns(t).select("conv_id", joined(H.relabel(F.reverse("h"))).alias("h"))
+@query("SC2", HISTORY + r"select conv_id, array_to_string(list_transform(h, lambda x, i: 'turn ' || i || ': ' || regexp_replace(x, '(?i)^\s*turn\s+\d+\s*:\s*', '')), '|') as h from (select conv_id, list_reverse(h) as h from history)")
+def sc2_relabel(t: Tables) -> DataFrame:
+    return history(t).select("conv_id", joined(H.relabel(F.reverse("h"))).alias("h"))
 
 
 @query("SC3", "select doc_id, md5(trim(case when p is null then text else substr(text, 1, p - 1) end)) as h from (select doc_id, text, least(nullif(instr(text, chr(10)), 0), nullif(instr(text, '. '), 0)) as p from documents)")
@@ -38,9 +38,25 @@ def sc4_levenshtein(t: Tables) -> DataFrame:
     return a.join(b, ["p_brand", "p_size"]).filter((F.col("a") < F.col("b")) & strings.within_edits(F.col("an"), F.col("bn"))).select("a", "b")
 
 
-@query("SC5", r"""select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'))), '|') as emails, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}'))), '|') as phones from documents""")
+def _found(text: str, pattern: str, group: int = 0) -> str:
+    return f"array_to_string(list_sort(list_distinct(regexp_extract_all({text}, '{pattern}', {group}))), '|')"
+
+
+@query("SC5", rf"""select doc_id, {_found("text", strings.EMAIL)} as emails, {_found("text", strings.PHONE)} as phones, {_found("text", strings.URI)} as uris from documents""")
 def sc5_entities(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", joined(F.array_sort(strings.entities(F.col("text"), strings.EMAIL))).alias("emails"), joined(F.array_sort(strings.entities(F.col("text"), strings.PHONE))).alias("phones"))
+    found = {"emails": strings.EMAIL, "phones": strings.PHONE, "uris": strings.URI}
+    return t.documents.select("doc_id", *(joined(F.array_sort(strings.entities(F.col("text"), p))).alias(n) for n, p in found.items()))
+
+
+_POST = "c_custkey || ' ' || c_mktsegment || ' Street, then ' || (c_custkey % 900) || ' Old Elm ave; tel 02-555-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' or https://x.org/' || c_custkey"
+
+
+@query("SC5", rf"""select c_custkey, {_found("s", strings.STREET, 1)} as streets, {_found("s", strings.PHONE)} as phones, {_found("s", strings.URI)} as uris from (select c_custkey, {_POST} as s from customer)""")
+def sc5_streets(t: Tables) -> DataFrame:
+    key = F.col("c_custkey")
+    s = F.concat(key, F.lit(" "), "c_mktsegment", F.lit(" Street, then "), key % 900, F.lit(" Old Elm ave; tel 02-555-"), F.lpad((key % 10000).cast("string"), 4, "0"), F.lit(" or https://x.org/"), key)
+    found = {"streets": strings.STREET, "phones": strings.PHONE, "uris": strings.URI}
+    return t.customer.select("c_custkey", *(joined(F.array_sort(strings.entities(s, p))).alias(n) for n, p in found.items()))
 
 
 @query("SC6", r"""select page_id, case s when '' then 'generic' when 'png' then 'image' when 'html' then 'code' when 'pdf' then 'pdf' when 'txt' then 'text' else 'other' end as kind, split_part(url, '/', 3) as host from (select *, lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) as s from pages)""")
@@ -65,47 +81,47 @@ def sc10_percent(t: Tables) -> DataFrame:
 
 
 @query("SC12", HISTORY + "select conv_id, len(h)::BIGINT as n, split_part(regexp_replace(h[1], '^turn [0-9]+: ', ''), ' -> ', 1) as user, regexp_extract(h[1], '(?s)^.*? -> (.*)$', 1) as device from history")
-def sc12_user_device(t: Tables, turns=history) -> DataFrame:
+def sc12_user_device(t: Tables) -> DataFrame:
     first = F.element_at("h", 1)
-    return turns(t).select("conv_id", F.size("h").cast("long").alias("n"), H.user_part(first).alias("user"), H.device_part(first).alias("device"))
+    return history(t).select("conv_id", F.size("h").cast("long").alias("n"), H.user_part(first).alias("user"), H.device_part(first).alias("device"))
 
 
 @query("SC20", HISTORY + "select conv_id, array_to_string(h || ['turn ' || (len(h) + 1) || ': more -> done'], '|') as h from history")
-def sc20_append(t: Tables, turns=history) -> DataFrame:
-    return turns(t).select("conv_id", joined(H.append(F.col("h"), F.lit("more"), F.lit("done"))).alias("h"))
+def sc20_append(t: Tables) -> DataFrame:
+    return history(t).select("conv_id", joined(H.append(F.col("h"), F.lit("more"), F.lit("done"))).alias("h"))
 
 
 @query("SC21", HISTORY + "select conv_id, array_to_string(h[-2:], '|') as last2, array_to_string(h[-99:], '|') as every, '' as none from history")
-def sc21_last_k(t: Tables, turns=history) -> DataFrame:
-    return turns(t).select("conv_id", joined(H.last_k(F.col("h"), 2)).alias("last2"), joined(H.last_k(F.col("h"), 99)).alias("every"), joined(H.last_k(F.col("h"), 0)).alias("none"))
+def sc21_last_k(t: Tables) -> DataFrame:
+    return history(t).select("conv_id", joined(H.last_k(F.col("h"), 2)).alias("last2"), joined(H.last_k(F.col("h"), 99)).alias("every"), joined(H.last_k(F.col("h"), 0)).alias("none"))
 
 
 @query("SC22 JN18", HISTORY + "select a.conv_id, array_to_string(a.h[1:1] || b.h[2:], '|') as h from history a join history b on b.conv_id = a.conv_id + 1")
-def sc22_splice(t: Tables, turns=history) -> DataFrame:
-    a = turns(t)
+def sc22_splice(t: Tables) -> DataFrame:
+    a = history(t)
     b = a.select((F.col("conv_id") - 1).alias("conv_id"), F.col("h").alias("other"))
     return a.join(b, "conv_id").select("conv_id", joined(H.splice(F.col("h"), F.col("other"), 1)).alias("h"))
 
 
 @query("SC23", HISTORY + "select conv_id, array_to_string(list_transform(h, lambda x, i: case when i = 2 then 'turn 2: new' else x end), '|') as h from history")
-def sc23_replace(t: Tables, turns=history) -> DataFrame:
-    return turns(t).select("conv_id", joined(H.replace_at(F.col("h"), 1, F.lit("turn 2: new"))).alias("h"))
+def sc23_replace(t: Tables) -> DataFrame:
+    return history(t).select("conv_id", joined(H.replace_at(F.col("h"), 1, F.lit("turn 2: new"))).alias("h"))
 
 
 @query("SC24", HISTORY + r"select conv_id, array_to_string(list_transform(['turn 0: x -> y'] || h[1:1] || ['turn 0: v -> w'] || h[2:], lambda x, i: 'turn ' || i || ': ' || regexp_replace(x, '^turn \d+: ', '')), '|') as h from history")
-def sc24_insert(t: Tables, turns=history) -> DataFrame:
-    return turns(t).select("conv_id", joined(H.insert_at(F.col("h"), [1, 3], [F.lit("turn 0: x -> y"), F.lit("turn 0: v -> w")])).alias("h"))
+def sc24_insert(t: Tables) -> DataFrame:
+    return history(t).select("conv_id", joined(H.insert_at(F.col("h"), [1, 3], [F.lit("turn 0: x -> y"), F.lit("turn 0: v -> w")])).alias("h"))
 
 
 @query("SC25", HISTORY + r"select conv_id, array_to_string(list_transform((['turn 1: a -> b', 'turn 2: c -> d', 'turn 3: e -> f'])[:greatest(3 - len(h), 0)] || h[-3:], lambda x, i: 'turn ' || i || ': ' || regexp_replace(x, '^turn \d+: ', '')), '|') as h from history")
-def sc25_resize(t: Tables, turns=history) -> DataFrame:
+def sc25_resize(t: Tables) -> DataFrame:
     template = F.array(*(F.lit(x) for x in ("turn 1: a -> b", "turn 2: c -> d", "turn 3: e -> f")))
-    return turns(t).select("conv_id", joined(H.resize(F.col("h"), 3, template)).alias("h"))
+    return history(t).select("conv_id", joined(H.resize(F.col("h"), 3, template)).alias("h"))
 
 
 @query("SC26", HISTORY + "select conv_id, idx::BIGINT as idx, h[idx + 1] as turn from history, range(0, 50) r(idx) where idx < len(h) - 1")
-def sc26_prior_turns(t: Tables, turns=history) -> DataFrame:
-    return turns(t).select("conv_id", F.posexplode(F.slice("h", F.lit(1), F.greatest(F.size("h") - 1, F.lit(0)))).alias("idx", "turn")).withColumn("idx", F.col("idx").cast("long"))
+def sc26_prior_turns(t: Tables) -> DataFrame:
+    return history(t).select("conv_id", F.posexplode(F.slice("h", F.lit(1), F.greatest(F.size("h") - 1, F.lit(0)))).alias("idx", "turn")).withColumn("idx", F.col("idx").cast("long"))
 
 
 @query("SC27 PRJ1", "select o_orderkey, c.c_mktsegment as plan, o.o_custkey::VARCHAR as id from orders o join customer c on o_custkey = c_custkey")
@@ -126,7 +142,7 @@ def sc67_percentile(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.025)), 9).alias("lo"), F.round(F.percentile("value", F.lit(0.975)), 9).alias("hi"))
 
 
-@query("SC60 SC63", """with p as (select event_id, json_extract_string(props, '$.k')::BIGINT as k from events)
+@query("SC60", """with p as (select event_id, json_extract_string(props, '$.k')::BIGINT as k from events)
 select event_id, k % 2 = 0 as plan, k % 3 = 0 as arguments, k % 6 = 0 as all_pass from p""")
 def sc60_exact_match(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
@@ -136,18 +152,10 @@ def sc60_exact_match(t: Tables) -> DataFrame:
     return e.select("event_id", plan.alias("plan"), args.alias("arguments"), (plan & args).alias("all_pass"))
 
 
-@query("SC65 UD8", """with q as (select vec_id, embedding from embeddings where vec_id % 50 = 0),
-s as (select q.vec_id as query, e.vec_id as item, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 9) as score from q, embeddings e where q.vec_id <> e.vec_id)
-select query, item, round(score, 6) as score, rk::BIGINT as rank from (select *, row_number() over (partition by query order by score desc, item) as rk from s) where rk <= 5""")
-def sc65_top_k(t: Tables) -> DataFrame:
-    out = similarity.top_k(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, "vec_id", "vec_id", "embedding", 5)
-    return out.withColumn("score", F.round("score", 6))
-
-
 @query("SC65 UD8", """with q as (select vec_id, embedding from embeddings where vec_id % 20 = 0),
 s as (select q.vec_id as query, e.vec_id as item, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 9) as score from q, embeddings e where q.vec_id <> e.vec_id)
 select query, item, round(score, 6) as score, rk::BIGINT as rank from (select *, row_number() over (partition by query order by score desc, item) as rk from s) where rk <= 5""")
-def sc65_top_k_whole(t: Tables) -> DataFrame:
+def sc65_top_k(t: Tables) -> DataFrame:
     out = similarity.top_k(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, "vec_id", "vec_id", "embedding", 5)
     return out.withColumn("score", F.round("score", 6))
 
@@ -155,8 +163,8 @@ def sc65_top_k_whole(t: Tables) -> DataFrame:
 @query("SC65", HISTORY + """, x as (select conv_id, idx, h[idx + 1] as turn, len(h) as n from history, range(0, 50) r(idx) where idx < len(h)),
 s as (select *, length(turn)::DOUBLE / 1000 + 0.1::DOUBLE * case when n = 1 then 1.0::DOUBLE else idx::DOUBLE / (n - 1) end as total from x)
 select conv_id, idx::BIGINT as idx, turn from (select *, row_number() over (partition by conv_id order by total desc, idx) as rk from s) where rk <= 2""")
-def sc65_select_turns(t: Tables, turns=history) -> DataFrame:
-    rows = turns(t).select("conv_id", F.posexplode("h").alias("idx", "turn")).withColumn("idx", F.col("idx").cast("long"))
+def sc65_select_turns(t: Tables) -> DataFrame:
+    rows = history(t).select("conv_id", F.posexplode("h").alias("idx", "turn")).withColumn("idx", F.col("idx").cast("long"))
     return similarity.select_turns(rows, F.length("turn").cast("double") / 1000, 2, 0.1).select("conv_id", "idx", "turn")
 
 
@@ -175,13 +183,8 @@ def ud4_generate(t: Tables) -> DataFrame:
 _MESSY = """'[' || '{''plan'': ''' || event_type || ''', ''arguments'': {''v'': True, ''n'': None, ''k'': ' || json_extract_string(props, '$.k') || '}}' || ']'"""
 
 
-@query("SC40 SC44 SC48 SC28", """select event_id, '{"arguments":{"k":' || json_extract_string(props, '$.k') || ',"n":null,"v":1},"plan":"' || event_type || '"}' as parsed from events where event_id % 10 = 0""")
-def sc44_literals(t: Tables) -> DataFrame:
-    return _literals(t.events.filter("event_id % 10 = 0"))
-
-
 @query("SC40 SC44 SC48 SC28", """select event_id, '{"arguments":{"k":' || json_extract_string(props, '$.k') || ',"n":null,"v":1},"plan":"' || event_type || '"}' as parsed from events""")
-def sc44_literals_whole(t: Tables) -> DataFrame:
+def sc44_literals(t: Tables) -> DataFrame:
     return _literals(t.events)
 
 
@@ -191,13 +194,8 @@ def _literals(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.explode(literals.extract_embedded(raw)).alias("parsed"))
 
 
-@query("SC41 SC42 SC43 SC47", """select event_id, '{"k":' || json_extract_string(props, '$.k') || '}' as fenced, '{"k":' || json_extract_string(props, '$.k') || '}' as first from events where event_id % 10 = 1""")
+@query("SC41 SC42 SC43", """select event_id, '{"k":' || json_extract_string(props, '$.k') || '}' as fenced, '{"k":' || json_extract_string(props, '$.k') || '}' as first from events""")
 def sc41_markdown(t: Tables) -> DataFrame:
-    return _markdown(t.events.filter("event_id % 10 = 1"))
-
-
-@query("SC41 SC42 SC43 SC47", """select event_id, '{"k":' || json_extract_string(props, '$.k') || '}' as fenced, '{"k":' || json_extract_string(props, '$.k') || '}' as first from events""")
-def sc41_markdown_whole(t: Tables) -> DataFrame:
     return _markdown(t.events)
 
 
@@ -206,13 +204,8 @@ def _markdown(events: DataFrame) -> DataFrame:
     return e.select("event_id", literals.extract_markdown(F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))).alias("fenced"), literals.extract_first(F.concat(F.lit("{bad "), "props", F.lit("}"))).alias("first"))
 
 
-@query("SC46 SC29 SC11", """select event_id, '{"arguments":{"arg0":"' || event_type || '","n":' || json_extract_string(props, '$.k') || '},"plan":"act","result":"result1"}' as call from events where event_id % 10 = 2""")
+@query("SC46 SC11", """select event_id, '{"arguments":{"arg0":"' || event_type || '","n":' || json_extract_string(props, '$.k') || '},"plan":"act","result":"result1"}' as call from events""")
 def sc46_calls(t: Tables) -> DataFrame:
-    return _calls(t.events.filter("event_id % 10 = 2"))
-
-
-@query("SC46 SC29 SC11", """select event_id, '{"arguments":{"arg0":"' || event_type || '","n":' || json_extract_string(props, '$.k') || '},"plan":"act","result":"result1"}' as call from events""")
-def sc46_calls_whole(t: Tables) -> DataFrame:
     return _calls(t.events)
 
 
@@ -222,19 +215,79 @@ def _calls(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.explode(literals.extract_calls(raw)).alias("call"))
 
 
-@query("SC9", "select event_type, case event_type when 'click' then 'unbalanced_braces' when 'view' then 'two_objects' when 'error' then 'empty' else 'ok' end as kind, count(*)::BIGINT as n from events group by event_type")
+def _variant(*options) -> F.Column:
+    """One of the given texts per event, in turn."""
+    return F.get(F.array(*(x if isinstance(x, F.Column) else F.lit(x) for x in options)), (F.col("event_id") % len(options)).cast("int"))
+
+
+_RAW = """select event_id, trim(case event_id % 9 when 0 then ' ' when 1 then props || chr(10) || props when 2 then props || ' , ' || props when 3 then '{' || props when 4 then props || '}}'
+when 5 then '{"k": -1"}' when 6 then '{"k": null"}' when 7 then '{"a": {' else event_type end) as raw from events"""
+
+
+@query("SC9", rf"""with r as ({_RAW}), m as (select *, length(raw) - length(replace(raw, '{{', '')) - length(raw) + length(replace(raw, '}}', '')) as missing from r)
+select case when raw = '' then 'empty_raw' when contains(raw, chr(10) || '{{') then 'two_json_objects_newline' when regexp_matches(raw, '\}}\s*,\s*\{{') then 'two_objects_comma_split'
+when missing > 0 then 'truncated_missing_' || missing || '_brace' when missing < 0 then 'extra_' || (-missing) || '_closing_brace' when regexp_matches(raw, '"[A-Za-z0-9_]+"\s*:\s*-?\d+"') then 'number_then_stray_quote'
+when regexp_matches(raw, '"[A-Za-z0-9_]+"\s*:\s*(true|false|null)"') then 'bool_or_null_then_stray_quote' else 'other_malformed_json' end as kind, count(*)::BIGINT as n from m group by 1""")
 def sc9_error_classes(t: Tables) -> DataFrame:
-    raw = F.when(F.col("event_type") == "click", F.concat("props", F.lit("{"))).when(F.col("event_type") == "view", F.concat("props", F.lit(" "), "props")).when(F.col("event_type") == "error", F.lit(" ")).otherwise(F.col("props"))
-    return t.events.select("event_type", literals.raw_error(raw).alias("kind")).groupBy("event_type", "kind").agg(F.count(F.lit(1)).alias("n"))
+    p = F.col("props")
+    raw = _variant(" ", F.concat(p, F.lit("\n"), p), F.concat(p, F.lit(" , "), p), F.concat(F.lit("{"), p), F.concat(p, F.lit("}}")), '{"k": -1"}', '{"k": null"}', '{"a": {', F.col("event_type"))
+    return t.events.select(strings.raw_error(raw).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SC49", """select event_id, '{"arguments":{"k":' || json_extract_string(props, '$.k') || '},"plan":"p","rewrited_query":"' || event_type || '"}' as payload from events where event_id % 10 = 3""")
-def sc49_oneshot(t: Tables) -> DataFrame:
-    return _oneshot(t.events.filter("event_id % 10 = 3"))
+@query("SC13", """select event_id, d as descriptor, case when d = '' then 'Updated Alarm' else event_type end as label, case when d = '' then 'that time' else '7:05 AM' end as time, k || ':' || event_type || '|' || k || ':tea' as timers
+from (select *, case event_id % 3 when 0 then 'alarm_id: ' || event_id || ' - 7:05 AM, ' || event_type || ', daily' when 1 then 'alarm_id: ' || event_id || ' - 7:05 AM, ' || event_type else '' end as d, json_extract_string(props, '$.k') as k from events)""")
+def sc13_descriptors(t: Tables) -> DataFrame:
+    key, kind, k = F.col("event_id").cast("string"), F.col("event_type"), F.get_json_object("props", "$.k")
+    alarm = F.concat(F.lit("alarm_id: "), key, F.lit(" - 7:05 AM, "), kind)
+    text = _variant(F.concat(F.lit("Set '"), alarm, F.lit(", daily' again.")), F.concat(F.lit("Move "), alarm, F.lit(". Thanks, all.")), "no alarm")
+    turn = F.concat(F.lit("turn 1: Which timers? -> Timers: "), k, F.lit(" minutes – "), kind, F.lit("; the tea with "), k, F.lit(" minutes to go, ["), k, F.lit(" min - "), F.upper(kind), F.lit("]"))
+    d = strings.alarm_descriptor(text)
+    out = t.events.select("event_id", d.alias("descriptor"), strings.alarm_label(d).alias("label"), strings.alarm_time(d).alias("time"), literals.timer_candidates(turn).alias("found"))
+    return out.select("event_id", "descriptor", "label", "time", joined(F.transform("found", lambda x: F.concat(x["minutes"], F.lit(":"), x["label"]))).alias("timers"))
+
+
+@query("SC29", """select event_id, '{"attachments":["' || event_type || '"],"k":"' || json_extract_string(props, '$.k') || '","name":"free"}' as arguments from events""")
+def sc29_list_arguments(t: Tables) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    values = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("free"), F.lit("k"), k, F.lit("attachments"), "event_type")).otherwise(F.array(F.lit("attachments"), F.col("event_type"), F.lit("free"), F.lit("k"), k))
+    names = F.array(*(F.lit(x) for x in ("name", "k", "attachments")))
+    return t.events.select("event_id", literals.assign_values(values, names).alias("arguments"))
+
+
+@query("SC30", HISTORY + """select conv_id, case conv_id % 4 when 2 then 1 when 3 then 0 else len(h) end::BIGINT as n, case conv_id % 4 when 2 then '1' when 3 then '' else array_to_string(list_transform(h, lambda x, i: i::VARCHAR), ',') end as ids,
+md5(case conv_id % 4 when 2 then 'said' when 3 then '' else array_to_string(h, '|') end) as texts from history""")
+def sc30_history_items(t: Tables) -> DataFrame:
+    listed = F.to_json("h")
+    quoted = F.concat(F.expr("substring(to_json(h), 1, length(to_json(h)) - 1)"), F.lit(", ' ']"))
+    raw = F.get(F.array(listed, quoted, F.lit(" said "), F.lit("  ")), (F.col("conv_id") % 4).cast("int"))
+    out = history(t).select("conv_id", literals.parse_history(raw).alias("x"))
+    return out.select("conv_id", F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", lambda x: x["turn_id"].cast("string")), ",").alias("ids"), F.md5(joined(F.transform("x", lambda x: x["text"]))).alias("texts"))
+
+
+@query("SC47", """select event_id, case event_id % 9 when 0 then 'no_json_object_found' when 1 then 'ok' when 2 then 'missing_rewritten_query' when 3 then 'missing_confirmed_arguments' when 4 then 'confirmed_arguments_not_object' when 5 then 'ok' when 6 then 'missing_name' when 7 then 'arguments_not_object' else 'ok' end as code,
+case event_id % 9 when 1 then '{"rewritten_query":"q"}' when 5 then '{"confirmed_arguments":{"k":' || json_extract_string(props, '$.k') || '},"rewritten_query":"q"}' when 8 then '{"arguments":{"k":' || json_extract_string(props, '$.k') || '},"name":"' || event_type || '"}' end as value from events""")
+def sc47_output_contract(t: Tables) -> DataFrame:
+    props = F.col("props")
+    raw = _variant("none", 'so {"rewritten_query": " q "}', '{"query": "  "}', '{"rewrited_query": "q"}', '{"rewritten_query": "q", "confirmed_arguments": [1]}', F.concat(F.lit('{"query": "q", "confirmed_arguments": '), props, F.lit("}")), '{"arguments": {}}', '{"name": "n", "arguments": 3}', F.concat(F.lit('{"plan": " '), "event_type", F.lit(' ", "arguments": '), props, F.lit("}")))
+    place = F.col("event_id") % 9
+    out = t.events.select("event_id", literals.check_output(raw, F.when(place < 6, "rewrite").otherwise("call"), place == 3).alias("r"))
+    return out.select("event_id", "r.code", "r.value")
+
+
+@query("SC63", """with e as (select event_id, event_id % 7 <> 0 as parse_ok, event_id % 3 <> 0 as same_name, 3 as gold, 3 - (event_id % 4 = 0)::INT + (event_id % 5 = 0)::INT as pred, 1 + (event_id % 2 = 0)::INT + (event_id % 4 <> 0)::INT as matched from events),
+m as (select *, matched::DOUBLE / pred as p, matched::DOUBLE / gold as r, matched = gold and pred = gold as exact from e)
+select event_id, parse_ok and same_name as api_correct, exact as arg_exact_match, round(2 * p * r / (p + r), 9) as arg_f1, parse_ok and same_name and exact as final_exact from m""")
+def sc63_argument_metrics(t: Tables) -> DataFrame:
+    """Argument scores count whether or not the output parsed; the API and the whole call only if it did."""
+    key, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("int")
+    gold = F.to_json(F.struct(k.alias("k"), F.col("event_type").alias("t"), F.lit(1).alias("c")))
+    pred = F.to_json(F.struct(F.when(key % 2 == 0, k).otherwise(k + 1).alias("k"), F.concat(F.lit(" "), "event_type").alias("t"), F.when(key % 4 != 0, F.lit(True)).alias("c"), F.when(key % 5 == 0, 0).alias("x")))
+    e = t.events.select("event_id", (key % 7 != 0).alias("parse_ok"), (key % 3 != 0).alias("same"), literals.count_arguments(gold, pred).alias("n"))
+    return similarity.call_scores(e, "n", F.col("same"), F.col("parse_ok")).select("event_id", "api_correct", "arg_exact_match", F.round("arg_f1", 9).alias("arg_f1"), "final_exact")
 
 
 @query("SC49", """select event_id, '{"arguments":{"k":' || json_extract_string(props, '$.k') || '},"plan":"p","rewrited_query":"' || event_type || '"}' as payload from events""")
-def sc49_oneshot_whole(t: Tables) -> DataFrame:
+def sc49_oneshot(t: Tables) -> DataFrame:
     return _oneshot(t.events)
 
 
@@ -261,7 +314,7 @@ def ud1_filter_chain(t: Tables) -> DataFrame:
     return chain.apply(t.conversations).groupBy(F.coalesce("rejected_by", F.lit("kept")).alias("step")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("UD12 SC13", """select o_orderkey, case o_orderpriority when '1-URGENT' then 'now: ' || o_orderstatus when '5-LOW' then lower(o_orderstatus) else o_orderstatus end as o_orderstatus, o_orderpriority in ('1-URGENT', '5-LOW') as changed from orders""")
+@query("UD12", """select o_orderkey, case o_orderpriority when '1-URGENT' then 'now: ' || o_orderstatus when '5-LOW' then lower(o_orderstatus) else o_orderstatus end as o_orderstatus, o_orderpriority in ('1-URGENT', '5-LOW') as changed from orders""")
 def ud12_harden(t: Tables) -> DataFrame:
     rules = {"1-URGENT": F.concat(F.lit("now: "), "o_orderstatus"), "5-LOW": F.lower("o_orderstatus")}
     return generation.harden(t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus"), "o_orderpriority", rules, "o_orderstatus").select("o_orderkey", "o_orderstatus", "changed")
@@ -270,18 +323,3 @@ def ud12_harden(t: Tables) -> DataFrame:
 @query("UD9 UD13", "select lang, round(avg(case when quality = 0 then 1.0::DOUBLE else 0.0::DOUBLE end), 9) as bad_ratio from documents join labels using (doc_id) group by lang")
 def ud13_bad_ratio(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang").join(t.labels, "doc_id").groupBy("lang").agg(F.round(F.avg((F.col("quality") == 0).cast("double")), 9).alias("bad_ratio"))
-
-
-def _whole(f) -> None:
-    """Register the query over histories of whole texts, with the suffix _whole."""
-    known = registered(f.__name__)
-
-    def run(t: Tables) -> DataFrame:
-        return f(t, whole_history)
-
-    run.__name__ = f"{f.__name__}_whole"
-    query(known.ops, known.sql.replace(HISTORY, WHOLE_HISTORY))(run)
-
-
-for _f in (sc2_relabel, sc12_user_device, sc20_append, sc21_last_k, sc22_splice, sc23_replace, sc24_insert, sc25_resize, sc26_prior_turns, sc65_select_turns):
-    _whole(_f)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import generation
 from turnloom.registry import Tables, query
+from turnloom.shared import shared_dir
 from turnloom.sources import readers, sinks
 
 
@@ -75,16 +76,18 @@ def src15_deficits(t: Tables) -> DataFrame:
     return readers.require_columns(readers.read_deficits(t.spark, path, turn=2, mode="nonNR"), ["file", "plan", "wanted"])
 
 
-@query("SNK9", "select count(*) + 2 as lines from region")
+@query("SNK9", r"""select 0::BIGINT as place, '| r_regionkey | r_name |' as line union all select 1, '| --- | --- |' union all select 2 + row_number() over (order by r_regionkey) - 1, '| ' || r_regionkey || ' | ' || r_name || ' |' from region
+union all select 100, '\begin{tabular}{ll}' union all select 101, 'r_regionkey & r_name \\ \hline' union all select 102 + row_number() over (order by r_regionkey) - 1, r_regionkey || ' & ' || r_name || ' \\' from region union all select 102 + count(*), '\end{tabular}' from region""")
 def snk9_markdown(t: Tables) -> DataFrame:
-    report = sinks.markdown(t.region.orderBy("r_regionkey"))
-    return t.spark.createDataFrame([(len(report.splitlines()),)], "lines long")
+    table = t.region.select("r_regionkey", "r_name").orderBy("r_regionkey")
+    rows = [*enumerate(sinks.markdown(table).splitlines()), *enumerate(sinks.latex(table).splitlines(), 100)]
+    return t.spark.createDataFrame(rows, "place long, line string")
 
 
 @query("UD3 UD6", "select distinct source as plan, 4::BIGINT as n from documents")
 def ud3_collect(t: Tables) -> DataFrame:
     """Each round makes up to three of the missing rows, so a plan needs two rounds for four."""
-    t.spark.sparkContext.getCheckpointDir() or t.spark.sparkContext.setCheckpointDir(sinks.scratch(t.spark, "rounds"))
+    shared_dir(t.spark)
     plans = t.documents.select(F.col("source").alias("plan")).distinct()
 
     def produce(short: DataFrame, n: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnloom.operators.ranking import ranked
+from turnloom.shared import scratch  # noqa: F401  part of this module for its callers
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -86,10 +87,15 @@ def latex(df: DataFrame) -> str:
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", head, *body, r"\end{tabular}"])
 
 
-def scratch(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where the session names none."""
-    import tempfile
-    import uuid
+def log_events(df: DataFrame, path: str) -> None:
+    """Append one JSON object per row to an event log, each with the UTC time of writing."""
+    stamped = df.select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp_utc"), *df.columns)
+    write_jsonl(stamped, path, mode="append")
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/turnloom/{name}-{uuid.uuid4().hex}"
+
+def log_counts(df: DataFrame, plan: str, title: str, path: str) -> None:
+    """Append the rows per plan, and the numbers of plans and rows, as text lines under a title."""
+    counts = df.groupBy(plan).agg(F.count(F.lit(1)).alias("n"))
+    lines = counts.select(F.format_string("[%s] : %s: %d", F.lit(title), F.col(plan), "n").alias("value"))
+    total = counts.agg(F.format_string("[%s] : plan_count: %d, total_lens: %d", F.lit(title), F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).alias("value"))
+    lines.unionByName(total).write.mode("append").text(path)
