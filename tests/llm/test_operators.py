@@ -505,4 +505,4 @@ def test_blocks_find_all_within_radius():
     for k in range(60):
         code = int(items.prints[k]) ^ sum(1 << p for p in rng.sample(range(64), rng.randrange(0, 30)))
         want = [i for i, x in enumerate(items.prints.tolist()) if (x ^ code).bit_count() <= decontam.RADIUS]
-        assert decontam.candidates(code, items).tolist() == want
+        assert [i for _, i, _ in decontam.candidates(np.array([code], np.uint64), items.groups[30])] == want

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from turnloom.shared import cut, scratch  # noqa: F401  cut is part of this module for its callers
+
 DOC_KEY, TIE_KEY = "__d", "__t"
 NULL_ID = -(2**63)
 
@@ -21,22 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none, as in tests, a local one is set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="turnloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver drop the shuffle files of plans that nothing refers to any more.
 
@@ -46,19 +30,13 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a slim table with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Parquet is several times smaller than a checkpoint, so larger intermediate
     tables go this way; executors that are lost afterwards cost nothing.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/turnloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -90,14 +68,17 @@ def with_row_key(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ``__t`` is 0 wherever ids are unique, which one slim pass over the ids
     finds out. Rows that share an id (or have none) are numbered by their text,
     so equal inputs give equal keys; wholly identical rows are interchangeable.
+    Only the rows of repeated ids are numbered.
     """
     keyed = df.withColumn(DOC_KEY, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    clashes = keyed.groupBy(DOC_KEY).count().filter("count > 1").limit(1)
-    if clashes.isEmpty():
+    clashes = keyed.groupBy(DOC_KEY).count().filter("count > 1").select(DOC_KEY)
+    if clashes.limit(1).isEmpty():
         return keyed.withColumn(TIE_KEY, F.lit(0))
     order = [F.xxhash64(c) for c in ("text",) if c in df.columns] + [F.col(c) for c in df.columns if c == "text"]
     w = Window.partitionBy(DOC_KEY).orderBy(*(order or [F.lit(0)]))
-    return keyed.withColumn(TIE_KEY, F.row_number().over(w) - 1)
+    alone = keyed.join(clashes, DOC_KEY, "left_anti").withColumn(TIE_KEY, F.lit(0)).select(*keyed.columns, TIE_KEY)
+    shared = keyed.join(clashes, DOC_KEY, "left_semi").withColumn(TIE_KEY, F.row_number().over(w) - 1)
+    return alone.unionByName(shared.select(*keyed.columns, TIE_KEY))
 
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,9 @@ from turnloom.llm.suffix import Hasher, _mix
 #: Words per shingle, least weighted Jaccard similarity, radius of candidate fingerprints.
 SHINGLE, LEAST, RADIUS = 5, 0.8, 18
 #: Blocks of a fingerprint; one of them differs in at most RADIUS // BLOCKS bits.
-BLOCKS, BLOCK_BITS = 8, 8
+BLOCKS, BLOCK_BITS = 4, 16
+#: Pairs of windows and items that are compared at a time.
+PAIRS = 1 << 20
 #: Bytes of text in memory at a time, bytes of items that are broadcast at a time.
 CHUNK, SLICE = 1 << 20, 16 << 20
 FILTER_BITS = 22
@@ -66,15 +68,24 @@ def separated(buf: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.
     return out, offsets[i + 1 : j + 1] - lo + np.arange(j - i)
 
 
+@dataclass
+class Group:
+    """Items of one number of words: their numbers and fingerprints, whole and as a row of blocks each."""
+
+    items: np.ndarray
+    prints: np.ndarray
+    blocks: np.ndarray
+
+
 @dataclass
 class Items:
-    """A slice of the benchmark, indexed: words per item, shingle bags, fingerprints by blocks."""
+    """A slice of the benchmark: words per item, shingle bags, fingerprints by number of words."""
 
     ids: list
     words: np.ndarray
     bags: list[Counter]
     prints: np.ndarray
-    blocks: list[list[np.ndarray]]
+    groups: dict[int, Group]
     shingles: dict[int, np.ndarray]
     #: For each of the shingles the numbers of words of the items that have it.
     sizes: dict[int, list[set[int]]]
@@ -84,6 +95,11 @@ class Items:
         return int(self.words.max(initial=0))
 
 
+def blocks_of(codes: np.ndarray) -> np.ndarray:
+    """One row of values per block."""
+    return np.stack([(codes >> np.uint64(BLOCK_BITS * k)).astype(np.uint16) for k in range(BLOCKS)])
+
+
 def index_items(rows: list[tuple]) -> Items:
     """Items without words can't occur and are left out; null texts read as empty."""
     hasher = Hasher(max([len((x or "").encode()) for _, x in rows], default=0) + 1)
@@ -99,24 +115,33 @@ def index_items(rows: list[tuple]) -> Items:
         bags.append(Counter(shingles.tolist()))
         prints.append(int(window_prints(shingles, len(shingles))[0]))
         known.setdefault(n, []).append(shingles)
-    codes = np.array(prints, np.uint64)
-    near = np.array([[(a ^ b).bit_count() <= RADIUS // BLOCKS for b in range(256)] for a in range(256)])
-    blocks = []
-    for k in range(BLOCKS):
-        own = ((codes >> np.uint64(BLOCK_BITS * k)) & np.uint64(255)).astype(np.int64)
-        blocks.append([np.flatnonzero(near[value][own]) for value in range(256)])
+    words, codes = np.array(sizes, np.int64), np.array(prints, np.uint64)
+    groups = {size: Group(own := np.flatnonzero(words == size), codes[own], blocks_of(codes[own])) for size in set(sizes)}
     owners: dict[int, dict[int, set[int]]] = {}
     for bag, size in zip(bags, sizes):
         for shingle in bag:
             owners.setdefault(min(SHINGLE, size), {}).setdefault(shingle, set()).add(size)
     shingles = {n: np.unique(np.concatenate(x)) for n, x in known.items()}
-    return Items(ids, np.array(sizes, np.int64), bags, codes, blocks, shingles, {n: [owners[n][x] for x in own.tolist()] for n, own in shingles.items()})
+    return Items(ids, words, bags, codes, groups, shingles, {n: [owners[n][x] for x in own.tolist()] for n, own in shingles.items()})
+
+
+def block_matches(codes: np.ndarray, group: Group) -> tuple[np.ndarray, np.ndarray]:
+    """(window, place in the group) of all pairs with a block that differs in RADIUS // BLOCKS bits at most."""
+    near = np.zeros((len(codes), len(group.prints)), bool)
+    for own, other in zip(blocks_of(codes), group.blocks):
+        near |= np.bitwise_count(own[:, None] ^ other[None, :]) <= RADIUS // BLOCKS
+    return np.nonzero(near)
 
 
-def candidates(code: int, items: Items) -> np.ndarray:
-    """All items whose fingerprint is within RADIUS of ``code``: by pigeonhole over the blocks."""
-    found = np.unique(np.concatenate([items.blocks[k][(code >> (BLOCK_BITS * k)) & 255] for k in range(BLOCKS)]))
-    return found[np.bitwise_count(items.prints[found] ^ np.uint64(code)) <= RADIUS]
+def candidates(codes: np.ndarray, group: Group) -> Iterator[tuple[int, int, int]]:
+    """(window, item, distance) of all fingerprints within RADIUS: by pigeonhole one of their blocks matches."""
+    step = max(1, PAIRS // max(1, len(group.prints)))
+    for a in range(0, len(codes), step):
+        part = codes[a : a + step]
+        window, place = block_matches(part, group)
+        distance = np.bitwise_count(part[window] ^ group.prints[place])
+        close = distance <= RADIUS
+        yield from zip((window[close] + a).tolist(), group.items[place[close]].tolist(), distance[close].tolist())
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -151,16 +176,13 @@ def document_matches(words: np.ndarray, hits: dict[int, tuple[np.ndarray, np.nda
             a, b = int(lo[i]), int(hi[j - 1])
             for c in range(a, b + 1, 4096):
                 part = shingle_hashes(words[c : min(b, c + 4095) + size], n)
-                for k, code in enumerate(window_prints(part, span).tolist()):
-                    found = candidates(code, items)
-                    found = found[items.words[found] == size]
-                    if not len(found):
-                        continue
-                    bag = Counter(part[k : k + span].tolist())
-                    for item in found.tolist():
-                        s = similarity(bag, items.bags[item])
-                        if s >= LEAST and (item not in best or s > best[item][0]):
-                            best[item] = (s, c + k, size, (code ^ int(items.prints[item])).bit_count())
+                bag, of = Counter(), -1
+                for k, item, distance in candidates(window_prints(part, span), items.groups[size]):
+                    if k != of:
+                        bag, of = Counter(part[k : k + span].tolist()), k
+                    s = similarity(bag, items.bags[item])
+                    if s >= LEAST and (item not in best or s > best[item][0]):
+                        best[item] = (s, c + k, size, distance)
     return best
 
 
@@ -247,13 +269,14 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, column: str = "__matches
     an item's number of words matches the item if the weighted Jaccard
     similarity of their five-word shingles (all words of shorter items) is 0.8
     or more; of an item's windows the most similar and then first one is given.
-    Candidates are all items whose SimHash is within RADIUS bits of the window's,
-    found exactly through blocks; only windows that share no shingle with any
+    Candidates are all items of the window's number of words whose SimHash is
+    within RADIUS bits of the window's, found exactly through blocks; only windows that share no shingle with any
     item, which can't match, aren't fingerprinted.
 
     Documents are scanned where they lie, without a shuffle, as often as the
     benchmark has slices of SLICE bytes. Null and empty texts have no matches;
-    repeated rows and ids give repeated results; empty tables are fine.
+    repeated rows and ids give repeated results; empty tables are fine. A very
+    long text is read in pieces that share a window.
     """
     if column in docs.columns:
         raise ValueError(f"the documents have a column {column} already")
@@ -284,7 +307,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per matching document and item: doc_id, item_id, start_word, n_words, distance, similarity."""
     found = with_matches(docs.select("doc_id", "text"), benchmark)
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode("__matches").alias("m")).select(
-        "doc_id", F.col("m.item").cast("long").alias("item_id"), "m.start_word", "m.n_words", "m.distance", "m.similarity",
+        "doc_id", F.col("m.item").cast(benchmark.schema["item_id"].dataType).alias("item_id"), "m.start_word", "m.n_words", "m.distance", "m.similarity",
     )
 
 

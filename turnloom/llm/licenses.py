@@ -42,6 +42,7 @@ PERMISSIVE = frozenset({"apache", "bsd", "cc0", "isc", "mit", "unlicense", "zlib
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: What may follow a tag, on its line.
 TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*)")
+COLON = re.compile(r"[ \t]*:?")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -51,10 +52,10 @@ def family(identifier: str) -> str:
     return best or name
 
 
-def expression_tokens(line: str) -> list[str]:
-    """The longest start of a line that can be an expression: operand and operator in turn."""
+def expression_tokens(line: str, at: int = 0) -> list[str]:
+    """The longest run from place ``at`` of a line that can be an expression: operand and operator in turn."""
     tokens: list[str] = []
-    depth, at, operand_due = 0, 0, True
+    depth, operand_due = 0, True
     good = 0
     while m := TOKEN.match(line, at):
         token = m[1]
@@ -139,23 +140,32 @@ def build_automaton() -> ahocorasick.Automaton:
 
 
 def scan(text: str | None, automaton: ahocorasick.Automaton) -> dict:
-    """All of one text's findings; spans are (word, n_words, kind, label)."""
+    """All of one text's findings; spans are (word, n_words, kind, label).
+
+    The automaton gives the word at which a tag stands, and one pass over the
+    words its bytes, so that time grows with the text's length, however many
+    tags it has.
+    """
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
     words = WORD.findall(raw)
     joined = b" " + b" ".join(words) + b" "
     line = joined.decode("latin-1")
-    spans, free = [], []
+    spans, free, tags = [], [], []
     hits = sorted((end - len(phrase) - 1, n, kinds) for end, (phrase, n, kinds) in automaton.iter(line))
     place, at = 0, 0
     for start, n, kinds in hits:
         place, at = place + line.count(" ", at, start), start
         spans += [(place, n, kind, label) for kind, label in kinds if kind != "tag"]
-    if any(kind == "tag" for _, _, kinds in hits for kind, _ in kinds):
-        for m in re.finditer(r"SPDX-License-Identifier[ \t]*:?", text, re.IGNORECASE):
-            rest = text[m.end() :].partition("\n")[0]
-            found, permissive = evaluate(to_postfix(expression_tokens(rest)))
-            before = len(WORD.findall(text[: m.start()].encode("utf-8", "surrogatepass").lower()))
-            spans += [(before, 3, "tag", label) for label in sorted(found)]
+        tags += [place for kind, _ in kinds if kind == "tag"]
+    if tags:
+        bounds = [m.span() for m in WORD.finditer(raw)]
+        shown = raw.decode("latin-1")
+        for first in tags:
+            start, end = bounds[first][0], bounds[first + 2][1]
+            if shown[start:end] != TAG.replace(" ", "-"):
+                continue
+            found, permissive = evaluate(to_postfix(expression_tokens(shown, COLON.match(shown, end).end())))
+            spans += [(first, 3, "tag", label) for label in sorted(found)]
             if found:
                 free.append(permissive)
     return {"n_words": len(words), "spans": sorted(spans), "permissive": all(free) if free else None}
@@ -177,7 +187,8 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan_documents(docs: DataFrame) -> DataFrame:
     """One row per document with all spans found in its whole text.
 
-    A null text reads as empty: no words, no spans, empty labels, score 0.
+    A null text reads as empty: no words, no spans, empty labels, score 0. A very
+    long text takes time and memory in proportion to its length.
     Repeated rows give repeated results, an empty table none; only doc_id and
     text are read. Phrases overlap freely and every place counts.
     """
