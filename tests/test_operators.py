@@ -152,3 +152,26 @@ def test_streams(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["count"] for r in spark.table("k").groupBy("event_type").count().collect()} == {5}
+
+
+def test_greedy_dedup_is_the_greedy_filter(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for g in "ab":
+        base = [[rng.choice("v w x y z uu vv ww xx yy".split()) + str(rng.randrange(3)) for _ in range(rng.randrange(1, 25))] for _ in range(12)]
+        for i in range(150):
+            text = list(rng.choice(base))
+            for _ in range(rng.randrange(0, 6)):
+                text[rng.randrange(len(text))] = f"n{rng.randrange(40)}"
+            rows.append((g, i, rng.choice([" ".join(text), " ".join(text).upper(), "", None]) if i % 9 == 0 else " ".join(text)))
+    rng.shuffle(rows)
+    want = set()
+    for g in "ab":
+        keep = similarity.GreedyFilter(0.7)
+        want |= {(g, i) for h, i, text in sorted(rows, key=lambda r: r[:2]) if h == g and keep.admits(text or "")}
+    df = frame(spark, rows, "g string, i long, text string")
+    got = similarity.greedy_dedup(df, "g", ["i"], "text", 0.7).collect()
+    assert {(r.g, r.i) for r in got} == want and len(got) == len(want) < 300
+    assert similarity.greedy_dedup(df.limit(0), "g", ["i"], "text", 0.7).count() == 0

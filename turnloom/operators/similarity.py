@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from turnloom.shared import cut
+
 
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
     """Longest common subsequence with one bit vector for all of ``a`` (Hyyrö, 2004)."""
@@ -54,19 +56,72 @@ class GreedyFilter:
         return True
 
 
-def greedy_dedup(df: DataFrame, group: str, order: Sequence[str], text: str, bound: float) -> DataFrame:
-    """Rows that pass the greedy filter, whose record starts anew for each group.
+def token_rows(texts: DataFrame) -> DataFrame:
+    """__id, group, tok, n: each token of a text with the number of its earlier occurrences, so that bags are sets."""
+    tokens = texts.select("__id", "__g", F.posexplode("__toks").alias("pos", "word"), F.size("__toks").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("__id", "word").orderBy("pos"))
+    return tokens.select("__id", "__g", "n", F.xxhash64("word", nth).alias("tok"))
 
-    The order decides, so a group is one task; rows of a group are at most what
-    one tool was given.
+
+def candidate_pairs(texts: DataFrame, bound: float) -> DataFrame:
+    """(u, v), u < v, of all texts of a group that may have a ROUGE-L score above ``bound``.
+
+    A score above the bound needs more than bound / 2 of both lengths in shared
+    tokens. Then the rarest tokens of one text, as many as may be missing and
+    one more, hold one of the other's (prefix filtering; Chaudhuri et al., 2006).
+    Common tokens come last in that order, so few texts meet at one token.
     """
+    rows = token_rows(texts)
+    often = rows.groupBy("__g", "tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # fewest tokens of a partner: 2 m / (n + m) > bound
+    fewest = F.floor(F.col("n") * F.lit(bound / (2 - bound))) + 1
+    shared = F.floor((F.col("n") + fewest) * F.lit(bound / 2))
+    place = F.row_number().over(Window.partitionBy("__id").orderBy(F.coalesce("df", F.lit(1)), "tok"))
+    # a partner has the token too, so what no other text has opens no pair
+    prefix = rows.join(often, ["__g", "tok"], "left").withColumn("place", place).filter((F.col("place") <= F.col("n") - F.least(shared, F.col("n")) + 1) & F.col("df").isNotNull())
+    slim = prefix.select("__g", "tok", "__id", "n")
+    a, b = slim.toDF("__g", "tok", "u", "nu"), slim.toDF("__g", "tok", "v", "nv")
+    met = a.join(b, ["__g", "tok"]).filter((F.col("u") < F.col("v")) & (2 * F.least("nu", "nv") > F.lit(bound) * (F.col("nu") + F.col("nv"))))
+    return met.select("u", "v").distinct()
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = GreedyFilter(bound)
-        pdf = pdf.sort_values(list(order), kind="stable")
-        return pdf[[keep.admits(x or "") for x in pdf[text]]]
+def greedy_dedup(df: DataFrame, group: str, order: Sequence[str], text: str, bound: float) -> DataFrame:
+    """Rows that pass the greedy filter, whose record starts anew for each group.
 
-    return df.groupBy(group).applyInPandas(run, df.schema)
+    A row goes if a row that was kept before it in its group is more similar
+    than ``bound`` by ROUGE-L. Rows with the same tokens as an earlier one go at
+    once (whatever kept that one out keeps them out as well). Of the others,
+    candidate pairs come from shared rare tokens and are scored; then each row
+    is decided once all its earlier neighbours are, in rounds over the pairs
+    alone. No group has to fit a task. Texts without tokens are like nothing
+    and stay; null texts read as empty. ``order`` has to tell rows of a group
+    apart, as does the group with it over the table.
+    """
+    keys = [group, *order]
+    toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
+    rows = df.select(*keys, toks.alias("__toks"))
+    filled = rows.filter(F.size("__toks") > 0)
+    firsts = filled.groupBy(F.col(group).alias("__g"), "__toks").agg(F.min(F.struct(*order)).alias("__p"))
+    # numbers that rise with the order within a group: places in it
+    texts = firsts.withColumn("__id", F.struct(F.xxhash64("__g").alias("g"), "__p"))
+    pairs = candidate_pairs(texts, bound)
+    both = pairs.join(texts.select(F.col("__id").alias("u"), F.col("__toks").alias("a")), "u").join(texts.select(F.col("__id").alias("v"), F.col("__toks").alias("b")), "v")
+    edges = cut(both.filter(token_score("a", "b") > bound).select("u", "v"))
+    lost = None
+    while not edges.isEmpty():
+        # who has no earlier neighbour left stays; who has one that stays goes
+        stay = edges.select(F.col("u").alias("x")).distinct().join(edges.select(F.col("v").alias("x")).distinct(), "x", "left_anti")
+        go = cut(edges.join(stay, edges["u"] == stay["x"], "left_semi").select(F.col("v").alias("x")).distinct())
+        lost = go if lost is None else cut(lost.unionByName(go))
+        decided = stay.unionByName(go)
+        edges = cut(edges.join(go, edges["v"] == go["x"], "left_anti").join(decided, F.col("u") == F.col("x"), "left_anti"))
+    kept = texts if lost is None else texts.join(lost, texts["__id"] == lost["x"], "left_anti")
+    chosen = kept.select(F.col("__g").alias(group), "__p.*").unionByName(rows.filter(F.size("__toks") == 0).select(*keys))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    return df.alias("l").join(chosen.alias("r"), on, "left_semi")
 
 
 def unit(v: Column) -> Column:
@@ -147,6 +202,11 @@ def call_scores(df: DataFrame, counts: str, same_name: Column, parse_ok: Column)
     return df.withColumns({"api_correct": api, "arg_exact_match": exact, "arg_precision": precision, "arg_recall": recall, "arg_f1": f1, "final_exact": api & exact})
 
 
+@F.pandas_udf(T.DoubleType())
+def token_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([rouge_l(list(x), list(y)) for x, y in zip(a, b)], dtype=float)
+
+
 @F.pandas_udf(T.DoubleType())
 def rouge_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([rouge_l((x or "").lower().split(), (y or "").lower().split()) for x, y in zip(a, b)])
