@@ -88,7 +88,7 @@ def round_robin(df: DataFrame, queue: str, order: Sequence[Column | str], n: int
 
 
 #: Ranges that a global numbering is dealt to.
-RANGES = 256
+RANGES = 64
 
 
 def serials(df: DataFrame, place: Column, order: Sequence[Column | str], name: str) -> DataFrame:
@@ -100,7 +100,7 @@ def serials(df: DataFrame, place: Column, order: Sequence[Column | str], name: s
     """
     cuts = df.agg(F.percentile_approx(place, [(i + 1) / RANGES for i in range(RANGES - 1)], 10_000).alias("b")).first()["b"] or []
     bounds = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    ranged = df.withColumn("__at", place).withColumn("__range", F.size(F.filter(bounds, lambda b: b < F.col("__at"))))
+    ranged = df.withColumn("__at", place).withColumn("__range", F.get(F.transform(F.array(place), lambda p: F.size(F.filter(bounds, lambda b: b < p))), 0))
     counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     own = F.row_number().over(Window.partitionBy("__range").orderBy("__at", *order))
