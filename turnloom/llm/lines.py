@@ -125,21 +125,21 @@ def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (u, v) whose shingle sets have Jaccard similarity LEAST or more.
+    """ru, rv (the components) of those of the pairs (u, v) whose shingle sets have Jaccard similarity LEAST or more.
 
     Lines travel as text, a fifth to a tenth of their shingles' hashes.
     """
     both = (
         pairs.join(lines.toDF("u", "lu"), "u")
         .join(lines.toDF("v", "lv"), "v")
-        .select("u", "v", shingle_set(F.encode("lu", "UTF-16BE")).alias("su"), shingle_set(F.encode("lv", "UTF-16BE")).alias("sv"))
-        .select("u", "v", F.size(F.array_intersect("su", "sv")).alias("common"), F.size(F.array_union("su", "sv")).alias("all"))
+        .select("ru", "rv", shingle_set(F.encode("lu", "UTF-16BE")).alias("su"), shingle_set(F.encode("lv", "UTF-16BE")).alias("sv"))
+        .select("ru", "rv", F.size(F.array_intersect("su", "sv")).alias("common"), F.size(F.array_union("su", "sv")).alias("all"))
     )
-    return both.filter(f"common >= {LEAST} * all").select("u", "v")
+    return both.filter(f"common >= {LEAST} * all").select("ru", "rv")
 
 
 def hub_pairs(members: DataFrame, tried: DataFrame | None, r: int) -> DataFrame:
-    """One new pair (u, v) per line at most: the line and a hub of another component in one of its buckets.
+    """One new pair (u, v) per line at most, with the components (ru, rv): the line and a hub of another component in one of its buckets.
 
     The hub of a bucket is drawn anew each round, the sooner the more buckets it
     shares (``w``): such a line lies in the middle of its group, and most others
@@ -149,15 +149,15 @@ def hub_pairs(members: DataFrame, tried: DataFrame | None, r: int) -> DataFrame:
     u = (F.pmod(F.xxhash64("k", F.lit(r)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     late = -F.log(u) / F.pow("w", F.lit(4.0)) if r else u - F.col("w")
     drawn = members.withColumn("late", late).groupBy("bucket").agg(F.min_by("k", "late").alias("hub"), F.min_by("root", "late").alias("hub_root"), F.min_by("w", "late").alias("hub_w"))
-    met = members.join(drawn, "bucket").filter("root <> hub_root")
-    pairs = met.select("k", "hub_w", F.least("k", "hub").alias("u"), F.greatest("k", "hub").alias("v"))
+    met = members.join(drawn, "bucket").filter("root <> hub_root").select("k", "root", "hub", "hub_root", "hub_w")
     if tried is not None:
-        pairs = pairs.join(tried, ["u", "v"], "left_anti")
-    return pairs.groupBy("k").agg(F.max_by("u", "hub_w").alias("u"), F.max_by("v", "hub_w").alias("v")).select("u", "v").distinct()
+        met = met.join(tried.toDF("k", "hub"), ["k", "hub"], "left_anti")
+    best = F.max_by(F.struct("hub", "hub_root"), F.struct("hub_w", "hub"))
+    return met.groupBy("k", "root").agg(best.alias("to")).select(F.col("k").alias("u"), F.col("to.hub").alias("v"), F.col("root").alias("ru"), F.col("to.hub_root").alias("rv"))
 
 
 def cross_links(members: DataFrame, lines: DataFrame) -> DataFrame:
-    """All similar pairs (u, v) of lines that meet in a bucket and are in different components.
+    """The components (ru, rv) of all similar lines that meet in a bucket and are in different ones.
 
     A bucket's lines are dealt to blocks, and each pair of blocks is a row whose
     lines are compared in place: shingle sets are made once a block, and only
@@ -165,9 +165,8 @@ def cross_links(members: DataFrame, lines: DataFrame) -> DataFrame:
     """
     shared = members.groupBy("k").agg(F.first("root").alias("root"), F.collect_set("bucket").alias("buckets"))
     texts = shared.join(lines, "k").select("k", F.struct("k", "root", "buckets", "line").alias("x"))
-    placed = members.select("bucket", "k").join(lines.select("k", F.length("line").alias("chars")), "k")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_LINES), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
-    sizes = placed.groupBy("bucket").agg(blocks.alias("blocks"))
+    sizes = members.groupBy("bucket").agg(blocks.alias("blocks"))
     dealt = members.select("bucket", "k").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("k", "bucket"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = dealt.join(texts, "k").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "x")).alias("all"))
@@ -186,7 +185,7 @@ def cross_links(members: DataFrame, lines: DataFrame) -> DataFrame:
         )
 
     def links(own: Column) -> Column:
-        return F.flatten(F.transform(own, lambda a: F.transform(F.filter(own, lambda b: similar(a, b)), lambda b: F.struct(a["k"].alias("u"), b["k"].alias("v")))))
+        return F.flatten(F.transform(own, lambda a: F.transform(F.filter(own, lambda b: similar(a, b)), lambda b: F.struct(a["root"].alias("ru"), b["root"].alias("rv")))))
 
     return rows.select(F.inline(bound(F.transform("all", with_set), links))).distinct()
 
@@ -204,20 +203,19 @@ def line_classes(docs: DataFrame, marked: DataFrame) -> DataFrame:
     shares = full.groupBy("k").agg(F.count(F.lit(1)).alias("w"))
     wanted = marked.select("k", DOC_KEY, TIE_KEY, "pos").join(shares.select("k"), "k", "left_semi")
     lines = materialize(texts_of(docs, wanted), "line-texts")
-    members = materialize(full.join(shares, "k").select("bucket", "k", F.col("k").alias("root"), "w"), "line-members")
+    known = shares.join(lines.select("k", F.length("line").alias("chars")), "k")
+    members = materialize(full.join(known, "k").select("bucket", "k", F.col("k").alias("root"), "w", "chars"), "line-members")
     used = [*parts, lines, members]
     tried = roots = None
     for r in range(ROUNDS + 1):
         if r < ROUNDS:
             pairs = cut(hub_pairs(members, tried, r))
-            tried = pairs if tried is None else tried.unionByName(pairs)
+            now = pairs.select("u", "v")
+            tried = now if tried is None else tried.unionByName(now)
             links = similar_pairs(pairs, lines)
         else:
             links = cross_links(members, lines)
-        if r:
-            of = members.select("k", "root").distinct()
-            links = links.join(of.toDF("u", "ru"), "u").join(of.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-        roots, members = lift_roots(roots, members, connected_components(links))
+        roots, members = lift_roots(roots, members, connected_components(links.toDF("u", "v")))
         free_shuffles(docs.sparkSession)
     for table in used:
         discard(table)
