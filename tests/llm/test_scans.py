@@ -75,3 +75,13 @@ def test_text_ids_of_items(spark):
     docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, None)], "doc_id long, text string")
     bench = spark.createDataFrame([("a-1", "two three four five six")], "item_id string, text string")
     assert [(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()] == [(1, "a-1")]
+
+
+def test_a_clashing_severity_is_refused(spark):
+    import pytest
+
+    from turnloom.llm import toxicity
+
+    docs = spark.createDataFrame([(1, "text", "x")], "doc_id long, text string, __severity string")
+    with pytest.raises(ValueError):
+        toxicity.with_severity(docs, toxicity.Ordinal({}, [1.0, 2.0]))

@@ -160,8 +160,12 @@ def with_severity(docs: DataFrame, model: Ordinal) -> DataFrame:
     Its fields: expected (the expected grade, sum of the chances to reach each),
     grade (the likeliest), chance (of any grade above 0). Null and empty texts
     have no features and get what the thresholds alone say; repeated rows get
-    equal scores, an empty table none.
+    equal scores, an empty table none. Of equally likely grades the lower one is
+    given. A very long text takes memory for itself and its distinct words. A
+    column ``__severity`` of the input is refused.
     """
+    if "__severity" in docs.columns:
+        raise ValueError("the documents have a column __severity already")
     position = docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     kind = pa.struct([("expected", pa.float64()), ("grade", pa.int32()), ("chance", pa.float64())])
