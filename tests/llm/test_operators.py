@@ -355,7 +355,7 @@ def slow_repeats(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("large", [suffix.LARGE, 2])
+@pytest.mark.parametrize("large", [suffix.LARGE, 2, 0])
 def test_suffix_repeats(spark, monkeypatch, large):
     monkeypatch.setattr(suffix, "LARGE", large)
     rng = random.Random(11)

@@ -11,7 +11,8 @@ without shuffling a row per byte:
 2. Cells meet by anchor. Of identical cells all but the first go as a whole;
    these strings are taken out of the suffix order, as they add nothing to it.
 3. Different cells with one anchor are where repeated passages begin and end.
-   Their bytes (at most 164 each) form the shards' texts: a suffix array, its
+   Their bytes (at most 164 each) form the shards' texts, those of an anchor
+   with very many cells split by the bytes around it: a suffix array, its
    LCP array, and from previous and next smaller positions in suffix order the
    longest previous factor of every window. Those of WINDOW bytes or more go.
 """
@@ -30,7 +31,7 @@ from turnloom.llm.common import DOC_KEY, TIE_KEY, materialize, spans_of_rows, ut
 WINDOW, GRAM = 100, 36
 #: Bytes hashed at a time; positions within take the low bits of a key.
 CHUNK, POS_BITS = 1 << 18, 20
-#: Text of one suffix array, and cells of an anchor from which its windows are dealt out one by one.
+#: Text of one suffix array, and cells of an anchor beyond which they are split by the bytes around it.
 SHARD_TEXT, LARGE = 1 << 20, 4096
 _BASE = 0x9E3779B97F4A7C15
 _ADD, _MUL = 0x632BE59BD9B4E019, 0xD6E8FEB86659FD93
@@ -295,17 +296,61 @@ def shard_spans(contexts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, f"{DOC_KEY} long, {TIE_KEY} int, start long, len long")
 
 
-def large_spans(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with very many contents: windows meet by their own hash.
+def offset_ranges(level: int) -> list[tuple[int, int]]:
+    """The places an anchor can have in a window (lo to hi), halved ``level`` times."""
+    ranges = [(0, WINDOW - GRAM)]
+    for _ in range(level):
+        halves = [[(lo, (lo + hi) // 2), ((lo + hi) // 2 + 1, hi)] if lo < hi else [(lo, hi)] for lo, hi in ranges]
+        ranges = [r for pair in halves for r in pair]
+    return ranges
 
-    One row per window, with the least place by a map-side combined aggregate;
-    two 64-bit hashes stand for the bytes.
+
+def split_cells(cells: DataFrame, level: int) -> DataFrame:
+    """Cells cut to the ranges of one level, each under a key of the bytes that all windows of its range hold.
+
+    A window with its anchor at offset o holds the bytes from o before the anchor
+    to WINDOW - o after its start. So those of a range lo to hi share the bytes
+    from lo before to WINDOW - hi after, and equal windows, whose offsets are
+    equal, stay together. In a range of one offset that is the whole window.
+    """
+    ranges = F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in offset_ranges(level)))
+    last = F.col("off") - (F.length("context") - WINDOW)
+    met = F.filter(ranges, lambda r: (r["lo"] <= F.col("off")) & (r["hi"] >= last))
+    each = cells.withColumn("last", last).withColumn("r", F.explode(met))
+    each = each.withColumn("top", F.least("off", "r.hi")).withColumn("bottom", F.greatest("last", "r.lo"))
+    shared = F.substring("context", F.col("off") - F.col("r.lo") + 1, WINDOW - F.col("r.hi") + F.col("r.lo"))
+    skipped = F.col("off") - F.col("top")
+    return each.select(
+        F.xxhash64("key", "r.lo", shared).alias("key"), DOC_KEY, TIE_KEY, (F.col("start") + skipped).alias("start"),
+        F.substring("context", skipped + 1, F.col("top") - F.col("bottom") + WINDOW).alias("context"), F.col("top").alias("off"),
+    )
+
+
+def large_spans(cells: DataFrame) -> DataFrame:
+    """The same for anchors with very many contents, which no shard could hold.
+
+    Cells are split by the bytes around their anchor, level by level, and of
+    parts with equal bytes the first goes on. Keys with at most LARGE parts go to
+    a shard's suffix array; the others are split again, in the end to windows.
     """
-    windows = contexts.select(DOC_KEY, TIE_KEY, "start", "context", F.explode(F.sequence(F.lit(0), F.length("context") - WINDOW)).alias("i"))
-    bytes_ = F.substring("context", F.col("i") + 1, F.lit(WINDOW))
-    hashed = windows.select(F.struct(DOC_KEY, TIE_KEY, (F.col("start") + F.col("i")).alias("start")).alias("p"), F.xxhash64(bytes_).alias("h1"), F.xxhash64(F.lit(1), bytes_).alias("h2"))
-    firsts = hashed.groupBy("h1", "h2").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "first")
-    return hashed.join(firsts, ["h1", "h2"]).filter("p <> first").select("p.*", F.lit(WINDOW).cast("long").alias("len"))
+    spans, place, own = [], F.struct(DOC_KEY, TIE_KEY, "start"), ["key", "off", "context"]
+    level = 0
+    while not cells.isEmpty():
+        level += 1
+        parts = materialize(split_cells(cells, level), "suffix-parts")
+        firsts = parts.groupBy(*own).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        marked = parts.join(firsts, own, "left").withColumn("again", F.coalesce(place != F.col("first"), F.lit(False))).drop("first")
+        marked = materialize(marked, "suffix-marked")
+        spans.append(marked.filter("again").select(DOC_KEY, TIE_KEY, "start", F.length("context").cast("long").alias("len")))
+        rest = marked.filter("not again")
+        whole = all(lo == hi for lo, hi in offset_ranges(level))
+        large = rest.groupBy("key").count().filter(F.lit(not whole) & (F.col("count") > LARGE)).select("key")
+        spans.append(shard_spans(rest.join(large, "key", "left_anti")))
+        cells = materialize(rest.join(large, "key", "left_semi").select(*cells.columns), "suffix-large")
+    out = shard_spans(cells)
+    for part in spans:
+        out = out.unionByName(part)
+    return out
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -317,12 +362,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     by_doc = (
         cells.join(large, "key", "left")
         .groupBy(DOC_KEY, TIE_KEY)
-        .agg(F.collect_list(F.struct("key", "start", "len", F.coalesce("large", F.lit(False)).alias("large"))).alias("cells"))
+        .agg(F.collect_list(F.struct("key", "start", "len", "off", F.coalesce("large", F.lit(False)).alias("large"))).alias("cells"))
     )
     raw = docs.select(DOC_KEY, TIE_KEY, "text").join(by_doc, [DOC_KEY, TIE_KEY]).select(DOC_KEY, TIE_KEY, F.encode("text", "UTF-8").alias("b"), "cells")
-    taken = raw.select(DOC_KEY, TIE_KEY, F.explode(F.expr("transform(cells, c -> struct(c.key as key, c.start as start, c.large as large, substring(b, cast(c.start as int) + 1, cast(c.len as int)) as context))")).alias("c")).select(DOC_KEY, TIE_KEY, "c.*")
+    taken = raw.select(DOC_KEY, TIE_KEY, F.explode(F.expr("transform(cells, c -> struct(c.key as key, c.start as start, c.off as off, c.large as large, substring(b, cast(c.start as int) + 1, cast(c.len as int)) as context))")).alias("c")).select(DOC_KEY, TIE_KEY, "c.*")
     contexts = materialize(taken, "suffix-contexts")
-    return spans.unionByName(shard_spans(contexts.filter("not large"))).unionByName(large_spans(contexts.filter("large")))
+    return spans.unionByName(shard_spans(contexts.filter("not large"))).unionByName(large_spans(contexts.filter("large").drop("large")))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
