@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +91,13 @@ def buffer_cells(buf: np.ndarray, valid: np.ndarray, hasher: Hasher) -> tuple[np
     return s, e, a - s, grams[a].view(np.int64), content.view(np.int64)
 
 
+def packed(start: np.ndarray, n: np.ndarray | int, off: np.ndarray | int) -> np.ndarray:
+    """A cell's place in one long; the lowest bit is left for a mark of spans."""
+    return (start << 16) | (n << 8) | (off << 1)
+
+
 def row_cells(buf: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, ...]:
-    """Cells of rows: row, start in the row, windows, anchor offset, anchor, content."""
+    """Cells of rows: row, place (start in the row, windows, anchor offset, see ``packed``), anchor, content."""
     parts = []
     for i, j in spans_of_rows(offsets, CHUNK):
         lo, hi = int(offsets[i]), int(offsets[j])
@@ -105,9 +111,9 @@ def row_cells(buf: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.
             row = np.repeat(rows, np.diff(np.clip(offsets[i : j + 1], a, b)))
             s, e, off, key, content = buffer_cells(buf[a:b], row[:n] == row[WINDOW - 1 :], hasher)
             own = row[s]
-            parts.append((own, s + a - offsets[own], e - s + 1, off, key, content))
+            parts.append((own.astype(np.int32), packed(s + a - offsets[own], e - s + 1, off), key, content))
     if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -120,6 +126,32 @@ def runs(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return owner[first], start[first], end[np.append(first[1:], len(start)) - 1]
 
 
+def batch_cells(batch: pa.RecordBatch, hasher: Hasher) -> pa.RecordBatch:
+    """Cells and known spans of a batch of (__d, __t, text); what it holds on the way is freed at its end."""
+    d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    order = np.lexsort((t, d))
+    sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy()[order]
+    parts = []
+    for i, j in list(spans_of_rows(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), CHUNK)) or [(0, 0)]:
+        row, place, key, content = row_cells(*utf8_buffer(batch.column(2).take(pa.array(order[i:j]))), hasher)
+        parts.append((row + np.int32(i), place, key, content))
+    row, place, key, content = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    both = key ^ _mix(content.view(np.uint64)).view(np.int64)
+    by = np.argsort(both, kind="stable")
+    same = (both[by[1:]] == both[by[:-1]]) & (content[by[1:]] == content[by[:-1]])
+    again = np.zeros(len(both), bool)
+    again[by[1:][same]] = True
+    del both, by, same
+    start = place[again] >> 16
+    r, a, b = runs(row[again], start, start + ((place[again] >> 8) & 0xFF) + WINDOW - 1)
+    first = ~again
+    spread = _mix((d[order][r] * 31 + a).astype(np.uint64)).view(np.int64)
+    rows = order[np.concatenate([row[first], r])]
+    columns = (np.concatenate([key[first], spread]), np.concatenate([content[first], b - a]), d[rows], t[rows].astype(np.int32), np.concatenate([place[first], packed(a, 0, 0) | 1]))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "content", DOC_KEY, TIE_KEY, "meta"])
+
+
 def cell_rows(docs: DataFrame) -> DataFrame:
     """Cells (kind 0) to meet by anchor, and spans (kind 1) already known to repeat.
 
@@ -129,24 +161,7 @@ def cell_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(CHUNK + WINDOW)
-        for batch in batches:
-            d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            order = np.lexsort((t, d))
-            buf, offsets = utf8_buffer(batch.column(2).take(pa.array(order)))
-            row, start, n, off, key, content = row_cells(buf, offsets, hasher)
-            both = key ^ _mix(content.view(np.uint64)).view(np.int64)
-            by = np.argsort(both, kind="stable")
-            again = np.zeros(len(both), bool)
-            again[by[1:]] = (both[by[1:]] == both[by[:-1]]) & (content[by[1:]] == content[by[:-1]])
-            first = ~again
-            r, a, b = runs(row[again], start[again], start[again] + n[again] + WINDOW - 1)
-            rows = np.concatenate([row[first], r])
-            spread = _mix((d[order][r] * 31 + a).astype(np.uint64)).view(np.int64)
-            meta = np.concatenate([(start[first] << 16) | (n[first] << 8) | (off[first] << 1), (a << 16) | 1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (np.concatenate([key[first], spread]), np.concatenate([content[first], b - a]), d[order][rows], t[order][rows].astype(np.int32), meta)],
-                ["key", "content", DOC_KEY, TIE_KEY, "meta"],
-            )
+        yield from map(lambda batch: batch_cells(batch, hasher), batches)
 
     return docs.select(DOC_KEY, TIE_KEY, "text").mapInArrow(run, f"key long, content long, {DOC_KEY} long, {TIE_KEY} int, meta long")
 
