@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from turnloom.functions import strings
 from turnloom.operators import generation, joins, metrics, ranking, sampling, similarity
 from turnloom.sources import readers, sinks
 from turnloom.streaming import events as streams
@@ -175,3 +176,63 @@ def test_greedy_dedup_is_the_greedy_filter(spark):
     got = similarity.greedy_dedup(df, "g", ["i"], "text", 0.7).collect()
     assert {(r.g, r.i) for r in got} == want and len(got) == len(want) < 300
     assert similarity.greedy_dedup(df.limit(0), "g", ["i"], "text", 0.7).count() == 0
+
+
+def test_verdicts(spark):
+    said = ["N/A", '"N/A"', "{}", '{"a": {"status": "Pass"}}', '{"a": {}, "b": {"status": "?"}}', '{"a": {"status": "Fail"}, "b": {}}', '{"a": null}', '{"a": 1}', "[]", "text", None, "null", '{"a": {']
+    df = frame(spark, list(enumerate(said)), "k long, response string")
+    assert [r.k for r in joins.drop_failed(df, df, "k", strings.bad_verdict(F.col("response"))).orderBy("k").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_file_names(spark):
+    df = frame(spark, [("it10_complex_2.tsv",), ("it2_complex_10.tsv",), ("it2_complex_9.tsv",), ("it2_nonNR.tsv",), ("x.tsv",), ("turn3.tsv",), (None,)], "f string")
+    got = {r.f: tuple(r)[1:] for r in df.select("f", *(strings.file_turn(F.col("f"), x) for x in ("search", "anchored", "turn", "prefixed"))).collect()}
+    assert got["it10_complex_2.tsv"] == (10, 10, None, None) and got["turn3.tsv"] == (None, None, 3, None) and got["it2_nonNR.tsv"] == (2, 2, None, 2)
+    assert got[None] == (None,) * 4 == got["x.tsv"]
+    order = {x: [r.f for r in df.dropna().orderBy(*strings.file_order(F.col("f"), x)).collect()] for x in ("rising", "falling", "plain_first")}
+    assert order["rising"][:3] == ["it2_complex_9.tsv", "it2_complex_10.tsv", "it2_nonNR.tsv"] and order["falling"][0] == "it2_complex_10.tsv"
+    assert order["plain_first"] == ["it2_nonNR.tsv", "it10_complex_2.tsv", "it2_complex_9.tsv", "it2_complex_10.tsv", "turn3.tsv", "x.tsv"]
+
+
+def test_round_robin_reuse(spark):
+    df = frame(spark, [("a", 1), ("a", 2), ("b", 3), (None, 4)], "q string, k long")
+    rows = ranking.round_robin_reuse(df, "q", "k", 10, 5).collect()
+    assert [r.turn for r in rows] == [1, 1, 1, 2, 2, 2, 3, 3, 3, 4] and [r.q for r in rows[:3]] == [None, "a", "b"]
+    taken = [r.k for r in rows if r.q == "a"]
+    assert sorted(taken[:2]) == [1, 2] and len(taken) == 3
+    assert ranking.round_robin_reuse(df.limit(0), "q", "k", 10, 5).count() == 0
+
+
+def test_line_windows(spark):
+    df = spark.range(10).toDF("k")
+    assert [r["values"] for r in ranking.line_windows(df, F.col("k"), ["k"], 4, "k").orderBy("window").collect()] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+    assert ranking.line_windows(df.limit(0), F.col("k"), ["k"], 4, "k").count() == 0
+
+
+def test_masked_labels(spark):
+    df = frame(spark, [("a b c d", "a b"), ("a", "a b c"), ("", ""), (None, None)], "p string, q string")
+    ids = df.select(strings.masked_labels(strings.word_ids(F.col("p")), strings.word_ids(F.col("q")), 3).alias("x")).select("x.*").collect()
+    assert [r.labels[:2] for r in ids] == [[-100, -100], [-100], [], []] and ids[0].labels[2] == ids[0].input_ids[2] and len(ids[0].input_ids) == 3
+
+
+def test_file_splits(spark, tmp_path):
+    for name in ("train", "test"):
+        (tmp_path / f"{name}.tsv").write_text(f"a\n{name}\n")
+    splits = readers.read_tsv_splits(spark, [str(tmp_path / "train.tsv"), str(tmp_path / "test.tsv")])
+    assert {k: v.first()[0] for k, v in splits.items()} == {"train": "train", "test": "test"}
+    with pytest.raises(ValueError):
+        readers.read_tsv_splits(spark, ["x/train.tsv", "y/train.csv"])
+
+
+def test_epochs_are_written_over(spark, tmp_path):
+    write = streams.write_epochs(str(tmp_path / "o"))
+    for epoch, rows in ((0, 5), (1, 3), (0, 2)):
+        write(spark.range(rows), epoch)
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 5
+
+
+def test_rows_without_a_result_are_passed_over(spark):
+    df = frame(spark, [(1, "a"), (2, None), (3, "c")], "k long, v string")
+    out = generation.map_rows(df, {"w": F.upper("v")}, remove=["v"])
+    assert out.columns == ["k", "w"] and sorted(tuple(r) for r in out.collect()) == [(1, "A"), (3, "C")]
+    assert generation.map_rows(df, {"w": F.upper("v")}, limit=1).count() == 1

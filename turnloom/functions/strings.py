@@ -92,3 +92,54 @@ def clock_12h(minutes: Column) -> Column:
     hour = F.floor(minutes / 60)
     shown = F.when(hour % 12 == 0, 12).otherwise(hour % 12)
     return F.format_string("%d:%02d %s", shown.cast("long"), (minutes % 60).cast("long"), F.when(hour < 12, "AM").otherwise("PM"))
+
+
+# How each kind of report reads the turn out of a file's name.
+FILE_TURNS = {"search": r"it(\d+)", "anchored": r"^it(\d+)_", "turn": r"^turn(\d+)"}
+PREFIX_TURNS = ("it2", "it3", "it4", "it5")
+
+
+def file_turn(name: Column, rule: str) -> Column:
+    """The turn in a file's name by one of the rules; ``prefixed`` knows turns 2 to 5 only. Null where there is none."""
+    if rule == "prefixed":
+        found = F.substring(name, 3, 1)
+        return F.when(F.substring(name, 1, 3).isin(*PREFIX_TURNS), found).try_cast("int")
+    return F.nullif(F.regexp_extract(name, FILE_TURNS[rule], 1), F.lit("")).try_cast("int")
+
+
+def file_order(name: Column, rule: str) -> list[Column]:
+    """What files sort by: ``rising`` and ``falling`` go by turn (unknown: 999), complex files first by their number; ``plain_first`` puts nonNR files first, whatever their turn."""
+    number = F.nullif(F.regexp_extract(name, r"complex_(\d+)", 1), F.lit("")).try_cast("int")
+    turn = F.coalesce(file_turn(name, "search"), F.lit(999))
+    if rule == "plain_first":
+        plain = name.contains("nonNR")
+        return [F.when(plain, 0).when(number.isNotNull(), 1).otherwise(2), F.when(~plain, number), name]
+    if rule not in ("rising", "falling"):
+        raise ValueError(f"unknown order of files: {rule}")
+    return [turn, number.isNull(), number if rule == "rising" else -number, name]
+
+
+def bad_verdict(response: Column) -> Column:
+    """Whether a judge's response, as JSON text, takes its record out.
+
+    It does if it isn't an object, if any of its values isn't one, or if any has
+    the status Fail. N/A, an empty object and other statuses keep the record.
+    """
+    text = F.trim(response)
+    fields = F.from_json(text, "map<string,string>")
+    failed = F.exists(F.map_values(fields), lambda v: F.coalesce(~F.ltrim(v).startswith("{") | (F.get_json_object(v, "$.status") == "Fail"), v.isNull()))
+    return F.when(text.isin("N/A", '"N/A"'), False).otherwise(F.coalesce(failed, F.lit(True)))
+
+
+def masked_labels(ids: Column, prefix_ids: Column, most: int, mask: int = -100) -> Column:
+    """(input_ids, labels): the first ``most`` tokens, and the same with those of the prompt's prefix masked."""
+    kept = F.slice(ids, 1, most)
+    start = F.least(F.size(prefix_ids), F.size(kept))
+    labels = F.transform(kept, lambda x, i: F.when(i < start, F.lit(mask).cast("long")).otherwise(x))
+    return F.struct(kept.alias("input_ids"), labels.alias("labels"))
+
+
+def word_ids(text: Column) -> Column:
+    """A stand-in tokenizer: words between white space, each numbered by the first seven digits of its md5."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long"))

@@ -92,6 +92,15 @@ def render(template: str, columns: Sequence[str]) -> Column:
     return F.format_string(template, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
 
 
+def map_rows(df: DataFrame, made: dict[str, Column], remove: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """Add or replace columns, pass over rows for which any of them is null, take columns away; ``limit`` reads only so many results."""
+    out = df.withColumns(made)
+    for name in made:
+        out = out.filter(F.col(name).isNotNull())
+    out = out.drop(*remove)
+    return out if limit is None else out.limit(limit)
+
+
 def harden(df: DataFrame, plan: str, rules: dict[str, Column], target: str) -> DataFrame:
     """Rewrite ``target`` by the rule of the row's plan; ``before`` keeps the old value."""
     out = F.col(target)

@@ -85,3 +85,17 @@ def integrity_errors(source: DataFrame, labels: DataFrame, key: str, value: str)
     s, l = source.select(key, F.col(value).alias("__a")), labels.select(key, F.col(value).alias("__b"))
     differs = s.join(l, key).filter(~F.col("__a").eqNullSafe(F.col("__b"))).select(key, F.lit("mismatch").alias("error")).distinct()
     return dup.unionByName(missing).unionByName(differs)
+
+
+def drop_failed(records: DataFrame, verdicts: DataFrame, key: str, bad: Column) -> DataFrame:
+    """The records none of whose verdicts is ``bad``; records without a verdict stay."""
+    return records.join(verdicts.filter(bad).select(key).distinct(), key, "left_anti")
+
+
+def matching_rows(rows: DataFrame, results: DataFrame, file: str, keys: Sequence[str], plan: str, plans: Sequence[str]) -> DataFrame:
+    """Rows of the given plans that a result of the same file matches in all keys; null keys match null."""
+    wanted = results.filter(F.col(plan).isin(*plans)).select(file, *keys).distinct()
+    same = F.lit(True)
+    for k in (file, *keys):
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return rows.filter(F.col(plan).isin(*plans)).alias("l").join(wanted.alias("r"), same, "left_semi")

@@ -87,6 +87,28 @@ def round_robin(df: DataFrame, queue: str, order: Sequence[Column | str], n: int
     return ranked(df, [queue], order).orderBy(_RN, queue).limit(n).drop(_RN)
 
 
+def round_robin_reuse(df: DataFrame, queue: str, key: str, n: int, seed: object) -> DataFrame:
+    """``round_robin`` over queues that start again, shuffled anew, once they are used up: exactly n rows of any table with rows.
+
+    Every queue with rows gives one row a turn, so the turns are known before and
+    a queue of k rows is repeated only turns / k times. Adds ``turn`` (from 1).
+    """
+    sizes = df.groupBy(queue).agg(F.count(F.lit(1)).alias("__k"))
+    turns = sizes.select("*", F.ceil(F.lit(n) / F.count(F.lit(1)).over(Window.partitionBy())).alias("__turns"))
+    passes = turns.withColumn("__pass", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("__turns") / F.col("__k")).cast("long") - 1)))
+    dealt = df.join(passes.withColumnRenamed(queue, "__queue"), F.col(queue).eqNullSafe(F.col("__queue"))).drop("__queue")
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__pass").cast("string"), F.col(key).cast("string")))
+    placed = ranked(dealt, [queue, "__pass"], [shuffled, F.col(key)]).withColumn("turn", F.col("__pass") * F.col("__k") + F.col(_RN))
+    return placed.filter(F.col("turn") <= F.col("__turns")).orderBy("turn", queue).limit(n).select(*df.columns, "turn")
+
+
+def line_windows(df: DataFrame, place: Column, order: Sequence[Column | str], n: int, value: str) -> DataFrame:
+    """A table read n rows at a time: window (from 0) and its values in order; the last one may be shorter."""
+    numbered = serials(df, place, order, "__line").withColumn("window", F.floor((F.col("__line") - 1) / n).cast("long"))
+    gathered = numbered.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("__line", F.col(value).alias("v")))).alias("rows"))
+    return gathered.select("window", F.transform("rows", lambda r: r["v"]).alias("values"))
+
+
 #: Ranges that a global numbering is dealt to.
 RANGES = 64
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ class Pipeline:
                 df = stage(df)
         return df
 
+    def preview(self, skip: Sequence[str] = ()) -> list[tuple[int, str, bool]]:
+        """What a run would do: (place, stage, whether it runs). An unknown stage to skip raises."""
+        unknown = set(skip) - {name for name, _ in self.stages}
+        if unknown:
+            raise ValueError(f"unknown stages {sorted(unknown)}")
+        return [(i, name, name not in skip) for i, (name, _) in enumerate(self.stages)]
+
     def plan(self, df: DataFrame, skip: Sequence[str] = ()) -> str:
         out = self.run(df, skip)
         return out._jdf.queryExecution().toString()
@@ -75,7 +83,47 @@ def snk8_formatted(t: Tables) -> DataFrame:
     return sinks.formatted(means, ["mean"])
 
 
-@query("OR1 OR2 STR3 JN1 JN3 WN2 SC20")
+def _events_stream(t: Tables) -> DataFrame:
+    # a pattern, as Spark takes a plain path for a folder and this may be a file
+    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/[e]vents.parquet")
+
+
+@query("STR1 STR2", "select distinct event_id, event_type from events")
+def str1_stream_sink(t: Tables) -> DataFrame:
+    """Events as a stream into a folder, each id once; a second run from the same checkpoint adds nothing."""
+    path, checkpoint = sinks.scratch(t.spark, "stream"), sinks.scratch(t.spark, "stream-checkpoint")
+    for _ in range(2):
+        out = streams.run_to_end(streams.unseen(_events_stream(t).select("event_id", "event_type"), "event_id"), path, checkpoint)
+    return out
+
+
+@query("STR4 WN7", "select event_type, least(count(*), 40)::BIGINT as n, true as own from events group by event_type")
+def str4_stream_quota(t: Tables) -> DataFrame:
+    """The first 40 events of each type that a stream brings; which those are depends on the order of arrival."""
+    path, checkpoint = sinks.scratch(t.spark, "quota"), sinks.scratch(t.spark, "quota-checkpoint")
+    taken = streams.run_to_end(streams.quota_stream(_events_stream(t), "event_type", 40), path, checkpoint)
+    known = taken.join(t.events.select("event_id", F.lit(True).alias("known")).distinct(), "event_id", "left")
+    return known.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("own"))
+
+
+@query("OR2", "select * from (values (0::BIGINT, 'empty', true, (select count(*) from conversations where trim(text) <> '')), (1, 'short', false, null), (2, 'system', true, (select count(*) from conversations where trim(text) <> '' and role <> 'system'))) v(place, stage, runs, n)")
+def or2_dry_run(t: Tables) -> DataFrame:
+    """The stages that a run with a skipped one would take, and the rows after each that it takes."""
+    flow = Pipeline([("empty", lambda df: df.filter(F.trim("text") != "")), ("short", lambda df: df.filter(F.length("text") > 20)), ("system", lambda df: df.filter("role <> 'system'"))])
+    skip = ["short"]
+    stages = flow.preview(skip)
+    counts = [Pipeline(flow.stages[: i + 1]).run(t.conversations, skip).agg(F.lit(i).cast("long").alias("place"), F.count(F.lit(1)).alias("n")) for i, _, runs in stages if runs]
+    return t.spark.createDataFrame(stages, "place long, stage string, runs boolean").join(reduce(DataFrame.unionByName, counts), "place", "left")
+
+
+@query("OR4", "select lang, count(*)::BIGINT as n from documents where lang in ('de', 'fr') group by lang")
+def or4_test_keys(t: Tables) -> DataFrame:
+    known = [r["lang"] for r in t.documents.select("lang").distinct().collect()]
+    keys = readers.parse_test_keys("fr, de,fr", known)
+    return t.documents.filter(F.col("lang").isin(keys)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("OR1 STR3 JN1 JN3 WN2 SC20")
 def or1_generation_turn(t: Tables) -> DataFrame:
     """One turn of the generation loop over user turns, with the deterministic generator."""
     start = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"), F.concat_ws("-", F.lit("user"), "conv_id").alias("unique_idx"))
@@ -97,7 +145,7 @@ def or1_generation_turn(t: Tables) -> DataFrame:
     return flow.run(start).select("conv_id", "turn", "plan", "unique_idx", "u_key")
 
 
-@query("OR5 OR4 SC49 SC60")
+@query("OR5 SC49 SC60")
 def or5_two_stage_evaluation(t: Tables) -> DataFrame:
     """Rewrite, then plan, for turns whose rewrite succeeded; accuracy by turn."""
     rows = t.conversations.filter("role = 'user'").select("conv_id", "turn", "text").withColumn("gold", F.concat(F.lit("plan_"), F.col("conv_id") % 5))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from turnloom.functions import literals
+from turnloom.functions import literals, strings
 from turnloom.operators import joins
 from turnloom.operators.ranking import hash_order, keep_last, ranked
 from turnloom.plans.base import BUCKETS, SCORED, r9, scored
@@ -54,17 +55,34 @@ def jn5_left_indicator(t: Tables) -> DataFrame:
     return joins.indicator_join(t.customer.select("c_custkey"), right, ["c_custkey"])
 
 
-@query("JN8 PRJ13", "select doc_id, source from documents where doc_id not in (select doc_id from labels where quality = 0)")
+@query("JN8", "select doc_id, source from documents where doc_id not in (select doc_id from labels where quality = 0)")
 def jn8_anti_verdict(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "source").join(t.labels.filter("quality = 0").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("JN8 JN17", "select o_orderkey, o_custkey from orders where (o_custkey, o_orderpriority) in (select c_custkey, '1-URGENT' from customer where c_acctbal > 0)")
+@query("PRJ13 JN8", "select doc_id, source from documents where doc_id % 9 not in (2, 3, 4, 5, 8)")
+def prj13_failed_verdicts(t: Tables) -> DataFrame:
+    said = ['"N/A"', '{"a": {"status": "Pass"}, "b": {"status": "Pass"}}', '{"a": {"status": "Pass"}, "b": {"status": "Fail"}}', '{"a": {"status": "Pass"}, "b": 3}', '[{"status": "Pass"}]', "no object", "{}", '{"a": {"status": "Unsure"}, "b": {}}']
+    response = F.get(F.array(*map(F.lit, said)), (F.col("doc_id") % 9).cast("int"))
+    verdicts = t.documents.select("doc_id", response.alias("response"))
+    return joins.drop_failed(t.documents.select("doc_id", "source"), verdicts, "doc_id", strings.bad_verdict(F.col("response")))
+
+
+@query("JN8", "select o_orderkey, o_custkey from orders where (o_custkey, o_orderpriority) in (select c_custkey, '1-URGENT' from customer where c_acctbal > 0)")
 def jn17_semi_match_keys(t: Tables) -> DataFrame:
     keys = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit("1-URGENT").alias("o_orderpriority"))
     return t.orders.select("o_orderkey", "o_custkey", "o_orderpriority").join(keys, ["o_custkey", "o_orderpriority"], "left_semi").select("o_orderkey", "o_custkey")
 
 
+@query("JN17", """with r as (select distinct o_orderstatus, o_custkey, o_orderpriority, o_orderdate from orders where o_totalprice > 100000 and o_orderpriority in ('1-URGENT', '2-HIGH'))
+select o_orderkey, o_orderstatus from orders o where exists (select 1 from r where r.o_orderstatus = o.o_orderstatus and r.o_custkey = o.o_custkey and r.o_orderpriority = o.o_orderpriority and r.o_orderdate = o.o_orderdate)""")
+def jn17_matches_per_file(t: Tables) -> DataFrame:
+    """Orders of two priorities (the plans) that a dear order of the same status (the file) equals in customer, priority and date."""
+    results = t.orders.filter("o_totalprice > 100000")
+    found = joins.matching_rows(t.orders, results, "o_orderstatus", ["o_custkey", "o_orderpriority", "o_orderdate"], "o_orderpriority", ["1-URGENT", "2-HIGH"])
+    return found.select("o_orderkey", "o_orderstatus")
+
+
 # The categories of a record by its status in two runs.
 _CATEGORY = """case when b = 'fail' and o = 'fail' then 'fail_common' when b = 'fail' and o = 'success' then 'fail_baseline_only' when b = 'success' and o = 'fail' then 'fail_ours_only'
 when b = 'success' and o = 'success' then 'success' when b is null and o is not null then 'ours_only' when o is null and b is not null then 'baseline_only' else 'unknown' end"""
@@ -208,11 +226,9 @@ def prj2_sentinel_plan(t: Tables) -> DataFrame:
     return t.events.select("event_id", literals.plan_of_answer(F.get(F.array(*options), (F.col("event_id") % 8).cast("int"))).alias("plan"))
 
 
-@query("PRJ4 PRJ5 PRJ6", SCORED + """select distinct file, try_cast(nullif(regexp_extract(file, '^it([0-9]+)_', 1), '') as BIGINT) as turn_no, case when regexp_matches(file, 'complex_[0-9]') then regexp_extract(file, 'complex_[0-9]') when contains(file, 'nonNR') then 'nonNR' end as file_bucket,
+@query("PRJ5", SCORED + """select distinct file, try_cast(nullif(regexp_extract(file, '^it([0-9]+)_', 1), '') as BIGINT) as turn_no, case when regexp_matches(file, 'complex_[0-9]') then regexp_extract(file, 'complex_[0-9]') when contains(file, 'nonNR') then 'nonNR' end as file_bucket,
 (row_number() over (order by try_cast(nullif(regexp_extract(file, '^it([0-9]+)_', 1), '') as BIGINT), case when contains(file, 'nonNR') then 0 else 1 end, file))::BIGINT as place from (select distinct file from scored)""")
 def prj4_file_keys(t: Tables) -> DataFrame:
-    from pyspark.sql.window import Window
-
     turn = F.expr("try_cast(nullif(regexp_extract(file, '^it([0-9]+)_', 1), '') as bigint)")
     bucket = F.when(F.col("file").rlike("complex_[0-9]"), F.regexp_extract("file", "complex_[0-9]", 0)).when(F.col("file").contains("nonNR"), "nonNR")
     keyed = scored(t).select("file").distinct().withColumn("turn_no", turn).withColumn("file_bucket", bucket)
@@ -220,6 +236,35 @@ def prj4_file_keys(t: Tables) -> DataFrame:
     return keyed.withColumn("place", F.row_number().over(order).cast("long"))
 
 
+_NAMES = """with n as (select distinct case doc_id % 6 when 0 then 'it' || (doc_id % 13) || '_nonNR_tc.tsv' when 1 then 'it' || (doc_id % 13) || '_complex_' || (doc_id % 11) || '_tc.tsv' when 2 then 'turn' || (doc_id % 13) || '.tsv'
+when 3 then 'old_it' || (doc_id % 13) || '.tsv' when 4 then 'complex_' || (doc_id % 11) || '.tsv' else 'other.tsv' end as file from documents)
+"""
+
+
+def _names(t: Tables) -> DataFrame:
+    turn, number = (F.col("doc_id") % 13).cast("string"), (F.col("doc_id") % 11).cast("string")
+    made = [("it", turn, "_nonNR_tc.tsv"), ("it", turn, "_complex_", number, "_tc.tsv"), ("turn", turn, ".tsv"), ("old_it", turn, ".tsv"), ("complex_", number, ".tsv"), ("other.tsv",)]
+    name = F.get(F.array(*(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)) for parts in made)), (F.col("doc_id") % 6).cast("int"))
+    return t.documents.select(name.alias("file")).distinct()
+
+
+@query("PRJ4", _NAMES + """select file, nullif(regexp_extract(file, 'it([0-9]+)', 1), '')::INT as search, coalesce('turn' || nullif(regexp_extract(file, '^it([0-9]+)_', 1), ''), 'unknown') as anchored,
+nullif(regexp_extract(file, '^turn([0-9]+)', 1), '')::INT as turn, case when file[1:3] in ('it2', 'it3', 'it4', 'it5') then file[3:3]::INT end as prefixed from n""")
+def prj4_turn_rules(t: Tables) -> DataFrame:
+    turns = {rule: strings.file_turn(F.col("file"), rule).alias(rule) for rule in ("search", "turn", "prefixed")}
+    anchored = F.coalesce(F.concat(F.lit("turn"), strings.file_turn(F.col("file"), "anchored")), F.lit("unknown"))
+    return _names(t).select("file", anchored.alias("anchored"), *turns.values())
+
+
+@query("PRJ6", _NAMES + """, k as (select file, coalesce(nullif(regexp_extract(file, 'it([0-9]+)', 1), '')::INT, 999) as turn, nullif(regexp_extract(file, 'complex_([0-9]+)', 1), '')::INT as c, contains(file, 'nonNR') as plain from n)
+select file, row_number() over (order by turn, c is null, c, file) as rising, row_number() over (order by turn, c is null, -c, file) as falling,
+row_number() over (order by case when plain then 0 when c is not null then 1 else 2 end, c, file) as plain_first from k""")
+def prj6_file_orders(t: Tables) -> DataFrame:
+    """Places of the files in the three orders of reports; a report lists few files."""
+    places = (F.row_number().over(Window.orderBy(*strings.file_order(F.col("file"), rule))).cast("long").alias(rule) for rule in ("rising", "falling", "plain_first"))
+    return _names(t).select("file", *places)
+
+
 @query("PRJ8 PRJ9", "select lang, count_if(text = trim(text))::BIGINT as same, count_if(ends_with(text, '.'))::BIGINT as stopped, count_if(contains(split_part(text, ' ', 1), 'the'))::BIGINT as the_first from documents group by lang")
 def prj8_identity_counts(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang").agg(F.count_if(F.col("text").eqNullSafe(F.trim("text"))).alias("same"), F.count_if(F.col("text").endswith(".")).alias("stopped"), F.count_if(F.element_at(F.split("text", " "), 1).contains("the")).alias("the_first"))

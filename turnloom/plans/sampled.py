@@ -140,6 +140,14 @@ def smp8_round_robin(t: Tables) -> DataFrame:
     return ranking.round_robin(t.documents.select("source", "doc_id"), "source", [hash_order(8, "doc_id"), F.col("doc_id")], 50)
 
 
+@query("SMP8", f"""with s as (select source, count(*) as k, ceil(500.0::DOUBLE / count(*) over ())::BIGINT as turns from documents group by source),
+p as (select d.source, d.doc_id, r.pass, s.k, s.turns from documents d join s using (source), range(0, 500) r(pass) where r.pass * s.k < s.turns),
+x as (select *, pass * k + row_number() over (partition by source, pass order by md5('18:' || pass || ':' || doc_id), doc_id) as turn from p)
+select source, doc_id, turn from x where turn <= turns order by turn, source limit 500""")
+def smp8_round_robin_reuse(t: Tables) -> DataFrame:
+    return ranking.round_robin_reuse(t.documents.select("source", "doc_id"), "source", "doc_id", 500, 18)
+
+
 _PLANS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "OCEANIA", "ARCTIC"]
 
 
@@ -198,6 +206,12 @@ def smp15_fill_deficits(t: Tables) -> DataFrame:
     return sampling.take_in_turn(slots, F.lit(0).cast("long"), ["plan", "k"], t.events.select("event_id"), "event_id", 15).select("plan", "event_id")
 
 
+@query("SMP16", "with r as (select event_id, (row_number() over (order by event_id) - 1) // 7 as w from events) select w as \"window\", count(*) as n, string_agg(event_id, ',' order by event_id) as ids from r group by w")
+def smp16_line_windows(t: Tables) -> DataFrame:
+    windows = ranking.line_windows(t.events.select("event_id"), F.col("event_id"), ["event_id"], 7, "event_id")
+    return windows.select("window", F.size("values").cast("long").alias("n"), F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("ids"))
+
+
 @query("SMP16", f"select doc_id from documents order by {_md5('16', 'doc_id')}, doc_id limit 25")
 def smp16_list_sampler(t: Tables) -> DataFrame:
     return t.documents.select("doc_id").orderBy(hash_order(16, "doc_id"), "doc_id").limit(25)

@@ -320,6 +320,25 @@ def ud12_harden(t: Tables) -> DataFrame:
     return generation.harden(t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus"), "o_orderpriority", rules, "o_orderstatus").select("o_orderkey", "o_orderstatus", "changed")
 
 
-@query("UD9 UD13", "select lang, round(avg(case when quality = 0 then 1.0::DOUBLE else 0.0::DOUBLE end), 9) as bad_ratio from documents join labels using (doc_id) group by lang")
+@query("UD9", "select conv_id, turn, length(trim(text)) as n from conversations where role <> 'system' and trim(text) <> ''")
+def ud9_map_rows(t: Tables) -> DataFrame:
+    made = {"n": F.when((F.col("role") != "system") & (F.trim("text") != ""), F.length(F.trim("text")).cast("long"))}
+    return generation.map_rows(t.conversations, made, remove=["role", "text"])
+
+
+_WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+@query("SC68", f"""with w as (select conv_id, turn, {_WORDS.format("role || ' says ' || text")} as t, len({_WORDS.format("role || ' says'")}) as prefix from conversations),
+i as (select conv_id, turn, least(prefix, len(t), 12) as start, list_transform(t[1:12], lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) as ids from w)
+select conv_id, turn, array_to_string(ids, ',') as input_ids, array_to_string(list_transform(ids, lambda x, i: case when i <= start then -100 else x end), ',') as labels from i""")
+def sc68_masked_labels(t: Tables) -> DataFrame:
+    """Prompts of at most 12 tokens; the labels of the part before the answer are masked."""
+    prompt, prefix = F.concat("role", F.lit(" says "), "text"), F.concat("role", F.lit(" says"))
+    out = t.conversations.select("conv_id", "turn", strings.masked_labels(strings.word_ids(prompt), strings.word_ids(prefix), 12).alias("x"))
+    return out.select("conv_id", "turn", *(F.array_join(F.transform(f"x.{c}", lambda v: v.cast("string")), ",").alias(c) for c in ("input_ids", "labels")))
+
+
+@query("UD13", "select lang, round(avg(case when quality = 0 then 1.0::DOUBLE else 0.0::DOUBLE end), 9) as bad_ratio from documents join labels using (doc_id) group by lang")
 def ud13_bad_ratio(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang").join(t.labels, "doc_id").groupBy("lang").agg(F.round(F.avg((F.col("quality") == 0).cast("double")), 9).alias("bad_ratio"))

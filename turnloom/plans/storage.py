@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,34 @@ def src1_jsonl(t: Tables) -> DataFrame:
     return readers.read_jsonl(t.spark, path, "event_id long, user_id long, event_type string, props string")
 
 
-@query("SRC3 SRC4 SRC5 SRC6 SNK2 SNK6", "select conv_id::VARCHAR as conv_id, turn::VARCHAR as turn, role, text from conversations")
+@query("SRC3 SRC4 SNK2 SNK6", "select conv_id::VARCHAR as conv_id, turn::VARCHAR as turn, role, text from conversations")
 def src3_tsv(t: Tables) -> DataFrame:
     path = sinks.scratch(t.spark, "tsv")
     sinks.write_tsv(t.conversations, path, ["role", "text", "conv_id", "turn"])
     return readers.read_tsv(t.spark, path, ["conv_id", "turn", "role", "text"])
 
 
+@query("SRC5", "select n_nationkey::VARCHAR as n_nationkey, n_name from nation")
+def src5_byte_order_mark(t: Tables) -> DataFrame:
+    """The first header of a file that begins with a byte order mark is read without it."""
+    path = sinks.scratch(t.spark, "bom")
+    head = t.spark.createDataFrame([(0, readers.BOM + "n_nationkey\tn_name")], "o int, value string")
+    body = t.nation.select(F.lit(1).alias("o"), F.concat_ws("\t", "n_nationkey", "n_name").alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    return readers.read_tsv(t.spark, path, ["n_nationkey", "n_name"])
+
+
+@query("SRC6", "select 'r' || n_regionkey as split, n_nationkey::VARCHAR as n_nationkey, n_name from nation")
+def src6_file_splits(t: Tables) -> DataFrame:
+    path = sinks.scratch(t.spark, "splits")
+    names = [f"r{r['n_regionkey']}" for r in t.nation.select("n_regionkey").distinct().collect()]
+    for name in names:
+        sinks.write_tsv(t.nation.filter(F.concat(F.lit("r"), "n_regionkey") == name), f"{path}/{name}.tsv", ["n_nationkey", "n_name"])
+    splits = readers.read_tsv_splits(t.spark, readers.list_files(t.spark, path, "*.tsv"), ["n_nationkey", "n_name"])
+    parts = [df.withColumn("split", F.lit(name)) for name, df in splits.items()]
+    return reduce(DataFrame.unionByName, parts).select("split", "n_nationkey", "n_name")
+
+
 @query("SRC7 PRJ22", "select r_name as plan, string_agg(n_name, ',' order by n_name) as arg_keys from nation join region on n_regionkey = r_regionkey group by r_name")
 def src7_json_map(t: Tables) -> DataFrame:
     rows = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("n"))

@@ -25,6 +25,14 @@ def read_tsv(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[
     return df.select(*columns) if columns else df
 
 
+def read_tsv_splits(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """One table per file or folder, by the name of it without its suffix; two of the same name raise."""
+    names = [path.rstrip("/").rpartition("/")[2].partition(".")[0] for path in paths]
+    if len(set(names)) < len(names):
+        raise ValueError(f"two files give one split: {sorted(names)}")
+    return {name: read_tsv(spark, path, columns) for name, path in zip(names, paths)}
+
+
 def read_json_document(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema else reader).json(path)

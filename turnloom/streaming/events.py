@@ -57,6 +57,28 @@ def append_new(path: str, key: str):
     return write
 
 
+def write_epochs(path: str):
+    """A foreachBatch sink with a folder per batch: a batch that died half-way is written over by its rerun, and nothing else is read."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return write
+
+
+def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Take all there is of a stream into ``path`` and read it back; a further run with the same checkpoint adds only what is new."""
+    spark = stream.sparkSession
+    query = stream.writeStream.foreachBatch(write_epochs(path)).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
+
+
+def unseen(events: DataFrame, key: str, late: str | None = None) -> DataFrame:
+    """The first row of each key. Keys are held in the stream's state, with ``late`` only as long as the watermark may lag behind."""
+    return watermarked(events, late).dropDuplicatesWithinWatermark([key]) if late else events.dropDuplicates([key])
+
+
 def remaining(targets: DataFrame, written: DataFrame, key: str, wanted: int) -> DataFrame:
     """Keys that have fewer than ``wanted`` results, and how many are missing."""
     counts = written.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
