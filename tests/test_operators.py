@@ -236,3 +236,15 @@ def test_rows_without_a_result_are_passed_over(spark):
     out = generation.map_rows(df, {"w": F.upper("v")}, remove=["v"])
     assert out.columns == ["k", "w"] and sorted(tuple(r) for r in out.collect()) == [(1, "A"), (3, "C")]
     assert generation.map_rows(df, {"w": F.upper("v")}, limit=1).count() == 1
+
+
+def test_slices_number_a_group_as_one_window_does(spark):
+    rows = [("hot" if i % 3 else ("cold" if i % 2 else None), i % 1500) for i in range(3000)] + [("one", None)]
+    df = frame(spark, rows, "g string, k long")
+    order = [ranking.hash_order(4, "k"), F.col("k")]
+    want = ranking.ranked(df, ["g"], order, "n")
+    got = ranking.hash_ranked(df, ["g"], "k", 4, "n", "size")
+    assert sorted(map(repr, got.select("g", "k", "n").collect())) == sorted(map(repr, want.collect()))
+    sizes = {r.g: r["count"] for r in df.groupBy("g").count().collect()}
+    assert all(r.size == sizes[r.g] for r in got.select("g", "size").distinct().collect())
+    assert ranking.hash_ranked(df.limit(0), ["g"], "k", 4, "n").count() == 0

@@ -132,3 +132,27 @@ def serials(df: DataFrame, place: Column, order: Sequence[Column | str], name: s
 def hash_place(seed: object, key: str) -> Column:
     """The first twelve digits of a row's place in the seeded order, as a number."""
     return F.conv(F.substring(hash_order(seed, key), 1, 12), 16, 10).cast("long")
+
+
+#: Bits of the seeded order that part a group; a group is numbered in 2 ** SLICE_BITS tasks at most.
+SLICE_BITS = 8
+
+
+def hash_ranked(df: DataFrame, keys: Sequence[str], key: str, seed: object, name: str, size: str | None = None) -> DataFrame:
+    """``ranked`` by the seeded order, and each group's number of rows as ``size``, without one task per group.
+
+    The order is uniform, so its first bits cut a group into even slices. Each is
+    numbered apart and starts after the counted rows of those before it: the
+    counts, a row per group and slice, are all that one group has in one window.
+    """
+    dealt = df.withColumn("__slice", F.shiftright(hash_place(seed, key), 48 - SLICE_BITS))
+    counts = dealt.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__n").over(group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__slice").alias("__s"), before.alias("__before"), F.sum("__n").over(group).alias("__size"))
+    numbered = ranked(dealt, [*keys, "__slice"], [hash_order(seed, key), F.col(key)], "__own")
+    same = F.col("__slice") == F.col("__s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = numbered.join(starts, same).withColumn(name, (F.col("__own") + F.col("__before")).cast("long"))
+    return joined.select(*df.columns, name, *([F.col("__size").alias(size)] if size else []))

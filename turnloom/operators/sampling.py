@@ -6,15 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from turnloom.operators.ranking import hash_order, hash_place, ranked, serials
+from turnloom.operators.ranking import hash_order, hash_place, hash_ranked, ranked, serials
 
 
 def stratified_split(df: DataFrame, plan: str, key: str, ratio: float, cap: int, seed: object) -> DataFrame:
     """``part`` per plan: single rows test; int(n * ratio) train; if that is above the cap, both parts are capped (rest: null)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(plan))
-    sized = ranked(df, [plan], [hash_order(seed, key), F.col(key)], "__rn").withColumn("__n", n).withColumn("__train", F.when(F.col("__n") == 1, F.lit(0)).otherwise(F.floor(F.col("__n") * F.lit(ratio))).cast("long"))
+    sized = hash_ranked(df, [plan], key, seed, "__rn", "__n").withColumn("__train", F.when(F.col("__n") == 1, F.lit(0)).otherwise(F.floor(F.col("__n") * F.lit(ratio))).cast("long"))
     capped = F.col("__train") > cap
     part = (
         F.when(F.col("__rn") <= F.least(F.col("__train"), F.lit(cap)), "train")
@@ -24,14 +22,14 @@ def stratified_split(df: DataFrame, plan: str, key: str, ratio: float, cap: int,
 
 
 def capped_sample(df: DataFrame, keys: Sequence[str], key: str, n: Column | int, seed: object) -> DataFrame:
-    """n rows of each group, or all of smaller ones."""
-    return ranked(df, keys, [hash_order(seed, key), F.col(key)], "__rn").filter(F.col("__rn") <= n).drop("__rn")
+    """n rows of each group, or all of smaller ones; by a fixed n Spark cuts groups before it shuffles them."""
+    placed = ranked(df, keys, [hash_order(seed, key), F.col(key)], "__rn") if isinstance(n, int) else hash_ranked(df, keys, key, seed, "__rn")
+    return placed.filter(F.col("__rn") <= n).drop("__rn")
 
 
 def fraction_sample(df: DataFrame, keys: Sequence[str], key: str, fraction: float, above: int, seed: object) -> DataFrame:
     """Groups of more than ``above`` rows are cut to round-half-even(n * fraction), others stay."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    sized = ranked(df, keys, [hash_order(seed, key), F.col(key)], "__rn").withColumn("__n", n)
+    sized = hash_ranked(df, keys, key, seed, "__rn", "__n")
     return sized.filter((F.col("__n") <= above) | (F.col("__rn") <= F.bround(F.col("__n") * F.lit(fraction)))).drop("__rn", "__n")
 
 
@@ -93,13 +91,13 @@ def with_replacement(df: DataFrame, keys: Sequence[str], key: str, n: int, seed:
     draws = size.select(*keys, "__n", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *keys, F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long")
     placed = draws.withColumn("__rn", F.pmod(number, F.col("__n")) + 1)
-    return placed.join(ranked(df, keys, [hash_order(seed, key), F.col(key)], "__rn"), [*keys, "__rn"]).drop("__rn", "__n")
+    return placed.join(hash_ranked(df, keys, key, seed, "__rn"), [*keys, "__rn"]).drop("__rn", "__n")
 
 
 def interleave(df: DataFrame, source: str, key: str, weights: dict[str, float], seed: object) -> DataFrame:
     """Merge sources by probability: row k of a source with weight p comes at virtual time k / p."""
     p = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(source)]
-    return ranked(df, [source], [hash_order(seed, key), F.col(key)], "__rn").withColumn("time", F.col("__rn") / p).drop("__rn")
+    return hash_ranked(df, [source], key, seed, "__rn").withColumn("time", F.col("__rn") / p).drop("__rn")
 
 
 def mixture_plan(total: int, ratios: dict[str, float]) -> dict[str, int]:
