@@ -248,3 +248,22 @@ def test_slices_number_a_group_as_one_window_does(spark):
     sizes = {r.g: r["count"] for r in df.groupBy("g").count().collect()}
     assert all(r.size == sizes[r.g] for r in got.select("g", "size").distinct().collect())
     assert ranking.hash_ranked(df.limit(0), ["g"], "k", 4, "n").count() == 0
+
+
+def test_retrievers(spark):
+    df = frame(spark, [(1, ["a"]), (2, ["a", "b", "c"]), (3, [])], "k long, gold array<string>")
+    got = {r.k: r.tools for r in sampling.gold_and_others(df, "gold", "k", list("abcde"), 2, 1).collect()}
+    assert got[2] == ["a", "b", "c"] and got[1][0] == "a" and len(set(got[1])) == 2 and len(set(got[3])) == 2
+    asked = frame(spark, [("b",), ("none",), (None,)], "q string")
+    tools = generation.model_retrieve(asked, "q", {"a": "first\nrest", "b": ""}, 1, lambda prompt, _: '["b", "z", null]' if prompt.endswith("Request: b") else "no list")
+    assert {r.q: r.tools for r in tools.collect()} == {"b": ["b"], "none": [], None: []}
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(60, 4))
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    whole = sorted(map(tuple, similarity.top_k(df, df, "k", "k", "v", 3).collect()))
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 16)
+    assert sorted(map(tuple, similarity.top_k(df, df, "k", "k", "v", 3).collect())) == whole and len(whole) == 180

@@ -61,6 +61,21 @@ def generate(df: DataFrame, prompt: str, backend: Callable[[str, float], str], v
     return dealt.mapInPandas(run, f"{schema}, output string, attempts int, valid boolean, error string")
 
 
+def model_retrieve(df: DataFrame, query: str, catalog: dict[str, str], n: int, backend: Callable[[str, float], str]) -> DataFrame:
+    """Add ``tools``: the names that a generator picks for the query from a catalog (name to description), unknown ones left out.
+
+    The prompt lists every name with the first line of its description. An
+    answer that is no JSON list of strings gives no tools.
+    """
+    listed = "\n".join(f"{name}: {about.strip().splitlines()[0] if about.strip() else ''}" for name, about in catalog.items())
+    head = f"Tools:\n{listed}\nAnswer with a JSON list of the names of {n} tools that suit the request.\nRequest: "
+    asked = df.withColumn("__prompt", F.concat(F.lit(head), F.coalesce(query, F.lit(""))))
+    out = generate(asked, "__prompt", backend, lambda x: x.lstrip().startswith("["))
+    known = F.array(*map(F.lit, catalog))
+    names = F.coalesce(F.from_json("output", "array<string>"), F.array().cast("array<string>"))
+    return out.withColumn("tools", F.filter(names, lambda x: F.array_contains(known, F.coalesce(x, F.lit(""))))).select(*df.columns, "tools")
+
+
 def two_stage(df: DataFrame, first: Callable[[DataFrame], DataFrame], second: Callable[[DataFrame], DataFrame], error: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose first stage failed skip the second: (second stage's rows, failed rows)."""
     done = first(df)

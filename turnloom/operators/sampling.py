@@ -85,6 +85,13 @@ def distractors(df: DataFrame, gold: str, key: str, catalog: Sequence[str], n: i
     return df.withColumn("candidates", F.transform(both, lambda s: s["x"]))
 
 
+def gold_and_others(df: DataFrame, gold: str, key: str, catalog: Sequence[str], n: int, seed: object) -> DataFrame:
+    """``tools``: the gold ones, then others in seeded order up to n in all; more than n gold ones stay, alone."""
+    every = F.array(*[F.lit(x) for x in catalog])
+    others = F.array_sort(F.transform(F.array_except(every, F.col(gold)), lambda x: F.struct(hash_order(seed, F.col(key), x).alias("h"), x.alias("x"))))
+    return df.withColumn("tools", F.concat(gold, F.transform(F.slice(others, F.lit(1), F.greatest(F.lit(n) - F.size(gold), F.lit(0))), lambda s: s["x"])))
+
+
 def with_replacement(df: DataFrame, keys: Sequence[str], key: str, n: int, seed: object) -> DataFrame:
     """n draws from each group: draw k takes row hash(seed, k) mod size of the group's seeded order."""
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("__n"))

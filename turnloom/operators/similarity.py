@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,25 +141,28 @@ QUERY_BLOCK = 4096
 def top_k(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int) -> DataFrame:
     """Exact cosine neighbours: each block of queries is broadcast and kept to k per partition of items.
 
-    Items are never shuffled; what is are at most k rows per query and task.
+    Items are never shuffled; what is are at most k rows per query and task. With
+    several blocks each one's neighbours are checkpointed and its broadcast
+    released before the next, so one block at a time is held anywhere.
     """
     q = queries.select(F.col(query_id).alias("__q"), unit(F.col(vector)).alias("__v"))
     total = q.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
     dims = items.select(item_id, vector)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item")).cast("long")
     out = None
     for b in range(blocks):
         part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("__q"), F.lit(blocks)) == b)
-        rows = [(r["__q"], r["__v"]) for r in part.collect()]
-        found = _nearest(dims, item_id, vector, rows, k)
+        sent = items.sparkSession.sparkContext.broadcast([(r["__q"], r["__v"]) for r in part.collect()])
+        found = _nearest(dims, item_id, vector, sent, k).withColumn("rank", place).filter(F.col("rank") <= k)
+        if blocks > 1:
+            found = cut(found)
+            sent.unpersist()
         out = found if out is None else out.unionByName(found)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item")).cast("long"))
-    return ranked.filter(F.col("rank") <= k)
+    return out
 
 
-def _nearest(items: DataFrame, item_id: str, vector: str, rows: list[tuple], k: int) -> DataFrame:
-    sent = items.sparkSession.sparkContext.broadcast(rows)
-
+def _nearest(items: DataFrame, item_id: str, vector: str, sent: Broadcast, k: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from turnloom.operators import ranking, sampling
+from turnloom.operators import generation, ranking, sampling
 from turnloom.operators.ranking import hash_order
 from turnloom.plans.base import SCORED, scored
 from turnloom.plans.relational import _md5
@@ -160,6 +162,26 @@ def smp9_candidates(t: Tables) -> DataFrame:
     return sampling.distractors(gold, "gold", "n_nationkey", _PLANS, 4, 1).select("n_nationkey", F.array_join("candidates", ",").alias("candidates"))
 
 
+_TOOLS = {x: f"Serves {x.lower()}.\nMore on it." for x in _PLANS}
+
+
+def _picks(prompt: str, temperature: float) -> str:
+    """A stand-in generator: two tools by the length of the request, and one that isn't known."""
+    n = len(prompt.rpartition("\nRequest: ")[2])
+    return json.dumps([_PLANS[n % 7], "NOWHERE", _PLANS[(n + 1) % 7]])
+
+
+@query("UD8", f"""with p(place, x) as (values {", ".join(f"({i}, '{x}')" for i, x in enumerate(_PLANS))}), g as (select conv_id, turn, length(text) as n, conv_id * 1000 + turn as k from conversations),
+o as (select conv_id, turn, string_agg(x, ',' order by h) as others from (select g.*, x, h, row_number() over (partition by k order by h) as rn from (select g.*, x, {_md5('19', 'k', 'x')} as h from g, p where place <> n % 7) g) where rn <= 3 group by 1, 2)
+select conv_id, turn, a.x || ',' || others as fake, a.x || ',' || b.x as model from g join o using (conv_id, turn) join p a on a.place = n % 7 join p b on b.place = (n + 1) % 7""")
+def ud8_retrievers(t: Tables) -> DataFrame:
+    """Four tools with the gold one among them, and those a generator picks from the catalog."""
+    gold = F.array(F.get(F.array(*map(F.lit, _PLANS)), F.length("text") % 7))
+    rows = t.conversations.select("conv_id", "turn", "text", gold.alias("gold"), (F.col("conv_id") * 1000 + F.col("turn")).alias("k"))
+    fake = sampling.gold_and_others(rows, "gold", "k", _PLANS, 4, 19).withColumnRenamed("tools", "fake")
+    return generation.model_retrieve(fake, "text", _TOOLS, 2, _picks).select("conv_id", "turn", F.array_join("fake", ",").alias("fake"), F.array_join("tools", ",").alias("model"))
+
+
 @query("SMP10", f"""with g as (select conv_id, row_number() over (order by {_md5('11', 'conv_id')}, conv_id) as rn, count(*) over () as n from (select distinct conv_id from conversations))
 select c.conv_id, c.turn, case when rn <= round_even(n * 0.8::DOUBLE, 0) then 'train' when rn <= round_even(n * 0.8::DOUBLE, 0) + round_even(n * 0.1::DOUBLE, 0) then 'valid' else 'test' end as part from conversations c join g using (conv_id)""")
 def smp10_group_split(t: Tables) -> DataFrame:
