@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import chat, decontam, licenses, lines, mixing, ogg, quality, simhash, suffix, toxicity
+from turnloom.llm import chat, decontam, fim, licenses, lines, mixing, ogg, quality, sharding, simhash, spelling, suffix, toxicity
 from turnloom.llm.common import read_table
 
 
@@ -52,11 +52,24 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ogg_media, op2_snapshot_collapse, op3_ordinal_toxicity, op4_pareto_mix, op5_license_scan,
         op6_attention_quality, op7_simhash_bktree, op8_suffix_repeats, op9_fuzzy_lines, op10_benchmark_leaks,
+        op11_spelling_variants, op12_jump_shards, op13_fill_in_middle,
     )
 }
-ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat.ORACLE, "op4_pareto_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat.ORACLE, "op4_pareto_mix": mixing.ORACLE, "op13_fill_in_middle": fim.ORACLE}
