@@ -45,7 +45,6 @@ def test_generation_failures():
     assert L.quote_bare_keys("{a: 'x, b: 1', c : [d: 2]}") == """{"a": 'x, b: 1', "c" : ["d": 2]}"""
     assert L.history_items("['turn 3: a', '', 'b']") == [(3, "turn 3: a"), (2, "b")] and L.history_items("hello") == [(1, "hello")] and L.history_items(None) == []
     assert L.assign_list(["a", 1, "x", "attachments", "f"], ["b", "a", "attachments"]) == {"a": 1, "attachments": ["f"], "b": "x"} and L.assign_list([], ["a"]) is None
-    assert L.timers("turn 1: q -> You have: 5 minutes - the Tea, eggs at 7 minutes") == [(5, "Tea"), (7, "eggs")]
     assert L.without_required([{"parameters": {"required": ["a"], "properties": {"required": 1}}}]) == [{"parameters": {"properties": {"required": 1}}}]
     assert L.model_output("x", "call")[0] == "no_json_object_found" and L.model_output('{"arguments": {}}', "call")[0] == "missing_name"
     assert L.normalise_plan("Act", ["action_act", "b"]) == "action_act" and L.normalise_plan("zzz", ["b"]) == "zzz"
@@ -54,7 +53,7 @@ def test_generation_failures():
 
 @given(st.text(max_size=60))
 def test_parsers_never_raise(text):
-    L.parse_generation(text), L.embedded(text), L.jsonish(text), L.parse_calls(text), L.history_items(text), L.timers(text), L.answer_plan(text), L.quote_bare_keys(text), L.first_object(text)
+    L.parse_generation(text), L.embedded(text), L.jsonish(text), L.parse_calls(text), L.history_items(text), L.answer_plan(text), L.quote_bare_keys(text), L.first_object(text)
 
 
 @given(st.recursive(st.none() | st.booleans() | st.integers(-9, 9) | st.text("ab'\" {}", max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text("abc", min_size=1, max_size=3), x, max_size=3), max_leaves=6))
@@ -88,3 +87,31 @@ def test_lcs(a, b):
         for j, y in enumerate(b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
     assert similarity.lcs_length(a, b) == table[-1][-1]
+
+
+def test_timers(spark):
+    said = {
+        "turn 1: q -> You have: 5 minutes - the Tea, eggs at 7 minutes": [(5, "Tea"), (7, "eggs")],
+        "turn 2: 3 min left? -> Two timers: 5 mins left on your pasta and 12 minutes remaining for the roast": [(5, "pasta"), (12, "roast")],
+        "turn 3: q -> Timers: [rice \u2014 9 min remaining]; 1) Rice - 9 minutes. the soup with 4 minutes to go": [(9, "rice"), (4, "soup")],
+        "turn 4: q -> none of them, 5 minutes": [], "": [], None: [],
+    }
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(said)], "k int, turn string")
+    got = {r.k: [tuple(x) for x in r.t] for r in df.select("k", strings.timer_items(F.col("turn")).alias("t")).collect()}
+    assert got == dict(enumerate(said.values()))
+
+
+@pytest.mark.parametrize(
+    ("text", "mode", "strict", "want"),
+    [
+        ('{"rewritten_query": "", "query": "q"}', "rewrite", False, ("ok", '{"rewritten_query":"q"}')),
+        ('{"rewritten_query": 5, "query": "q"}', "rewrite", False, ("missing_rewritten_query", None)),
+        ('{"query": "q"}', "rewrite", True, ("missing_confirmed_arguments", None)),
+        ('{"query": "q", "confirmed_arguments": 0}', "rewrite", False, ("confirmed_arguments_not_object", None)),
+        ('{"name": "", "plan": "p"}', "call", False, ("ok", '{"arguments":{},"name":"p"}')),
+        ('{"name": "n", "arguments": null}', "call", False, ("arguments_not_object", None)),
+        (None, "call", False, ("no_json_object_found", None)),
+    ],
+)
+def test_output_contracts(text, mode, strict, want):
+    assert L.model_output(text, mode, strict) == want

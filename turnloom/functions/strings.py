@@ -36,36 +36,63 @@ def entities(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern if pattern == STREET else f"({pattern})"), F.lit(1)))
 
 
+# Signs of broken JSON and the classes that they tell.
+SPLIT_OBJECTS, NUMBER_QUOTE, WORD_QUOTE = r"\}\s*,\s*\{", r'"[A-Za-z0-9_]+"\s*:\s*-?\d+"', r'"[A-Za-z0-9_]+"\s*:\s*(true|false|null)"'
+ERRORS = ("empty_raw", "two_json_objects_newline", "two_objects_comma_split", "truncated_missing_%d_brace", "extra_%d_closing_brace", "number_then_stray_quote", "bool_or_null_then_stray_quote", "other_malformed_json")
+
+
 def raw_error(raw: Column) -> Column:
     """What keeps a model's output from being one JSON object, by the first rule that holds."""
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s+|\s+$", "")
     missing = F.length(F.regexp_replace(text, r"[^{]", "")) - F.length(F.regexp_replace(text, r"[^}]", ""))
-    return (
-        F.when(text == "", "empty_raw")
-        .when(text.contains("\n{"), "two_json_objects_newline")
-        .when(text.rlike(r"\}\s*,\s*\{"), "two_objects_comma_split")
-        .when(missing > 0, F.format_string("truncated_missing_%d_brace", missing))
-        .when(missing < 0, F.format_string("extra_%d_closing_brace", -missing))
-        .when(text.rlike(r'"[A-Za-z0-9_]+"\s*:\s*-?\d+"'), "number_then_stray_quote")
-        .when(text.rlike(r'"[A-Za-z0-9_]+"\s*:\s*(true|false|null)"'), "bool_or_null_then_stray_quote")
-        .otherwise("other_malformed_json")
-    )
+    signs = [text == "", text.contains("\n{"), text.rlike(SPLIT_OBJECTS), missing > 0, missing < 0, text.rlike(NUMBER_QUOTE), text.rlike(WORD_QUOTE)]
+    told = [F.format_string(name, F.abs(missing)) if "%d" in name else F.lit(name) for name in ERRORS]
+    return F.coalesce(*(F.when(sign, name) for sign, name in zip(signs, told)), told[-1])
+
+
+# How an alarm is written, between quotation marks and without them, and its label and time if it has none.
+QUOTED_ALARM, PLAIN_ALARM = r"'(alarm_id:\s*\d+\s*-\s*[^']+)'", r"(alarm_id:\s*\d+\s*-\s*[^.,]+(?:,[^.,]+)?)"
+NO_LABEL, NO_TIME = "Updated Alarm", "that time"
 
 
 def alarm_descriptor(text: Column) -> Column:
     """'alarm_id: N - time, label' as a text quotes it, or up to the second comma or a full stop; else empty."""
-    quoted = F.regexp_extract(text, r"'(alarm_id:\s*\d+\s*-\s*[^']+)'", 1)
-    return F.when(quoted != "", quoted).otherwise(F.trim(F.regexp_extract(text, r"(alarm_id:\s*\d+\s*-\s*[^.,]+(?:,[^.,]+)?)", 1)))
+    quoted = F.regexp_extract(text, QUOTED_ALARM, 1)
+    return F.when(quoted != "", quoted).otherwise(F.trim(F.regexp_extract(text, PLAIN_ALARM, 1)))
 
 
 def alarm_label(descriptor: Column) -> Column:
     parts = F.split(descriptor, ",")
-    return F.when(F.size(parts) > 1, F.btrim(F.trim(F.get(parts, 1)), F.lit("'"))).otherwise("Updated Alarm")
+    return F.when(F.size(parts) > 1, F.btrim(F.trim(F.get(parts, 1)), F.lit("'"))).otherwise(NO_LABEL)
 
 
 def alarm_time(descriptor: Column) -> Column:
     found = F.trim(F.regexp_extract(descriptor, r"-\s*([^,]+)", 1))
-    return F.when(found != "", found).otherwise("that time")
+    return F.when(found != "", found).otherwise(NO_TIME)
+
+
+#: What names a running time in a list of timers, with the words that tie it to a label, and what opens a label.
+MINUTES = r"(?i)(\d+)\s*min(?:ute)?s?\b"
+TIED_MINUTES = r"(?i)(?:\b(?:with|at)\b|-)?\s*\d+\s*min(?:ute)?s?\b(?:\s*(?:remaining|to go|left))?(?:\s*(?:-|\bon\b|\bfor\b))?"
+LABEL_OPENING = r"(?i)^\s*(?:\d+\)\s*)?(?:(?:the|your)\s+)?"
+
+
+def timer_items(turn: Column) -> Column:
+    """(minutes, label) of each timer that the assistant's part of a turn lists, each once.
+
+    The list is cut at commas, stops, colons and at an ``and`` before another time;
+    a label is what a piece holds besides its time. Pieces without either are
+    passed over, and labels that differ in case only are the same.
+    """
+    spoken = F.element_at(F.split(F.coalesce(turn, F.lit("")), "->", 2), -1)
+    plain = F.translate(F.regexp_replace(spoken, "[\u2013\u2014]", "-"), "[]", "")
+    pieces = F.split(F.element_at(F.split(plain, ":", 2), -1), r"[,.;:]|\s+and\s+(?=[^,.;:]*\d+\s*min)")
+    timed = F.filter(pieces, lambda x: x.rlike(MINUTES))
+    label = lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, TIED_MINUTES, " ")), LABEL_OPENING, ""))
+    found = F.transform(timed, lambda x: F.struct(F.regexp_extract(x, MINUTES, 1).try_cast("long").alias("minutes"), label(x).alias("label")))
+    named = F.filter(found, lambda x: x["label"] != "")
+    same = lambda x, y: (x["minutes"] == y["minutes"]) & (F.lower(x["label"]) == F.lower(y["label"]))
+    return F.aggregate(named, F.slice(named, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: same(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
 
 
 def suffix_kind(uri: Column) -> Column:

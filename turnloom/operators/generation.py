@@ -1,4 +1,4 @@
-"""The seam for generators: a callable over prompts, with retries, errors as rows and filters.
+"""The seam for generators: a callable over prompts, with retries, errors as rows, a bounded number in flight and a stop on quota errors.
 
 Nothing here calls a network; ``stub`` is a deterministic generator for tests and
 dry runs. Results carry ``_pos``, so order can be restored.
@@ -8,19 +8,28 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator, Sequence
+import threading
+import uuid
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from typing import TypeVar
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Temperatures of the retry ladder.
 LADDER = (0.0, 0.2, 0.5)
+#: The error of prompts that were not asked because the quota was used up before.
+NOT_ASKED = "not asked: quota exceeded"
+
+A, B = TypeVar("A"), TypeVar("B")
 
 
 class QuotaExceeded(RuntimeError):
-    """Raised by a backend to stop the whole job instead of giving an error row."""
+    """Raised by a backend whose quota is used up; further calls are of no use."""
 
 
 def stub(prompt: str, temperature: float = 0.0) -> str:
@@ -31,33 +40,102 @@ def stub(prompt: str, temperature: float = 0.0) -> str:
     return json.dumps({"plan": f"plan_{h % 5}", "arguments": {"n": h % 100}})
 
 
-def generate(df: DataFrame, prompt: str, backend: Callable[[str, float], str], valid: Callable[[str], bool], tasks: int | None = None) -> DataFrame:
-    """Add output, attempts, valid and error: the ladder is climbed until an output is valid.
+def in_order(pool: ThreadPoolExecutor, call: Callable[[A], B], items: Iterable[A], most: int) -> Iterator[B]:
+    """Results in the items' order, with ``most`` calls under way or waiting to be taken at any time."""
+    waiting: deque = deque()
+    for item in items:
+        waiting.append(pool.submit(call, item))
+        if len(waiting) >= most:
+            yield waiting.popleft().result()
+    while waiting:
+        yield waiting.popleft().result()
+
 
-    Exceptions become error rows, but for QuotaExceeded, which fails the job.
-    ``tasks`` bounds how many prompts are in flight at once.
+class QuotaWatch:
+    """Ends a run once a backend's quota is used up, without any task being tried again.
+
+    A task that meets the error raises nothing, as Spark would run it anew and
+    ask the backend up to ``spark.task.maxFailures`` times more. It asks no further
+    prompts, says so in an accumulator, and ends. ``run`` tags the jobs of an action;
+    a thread sees the accumulator and cancels them by the tag, so that no further
+    task begins. Spark looks after cancelled Python workers every two seconds and
+    ends them ``spark.python.task.killTimeout`` later; until then those on other
+    machines may go on with their next prompts.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf[prompt]:
-                out, error, ok, n = None, None, False, 0
-                for n, temperature in enumerate(LADDER, 1):
-                    try:
-                        out, error = backend(text or "", temperature), None
-                        ok = valid(out)
-                    except QuotaExceeded:
-                        raise
-                    except Exception as e:  # noqa: BLE001  a row's failure is that row's result
-                        error = f"{type(e).__name__}: {e}"
-                    if ok:
-                        break
-                rows.append((out, n, ok, error))
-            yield pdf.assign(**dict(zip(("output", "attempts", "valid", "error"), map(list, zip(*rows)))) if rows else {"output": [], "attempts": [], "valid": [], "error": []})
-
-    dealt = df.repartition(tasks) if tasks else df
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    def __init__(self, spark: SparkSession, every_s: float = 0.05):
+        self.spark, self.every_s = spark, every_s
+        self.errors = spark.sparkContext.accumulator(0)
+
+    def run(self, action: Callable[[], A]) -> A:
+        """What the action returns; QuotaExceeded if any of its prompts met the quota's end."""
+        sc, tag, done = self.spark.sparkContext, f"quota-{uuid.uuid4().hex}", threading.Event()
+
+        def cancel_when_told() -> None:
+            while not done.wait(self.every_s):
+                if self.errors.value:
+                    sc.cancelJobsWithTag(tag)
+
+        sc.addJobTag(tag)
+        listener = threading.Thread(target=cancel_when_told, daemon=True)
+        listener.start()
+        try:
+            out = action()
+        except Exception as e:
+            if self.errors.value:
+                raise QuotaExceeded("the quota was used up; the run's jobs were cancelled") from e
+            raise
+        finally:
+            done.set()
+            listener.join()
+            sc.removeJobTag(tag)
+        if self.errors.value:
+            raise QuotaExceeded("the quota was used up in the last tasks of the run")
+        return out
+
+
+def generate(df: DataFrame, prompt: str, backend: Callable[[str, float], str], valid: Callable[[str], bool], tasks: int | None = None, in_flight: int = 1, watch: QuotaWatch | None = None) -> DataFrame:
+    """Add output, attempts, valid, error and ``_pos``: the ladder is climbed until an output is valid.
+
+    ``in_flight`` prompts of a task are asked at the same time, and ``tasks`` bounds
+    the tasks. Rows keep their order within a task; ``_pos`` (kept if there is one)
+    rises with the input's order over all. Exceptions become error rows. After
+    QuotaExceeded the rest of the task's prompts aren't asked and say so; with a
+    ``watch`` its ``run`` ends the other tasks too.
+    """
+    errors = watch.errors if watch else None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped = threading.Event()
+
+        def climb(text: str | None) -> tuple[str | None, int, bool, str | None]:
+            out, error, ok, n = None, None, False, 0
+            for n, temperature in enumerate(LADDER, 1):
+                if stopped.is_set():
+                    return None, n - 1, False, NOT_ASKED
+                try:
+                    out, error = backend(text or "", temperature), None
+                    ok = valid(out)
+                except Exception as e:  # noqa: BLE001  a row's failure is that row's result
+                    error = f"{type(e).__name__}: {e}"
+                    # by name: a class that travelled by value isn't the one that the backend's module has
+                    if any(c.__name__ == QuotaExceeded.__name__ for c in type(e).__mro__):
+                        stopped.set()
+                        return None, n, False, error
+                if ok:
+                    break
+            return out, n, ok, error
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in frames:
+                rows = list(in_order(pool, climb, pdf[prompt], in_flight))
+                yield pdf.assign(**{name: [r[k] for r in rows] for k, name in enumerate(("output", "attempts", "valid", "error"))})
+        if errors is not None and stopped.is_set():
+            errors.add(1)
+
+    placed = df if "_pos" in df.columns else df.withColumn("_pos", F.monotonically_increasing_id())
+    dealt = placed.repartition(tasks) if tasks else placed
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
     return dealt.mapInPandas(run, f"{schema}, output string, attempts int, valid boolean, error string")
 
 

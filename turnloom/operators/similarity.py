@@ -1,12 +1,11 @@
-"""Greedy near-duplicate filtering by ROUGE-L, and top-k retrieval over vectors."""
+"""Greedy near-duplicate filtering by ROUGE-L, and scores of calls."""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,29 +33,6 @@ def rouge_l(a: Sequence[str], b: Sequence[str]) -> float:
     return 2 * common / (len(a) + len(b)) if common else 0.0
 
 
-class GreedyFilter:
-    """Keeps a text if it is at most ``bound`` similar to every text kept before.
-
-    Lengths and shared tokens bound the score from above, so the sequence match is
-    only made where it could decide.
-    """
-
-    def __init__(self, bound: float):
-        self.bound, self.kept = bound, []
-
-    def admits(self, text: str) -> bool:
-        tokens = text.lower().split()
-        bag = Counter(tokens)
-        for other, counts in self.kept:
-            total = len(tokens) + len(other)
-            if not total or 2 * min(len(tokens), len(other)) <= self.bound * total:
-                continue
-            if 2 * (bag & counts).total() > self.bound * total and rouge_l(other, tokens) > self.bound:
-                return False
-        self.kept.append((tokens, bag))
-        return True
-
-
 def token_rows(texts: DataFrame) -> DataFrame:
     """__id, group, tok, n: each token of a text with the number of its earlier occurrences, so that bags are sets."""
     tokens = texts.select("__id", "__g", F.posexplode("__toks").alias("pos", "word"), F.size("__toks").alias("n"))
@@ -125,75 +101,6 @@ def greedy_dedup(df: DataFrame, group: str, order: Sequence[str], text: str, bou
     return df.alias("l").join(chosen.alias("r"), on, "left_semi")
 
 
-def unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / norm)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-#: Rows of queries up to which they are broadcast as a block.
-QUERY_BLOCK = 4096
-
-
-def top_k(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int) -> DataFrame:
-    """Exact cosine neighbours: each block of queries is broadcast and kept to k per partition of items.
-
-    Items are never shuffled; what is are at most k rows per query and task. With
-    several blocks each one's neighbours are checkpointed and its broadcast
-    released before the next, so one block at a time is held anywhere.
-    """
-    q = queries.select(F.col(query_id).alias("__q"), unit(F.col(vector)).alias("__v"))
-    total = q.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    dims = items.select(item_id, vector)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item")).cast("long")
-    out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("__q"), F.lit(blocks)) == b)
-        sent = items.sparkSession.sparkContext.broadcast([(r["__q"], r["__v"]) for r in part.collect()])
-        found = _nearest(dims, item_id, vector, sent, k).withColumn("rank", place).filter(F.col("rank") <= k)
-        if blocks > 1:
-            found = cut(found)
-            sent.unpersist()
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _nearest(items: DataFrame, item_id: str, vector: str, sent: Broadcast, k: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        ids = [r[0] for r in sent.value]
-        q = np.array([r[1] for r in sent.value], np.float64)
-        best: list[tuple] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-        for pdf in batches:
-            if pdf.empty or not len(ids):
-                continue
-            x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            scores = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
-            own = pdf[item_id].to_numpy()
-            for i in range(len(ids)):
-                s, n = np.concatenate([best[i][0], scores[i]]), np.concatenate([best[i][1], own])
-                top = np.lexsort((n, -s))[: k + 1]
-                best[i] = (s[top], n[top])
-        found = [(a, int(n), float(s)) for a, (ss, nn) in zip(ids, best) for s, n in zip(ss, nn) if n != a]
-        yield pd.DataFrame(found, columns=["query", "item", "score"])
-
-    return items.mapInPandas(run, "query long, item long, score double")
-
-
-def select_turns(history: DataFrame, score: Column, k: int, recency: float) -> DataFrame:
-    """Per conversation the k turns of highest score plus recency, in their own order."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("conv_id"))
-    age = F.when(n == 1, 1.0).otherwise(F.col("idx") / (n - 1))
-    scored = history.withColumn("total", score + recency * age)
-    best = Window.partitionBy("conv_id").orderBy(F.desc("total"), "idx")
-    return scored.withColumn("rk", F.row_number().over(best)).filter(F.col("rk") <= k).drop("rk")
-
-
 def call_scores(df: DataFrame, counts: str, same_name: Column, parse_ok: Column) -> DataFrame:
     """api_correct, arg_exact_match, precision, recall and F1 of arguments, final_exact, from counts (gold, pred, matched)."""
     gold, pred, matched = (F.col(f"{counts}.{x}") for x in ("gold", "pred", "matched"))
@@ -209,8 +116,3 @@ def call_scores(df: DataFrame, counts: str, same_name: Column, parse_ok: Column)
 @F.pandas_udf(T.DoubleType())
 def token_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([rouge_l(list(x), list(y)) for x, y in zip(a, b)], dtype=float)
-
-
-@F.pandas_udf(T.DoubleType())
-def rouge_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([rouge_l((x or "").lower().split(), (y or "").lower().split()) for x, y in zip(a, b)])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import literals, strings
-from turnloom.operators import generation, ranking
+from turnloom.operators import generation, ranking, turns
 from turnloom.operators.joins import bag_join, last_wins_join
 from turnloom.plans.base import r9
 from turnloom.registry import Tables, query
@@ -106,6 +106,43 @@ def str4_stream_quota(t: Tables) -> DataFrame:
     return known.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce("known", F.lit(False))).alias("own"))
 
 
+_ARRIVED = """with a as (select *, event_id % 10 = 3 as held from events),
+m as (select max(case when not held then ts end) - interval 1 day as first, max(ts) - interval 1 day as final from a),
+w as (select event_type, start, start + interval {width} as stop, held, value from a, lateral (select unnest(generate_series(time_bucket(interval {slide}, ts) - interval {width} + interval {slide}, time_bucket(interval {slide}, ts), interval {slide})) as start))
+select event_type, start::TIMESTAMP as start, count(*)::BIGINT as n, round(sum(value), 6) as v from w, m where stop <= final and not (held and stop <= first) group by event_type, start"""
+
+
+def _late_windows(t: Tables, width: str, slide: str | None = None) -> DataFrame:
+    """Windows that a stream closes when a tenth of the events come late, after the others' watermark, a day behind, has closed most of theirs."""
+    late = F.coalesce(F.col("event_id") % 10 == 3, F.lit(False))
+    source, path, checkpoint = (sinks.scratch(t.spark, x) for x in ("arrivals", "windows", "windows-checkpoint"))
+    flow = lambda stream: streams.windowed_counts(stream, width, slide, "1 day")
+    out = streams.run_arrivals([t.events.filter(~late), t.events.filter(late)], flow, source, path, checkpoint)
+    return out.select("event_type", "start", "n", F.round("v", 6).alias("v"))
+
+
+@query("STR5 STR2", _ARRIVED.format(width="1 day", slide="1 day"))
+def str5_stream_tumbling(t: Tables) -> DataFrame:
+    return _late_windows(t, "1 day")
+
+
+@query("STR5 STR2", _ARRIVED.format(width="6 hours", slide="2 hours"))
+def str5_stream_sliding(t: Tables) -> DataFrame:
+    return _late_windows(t, "6 hours", "2 hours")
+
+
+@query("STR4 UD2")
+def str4_stream_dedup(t: Tables) -> DataFrame:
+    """``ud2_rouge_dedup`` on a stream that stops after half of the conversations and starts again from its checkpoint."""
+    rows = t.conversations.select("role", "conv_id", "turn", "text")
+    middle = rows.agg(F.percentile_approx("conv_id", 0.5).alias("m"))
+    halves = [rows.crossJoin(F.broadcast(middle)).filter(half).select(*rows.columns) for half in ("conv_id <= m", "conv_id > m")]
+    source, path, checkpoint = (sinks.scratch(t.spark, x) for x in ("turns", "kept-turns", "kept-checkpoint"))
+    with streams.rocks_state(t.spark):
+        out = streams.run_arrivals(halves, lambda stream: streams.greedy_stream(stream, "role", ["conv_id", "turn"], "text", 0.7), source, path, checkpoint)
+    return out.select("role", "conv_id", "turn")
+
+
 @query("OR2", "select * from (values (0::BIGINT, 'empty', true, (select count(*) from conversations where trim(text) <> '')), (1, 'short', false, null), (2, 'system', true, (select count(*) from conversations where trim(text) <> '' and role <> 'system'))) v(place, stage, runs, n)")
 def or2_dry_run(t: Tables) -> DataFrame:
     """The stages that a run with a skipped one would take, and the rows after each that it takes."""
@@ -145,6 +182,24 @@ def or1_generation_turn(t: Tables) -> DataFrame:
     return flow.run(start).select("conv_id", "turn", "plan", "unique_idx", "u_key")
 
 
+def turn_loop(t: Tables, folder: str, n: int, backend: Callable[[str, float], str] = generation.stub, name: str = "stub") -> tuple[turns.StageTables, DataFrame]:
+    """``n`` turns from user turns as seeds and the assistant's as spare ones; a folder that was used before is gone on with."""
+    tables = turns.StageTables(t.spark, folder)
+    said = {"c": tables.source(t.conversations)}
+    plan = F.concat(F.lit("plan_"), (F.col("conv_id") % 5).cast("string"))
+    key = F.concat_ws("_", "conv_id", "turn")
+    of = lambda role: lambda c: turns.seed_records(c.filter(F.col("role") == role).select(key.alias("key"), "text", plan.alias("plan")), "key", "text", "plan")
+    seeds, spare = (tables.run(f"seeds-{role}", of(role), said) for role in ("user", "assistant"))
+    return tables, turns.TurnLoop(tables, backend, least=20, name=name).run(seeds, spare, n).df
+
+
+@query("OR1 STR3 JN3 JN8 WN2 SMP15")
+def or1_turn_loop(t: Tables) -> DataFrame:
+    """Records after three turns of all ten stages."""
+    _, out = turn_loop(t, sinks.scratch(t.spark, "turns"), 3)
+    return out.select("unique_idx", "query", "rewrited_query", "plan", F.size("history").cast("long").alias("turns"))
+
+
 @query("OR5 SC49 SC60")
 def or5_two_stage_evaluation(t: Tables) -> DataFrame:
     """Rewrite, then plan, for turns whose rewrite succeeded; accuracy by turn."""

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import history as H
-from turnloom.functions import literals, strings
-from turnloom.operators import generation, similarity
+from turnloom.functions import literals, strings, tokens
+from turnloom.operators import generation, matching, retrieval, similarity
 from turnloom.plans.base import HISTORY, history
 from turnloom.registry import Tables, query
+from turnloom.shared import stored
 
 
 def joined(c) -> F.Column:
@@ -38,6 +39,41 @@ def sc4_levenshtein(t: Tables) -> DataFrame:
     return a.join(b, ["p_brand", "p_size"]).filter((F.col("a") < F.col("b")) & strings.within_edits(F.col("an"), F.col("bn"))).select("a", "b")
 
 
+@query("SC4", """with n as (select distinct p_name as w from part) select least((length(x.w), x.w), (length(y.w), y.w))[2] as a, greatest((length(x.w), x.w), (length(y.w), y.w))[2] as b, levenshtein(x.w, y.w)::INT as distance
+from n x join n y on x.w < y.w where levenshtein(x.w, y.w) <= 3""")
+def sc4_edit_join(t: Tables) -> DataFrame:
+    return matching.edit_join(t.part, "p_name", 3)
+
+
+# letters of one byte only, as the twin's edit distance is one of bytes
+_LONG_WORDS = "regexp_extract_all(lower(text), '[a-z]{6,}')"
+
+
+@query("SC4", f"""with n as (select distinct unnest({_LONG_WORDS}) as w from conversations) select least((length(x.w), x.w), (length(y.w), y.w))[2] as a, greatest((length(x.w), x.w), (length(y.w), y.w))[2] as b, levenshtein(x.w, y.w)::INT as distance
+from n x join n y on x.w < y.w and abs(length(x.w) - length(y.w)) <= 1 where levenshtein(x.w, y.w) <= 1""")
+def sc4_edit_words(t: Tables) -> DataFrame:
+    words = t.conversations.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("w"))
+    return matching.edit_join(words, "w", 1)
+
+
+def _set(text: str, pattern: str, group: int = 0) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all({text}, '{pattern}', {group})))"
+
+
+def _sets(x: str) -> str:
+    names = f"list_sort(list_distinct(list_transform(regexp_extract_all({x}, '{matching.INNER_CAPITAL}', 1), lambda w: lower(w))))"
+    return "[" + ", ".join([_set(x, strings.PHONE), _set(x, strings.URI), _set(x, strings.EMAIL), _set(x, strings.STREET, 1), names]) + "]"
+
+
+@query("SC4 SC5", f"""with p as (select x.conv_id, x.turn, coalesce(x.text, '') as a, coalesce(y.text, '') as b from conversations x join conversations y on y.conv_id = x.conv_id and y.turn = x.turn + 2),
+m as (select conv_id, turn, levenshtein(a, b) <= 3 as close, {_sets("a")} = {_sets("b")} as same_entities from p) select *, close or same_entities as correct from m""")
+def sc4_rewrite_match(t: Tables) -> DataFrame:
+    """Each turn against the speaker's next one as its rewrite."""
+    a = t.conversations.select("conv_id", "turn", F.col("text").alias("a"))
+    b = t.conversations.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("b"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", matching.rewrite_match(F.col("a"), F.col("b")).alias("m")).select("conv_id", "turn", "m.*")
+
+
 def _found(text: str, pattern: str, group: int = 0) -> str:
     return f"array_to_string(list_sort(list_distinct(regexp_extract_all({text}, '{pattern}', {group}))), '|')"
 
@@ -156,16 +192,47 @@ def sc60_exact_match(t: Tables) -> DataFrame:
 s as (select q.vec_id as query, e.vec_id as item, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])), 9) as score from q, embeddings e where q.vec_id <> e.vec_id)
 select query, item, round(score, 6) as score, rk::BIGINT as rank from (select *, row_number() over (partition by query order by score desc, item) as rk from s) where rk <= 5""")
 def sc65_top_k(t: Tables) -> DataFrame:
-    out = similarity.top_k(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, "vec_id", "vec_id", "embedding", 5)
+    out = retrieval.top_k(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, "vec_id", "vec_id", "embedding", 5)
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("SC65", HISTORY + """, x as (select conv_id, idx, h[idx + 1] as turn, len(h) as n from history, range(0, 50) r(idx) where idx < len(h)),
-s as (select *, length(turn)::DOUBLE / 1000 + 0.1::DOUBLE * case when n = 1 then 1.0::DOUBLE else idx::DOUBLE / (n - 1) end as total from x)
-select conv_id, idx::BIGINT as idx, turn from (select *, row_number() over (partition by conv_id order by total desc, idx) as rk from s) where rk <= 2""")
+@query("UD8")
+def ud8_inverted_lists(t: Tables) -> DataFrame:
+    """Ten neighbours of every vector whose id is divisible by 20, by an index over all; tests hold the recall at 0.9 or more."""
+    index = retrieval.build_index(t.embeddings, "vec_id", "embedding", 10)
+    return retrieval.search(index, t.embeddings.filter("vec_id % 20 = 0"), "vec_id", "embedding", 10).withColumn("score", F.round("score", 6))
+
+
+_CHOSEN = r"""with w as (select conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from conversations),
+g as (select conv_id, turn, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as gram from w),
+tf as (select conv_id, turn, gram, count(*)::DOUBLE as tf from g group by all), df as (select gram, count(*)::DOUBLE as df from tf group by gram),
+v as (select conv_id, turn, gram, (1 + ln(tf)) * (1 + ln((1 + (select count(*) from conversations))::DOUBLE / (1 + df))) as weight from tf join df using (gram)),
+n as (select conv_id, turn, sqrt(sum(weight * weight)) as norm from v group by all), e as (select conv_id, max(turn) as last from conversations group by conv_id),
+q as (select v.conv_id, gram, weight / norm as want from v join n using (conv_id, turn) join e on e.conv_id = v.conv_id and e.last = v.turn),
+c as (select v.conv_id, v.turn, sum(weight / norm * want) as cosine from v join n using (conv_id, turn) join q on q.conv_id = v.conv_id and q.gram = v.gram group by all),
+s as (select x.conv_id, x.turn, text, round(coalesce(cosine, 0) + 0.1::DOUBLE * case when last = 1 then 1.0::DOUBLE else x.turn::DOUBLE / (last - 1) end, 9) as score
+      from conversations x join e on e.conv_id = x.conv_id left join c on c.conv_id = x.conv_id and c.turn = x.turn where x.turn < last),
+r as (select *, row_number() over (partition by conv_id order by score desc, turn) as by_score from s),
+b as (select *, row_number() over (partition by conv_id order by turn) as place from r where by_score <= 2)
+"""
+
+
+@query("SC65", _CHOSEN + "select conv_id, turn::BIGINT as turn, round(score, 6) as score, by_score::BIGINT as by_score, place::BIGINT as place from b")
+def sc65_history_cosine(t: Tables) -> DataFrame:
+    """The two earlier turns of every conversation that are most like its last one, by score and in their own order."""
+    chosen = retrieval.select_history(t.conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "text"), 2, 0.1)
+    return chosen.select("conv_id", "turn", F.round("score", 6).alias("score"), "by_score", "place")
+
+
+@query("SC65", _CHOSEN + """select conv_id, md5(string_agg('turn ' || place || ': ' || coalesce(text, ''), '|' order by place)) as original,
+md5(string_agg('turn ' || (turn + 1) || ': ' || coalesce(text, ''), '|' order by by_score)) as by_score from b group by conv_id""")
 def sc65_select_turns(t: Tables) -> DataFrame:
-    rows = history(t).select("conv_id", F.posexplode("h").alias("idx", "turn")).withColumn("idx", F.col("idx").cast("long"))
-    return similarity.select_turns(rows, F.length("turn").cast("double") / 1000, 2, 0.1).select("conv_id", "idx", "turn")
+    """The chosen turns as histories: in their own order with new numbers, and by score with their own."""
+    turns = t.conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
+    chosen = retrieval.select_history(turns, 2, 0.1)
+    original = retrieval.formatted_history(chosen, turns, "original", renumber=True).select("conv_id", F.md5(joined("history")).alias("original"))
+    by_score = retrieval.formatted_history(chosen, turns, "score").select("conv_id", F.md5(joined("history")).alias("by_score"))
+    return original.join(by_score, "conv_id")
 
 
 def _prompted(t: Tables) -> DataFrame:
@@ -180,7 +247,19 @@ def ud4_generate(t: Tables) -> DataFrame:
     return out.select("conv_id", "turn", "attempts", "valid", "error", read.alias("r")).select("conv_id", "turn", "attempts", "valid", "error", "r.call", "r.parser")
 
 
-_MESSY = """'[' || '{''plan'': ''' || event_type || ''', ''arguments'': {''v'': True, ''n'': None, ''k'': ' || json_extract_string(props, '$.k') || '}}' || ']'"""
+_H = "('0x' || substr(h, {}, 16))::UBIGINT::HUGEINT"
+_MOD = f"((({_H.format(1)} % {{m}}) * (18446744073709551616 % {{m}}) + {_H.format(17)} % {{m}}) % {{m}})"
+
+
+@query("UD5 UD6 UD4 UD7", f"""with p as (select conv_id, turn, md5('Ask: ' || coalesce(text, '')) as h from conversations where role = 'user')
+select conv_id, turn, case when {_MOD.format(m=9)} = 0 then 2 else 1 end::INT as attempts, 'plan_' || {_MOD.format(m=5)} as plan, {_MOD.format(m=100)}::BIGINT as n from p""")
+def ud6_watched_run(t: Tables) -> DataFrame:
+    """Four prompts of each task in flight, written by a run that a quota error would cancel."""
+    watch = generation.QuotaWatch(t.spark)
+    prompts = t.conversations.filter("role = 'user'").select("conv_id", "turn", generation.render("Ask: %s", ["text"]).alias("prompt"))
+    asked = generation.generate(prompts, "prompt", generation.stub, literals.parses, in_flight=4, watch=watch)
+    out = watch.run(lambda: stored(asked, "watched-run"))
+    return out.select("conv_id", "turn", "attempts", F.get_json_object("output", "$.plan").alias("plan"), F.get_json_object("output", "$.arguments.n").cast("long").alias("n"))
 
 
 @query("SC40 SC44 SC48 SC28", """select event_id, '{"arguments":{"k":' || json_extract_string(props, '$.k') || ',"n":null,"v":1},"plan":"' || event_type || '"}' as parsed from events""")
@@ -242,7 +321,7 @@ def sc13_descriptors(t: Tables) -> DataFrame:
     text = _variant(F.concat(F.lit("Set '"), alarm, F.lit(", daily' again.")), F.concat(F.lit("Move "), alarm, F.lit(". Thanks, all.")), "no alarm")
     turn = F.concat(F.lit("turn 1: Which timers? -> Timers: "), k, F.lit(" minutes – "), kind, F.lit("; the tea with "), k, F.lit(" minutes to go, ["), k, F.lit(" min - "), F.upper(kind), F.lit("]"))
     d = strings.alarm_descriptor(text)
-    out = t.events.select("event_id", d.alias("descriptor"), strings.alarm_label(d).alias("label"), strings.alarm_time(d).alias("time"), literals.timer_candidates(turn).alias("found"))
+    out = t.events.select("event_id", d.alias("descriptor"), strings.alarm_label(d).alias("label"), strings.alarm_time(d).alias("time"), strings.timer_items(turn).alias("found"))
     return out.select("event_id", "descriptor", "label", "time", joined(F.transform("found", lambda x: F.concat(x["minutes"], F.lit(":"), x["label"]))).alias("timers"))
 
 
@@ -339,6 +418,31 @@ def sc68_masked_labels(t: Tables) -> DataFrame:
     return out.select("conv_id", "turn", *(F.array_join(F.transform(f"x.{c}", lambda v: v.cast("string")), ",").alias(c) for c in ("input_ids", "labels")))
 
 
+#: The setting that names the file of a byte-pair vocabulary, and the file without it.
+VOCABULARY, PUBLIC_VOCABULARY = "spark.turnloom.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _encode(t: Tables):
+    return tokens.encoder(t.spark, t.spark.conf.get(VOCABULARY, PUBLIC_VOCABULARY))
+
+
+@query("SC68")
+def sc68_token_labels(t: Tables) -> DataFrame:
+    """Token ids of every turn as a prompt, at most 512, and its labels with those of the part before the text masked; tests hold them to plain merges."""
+    encode = _encode(t)
+    ids = t.conversations.select("conv_id", "turn", encode(F.concat("role", F.lit(": "), "text")).alias("ids"), encode(F.concat("role", F.lit(":"))).alias("prefix"))
+    out = ids.select("conv_id", "turn", F.size("ids").cast("long").alias("n_tokens"), strings.masked_labels(F.col("ids").cast("array<bigint>"), F.col("prefix").cast("array<bigint>"), 512).alias("x"))
+    return out.select("conv_id", "turn", "n_tokens", "x.input_ids", "x.labels")
+
+
+@query("AG20 SC68")
+def ag20_prompt_tokens(t: Tables) -> DataFrame:
+    """Tokens of each role's turns as the vocabulary cuts them: rows, sum, least, most, mean."""
+    counted = tokens.token_counts(t.conversations.select("conv_id", "turn", "role", "text"), _encode(t), {"n": F.concat("role", F.lit(": "), F.coalesce("text", F.lit("")))})
+    totals = counted.groupBy("role").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 4).alias("mean"))
+    return totals
+
+
 @query("UD13", "select lang, round(avg(case when quality = 0 then 1.0::DOUBLE else 0.0::DOUBLE end), 9) as bad_ratio from documents join labels using (doc_id) group by lang")
 def ud13_bad_ratio(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang").join(t.labels, "doc_id").groupBy("lang").agg(F.round(F.avg((F.col("quality") == 0).cast("double")), 9).alias("bad_ratio"))

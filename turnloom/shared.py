@@ -38,3 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a slim table with a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder as Parquet and read back: what several plans read is made once."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from turnloom.operators.similarity import rouge_l
+
 
 def watermarked(events: DataFrame, late: str) -> DataFrame:
     """A watermark on a stream's ``ts``; tables need none."""
@@ -84,3 +88,113 @@ def remaining(targets: DataFrame, written: DataFrame, key: str, wanted: int) ->
     counts = written.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     missing = F.lit(wanted) - F.coalesce("n", F.lit(0))
     return targets.join(counts, key, "left").filter(missing > 0).select(*targets.columns, missing.cast("long").alias("missing"))
+
+
+def run_arrivals(parts: Sequence[DataFrame], flow: Callable[[DataFrame], DataFrame], source: str, path: str, checkpoint: str) -> DataFrame:
+    """Let tables arrive one after another in a folder; after each one the stream over it starts anew from its checkpoint and takes what is there.
+
+    What a run holds, its watermark and state, comes back from the checkpoint alone.
+    """
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = part.sparkSession.readStream.schema(part.schema).parquet(source)
+        out = run_to_end(flow(stream), path, checkpoint)
+    return out
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """State on local disk with change logs in the checkpoint, in place of the heap, for streams that start within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class GreedyTexts(StatefulProcessor):
+    """Keeps a text unless one that was kept before in its group is more similar than the bound, by ROUGE-L.
+
+    State: kept texts by number, and for each token of their prefixes the numbers
+    of those that have it. Two texts above the bound share more than bound / 2
+    of their tokens together, so in any fixed order of tokens the first ones of
+    each, as many as may be missing and one more, hold one of the other's. The
+    order puts long tokens first, as they are rarer. Only texts that meet so are
+    scored.
+    """
+
+    def __init__(self, text: str, order: Sequence[str], bound: float):
+        self.text, self.order, self.bound = text, list(order), bound
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("kept", "id long", "tokens array<string>")
+        self.holders = handle.getMapState("holders", "token string", "ids array<long>")
+        self.size = handle.getValueState("size", "n long")
+
+    def close(self) -> None:
+        pass
+
+    def prefix(self, tokens: list[str]) -> list[str]:
+        seen: dict[str, int] = {}
+        numbered = []
+        for token in tokens:
+            seen[token] = seen.get(token, 0) + 1
+            numbered.append((-len(token), f"{token} {seen[token]}"))
+        fewest = int(len(tokens) * self.bound / (2 - self.bound)) + 1
+        shared = int((len(tokens) + fewest) * self.bound / 2)
+        return [x for _, x in sorted(numbered)[: len(tokens) - min(shared, len(tokens)) + 1]]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        n = self.size.get()[0] if self.size.exists() else 0
+        texts: dict[int, list[str]] = {}
+        holders: dict[str, list[int]] = {}
+        fresh, changed, flags = [], set(), []
+
+        def holding(token: str) -> list[int]:
+            if token not in holders:
+                state = self.holders.getValue((token,)) if self.holders.containsKey((token,)) else None
+                holders[token] = list(state[0]) if state else []
+            return holders[token]
+
+        def known(number: int) -> list[str]:
+            if number not in texts:
+                texts[number] = list(self.kept.getValue((number,))[0])
+            return texts[number]
+
+        for text in arrived[self.text]:
+            tokens = (text or "").lower().split()
+            prefix = self.prefix(tokens) if tokens else []
+            near = {number for token in prefix for number in holding(token)}
+            keep = all(rouge_l(known(number), tokens) <= self.bound for number in sorted(near))
+            flags.append(keep)
+            if keep and tokens:
+                texts[n] = tokens
+                fresh.append(n)
+                for token in prefix:
+                    holding(token).append(n)
+                    changed.add(token)
+                n += 1
+        for number in fresh:
+            self.kept.updateValue((number,), (texts[number],))
+        for token in changed:
+            self.holders.updateValue((token,), (holders[token],))
+        self.size.update((n,))
+        yield arrived[flags]
+
+
+def greedy_stream(texts: DataFrame, group: str, order: Sequence[str], text: str, bound: float) -> DataFrame:
+    """The rows of a stream that the greedy filter keeps, with its record in the stream's state.
+
+    Rows of a group that come in one batch are taken by ``order``, batches as they
+    come; so the rows are those of ``similarity.greedy_dedup`` where that is the
+    order of arrival. A batch's rows of one group are in one task, so triggers
+    should bound the batch. Needs ``rocks_state``.
+    """
+    return texts.groupBy(group).transformWithStateInPandas(GreedyTexts(text, order, bound), texts.schema, "Append", "None")
