@@ -21,6 +21,20 @@ def stratified_split(df: DataFrame, plan: str, key: str, ratio: float, cap: int,
     return sized.withColumn("part", part).drop("__rn", "__n", "__train")
 
 
+def two_streams(df: DataFrame, plan: str, key: str, plain: Column, same: Column, ratio: float, caps: dict[str, int], seed: object) -> DataFrame:
+    """``stream`` (NR: records without references, nonNR: the others) and ``part``, each stream split by plan for itself.
+
+    Of the others those go whose query and rewrite are the ``same``. ``caps`` holds the
+    most rows of a part for each stream; flags that are null count as not set.
+    """
+    flagged = df.withColumn("stream", F.when(plain, "NR").otherwise("nonNR")).filter((F.col("stream") == "NR") | ~F.coalesce(same, F.lit(False)))
+    parts = [stratified_split(flagged.filter(F.col("stream") == name), plan, key, ratio, cap, seed) for name, cap in caps.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def capped_sample(df: DataFrame, keys: Sequence[str], key: str, n: Column | int, seed: object) -> DataFrame:
     """n rows of each group, or all of smaller ones; by a fixed n Spark cuts groups before it shuffles them."""
     placed = ranked(df, keys, [hash_order(seed, key), F.col(key)], "__rn") if isinstance(n, int) else hash_ranked(df, keys, key, seed, "__rn")
