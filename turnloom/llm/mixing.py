@@ -102,7 +102,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
     The ranking of a source is cut into steps of the odds; sums per step say
     which steps are taken whole and in which one the cut is, so a source with a
-    third of all rows is still spread over 1,024 groups.
+    third of all rows is still spread over 1,024 groups. Documents that are wanted
+    a whole number of times, such as all of a source at its cap, and those
+    without words aren't ranked. Rows of one id, source and weight have the same
+    odds and share a step.
 
     Null texts and texts without words have size 0 and give nothing; a null
     source is a source of its own; rows with equal ids are separate documents
@@ -148,10 +151,13 @@ def mix(docs: DataFrame) -> DataFrame:
         .select("k", "step", "due", "before")
     )
     ranked = Window.partitionBy("k", "step").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = drawn.withColumn("upto", F.sum("size").over(ranked)).join(steps, ["k", "step"], "left")
-    in_sample = F.col("q").isNotNull() & ((2 * (F.col("before") + F.col("upto")) - F.col("size")).cast("double") <= 2 * F.col("due"))
-    copies = F.col("whole") + F.when(in_sample, 1).otherwise(0)
-    return summed.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
+    # what isn't drawn (no words, or wanted a whole number of times) is in no step and takes no part in the ranking
+    summed = drawn.filter("q is not null").withColumn("upto", F.sum("size").over(ranked)).join(steps, ["k", "step"])
+    in_sample = (2 * (F.col("before") + F.col("upto")) - F.col("size")).cast("double") <= 2 * F.col("due")
+    taken = lambda copies: (copies * F.col("size")).cast("long").alias("taken")
+    columns = ["doc_id", "size", "source_size", "target"]
+    sampled = summed.select(*columns, taken(F.col("whole") + F.when(in_sample, 1).otherwise(0)))
+    return sampled.unionByName(drawn.filter("q is null").select(*columns, taken(F.col("whole"))))
 
 
 ORACLE = r"""
