@@ -267,3 +267,22 @@ def test_retrievers(spark):
     asked = frame(spark, [("b",), ("none",), (None,)], "q string")
     tools = generation.model_retrieve(asked, "q", {"a": "first\nrest", "b": ""}, 1, lambda prompt, _: '["b", "z", null]' if prompt.endswith("Request: b") else "no list")
     assert {r.q: r.tools for r in tools.collect()} == {"b": ["b"], "none": [], None: []}
+
+
+def test_ranges_number_a_group_as_one_window_does(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, rng.randrange(9), rng.randrange(10**12)]), i) for i in range(900)]
+    df = frame(spark, rows, "g string, x long, i long")
+    want = sorted(map(str, ranking.ranked(df, ["g"], ["x", "i"], "n").collect()))
+    out = ranking.numbered(df, ["g"], ["x", "i"], "n", "of")
+    assert sorted(map(str, out.drop("of").collect())) == want
+    sizes = {g: sum(r[0] == g for r in rows) for g in ("a", "b", None)}
+    assert all(r.of == sizes[r.g] for r in out.collect()) and ranking.numbered(df.limit(0), ["g"], ["x"], "n").count() == 0
+    spent = ranking.budgeted(frame(spark, [(p, i, rng.randrange(9)) for p in "pq" for i in range(200)], "p string, f long, a long"), "p", "f", "a", 50).collect()
+    for p in "pq":
+        before = 0
+        for r in sorted((r for r in spent if r.p == p), key=lambda r: r.f):
+            assert r.quota == (0 if before > 50 else r.a)
+            before += r.a

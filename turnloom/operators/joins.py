@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from turnloom.operators.ranking import keep_last, ranked
+from turnloom.operators.ranking import hash_ranked, keep_last, numbered, ranked
 
 
 def last_wins_join(probe: DataFrame, build: DataFrame, keys: Sequence[str], order: Sequence[str], how: str = "inner") -> DataFrame:
@@ -21,15 +21,20 @@ def bag_join(probe: DataFrame, build: DataFrame, keys: Sequence[str], probe_orde
 
     ``u_key`` is how many build rows were left, the taken one included.
     """
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    b = ranked(build, keys, build_order, "__b").withColumn("__place", size - F.col("__b") + 1)
-    p = ranked(probe, keys, probe_order, "__place")
-    return p.join(b, [*keys, "__place"]).withColumn("u_key", F.col("__b").cast("string")).drop("__place", "__b")
+    b = numbered(build, keys, build_order, "__b", "__size").withColumn("__place", F.col("__size") - F.col("__b") + 1)
+    p = numbered(probe, keys, probe_order, "__place")
+    return p.join(b, [*keys, "__place"]).withColumn("u_key", F.col("__b").cast("string")).drop("__place", "__b", "__size")
 
 
 def zip_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[Column | str], right_order: Sequence[Column | str], how: str = "inner") -> DataFrame:
     """Pair rows by their place within each key; the shorter side ends it (or ``how`` says else)."""
-    return ranked(left, keys, left_order, "__place").join(ranked(right, keys, right_order, "__place"), [*keys, "__place"], how).withColumnRenamed("__place", "place")
+    return numbered(left, keys, left_order, "__place").join(numbered(right, keys, right_order, "__place"), [*keys, "__place"], how).withColumnRenamed("__place", "place")
+
+
+def shuffled_zip(left: DataFrame, right: DataFrame, keys: Sequence[str], left_key: str, right_key: str, seed: object) -> DataFrame:
+    """``zip_join`` of both sides in their seeded orders, numbered in slices of those."""
+    a, b = hash_ranked(left, keys, left_key, seed, "place"), hash_ranked(right, keys, right_key, seed, "place")
+    return a.join(b, [*keys, "place"])
 
 
 def cursor_join(target: DataFrame, source: DataFrame, keys: Sequence[str], target_order: Sequence[str], source_order: Sequence[str], source_value: str) -> DataFrame:

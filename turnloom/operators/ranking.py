@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _RN = "__rn"
@@ -54,8 +55,8 @@ def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) ->
 
 def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, value: str) -> DataFrame:
     """Groups cut into runs of n rows: keys, chunk (from 0), values in order."""
-    numbered = ranked(df, keys, order).withColumn("chunk", F.floor((F.col(_RN) - 1) / n).cast("long"))
-    gathered = numbered.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct(_RN, F.col(value).alias("v")))).alias("rows"))
+    rows = numbered(df, keys, order, _RN).withColumn("chunk", F.floor((F.col(_RN) - 1) / n).cast("long"))
+    gathered = rows.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct(_RN, F.col(value).alias("v")))).alias("rows"))
     return gathered.select(*keys, "chunk", F.transform("rows", lambda r: r["v"]).alias("values"))
 
 
@@ -66,15 +67,21 @@ def quota_ladder(count: Column) -> Column:
 
 
 def budgeted(df: DataFrame, plan: str, first: str, amount: str, budget: int) -> DataFrame:
-    """Zero the amount of groups once the amounts before them in their plan exceed the budget."""
-    before = Window.partitionBy(plan).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(amount).over(before), F.lit(0))
-    return df.withColumn("quota", F.when(spent > budget, F.lit(0)).otherwise(F.col(amount)).cast("long"))
+    """Zero the amount of groups once the amounts before them in their plan exceed the budget; ``first`` is a number that tells groups apart.
+
+    Sums before a group are made from ranges of ``first``, so a plan isn't one task.
+    """
+    dealt = with_ranges(df, first)
+    starts, same = slice_starts(dealt, [plan], F.sum(amount))
+    before = Window.partitionBy(plan, "__slice").orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumn("__within", F.coalesce(F.sum(amount).over(before), F.lit(0)))
+    spent = F.col("__within") + F.col("__before")
+    return within.join(starts, same).withColumn("quota", F.when(spent > budget, F.lit(0)).otherwise(F.col(amount)).cast("long")).select(*df.columns, "quota")
 
 
 def consume_quota(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], quotas: DataFrame) -> DataFrame:
     """Flag the first ``quota`` rows of each key as kept; keys without a quota pass whole."""
-    return ranked(df, keys, order).join(quotas.select(*keys, "quota"), list(keys), "left").withColumn("kept", F.col("quota").isNull() | (F.col(_RN) <= F.col("quota"))).drop(_RN, "quota")
+    return numbered(df, keys, order, _RN).join(quotas.select(*keys, "quota"), list(keys), "left").withColumn("kept", F.col("quota").isNull() | (F.col(_RN) <= F.col("quota"))).drop(_RN, "quota")
 
 
 def lag_delta(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str) -> DataFrame:
@@ -104,8 +111,8 @@ def round_robin_reuse(df: DataFrame, queue: str, key: str, n: int, seed: object)
 
 def line_windows(df: DataFrame, place: Column, order: Sequence[Column | str], n: int, value: str) -> DataFrame:
     """A table read n rows at a time: window (from 0) and its values in order; the last one may be shorter."""
-    numbered = serials(df, place, order, "__line").withColumn("window", F.floor((F.col("__line") - 1) / n).cast("long"))
-    gathered = numbered.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("__line", F.col(value).alias("v")))).alias("rows"))
+    lines = serials(df, place, order, "__line").withColumn("window", F.floor((F.col("__line") - 1) / n).cast("long"))
+    gathered = lines.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("__line", F.col(value).alias("v")))).alias("rows"))
     return gathered.select("window", F.transform("rows", lambda r: r["v"]).alias("values"))
 
 
@@ -146,13 +153,43 @@ def hash_ranked(df: DataFrame, keys: Sequence[str], key: str, seed: object, name
     counts, a row per group and slice, are all that one group has in one window.
     """
     dealt = df.withColumn("__slice", F.shiftright(hash_place(seed, key), 48 - SLICE_BITS))
-    counts = dealt.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    return in_slices(dealt, keys, [hash_order(seed, key), F.col(key)], df.columns, name, size)
+
+
+def slice_starts(dealt: DataFrame, keys: Sequence[str], amount: Column) -> tuple[DataFrame, Column]:
+    """For each group's slice the amount of those before it (``__before``) and of the group (``__size``), and the condition that joins them."""
+    sums = dealt.groupBy(*keys, "__slice").agg(amount.alias("__n"))
     group = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("__n").over(group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__slice").alias("__s"), before.alias("__before"), F.sum("__n").over(group).alias("__size"))
-    numbered = ranked(dealt, [*keys, "__slice"], [hash_order(seed, key), F.col(key)], "__own")
+    starts = sums.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__slice").alias("__s"), before.alias("__before"), F.sum("__n").over(group).alias("__size"))
     same = F.col("__slice") == F.col("__s")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = numbered.join(starts, same).withColumn(name, (F.col("__own") + F.col("__before")).cast("long"))
-    return joined.select(*df.columns, name, *([F.col("__size").alias(size)] if size else []))
+    return starts, same
+
+
+def in_slices(dealt: DataFrame, keys: Sequence[str], order: Sequence[Column | str], columns: Sequence[str], name: str, size: str | None) -> DataFrame:
+    """Rows of each group numbered from 1, from slices (``__slice``) that follow each other in the order."""
+    starts, same = slice_starts(dealt, keys, F.count(F.lit(1)))
+    joined = ranked(dealt, [*keys, "__slice"], order, "__own").join(starts, same).withColumn(name, (F.col("__own") + F.col("__before")).cast("long"))
+    return joined.select(*columns, name, *([F.col("__size").alias(size)] if size else []))
+
+
+def with_ranges(df: DataFrame, place: str) -> DataFrame:
+    """``__slice``: in which of 64 ranges of a numeric column a row is, -1 for null. Approximate quantiles cut the table; only they reach the driver."""
+    cuts = df.agg(F.percentile_approx(place, [(i + 1) / RANGES for i in range(RANGES - 1)], 10_000).alias("b")).first()["b"] or []
+    bounds = F.array(*(F.lit(x) for x in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    return df.withColumn("__slice", F.coalesce(F.get(F.transform(F.array(place), lambda p: F.size(F.filter(bounds, lambda b: b < p))), 0), F.lit(-1)))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str, size: str | None = None) -> DataFrame:
+    """``ranked``, and each group's number of rows as ``size``, without one task per group where the order begins with a numeric column.
+
+    Ranges of that column cut every group into 64 slices at most, so few keys with
+    very many rows still make many tasks. Other orders are left to one window.
+    """
+    first = order[0] if isinstance(order[0], str) else None
+    if first and isinstance(df.schema[first].dataType, T.NumericType) and not isinstance(df.schema[first].dataType, T.DecimalType):
+        return in_slices(with_ranges(df, first), keys, order, df.columns, name, size)
+    out = ranked(df, keys, order, name)
+    return out.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys))) if size else out

@@ -135,7 +135,7 @@ b as (select s_nationkey as k, s_suppkey, row_number() over (partition by s_nati
 select k, place::BIGINT as place, c_custkey, s_suppkey from a join b using (k, place)""")
 def jn14_zip_join(t: Tables) -> DataFrame:
     a, b = t.customer.select(F.col("c_nationkey").alias("k"), "c_custkey"), t.supplier.select(F.col("s_nationkey").alias("k"), "s_suppkey")
-    return joins.zip_join(a, b, ["k"], [hash_order(7, "c_custkey"), F.col("c_custkey")], [hash_order(7, "s_suppkey"), F.col("s_suppkey")])
+    return joins.shuffled_zip(a, b, ["k"], "c_custkey", "s_suppkey", 7)
 
 
 @query("JN15", """with s as (select s_nationkey as k, s_suppkey, row_number() over (partition by s_nationkey order by s_suppkey) as rn from supplier),
