@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from turnloom.functions import literals, strings
 from turnloom.operators import joins
-from turnloom.operators.ranking import hash_order, keep_last, ranked
-from turnloom.plans.base import BUCKETS, SCORED, r9, scored
+from turnloom.operators.ranking import keep_last
+from turnloom.plans.base import BUCKETS, SCORED, scored
 from turnloom.registry import Tables, query
 
 #: nation to region as plan-to-next-plan edges; region counts as wanted rows.

@@ -6,7 +6,6 @@ import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from turnloom.operators import generation, ranking, sampling
 from turnloom.operators.ranking import hash_order

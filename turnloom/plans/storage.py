@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from turnloom.operators import generation
 from turnloom.registry import Tables, query
-from turnloom.shared import shared_dir
-from turnloom.sources import readers, sinks
+from turnloom.shared import shared_dir, stored
+from turnloom.sources import readers, sheets, sinks
 
 
 @query("SRC1 SRC2 SNK1", "select event_id, user_id, event_type, props from events")
@@ -117,3 +117,12 @@ def ud3_collect(t: Tables) -> DataFrame:
         return short.select("plan", F.explode(F.sequence(F.lit(1), F.least("missing", F.lit(3)).cast("int"))).alias("_pos"))
 
     return generation.collect_until(plans, "plan", 4, produce).groupBy("plan").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SRC13", """select (s_suppkey // 2000)::VARCHAR as book, s_nationkey::VARCHAR as sheet, (1 + row_number() over (partition by s_suppkey // 2000, s_nationkey order by s_suppkey))::BIGINT as row, s_suppkey::VARCHAR as key, s_name as name from supplier""")
+def src13_sheets(t: Tables) -> DataFrame:
+    """Suppliers in workbooks of at most 2,000, a sheet for each nation, read back from the stored bytes; headers are left out."""
+    rows = t.supplier.select(F.floor(F.col("s_suppkey") / 2000).cast("string").alias("book"), "s_nationkey", "s_suppkey", "s_name")
+    books = stored(sheets.workbooks(rows, "book", "s_nationkey"), "workbooks")
+    cells = sheets.workbook_rows(books).filter("row > 1")
+    return cells.select(F.col("path").alias("book"), "sheet", "row", F.get("cells", 0).alias("key"), F.get("cells", 1).alias("name"))
