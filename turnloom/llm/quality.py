@@ -9,17 +9,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from turnloom.llm.common import held_out, labelled_sample, spans_of_rows, utf8_buffer
+from turnloom.llm.common import cut, held_out, labelled_sample, spans_of_rows, utf8_buffer
 from turnloom.llm.decontam import separated, word_hashes
 from turnloom.llm.suffix import Hasher
 
-#: Labelled documents that train the model, at most, with all their passages.
-SAMPLE = 4000
+#: Labelled documents that train the model, at most, and passages that all of them have together, at most.
+SAMPLE, MOST_PASSAGES = 4000, 400_000
 #: Words per passage, bytes in memory at a time, sizes of the passage code and of the attention.
 PASSAGE, CHUNK, CODE, ATTENTION = 64, 1 << 18, 32, 16
 EPOCHS, BATCH, RATE, DECAY = 24, 64, 3e-3, 1e-4
 THRESHOLD = 0.3
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _classes() -> np.ndarray:
@@ -64,7 +66,10 @@ def passage_features(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int
         size = np.diff(np.append(begin, len(part)))
         at = np.repeat(np.arange(total), size) * N_CLASSES + classes[part]
         single = np.bincount(at, minlength=total * N_CLASSES).reshape(total, N_CLASSES)
-        pairs = np.bincount(at[:-1] * N_CLASSES + at[1:] % N_CLASSES, minlength=total * N_CLASSES**2).reshape(total, -1)
+        # what follows a row's last blank belongs to another text
+        inner = np.ones(len(part), bool)
+        inner[ends] = False
+        pairs = np.bincount((at[:-1] * N_CLASSES + at[1:] % N_CLASSES)[inner[:-1]], minlength=total * N_CLASSES**2).reshape(total, -1)
         n = np.bincount(own, minlength=total)
         length = (stops - starts).astype(np.float64)
         order = np.lexsort((words, own))
@@ -141,11 +146,14 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 7) -> Atten
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Attention:
-    """Fit on at most ``most`` labelled documents that aren't held out, and all their passages.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, passages: int = MOST_PASSAGES) -> Attention:
+    """Fit on at most ``most`` labelled documents that aren't held out, each with all its passages.
 
-    One task of an executor learns, with N_FEATURES floats a passage in memory;
-    the driver gets the model only.
+    They are taken in the order of a hash of their ids for as long as they have
+    ``passages`` passages together, so that the bound holds whatever their lengths
+    are (one document that has more by itself is left out). One task of an executor learns, with N_FEATURES
+    floats a passage in memory, twice while they are put together: some 700 MB by
+    the default; the driver gets the model only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
         columns = [pa.array(list(found)), pa.array([list(v.shape) for v in arrays], pa.list_(pa.int32())), pa.array([v.ravel().tolist() for v in arrays], pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays(columns, ["name", "shape", "value"])
 
-    sample = labelled_sample(docs, labels, label, most).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y")
-    passages = sample.mapInArrow(run, "doc_id long, x binary, y int").repartition(1)
-    found = passages.mapInArrow(learn, "name string, shape array<int>, value array<double>").collect()
+    sample = cut(labelled_sample(docs, labels, label, most).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y"))
+    own = F.greatest(F.ceil(F.regexp_count("text", F.lit(WORD)) / PASSAGE), F.lit(1))
+    upto = F.sum("own").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    sized = sample.select("doc_id", own.alias("own"))
+    fitting = sized.withColumn("upto", upto).filter(F.col("upto") <= passages).select("doc_id")
+    features = sample.join(F.broadcast(fitting), "doc_id").mapInArrow(run, "doc_id long, x binary, y int").repartition(1)
+    found = features.mapInArrow(learn, "name string, shape array<int>, value array<double>").collect()
     if not found:  # an optimiser that knows that there are no rows starts no task
         return fit(np.zeros((0, N_FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32))
     p = {r["name"]: np.array(r["value"], np.float32).reshape(r["shape"]) for r in found}
@@ -184,8 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 def score_documents(docs: DataFrame, model: Attention) -> DataFrame:
     """doc_id, score, passages, top_passage (the one with most attention) for every document.
 
-    Scores depend on the text alone; null texts read as empty, and a text
-    without words is a bag of one empty passage. An empty table gives no rows.
+    Scores depend on the text alone, so repeated rows get equal ones; null texts
+    read as empty, and a text without words is a bag of one empty passage. An empty table gives no rows,
+    other columns aren't read whatever their names, and a very long text takes memory for its own passages
+    (some 900 bytes for 64 words) while it is scored.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.p))
 

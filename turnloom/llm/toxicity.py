@@ -18,8 +18,8 @@ from turnloom.llm.common import labelled_sample
 
 #: Labelled documents that train the model, at most.
 SAMPLE = 5000
-#: Lengths of word beginnings that are features, least documents and evidence of a feature, most features.
-STEMS, LEAST_DOCS, LEAST_Z, MOST_FEATURES = (4, 5, 6, 7), 3, 4.0, 4096
+#: Lengths of word beginnings that are features, least documents and evidence of a feature.
+STEMS, LEAST_DOCS, LEAST_Z = (4, 5, 6, 7), 3, 4.0
 STEPS, RATE, RIDGE = 600, 0.1, 2e-4
 #: Distinct words whose weights a worker remembers.
 MEMO = 200_000
@@ -77,7 +77,9 @@ def severity_grades(bags: list[set[str]], toxic: np.ndarray, z: dict[str, float]
     """0: not toxic; toxic documents get 1, or 2 with more marked words than their median.
 
     The labels tell two grades only; marked words are those with strong evidence,
-    of their own or of a beginning.
+    of their own or of a beginning. So the second threshold is learnt from words
+    that are features themselves: it orders documents by how many of them they
+    have, and says nothing that the labels don't.
     """
     marked = np.array([sum(any(z.get(f, 0.0) >= LEAST_Z for f in features(w)) for w in bag) for bag in bags])
     middle = np.median(marked[toxic]) if toxic.any() else 0.0
@@ -85,11 +87,15 @@ def severity_grades(bags: list[set[str]], toxic: np.ndarray, z: dict[str, float]
 
 
 def fit(bags: list[set[str]], grades: np.ndarray, z: dict[str, float]) -> Ordinal:
-    """Maximum likelihood with a ridge, by full-batch Adam; the thresholds stay in order as sums of exponentials."""
+    """Maximum likelihood with a ridge, by full-batch Adam; the thresholds stay in order as sums of exponentials.
+
+    All features of enough evidence are fitted. A step takes time by their
+    occurrences in the sample, not by their number.
+    """
     top = int(grades.max(initial=0))
     if not top:
         return Ordinal({}, [20.0, 21.0])
-    chosen = sorted((f for f, v in z.items() if abs(v) >= LEAST_Z), key=lambda f: (-abs(z[f]), f))[:MOST_FEATURES]
+    chosen = sorted((f for f, v in z.items() if abs(v) >= LEAST_Z), key=lambda f: (-abs(z[f]), f))
     place = {f: i for i, f in enumerate(chosen)}
     rows, columns = [], []
     for i, bag in enumerate(bags):
@@ -195,7 +201,7 @@ def with_severity(docs: DataFrame, model: Ordinal) -> DataFrame:
 
 
 def severities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, severity (expected grade), grade, score (chance of any), toxic (score of 0.5 or more)."""
+    """doc_id, severity (expected grade), grade, score (chance of any), toxic (score of 0.5 or more); rows and texts as in ``with_severity``."""
     scored = with_severity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
     return scored.select("doc_id", F.col("__severity.expected").alias("severity"), "__severity.grade", F.col("__severity.chance").alias("score"), (F.col("__severity.chance") >= 0.5).cast("int").alias("toxic"))
 
