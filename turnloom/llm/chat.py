@@ -42,6 +42,8 @@ def collapse_snapshots(turns: DataFrame) -> DataFrame:
 
     Rows without a ``conv_id`` form one conversation with a null id. A
     conversation without any row doesn't exist; an empty table gives no rows.
+    Texts are hashed whole, however long; a conversation's rendered text is one
+    value of one row, so its turns together have to fit one (2 GB).
     Only conv_id, turn, role and text are read; other columns don't matter.
     Returns conv_id, n_turns, copies, rendered.
     """

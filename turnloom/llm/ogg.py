@@ -268,7 +268,11 @@ def packet_table(stored: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Store every text, read it back, and digest both forms."""
+    """Store every text, read it back, and digest both forms.
+
+    Null, empty and repeated rows are as in ``store_texts``. A very long text takes
+    memory for itself, its file and its packets, some four times its bytes, in one task.
+    """
     both = read_media(store_texts(docs))
     return both.select(
         "doc_id",

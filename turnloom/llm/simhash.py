@@ -202,7 +202,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
 
     Null, empty and blank texts have fingerprint zero and are linked like any
     other; rows with equal ids are linked by their own texts; a component of
-    rows without ids has a null component_id. An empty table gives no rows.
+    rows without ids has a null component_id. An empty table gives no rows, other
+    columns aren't read, and a very long text takes memory for its own words
+    while it is hashed; what goes on is one fingerprint for each row.
     """
     marked = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))

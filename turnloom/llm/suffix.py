@@ -391,7 +391,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     Places are ordered by doc_id (null first), rows with one id by their text,
     and within a document by byte; of repeated windows the first stays. Null
     texts read as empty; texts under WINDOW bytes lose nothing. An empty table
-    gives no rows, other columns don't matter.
+    gives no rows, other columns don't matter. A very long text is cut to cells
+    piece by piece; its spans are two lists of one row.
     """
     keyed = with_row_key(docs.select("doc_id", "text"))
     spans = repeated_spans(keyed).groupBy(DOC_KEY, TIE_KEY).agg(F.collect_list("start").alias("starts"), F.collect_list("len").alias("lens"))
@@ -420,6 +421,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``cut_repeats``, which states what null, empty, repeated and very long texts give."""
     out = cut_repeats(docs)
     return out.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
