@@ -58,6 +58,27 @@ def sc48_double_encoded(t: Tables) -> DataFrame:
     return _calls(t).select("p_partkey", "decoded")
 
 
+@query("SC44 SC40 SC28", _CALLS + """select conv_id, turn, case when p_type = 'STANDARD' then '{"arguments":["' || w1 || '",' || p_size || '],"plan":"' || plan || '"}' else '{"arguments":{' || args || '},"plan":"' || plan || '"}' end as call
+from j join conversations on conv_id = p_partkey where p_type <> 'LARGE'""")
+def sc44_calls_in_texts(t: Tables) -> DataFrame:
+    """What is written down of a call among a turn's own words: between them, or cut off at their end. A call encoded twice is no object there."""
+    said = t.conversations.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).join(_calls(t).withColumnRenamed("p_partkey", "conv_id"), "conv_id")
+    cut_off = F.col("decoded").isNull()
+    raw = F.concat("text", F.lit(" "), "raw", F.when(cut_off, "").otherwise(F.concat(F.lit(" "), "text")))
+    return said.select("conv_id", "turn", F.explode(literals.extract_embedded(raw)).alias("call"))
+
+
+@query("SC46 SC11", _CALLS + """select conv_id, turn, '{"arguments":{' || case when w1 < 'arg0' then '"' || w1 || '":' || p_size || ',"arg0":"' || w2 || '"' else '"arg0":"' || w2 || '","' || w1 || '":' || p_size end || '},"plan":"' || p_type || '","result":' || case when p_size % 2 = 0 then '"r' || p_size || '"' else 'null' end || '}' as call
+from c join conversations on conv_id = p_partkey""")
+def sc46_code_calls(t: Tables) -> DataFrame:
+    """A line of code between the lines of a turn, bound to a name or not, with a named and an unnamed argument."""
+    w = F.split("p_name", " ")
+    bound = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("r"), "p_size", F.lit(" = "))).otherwise("")
+    line = F.concat(bound, "p_type", F.lit("('"), F.element_at(w, 2), F.lit("', "), F.element_at(w, 1), F.lit("="), "p_size", F.lit(")"))
+    said = t.conversations.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).join(t.part.select(F.col("p_partkey").alias("conv_id"), line.alias("line")), "conv_id")
+    return said.select("conv_id", "turn", F.explode(literals.extract_calls(F.concat("text", F.lit("\n"), "line", F.lit("\n"), "text"))).alias("call"))
+
+
 @query("SC61 SC62", _CALLS + """, m as (select j.*, cat.plan is not null and parse_ok as known, arg_keys, candidates from j left join cat using (plan) left join g on g.p_type = j.p_type and g.p_size = j.p_size),
 i as (select *, case when is_object then list_filter(keys, lambda w: not coalesce(list_contains(arg_keys, w), false)) else [] end as bad from m)
 select p_partkey, parse_ok, case when parse_ok then plan else '' end as predicted_plan, is_object as arguments_is_object, known as plan_allowed, array_to_string(bad, '|') as invalid_keys, is_object and len(bad) = 0 as keys_subset,
