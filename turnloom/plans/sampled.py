@@ -48,7 +48,7 @@ def quotas(t: Tables) -> DataFrame:
     sizes = t.events.groupBy(F.col("event_type").alias("plan")).agg(F.count(F.lit(1)).alias("n")).filter("n > 100")
     groups = t.events.groupBy(F.col("event_type").alias("plan"), "user_id").agg(F.count(F.lit(1)).alias("c"), F.min("event_id").alias("first_pos"))
     share = F.greatest(F.lit(1), F.floor(F.col("c") * ranking.quota_ladder(F.col("n")))).cast("long")
-    return ranking.budgeted(groups.join(F.broadcast(sizes), "plan").withColumn("f_cnt", share), "plan", "first_pos", "f_cnt", 50).select("plan", "user_id", "first_pos", "f_cnt", "quota")
+    return ranking.budgeted(groups.join(sizes, "plan").withColumn("f_cnt", share), "plan", "first_pos", "f_cnt", 50).select("plan", "user_id", "first_pos", "f_cnt", "quota")
 
 
 @query("WN7", _QUOTAS + "select * from q")

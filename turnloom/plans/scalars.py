@@ -34,9 +34,13 @@ def sc3_stop_markers(t: Tables) -> DataFrame:
 
 @query("SC4", "select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey < b.p_partkey where levenshtein(a.p_name, b.p_name) <= 3")
 def sc4_levenshtein(t: Tables) -> DataFrame:
+    """Parts of a brand and size whose names differ little: near names first, then the parts that have them."""
     a = t.part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("an"), "p_brand", "p_size")
     b = a.toDF("b", "bn", "p_brand", "p_size")
-    return a.join(b, ["p_brand", "p_size"]).filter((F.col("a") < F.col("b")) & strings.within_edits(F.col("an"), F.col("bn"))).select("a", "b")
+    near = matching.edit_join(t.part, "p_name", 3).select(F.col("a").alias("an"), F.col("b").alias("bn"))
+    same = t.part.select(F.col("p_name").alias("an"), F.col("p_name").alias("bn")).distinct()
+    both = near.unionByName(near.select(F.col("bn").alias("an"), F.col("an").alias("bn"))).unionByName(same)
+    return a.join(both, "an").join(b, ["bn", "p_brand", "p_size"]).filter(F.col("a") < F.col("b")).select("a", "b")
 
 
 @query("SC4", """with n as (select distinct p_name as w from part) select least((length(x.w), x.w), (length(y.w), y.w))[2] as a, greatest((length(x.w), x.w), (length(y.w), y.w))[2] as b, levenshtein(x.w, y.w)::INT as distance

@@ -86,7 +86,7 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*") -> list[str]:
 def with_provenance(df: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Add source_file, and the columns of a registry keyed by it."""
     named = df.withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    return named.join(F.broadcast(registry), "source_file", "left") if registry is not None else named
+    return named.join(registry, "source_file", "left") if registry is not None else named
 
 
 def parse_test_keys(given: str, known: Sequence[str]) -> list[str]:
