@@ -169,46 +169,62 @@ def cell_rows(docs: DataFrame) -> DataFrame:
 RESOLVED = f"kind int, key long, {DOC_KEY} long, {TIE_KEY} int, start long, len long, off int"
 
 
-def resolve_cells(cells: DataFrame) -> DataFrame:
-    """Repeated spans (kind 1), and first cells of anchors with several contents (kind 0).
+class Resolver:
+    """Takes cells (key, content, d, t, meta) sorted by these, batch by batch, and tells what each is.
 
-    Partitions are sorted by anchor, content and place; one anchor's cells at a
-    time are held.
+    A span, and a cell whose content came before at its anchor, is a repeat
+    (kind 1). A first cell counts (kind 0) if its anchor has several contents. Of the anchor
+    at hand only the first cell is held, and only until a second content comes: what
+    an anchor's cells take doesn't grow with their number.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def done(c: list[np.ndarray]) -> pa.RecordBatch:
-            key, content, d, t, meta = c
-            span = (meta & 1) == 1
-            new_key = np.ones(len(key), bool)
-            new_key[1:] = key[1:] != key[:-1]
-            new = new_key.copy()
-            new[1:] |= content[1:] != content[:-1]
-            new |= span
-            group = np.cumsum(new_key) - 1
-            several = np.bincount(group, weights=new & ~span, minlength=group[-1] + 1 if len(group) else 0)[group] > 1
-            n = (meta >> 8) & 0xFF
-            length = np.where(span, content, n + WINDOW - 1)
-            gone = span | ~new
-            out = gone | several
-            kind = gone.astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x[out]) for x in (kind, key, d, t, meta >> 16, length, ((meta >> 1) & 0x7F).astype(np.int32))],
-                ["kind", "key", DOC_KEY, TIE_KEY, "start", "len", "off"],
-            )
+    def __init__(self):
+        self.key = self.content = self.pending = None
+        self.several = False
+
+    def take(self, columns: list[np.ndarray]) -> pa.RecordBatch:
+        key, content, _, _, meta = columns
+        span = (meta & 1) == 1
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        new = fresh.copy()
+        new[1:] |= content[1:] != content[:-1]
+        fresh[0] = key[0] != self.key
+        new[0] = fresh[0] or content[0] != self.content
+        first = (new | span) & ~span
+        anchor = np.cumsum(fresh)  # 0: that of the batch before
+        firsts = np.bincount(anchor, weights=first)
+        firsts[0] += 2 if self.several else self.pending is not None
+        several = firsts > 1
+        gone = ~first
+        out = [x[gone | several[anchor]] for x in (gone.astype(np.int32), *columns)]
+        if self.pending is not None and several[0]:
+            out = [np.append(x, np.array([v], x.dtype)) for x, v in zip(out, (0, *self.pending))]
+        last = int(anchor[-1])
+        if last or several[0]:
+            own = np.flatnonzero(first & (anchor == last)) if not several[last] else []
+            self.pending = [x[own[0]] for x in columns] if len(own) else None
+        elif self.pending is None:
+            own = np.flatnonzero(first)
+            self.pending = [x[own[0]] for x in columns] if len(own) else None
+        self.key, self.content, self.several = key[-1], content[-1], bool(several[last])
+        kind, key, content, d, t, meta = out
+        n = (meta >> 8) & 0xFF
+        length = np.where((meta & 1) == 1, content, n + WINDOW - 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (kind, key, d, t, meta >> 16, length, ((meta >> 1) & 0x7F).astype(np.int32))],
+            ["kind", "key", DOC_KEY, TIE_KEY, "start", "len", "off"],
+        )
+
 
+def resolve_cells(cells: DataFrame) -> DataFrame:
+    """Repeated spans (kind 1), and first cells of anchors with several contents (kind 0), from sorted partitions (``Resolver``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resolver = Resolver()
         for batch in batches:
-            columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns)]
-            last = np.flatnonzero(held[0] != held[0][-1])
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield done([x[:cut] for x in held])
-                held = [x[cut:].copy() for x in held]
-        if held is not None:
-            yield done(held)
+            if batch.num_rows:
+                yield resolver.take([x.to_numpy(zero_copy_only=False) for x in batch.columns])
 
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cells.repartition(n, "key").sortWithinPartitions("key", "content", DOC_KEY, TIE_KEY, "meta").mapInArrow(run, RESOLVED)
