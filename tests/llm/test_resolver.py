@@ -80,3 +80,24 @@ def test_small_arrow_batches_give_the_same_rows(spark):
         assert read() == want and sum(r[2] for r in want) > 0
     finally:
         spark.conf.set(name, before)
+
+
+def test_rows_of_one_id_are_numbered_in_slices(spark):
+    """A table without ids: all rows are told apart, in the order of their texts' hashes, and no task numbers more than a few."""
+    from pyspark.sql import functions as F
+
+    from turnloom.llm.common import DOC_KEY, NULL_ID, TIE_KEY, with_row_key
+
+    rows = [(None, f"text {k % 900}", "x") for k in range(1000)] + [(5, None, "y"), (5, None, "y"), (6, "alone", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string")
+    keyed = with_row_key(docs)
+    got = keyed.collect()
+    assert keyed.columns == [*docs.columns, DOC_KEY, TIE_KEY] and dict(keyed.dtypes)[TIE_KEY] == "int"
+    none = sorted((r for r in got if r.doc_id is None), key=lambda r: r[TIE_KEY])
+    assert [r[TIE_KEY] for r in none] == list(range(1000)) and {r[DOC_KEY] for r in none} == {NULL_ID}
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    assert [hashes[r.text] for r in none] == sorted(hashes[r.text] for r in none)
+    assert sorted(r[TIE_KEY] for r in got if r.doc_id == 5) == [0, 1] and [r[TIE_KEY] for r in got if r.doc_id == 6] == [0]
+    slices = docs.filter("doc_id is null").groupBy(F.shiftright(F.xxhash64("text"), 54)).count().agg(F.max("count")).first()[0]
+    assert slices < 20
+    assert with_row_key(docs.limit(0)).count() == 0

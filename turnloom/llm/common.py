@@ -9,12 +9,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from turnloom.operators.ranking import in_slices
 from turnloom.shared import cut, scratch  # noqa: F401  cut is part of this module for its callers
 
 DOC_KEY, TIE_KEY = "__d", "__t"
 NULL_ID = -(2**63)
+#: Bits of a text's hash that part the rows of one id where they are numbered.
+SLICE_BITS = 10
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,17 +70,21 @@ def with_row_key(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ``__t`` is 0 wherever ids are unique, which one slim pass over the ids
     finds out. Rows that share an id (or have none) are numbered by their text,
     so equal inputs give equal keys; wholly identical rows are interchangeable.
-    Only the rows of repeated ids are numbered.
+    Only the rows of repeated ids are numbered, in 1,024 slices of a hash of their
+    texts that start after the counted rows before them, so an id that a third of
+    all rows have (or none) isn't one task.
     """
     keyed = df.withColumn(DOC_KEY, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
     clashes = keyed.groupBy(DOC_KEY).count().filter("count > 1").select(DOC_KEY)
     if clashes.limit(1).isEmpty():
         return keyed.withColumn(TIE_KEY, F.lit(0))
-    order = [F.xxhash64(c) for c in ("text",) if c in df.columns] + [F.col(c) for c in df.columns if c == "text"]
-    w = Window.partitionBy(DOC_KEY).orderBy(*(order or [F.lit(0)]))
     alone = keyed.join(clashes, DOC_KEY, "left_anti").withColumn(TIE_KEY, F.lit(0)).select(*keyed.columns, TIE_KEY)
-    shared = keyed.join(clashes, DOC_KEY, "left_semi").withColumn(TIE_KEY, F.row_number().over(w) - 1)
-    return alone.unionByName(shared.select(*keyed.columns, TIE_KEY))
+    shared = keyed.join(clashes, DOC_KEY, "left_semi")
+    place = F.xxhash64("text") if "text" in df.columns else F.xxhash64(*df.columns)
+    order = [F.col("__h"), *(F.col(c) for c in df.columns if c == "text")]
+    dealt = shared.withColumn("__h", place).withColumn("__slice", F.shiftright("__h", 64 - SLICE_BITS))
+    numbered = in_slices(dealt, [DOC_KEY], order, keyed.columns, TIE_KEY, None)
+    return alone.unionByName(numbered.withColumn(TIE_KEY, (F.col(TIE_KEY) - 1).cast("int")))
 
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
