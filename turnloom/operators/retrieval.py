@@ -26,30 +26,36 @@ def runs_of(words: Column, n: int) -> Column:
     return F.filter(starts, lambda run: run.isNotNull())
 
 
-def word_grams(rows: DataFrame, text: str, longest: int) -> DataFrame:
-    """Replaces the text by ``gram``, a row for each word in lower case and each run of up to ``longest`` of them."""
-    kept = [c for c in rows.columns if c != text]
-    # words stand in a column of their own, or each run would take the text apart again
-    words = rows.select(*kept, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)).alias("__words"))
-    return words.select(*kept, F.explode(F.concat("__words", *(runs_of(F.col("__words"), n) for n in range(2, longest + 1)))).alias("gram"))
-
-
-def text_vectors(turns: DataFrame, keys: list[str], text: str, longest: int = 2) -> DataFrame:
-    """keys, gram, weight, norm: a sparse vector for each row, whose weights over its norm make it of length one.
+def gram_counts(rows: DataFrame, text: str, longest: int) -> DataFrame:
+    """Replaces the text by ``gram`` and ``tf``: a row for each different word in lower case and run of up to ``longest`` words.
 
-    A weight is ``(1 + ln tf) * (1 + ln((1 + N) / (1 + df)))`` with N rows. Grams
-    are told by a 64-bit hash. Document frequencies come from one aggregate, which
-    is combined before it is shuffled; the join with them is Spark's to split
-    where a gram is in many rows. Rows without words have no vector.
+    Grams are told by a 64-bit hash and counted within their row, in its sorted
+    hashes, so nothing is shuffled.
+    """
+    kept = [c for c in rows.columns if c != text]
+    # each step's array stands in a column of its own, or every element would make it anew
+    words = rows.select(*kept, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)).alias("__w"))
+    every = F.concat("__w", *(runs_of(F.col("__w"), n) for n in range(2, longest + 1)))
+    hashes = words.select(*kept, F.array_sort(F.transform(every, lambda g: F.xxhash64(g))).alias("__h"))
+    h, s = F.col("__h"), F.col("__s")
+    starts = F.filter(F.transform(h, lambda x, i: F.when((i == 0) | (x != F.get(h, i - 1)), i)), lambda i: i.isNotNull())
+    counted = F.transform(s, lambda at, k: F.struct(F.get(h, at).alias("gram"), (F.coalesce(F.get(s, k + 1), F.size(h)) - at).alias("tf")))
+    return hashes.select(*kept, "__h", starts.alias("__s")).select(*kept, F.explode(counted).alias("__g")).select(*kept, "__g.gram", "__g.tf")
+
+
+def text_vectors(rows: DataFrame, keys: list[str], text: str, longest: int = 2) -> DataFrame:
+    """keys, gram, weight: a sparse vector for each row.
+
+    A weight is ``(1 + ln tf) * (1 + ln((1 + N) / (1 + df)))`` with N rows. Document
+    frequencies come from one aggregate, which is combined before it is
+    shuffled; the join with them is Spark's to split where a gram is in many
+    rows. Rows without words have no vector.
     """
-    grams = word_grams(turns.select(*keys, text), text, longest).groupBy(*keys, F.xxhash64("gram").alias("gram")).agg(F.count(F.lit(1)).alias("tf"))
+    grams = gram_counts(rows.select(*keys, text), text, longest)
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    total = turns.agg(F.count(F.lit(1)).alias("total"))
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
     weight = (1 + F.log(F.col("tf"))) * (1 + F.log((1 + F.col("total")) / (1 + F.col("df"))))
-    weighed = grams.join(often, "gram").crossJoin(F.broadcast(total)).select(*keys, "gram", weight.alias("weight"))
-    weighed = stored(weighed, "text-vectors")
-    norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return weighed.join(norms, keys)
+    return grams.join(often, "gram").crossJoin(F.broadcast(total)).select(*keys, "gram", weight.alias("weight"))
 
 
 def select_history(turns: DataFrame, k: int, recency: float = 0.0, longest: int = 2) -> DataFrame:
@@ -64,16 +70,19 @@ def select_history(turns: DataFrame, k: int, recency: float = 0.0, longest: int
 
     Vectors meet by conversation and gram, so a conversation with a third of all
     turns is spread over its grams, and its ranking is cut to k in each task.
+    Weights are shuffled three times: to their document frequencies, to the
+    query's weights, and to their turn.
     """
-    slim = turns.select("conv_id", "turn")
-    ends = slim.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    vectors = text_vectors(turns, ["conv_id", "turn"], "text", longest)
-    queries = vectors.join(ends.withColumnRenamed("last", "turn"), ["conv_id", "turn"], "left_semi")
-    wanted = queries.select("conv_id", "gram", (F.col("weight") / F.col("norm")).alias("want"))
-    cosines = vectors.join(wanted, ["conv_id", "gram"]).groupBy("conv_id", "turn").agg(F.sum(F.col("weight") / F.col("norm") * F.col("want")).alias("cosine"))
-    earlier = slim.join(ends, "conv_id").filter(F.col("turn") < F.col("last")).join(cosines, ["conv_id", "turn"], "left")
+    ends = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    ready = turns.select("conv_id", "turn", "text").join(ends, "conv_id").withColumn("asks", F.col("turn") == F.col("last"))
+    weighed = stored(text_vectors(ready, ["conv_id", "turn", "asks"], "text", longest), "text-vectors")
+    asked = weighed.filter("asks").select("conv_id", "gram", F.col("weight").alias("want"))
+    sums = weighed.filter("not asks").join(asked, ["conv_id", "gram"], "left").groupBy("conv_id", "turn").agg(F.sum(F.col("weight") * F.col("weight")).alias("own"), F.sum(F.col("weight") * F.col("want")).alias("dot"))
+    wants = asked.groupBy("conv_id").agg(F.sum(F.col("want") * F.col("want")).alias("all"))
+    earlier = ready.filter("not asks").select("conv_id", "turn", "last").join(sums, ["conv_id", "turn"], "left").join(wants, "conv_id", "left")
+    cosine = F.coalesce(F.col("dot") / F.sqrt("own") / F.sqrt("all"), F.lit(0.0))
     late = F.when(F.col("last") == 1, 1.0).otherwise(F.col("turn") / (F.col("last") - 1))
-    scored = earlier.select("conv_id", "turn", F.round(F.coalesce("cosine", F.lit(0.0)) + recency * late, 9).alias("score"))
+    scored = earlier.select("conv_id", "turn", F.round(cosine + recency * late, 9).alias("score"))
     best = scored.withColumn("by_score", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn")).cast("long")).filter(F.col("by_score") <= k)
     return best.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
 
