@@ -39,3 +39,21 @@ def test_short_lines_with_one_changed_character_are_copies(spark):
         at = rng.randrange(5, 45)
         rows += [(2 * i, line), (2 * i + 1, line[:at] + "#" + line[at + 1 :])]
     assert removed(spark, rows) >= 119
+
+
+def test_buckets_of_two_unlike_lines_are_left_out(spark):
+    """Two lines meet in band 0; whether they stay is told by their sketches. Three lines of a bucket stay whatever these are."""
+    bands = len(lines.band_values())
+    rows = [(1, 0, 7), (2, (1 << 20) - 1, 7), (3, 0, 8), (4, (1 << 21) - 1, 8), (5, 0, 9), (6, -1, 9), (7, 5, 9), (8, 0, 10)]
+    marked = spark.createDataFrame([(k, x, b, *(1000 * k + j for j in range(1, bands))) for k, x, b in rows], ", ".join(["k long", "x long", *(f"b{j} long" for j in range(bands))]))
+    full, _ = lines.line_buckets(marked)
+    assert sorted(map(tuple, full.collect())) == [(7, 1), (7, 2), (9, 5), (9, 6), (9, 7)]
+
+
+def test_sketches_of_similar_lines_are_near(spark):
+    rng = random.Random(29)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) + "z"
+    rows = [(0, text), (1, text[:100] + "#" + text[101:]), (2, "".join(rng.sample(text, len(text))) + "z")]
+    x = [r.x for r in lines.line_bands(lines.with_row_key(spark.createDataFrame(rows, "doc_id long, text string"))).orderBy(lines.DOC_KEY).collect()]
+    far = [((x[0] ^ y) % 2**64).bit_count() for y in x[1:]]
+    assert far[0] <= lines.FAR < far[1]

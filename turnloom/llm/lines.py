@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ SHINGLE, LEAST = 5, 0.8
 VALUES, ROWS = 72, 6
 #: Bands that are shuffled at a time.
 BANDS_AT_ONCE = 4
+#: Values of which a line's sketch has the lowest bit, and differing bits beyond which two lines aren't compared. At a similarity
+#: of 0.8 each bit differs with a chance of 0.1, and more than 20 of 64 do with one of 5e-7.
+SKETCH, FAR = 64, 20
 #: Rounds of one pair per line at most, before all pairs that are left are compared.
 ROUNDS = 3
 #: Lines and characters of a block of a bucket; two blocks are compared at a time.
@@ -79,12 +84,12 @@ def different_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_bands(docs: DataFrame) -> DataFrame:
-    """Each different line with its place (__d, __t, pos), a number ``k`` and its band keys b0, b1 and so on.
+    """Each different line with its place (__d, __t, pos), a number ``k``, a sketch ``x`` and its band keys b0, b1 and so on.
 
     Shingles are runs of SHINGLE characters (UTF-16 units), or the whole of a
     shorter line. Each is hashed once; a signature value is the least xor of
-    the hashes with a fixed mask, and a band is the hash of ROWS values. The
-    positions are exploded and aggregated again in generated code, where the
+    the hashes with a fixed mask, and a band is the hash of ROWS values. A
+    sketch is the lowest bits of SKETCH values. The positions are exploded and aggregated again in generated code, where the
     lines lie by their hashes already: the text is shuffled once, signatures
     never. ``k`` is settled only when the table is written.
     """
@@ -95,25 +100,33 @@ def line_bands(docs: DataFrame) -> DataFrame:
     hashed = at.select(*own, *(F.xxhash64(F.substring("b", x, F.lit(2 * SHINGLE))).alias(f"s{j}") for j, x in enumerate(places)))
     least = [F.min(F.least(*(F.col(f"s{s}").bitwiseXOR(F.lit(m)) for s in range(STRIDE)))).alias(f"m{j}") for j, m in enumerate(masks(VALUES))]
     bands = [F.xxhash64(F.lit(b), *(f"m{v}" for v in values)).alias(f"b{b}") for b, values in enumerate(band_values())]
-    return hashed.groupBy(*own).agg(*least).select(F.monotonically_increasing_id().alias("k"), DOC_KEY, TIE_KEY, "pos", *bands)
+    sketch = reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"m{v}").bitwiseAND(F.lit(1).cast("long")), v) for v in range(SKETCH)))
+    return hashed.groupBy(*own).agg(*least).select(F.monotonically_increasing_id().alias("k"), DOC_KEY, TIE_KEY, "pos", sketch.alias("x"), *bands)
+
+
+def apart(a: Column, b: Column) -> Column:
+    """How many bits of two sketches differ."""
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def line_buckets(marked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """bucket, k of all buckets with several lines, and the tables that hold them.
 
-    A few bands are shuffled at a time, which bounds the disk that takes.
+    A few bands are shuffled at a time, which bounds the disk that takes. Most
+    buckets have two lines, which the aggregate names itself; it leaves out those
+    whose sketches are far apart. Only lines of larger buckets are joined.
     """
-    parts = []
+    parts, used = [], []
     bands = len(band_values())
     for first in range(0, bands, BANDS_AT_ONCE):
         few = F.array(*(f"b{b}" for b in range(first, min(bands, first + BANDS_AT_ONCE))))
-        members = marked.select("k", F.explode(few).alias("bucket"))
-        several = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-        parts.append(materialize(members.join(several, "bucket").select("bucket", "k"), "line-buckets"))
-    full = parts[0]
-    for part in parts[1:]:
-        full = full.unionByName(part)
-    return full, parts
+        members = marked.select("k", "x", F.explode(few).alias("bucket"))
+        met = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.bit_xor("x").alias("x"))
+        met = materialize(met.filter(f"n > 2 or n = 2 and bit_count(x) <= {FAR}").select("bucket", "n", "lo", "hi"), "line-buckets")
+        more = materialize(members.join(met.filter("n > 2").select("bucket"), "bucket").select("bucket", "k"), "line-buckets")
+        parts += [met.filter("n = 2").select("bucket", F.explode(F.array("lo", "hi")).alias("k")), more]
+        used += [met, more]
+    return reduce(DataFrame.unionByName, parts), used
 
 
 def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -143,13 +156,13 @@ def hub_pairs(members: DataFrame, tried: DataFrame | None, r: int) -> DataFrame:
 
     The hub of a bucket is drawn anew each round, the sooner the more buckets it
     shares (``w``): such a line lies in the middle of its group, and most others
-    of the group are similar to it. Of its buckets' hubs a line takes the one
-    that shares most.
+    of the group are similar to it. Of its buckets' hubs whose sketches aren't far
+    from its own a line takes the one that shares most.
     """
     u = (F.pmod(F.xxhash64("k", F.lit(r)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     late = -F.log(u) / F.pow("w", F.lit(4.0)) if r else u - F.col("w")
-    drawn = members.withColumn("late", late).groupBy("bucket").agg(F.min_by("k", "late").alias("hub"), F.min_by("root", "late").alias("hub_root"), F.min_by("w", "late").alias("hub_w"))
-    met = members.join(drawn, "bucket").filter("root <> hub_root").select("k", "root", "hub", "hub_root", "hub_w")
+    drawn = members.withColumn("late", late).groupBy("bucket").agg(F.min_by("k", "late").alias("hub"), F.min_by("root", "late").alias("hub_root"), F.min_by("w", "late").alias("hub_w"), F.min_by("x", "late").alias("hub_x"))
+    met = members.join(drawn, "bucket").filter(F.expr("root <> hub_root") & (apart(F.col("x"), F.col("hub_x")) <= FAR)).select("k", "root", "hub", "hub_root", "hub_w")
     if tried is not None:
         met = met.join(tried.toDF("k", "hub"), ["k", "hub"], "left_anti")
     best = F.max_by(F.struct("hub", "hub_root"), F.struct("hub_w", "hub"))
@@ -160,27 +173,38 @@ def cross_links(members: DataFrame, lines: DataFrame) -> DataFrame:
     """The components (ru, rv) of all similar lines that meet in a bucket and are in different ones.
 
     A bucket's lines are dealt to blocks, and each pair of blocks is a row whose
-    lines are compared in place: shingle sets are made once a block, and only
-    links come out. Of the buckets that two lines share the least compares them.
+    lines are compared in place: sketches first, then, of lines with a near one,
+    shingle sets, which are made once a block; only links come out. Of the
+    buckets that two lines share the least compares them.
     """
-    shared = members.groupBy("k").agg(F.first("root").alias("root"), F.collect_set("bucket").alias("buckets"))
-    texts = shared.join(lines, "k").select("k", F.struct("k", "root", "buckets", "line").alias("x"))
+    shared = members.groupBy("k").agg(F.first("root").alias("root"), F.first("x").alias("x"), F.collect_set("bucket").alias("buckets"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_LINES), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
     sizes = members.groupBy("bucket").agg(blocks.alias("blocks"))
     dealt = members.select("bucket", "k").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("k", "bucket"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = dealt.join(texts, "k").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "x")).alias("all"))
+
+    def may_be_similar(a: Column, b: Column) -> Column:
+        return (
+            (a["root"] != b["root"]) & ((F.col("i") == F.col("j")) | (a["own"] != b["own"])) & (apart(a["x"], b["x"]) <= FAR)
+            & (F.array_min(F.array_intersect(a["buckets"], b["buckets"])) == F.col("bucket"))
+        )
+
+    def with_near(own: Column) -> Column:
+        return F.filter(own, lambda a: F.exists(own, lambda b: may_be_similar(a, b)))
+
+    slim = dealt.join(shared, "k").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "k", "root", "x", "buckets")).alias("all"))
+    near = cut(slim.select("bucket", "i", "j", F.inline(with_near(F.col("all")))))
+    rows = near.join(lines, "k").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "k", "root", "x", "buckets", "line")).alias("all"))
 
     def with_set(m: Column) -> Column:
-        x = m["x"]
-        return F.struct(m["own"].alias("own"), x["k"].alias("k"), x["root"].alias("root"), x["buckets"].alias("buckets"), F.array_distinct(shingle_set(F.encode(x["line"], "UTF-16BE"))).alias("s"))
+        kept = (m[c].alias(c) for c in ("own", "k", "root", "x", "buckets"))
+        return F.struct(*kept, F.array_distinct(shingle_set(F.encode(m["line"], "UTF-16BE"))).alias("s"))
 
     def similar(a: Column, b: Column) -> Column:
         sizes = F.size(a["s"]) + F.size(b["s"])
         return (
-            (a["k"] < b["k"]) & (a["root"] != b["root"]) & ((F.col("i") == F.col("j")) | (a["own"] != b["own"]))
+            (a["k"] < b["k"]) & may_be_similar(a, b)
             & (F.least(F.size(a["s"]), F.size(b["s"])) >= LEAST * F.greatest(F.size(a["s"]), F.size(b["s"])))
-            & (F.array_min(F.array_intersect(a["buckets"], b["buckets"])) == F.col("bucket"))
             & bound(F.size(F.array_intersect(a["s"], b["s"])), lambda common: common >= LEAST * (sizes - common))
         )
 
@@ -196,16 +220,16 @@ def line_classes(docs: DataFrame, marked: DataFrame) -> DataFrame:
     Lines of one band bucket are candidates. In ROUNDS rounds every line is
     verified against one hub at most (``hub_pairs``), which joins most of each
     large group of copies. Then all pairs of different components that are left
-    in a bucket are compared: no pair that met in a bucket is lost, whatever the
-    rounds have found.
+    in a bucket are compared: no pair that met in a bucket and whose sketches
+    aren't far apart is lost, whatever the rounds have found.
     """
     full, parts = line_buckets(marked)
     shares = full.groupBy("k").agg(F.count(F.lit(1)).alias("w"))
-    wanted = marked.select("k", DOC_KEY, TIE_KEY, "pos").join(shares.select("k"), "k", "left_semi")
+    wanted = materialize(marked.select("k", DOC_KEY, TIE_KEY, "pos", "x").join(shares, "k"), "line-wanted")
     lines = materialize(texts_of(docs, wanted), "line-texts")
-    known = shares.join(lines.select("k", F.length("line").alias("chars")), "k")
-    members = materialize(full.join(known, "k").select("bucket", "k", F.col("k").alias("root"), "w", "chars"), "line-members")
-    used = [*parts, lines, members]
+    known = wanted.select("k", "w", "x").join(lines.select("k", F.length("line").alias("chars")), "k")
+    members = materialize(full.join(known, "k").select("bucket", "k", F.col("k").alias("root"), "w", "x", "chars"), "line-members")
+    used = [*parts, wanted, lines, members]
     tried = roots = None
     for r in range(ROUNDS + 1):
         if r < ROUNDS:
