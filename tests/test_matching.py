@@ -42,3 +42,20 @@ def test_rewrites(spark):
     df = spark.createDataFrame(list(rows), "a string, b string, close boolean, same boolean").withColumn("m", matching.rewrite_match(F.col("a"), F.col("b")))
     for r in df.collect():
         assert (r.m.close, r.m.same_entities) == (r.close, r.same) and r.m.correct == (r.close or r.same), r
+
+
+def test_greedy_candidates_are_near_pairs_only(spark):
+    """300 unlike texts with common words and 30 near copies: all near pairs are candidates, and hardly another."""
+    import random
+
+    from turnloom.operators import similarity
+
+    rng = random.Random(41)
+    common = [f"c{i}" for i in range(40)]
+    rows = [[rng.choice(common) if rng.random() < 0.5 else f"r{rng.randrange(400)}" for _ in range(60)] for _ in range(300)]
+    rows += [[x if i % 12 else "new" for i, x in enumerate(t)] for t in rows[:30]]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(rows)], "__id long, __g long, t array<string>")
+    texts = df.select("__id", "__g", similarity.word_hashes(df["t"]).alias("__words"))
+    got = {tuple(r) for r in similarity.candidate_pairs(texts, 0.7).collect()}
+    want = {(i, j) for j in range(len(rows)) for i in range(j) if similarity.rouge_l(rows[i], rows[j]) > 0.7}
+    assert len(want) >= 30 and want <= got and len(got) < 3 * len(want)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from turnloom.shared import cut
+from turnloom.shared import cut, stored
 
 
 def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
@@ -33,57 +34,115 @@ def rouge_l(a: Sequence[str], b: Sequence[str]) -> float:
     return 2 * common / (len(a) + len(b)) if common else 0.0
 
 
-def token_rows(texts: DataFrame) -> DataFrame:
-    """__id, group, tok, n: each token of a text with the number of its earlier occurrences, so that bags are sets."""
-    tokens = texts.select("__id", "__g", F.posexplode("__toks").alias("pos", "word"), F.size("__toks").alias("n"))
-    nth = F.row_number().over(Window.partitionBy("__id", "word").orderBy("pos"))
-    return tokens.select("__id", "__g", "n", F.xxhash64("word", nth).alias("tok"))
+#: Slots by hash in which occurrences of words are counted, and slots of a text's bag of words.
+WORD_SLOTS, BAG_SLOTS = 1 << 16, 128
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], np.uint64)
+
+
+def word_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
+
+
+def rare_first(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Codes of a text's words with their numbers of earlier occurrences, so that bags are sets, in a fixed order: rare words first by ``counts``."""
+    own = np.sort(words)
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    nth = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
+    codes = (own.view(np.uint64) ^ (nth.astype(np.uint64) * _ODD[0])) * _ODD[1]
+    codes ^= codes >> np.uint64(29)
+    return codes[np.lexsort((codes, counts[own % WORD_SLOTS] // (nth + 1)))].view(np.int64)
+
+
+def prefix_size(n: int, bound: float) -> int:
+    """How many of the first of n words hold the first one shared with any text of a score above the bound."""
+    fewest = int(n * bound / (2 - bound)) + 1
+    return max(1, n - int((n + fewest) * bound / 2 - 1e-9))
+
+
+def bag(words: np.ndarray) -> np.ndarray:
+    """How many words of a text fall in each slot, 255 for more."""
+    return np.minimum(np.bincount((words >> 20) % BAG_SLOTS, minlength=BAG_SLOTS), 255).astype(np.uint8)
+
+
+def most_shared(bags: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """As many words as rows of bags can share at most; a full slot tells nothing."""
+    return np.where((np.minimum(bags, own) == 255).any(axis=1), 1 << 40, np.minimum(bags, own).sum(axis=1, dtype=np.int64))
+
+
+def word_counts(words: DataFrame) -> np.ndarray:
+    """Occurrences of words in each slot, over all texts of ``__words``; one number for each of WORD_SLOTS goes to the driver."""
+    slots = words.select(F.explode("__words").alias("w")).groupBy(F.pmod("w", F.lit(WORD_SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    out = np.zeros(WORD_SLOTS, np.int64)
+    for slot, n in slots.collect():
+        out[slot] = n
+    return out
 
 
 def candidate_pairs(texts: DataFrame, bound: float) -> DataFrame:
-    """(u, v), u < v, of all texts of a group that may have a ROUGE-L score above ``bound``.
+    """(u, v), u < v, of all texts (__id, __g, __words) of a group that may have a ROUGE-L score above ``bound``.
 
     A score above the bound needs more than bound / 2 of both lengths in shared
-    tokens. Then the rarest tokens of one text, as many as may be missing and
-    one more, hold one of the other's (prefix filtering; Chaudhuri et al., 2006).
-    Common tokens come last in that order, so few texts meet at one token.
+    words. In any fixed order the first word that two texts share has so many
+    others after it in both (prefix and positional filtering; Chaudhuri et al.,
+    2006, Xiao et al., 2008). Rare words come first in that order, so few texts
+    meet at one. Of those that meet, bags of words by hash tell most apart.
     """
-    rows = token_rows(texts)
-    often = rows.groupBy("__g", "tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    # fewest tokens of a partner: 2 m / (n + m) > bound
-    fewest = F.floor(F.col("n") * F.lit(bound / (2 - bound))) + 1
-    shared = F.floor((F.col("n") + fewest) * F.lit(bound / 2))
-    place = F.row_number().over(Window.partitionBy("__id").orderBy(F.coalesce("df", F.lit(1)), "tok"))
-    # a partner has the token too, so what no other text has opens no pair
-    prefix = rows.join(often, ["__g", "tok"], "left").withColumn("place", place).filter((F.col("place") <= F.col("n") - F.least(shared, F.col("n")) + 1) & F.col("df").isNotNull())
-    slim = prefix.select("__g", "tok", "__id", "n")
-    a, b = slim.toDF("__g", "tok", "u", "nu"), slim.toDF("__g", "tok", "v", "nv")
-    met = a.join(b, ["__g", "tok"]).filter((F.col("u") < F.col("v")) & (2 * F.least("nu", "nv") > F.lit(bound) * (F.col("nu") + F.col("nv"))))
-    return met.select("u", "v").distinct()
+    counts = word_counts(texts)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def prefixes(words: pd.Series) -> pd.Series:
+        return pd.Series([rare_first(np.asarray(w, np.int64), counts)[: prefix_size(len(w), bound)] for w in words])
+
+    @F.pandas_udf(T.BinaryType())
+    def bags(words: pd.Series) -> pd.Series:
+        return pd.Series([bag(np.asarray(w, np.int64)).tobytes() for w in words])
+
+    @F.pandas_udf(T.LongType())
+    def most(a: pd.Series, b: pd.Series) -> pd.Series:
+        left, right = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, BAG_SLOTS) for x in (a, b))
+        return pd.Series(most_shared(left, right))
+
+    slim = texts.select("__g", "__id", F.size("__words").alias("n"), F.posexplode(prefixes("__words")).alias("pos", "tok"))
+    a, b = slim.toDF("__g", "u", "nu", "pu", "tok"), slim.toDF("__g", "v", "nv", "pv", "tok")
+    shared = F.floor((F.col("nu") + F.col("nv")) * F.lit(bound / 2) - 1e-9)
+    reach = (F.col("pu") < F.col("nu") - shared) & (F.col("pv") < F.col("nv") - shared)
+    met = a.join(b, ["__g", "tok"]).filter((F.col("u") < F.col("v")) & (2 * F.least("nu", "nv") > F.lit(bound) * (F.col("nu") + F.col("nv"))) & reach)
+    held = texts.select("__id", F.size("__words").alias("n"), bags("__words").alias("bag"))
+    both = met.select("u", "v").distinct().join(held.toDF("u", "nu", "bu"), "u").join(held.toDF("v", "nv", "bv"), "v")
+    return both.filter(2 * most("bu", "bv") > F.lit(bound) * (F.col("nu") + F.col("nv"))).select("u", "v")
+
+
+def _same(keys: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys))
 
 
 def greedy_dedup(df: DataFrame, group: str, order: Sequence[str], text: str, bound: float) -> DataFrame:
     """Rows that pass the greedy filter, whose record starts anew for each group.
 
     A row goes if a row that was kept before it in its group is more similar
-    than ``bound`` by ROUGE-L. Rows with the same tokens as an earlier one go at
-    once (whatever kept that one out keeps them out as well). Of the others,
-    candidate pairs come from shared rare tokens and are scored; then each row
-    is decided once all its earlier neighbours are, in rounds over the pairs
-    alone. No group has to fit a task. Texts without tokens are like nothing
-    and stay; null texts read as empty. ``order`` has to tell rows of a group
-    apart, as does the group with it over the table.
+    than ``bound`` by ROUGE-L. Rows with the same tokens as an earlier one (by two
+    64-bit hashes of all) go at once (whatever kept that one out keeps them out as
+    well); their texts go no further. Of the others, candidate pairs come from
+    shared rare tokens and are scored; then each row is decided once all its
+    earlier neighbours are, in rounds over the pairs alone. No group has to fit a
+    task. Texts without tokens are like nothing and stay; null texts read as
+    empty. ``order`` has to tell rows of a group apart, as does the group with it
+    over the table.
     """
     keys = [group, *order]
     toks = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
     rows = df.select(*keys, toks.alias("__toks"))
-    filled = rows.filter(F.size("__toks") > 0)
-    firsts = filled.groupBy(F.col(group).alias("__g"), "__toks").agg(F.min(F.struct(*order)).alias("__p"))
-    # numbers that rise with the order within a group: places in it
-    texts = firsts.withColumn("__id", F.struct(F.xxhash64("__g").alias("g"), "__p"))
-    pairs = candidate_pairs(texts, bound)
-    both = pairs.join(texts.select(F.col("__id").alias("u"), F.col("__toks").alias("a")), "u").join(texts.select(F.col("__id").alias("v"), F.col("__toks").alias("b")), "v")
-    edges = cut(both.filter(token_score("a", "b") > bound).select("u", "v"))
+    hashed = rows.filter(F.size("__toks") > 0).select(*keys, F.xxhash64("__toks").alias("__h1"), F.xxhash64(F.lit(1), "__toks").alias("__h2"))
+    least = hashed.groupBy(F.col(group).alias("__g"), "__h1", "__h2").agg(F.min(F.struct(*order)).alias("__p"))
+    firsts = stored(least.select(F.monotonically_increasing_id().alias("__id"), F.col("__g").alias(group), "__p.*"), "dedup-firsts")
+    found = df.select(*keys, F.col(text).alias("__text")).alias("l").join(firsts.alias("r"), _same(keys))
+    texts = stored(found.select("r.__id", F.xxhash64(f"l.{group}").alias("__g"), F.struct(*(f"l.{k}" for k in order)).alias("__p"), "__text"), "dedup-texts")
+    own = F.filter(F.split(F.lower("__text"), r"\s+"), lambda x: x != "")
+    pairs = candidate_pairs(texts.select("__id", "__g", word_hashes(own).alias("__words")), bound)
+    placed = texts.select("__id", "__p", own.alias("t"))
+    both = pairs.join(placed.toDF("u", "pu", "a"), "u").join(placed.toDF("v", "pv", "b"), "v").filter(token_score("a", "b") > bound)
+    first = F.col("pu") < F.col("pv")
+    edges = cut(both.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("v")))
     lost = None
     while not edges.isEmpty():
         # who has no earlier neighbour left stays; who has one that stays goes
@@ -92,13 +151,9 @@ def greedy_dedup(df: DataFrame, group: str, order: Sequence[str], text: str, bou
         lost = go if lost is None else cut(lost.unionByName(go))
         decided = stay.unionByName(go)
         edges = cut(edges.join(go, edges["v"] == go["x"], "left_anti").join(decided, F.col("u") == F.col("x"), "left_anti"))
-    kept = texts if lost is None else texts.join(lost, texts["__id"] == lost["x"], "left_anti")
-    chosen = kept.select(F.col("__g").alias(group), "__p.*").unionByName(rows.filter(F.size("__toks") == 0).select(*keys))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return df.alias("l").join(chosen.alias("r"), on, "left_semi")
+    kept = firsts if lost is None else firsts.join(lost, firsts["__id"] == lost["x"], "left_anti")
+    chosen = kept.select(*keys).unionByName(rows.filter(F.size("__toks") == 0).select(*keys))
+    return df.alias("l").join(chosen.alias("r"), _same(keys), "left_semi")
 
 
 def call_scores(df: DataFrame, counts: str, same_name: Column, parse_ok: Column) -> DataFrame:
