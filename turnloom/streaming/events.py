@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from turnloom.operators.similarity import rouge_l
+from turnloom.operators.similarity import BAG_SLOTS, WORD_SLOTS, bag, most_shared, prefix_size, rare_first, rouge_l
+
+WORD_SEED = 42
 
 
 def watermarked(events: DataFrame, late: str) -> DataFrame:
@@ -121,74 +126,115 @@ def rocks_state(spark: SparkSession) -> Iterator[None]:
 class GreedyTexts(StatefulProcessor):
     """Keeps a text unless one that was kept before in its group is more similar than the bound, by ROUGE-L.
 
-    State: kept texts by number, and for each token of their prefixes the numbers
-    of those that have it. Two texts above the bound share more than bound / 2
-    of their tokens together, so in any fixed order of tokens the first ones of
-    each, as many as may be missing and one more, hold one of the other's. The
-    order puts long tokens first, as they are rarer. Only texts that meet so are
-    scored.
+    State: the words' counts in the first batch, which order words for good;
+    kept texts by number; and of each its length, the prefix in that order and
+    its bag of words. The last are read once a batch into an index. Texts meet
+    as in ``similarity.candidate_pairs``: by a shared word of their prefixes, at
+    a place that leaves enough others after it, and with bags that share enough
+    words. Only these are scored, and of kept texts only these are read.
     """
 
+    #: Bits of a number in the index that hold the place in the prefix.
+    PLACE = 24
+
     def __init__(self, text: str, order: Sequence[str], bound: float):
         self.text, self.order, self.bound = text, list(order), bound
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "slots binary")
         self.kept = handle.getMapState("kept", "id long", "tokens array<string>")
-        self.holders = handle.getMapState("holders", "token string", "ids array<long>")
-        self.size = handle.getValueState("size", "n long")
+        self.marks = handle.getListState("marks", "n long, prefix binary, bag binary")
 
     def close(self) -> None:
         pass
 
-    def prefix(self, tokens: list[str]) -> list[str]:
-        seen: dict[str, int] = {}
-        numbered = []
-        for token in tokens:
-            seen[token] = seen.get(token, 0) + 1
-            numbered.append((-len(token), f"{token} {seen[token]}"))
-        fewest = int(len(tokens) * self.bound / (2 - self.bound)) + 1
-        shared = int((len(tokens) + fewest) * self.bound / 2)
-        return [x for _, x in sorted(numbered)[: len(tokens) - min(shared, len(tokens)) + 1]]
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        n = self.size.get()[0] if self.size.exists() else 0
+        held = TextIndex(self.bound, self.PLACE)
+        for n, prefix, slots in self.marks.get():
+            held.add(n, np.frombuffer(prefix, np.int64), np.frombuffer(slots, np.uint8))
+        first = held.size
+        tokens = [(text or "").lower().split() for text in arrived[self.text]]
+        words = [np.fromiter((xxhash.xxh64_intdigest(x, WORD_SEED) for x in own), np.uint64, len(own)).view(np.int64) for own in tokens]
+        if self.counts.exists():
+            counts = np.frombuffer(self.counts.get()[0], np.int64)
+        else:
+            counts = sum((np.bincount(w % WORD_SLOTS, minlength=WORD_SLOTS) for w in _joined(words)), np.zeros(WORD_SLOTS, np.int64))
+            self.counts.update((counts.tobytes(),))
+        seen: set[bytes] = set()
         texts: dict[int, list[str]] = {}
-        holders: dict[str, list[int]] = {}
-        fresh, changed, flags = [], set(), []
-
-        def holding(token: str) -> list[int]:
-            if token not in holders:
-                state = self.holders.getValue((token,)) if self.holders.containsKey((token,)) else None
-                holders[token] = list(state[0]) if state else []
-            return holders[token]
-
-        def known(number: int) -> list[str]:
-            if number not in texts:
-                texts[number] = list(self.kept.getValue((number,))[0])
-            return texts[number]
-
-        for text in arrived[self.text]:
-            tokens = (text or "").lower().split()
-            prefix = self.prefix(tokens) if tokens else []
-            near = {number for token in prefix for number in holding(token)}
-            keep = all(rouge_l(known(number), tokens) <= self.bound for number in sorted(near))
+        flags, fresh = [], []
+        for own, w in zip(tokens, words):
+            # the same words as an earlier text of the batch: whatever kept that one out keeps this out as well
+            same = xxhash.xxh128_digest(w.tobytes(), WORD_SEED)
+            if not own or same in seen:
+                flags.append(not own)
+                continue
+            seen.add(same)
+            prefix = rare_first(w, counts)[: prefix_size(len(w), self.bound)]
+            slots = bag(w)
+            keep = True
+            for number in held.near(len(w), prefix, slots):
+                if number not in texts:
+                    texts[number] = list(self.kept.getValue((number,))[0])
+                if rouge_l(texts[number], own) > self.bound:
+                    keep = False
+                    break
             flags.append(keep)
-            if keep and tokens:
-                texts[n] = tokens
-                fresh.append(n)
-                for token in prefix:
-                    holding(token).append(n)
-                    changed.add(token)
-                n += 1
-        for number in fresh:
+            if keep:
+                texts[held.size] = own
+                held.add(len(w), prefix, slots)
+                fresh.append((len(w), prefix.tobytes(), slots.tobytes()))
+        for number in range(first, held.size):
             self.kept.updateValue((number,), (texts[number],))
-        for token in changed:
-            self.holders.updateValue((token,), (holders[token],))
-        self.size.update((n,))
+        if fresh:
+            self.marks.appendList(fresh)
         yield arrived[flags]
 
 
+def _joined(words: list[np.ndarray], most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The words of many texts in a few arrays."""
+    part, size = [], 0
+    for w in words:
+        part.append(w)
+        size += len(w)
+        if size >= most:
+            yield np.concatenate(part)
+            part, size = [], 0
+    if part:
+        yield np.concatenate(part)
+
+
+class TextIndex:
+    """Texts by number: which have a word in their prefix, and their lengths and bags."""
+
+    def __init__(self, bound: float, place: int):
+        self.bound, self.place, self.size = bound, place, 0
+        self.holders: dict[int, array] = {}
+        self.lengths, self.bags = np.zeros(1024, np.int64), np.zeros((1024, BAG_SLOTS), np.uint8)
+
+    def add(self, n: int, prefix: np.ndarray, slots: np.ndarray) -> None:
+        if self.size == len(self.lengths):
+            self.lengths, self.bags = np.concatenate([self.lengths, np.zeros_like(self.lengths)]), np.concatenate([self.bags, np.zeros_like(self.bags)])
+        self.lengths[self.size], self.bags[self.size] = n, slots
+        last = (1 << self.place) - 1
+        for at, code in enumerate(prefix.tolist()):
+            self.holders.setdefault(code, array("q")).append(self.size << self.place | min(at, last))
+        self.size += 1
+
+    def near(self, n: int, prefix: np.ndarray, slots: np.ndarray) -> list[int]:
+        """Numbers of texts that may score above the bound."""
+        places = [(at, self.holders[code]) for at, code in enumerate(prefix.tolist()) if code in self.holders]
+        held = np.concatenate([np.array(x) for _, x in places]) if places else np.zeros(0, np.int64)
+        at = np.repeat(np.array([at for at, _ in places], np.int64), [len(x) for _, x in places])
+        number = held >> self.place
+        m = self.lengths[number]
+        shared = np.floor((n + m) * (self.bound / 2) - 1e-9)
+        reach = (at < n - shared) & ((held & ((1 << self.place) - 1)) < m - shared) & (2 * np.minimum(n, m) > self.bound * (n + m))
+        near = np.unique(number[reach])
+        return near[2 * most_shared(self.bags[near], slots) > self.bound * (n + self.lengths[near])].tolist()
+
+
 def greedy_stream(texts: DataFrame, group: str, order: Sequence[str], text: str, bound: float) -> DataFrame:
     """The rows of a stream that the greedy filter keeps, with its record in the stream's state.
 
