@@ -1,4 +1,4 @@
-"""Near copies of documents: MinHash bands propose pairs, exact Jaccard similarity of word shingles decides."""
+"""Near copies of documents: SimHash links by BK-trees and MinHash bands propose pairs, exact Jaccard similarity of word shingles decides."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import DOC_KEY, TIE_KEY, cut, materialize, small_batches, spans_of_rows, utf8_buffer, with_row_key
 from turnloom.llm.components import connected_components, cross_pairs, open_members
 from turnloom.llm.decontam import separated, shingle_hashes, word_hashes
+from turnloom.llm.simhash import RADIUS, shard_forests, shard_rows
 from turnloom.llm.suffix import Hasher
 
 SHINGLE, LEAST = 5, 0.8
@@ -39,12 +40,20 @@ def shingle_rows(buf: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple
             yield key, shingle_hashes(words[a:b], n) if b - a >= n else np.full(int(b > a), key, np.uint64)
 
 
+def fingerprint(hashes: np.ndarray) -> np.uint64:
+    """SimHash of shingle hashes, repeats included: the bits that over half of them have."""
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        votes += np.unpackbits(hashes[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 64 // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(hashes)).view(">u8")[0].astype(np.uint64)
+
+
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """Row key, k (hash of the words) and the band keys of every text; none for a text without words."""
+    """Row key, k (hash of the words), fingerprint and band keys of every text; no bands for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands = [], np.zeros((batch.num_rows, BANDS), np.uint64)
+            keys, prints, bands = [], [], np.zeros((batch.num_rows, BANDS), np.uint64)
             has = np.zeros(batch.num_rows, bool)
             held, at = [], 0
 
@@ -64,15 +73,29 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
             for key, hashes in shingle_rows(*utf8_buffer(batch.column(2)), n):
                 keys.append(key)
+                prints.append(fingerprint(hashes))
                 held.append(hashes)
                 if len(hashes) > 8192 or len(held) >= 64:
                     sign(held, at)
                     held, at = [], len(keys)
             sign(held, at)
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32), pa.array(bands[has].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), lists], [DOC_KEY, TIE_KEY, "k", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], [DOC_KEY, TIE_KEY, "k", "fp", "bands"])
+
+    return docs.select(DOC_KEY, F.col(TIE_KEY).cast("int").alias(TIE_KEY), "text").mapInArrow(run, f"{DOC_KEY} long, {TIE_KEY} int, k long, fp long, bands array<long>")
 
-    return docs.select(DOC_KEY, F.col(TIE_KEY).cast("int").alias(TIE_KEY), "text").mapInArrow(run, f"{DOC_KEY} long, {TIE_KEY} int, k long, bands array<long>")
+
+def fingerprint_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (u, v), u < v, of keys whose fingerprints link at ``radius`` bits or are equal, of nodes (k, fp).
+
+    The links are a spanning forest of each shard's BK-tree (op7); the least
+    key of a fingerprint stands for it there, and its other keys meet that one.
+    """
+    least = cut(nodes.groupBy("fp").agg(F.min("k").alias("k")))
+    links = shard_forests(shard_rows(least.select("fp"), radius, least.count()), radius).distinct()
+    across = links.join(least.toDF("u", "a"), "u").join(least.toDF("v", "b"), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    within = nodes.join(least.toDF("fp", "a"), "fp").filter("a <> k").select(F.col("a").alias("u"), F.col("k").alias("v"))
+    return across.unionByName(within).distinct()
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> DataFrame:
@@ -96,19 +119,24 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, n: int, least: float) -> D
 def text_classes(docs: DataFrame, marked: DataFrame, n: int, least: float) -> DataFrame:
     """Map each key that has a similar other key to its component's root.
 
-    Keys of one band bucket are candidates. Each is verified against the least
-    key it meets, then against a hub in each bucket that holds other components,
+    Keys whose fingerprints link (``fingerprint_pairs``) and keys of one band bucket
+    are candidates: the first are only the closest copies, the second hold those
+    that a SimHash of 64 bits tells apart. Each key is verified against those
+    it is linked to by fingerprint and the least key it meets in a bucket, then against a hub in each bucket that holds other components,
     ROUNDS times; then every pair of different components that is left in a
     bucket is verified.
     """
-    nodes = marked.filter("bands is not null and size(bands) > 0").groupBy("k").agg(F.min(F.struct(DOC_KEY, TIE_KEY)).alias("p"), F.first("bands").alias("bands"))
+    nodes = marked.filter("bands is not null and size(bands) > 0").groupBy("k").agg(F.min(F.struct(DOC_KEY, TIE_KEY)).alias("p"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    linked = cut(fingerprint_pairs(nodes.select("k", "fp")))
     members = nodes.select("k", "p", F.posexplode("bands").alias("b", "band")).select("k", "p", F.xxhash64("b", "band").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("k").alias("hub"), F.max("k").alias("top")).filter("hub < top").select("bucket", "hub")
     full = materialize(members.join(hubs, "bucket").select("bucket", "hub", "k", "p"), "copy-buckets")
-    places = full.select("k", "p").distinct().select("k", "p.*")
+    alike = nodes.join(linked.select(F.explode(F.array("u", "v")).alias("k")).distinct(), "k", "left_semi")
+    places = full.select("k", "p").unionByName(alike.select("k", "p")).distinct().select("k", "p.*")
     texts = materialize(docs.select(DOC_KEY, TIE_KEY, "text").join(places, [DOC_KEY, TIE_KEY]).select("k", "text"), "copy-texts")
     full = full.select("bucket", "hub", "k")
-    tried = cut(full.groupBy("k").agg(F.min("hub").alias("hub")).filter("k <> hub").select(F.col("hub").alias("u"), F.col("k").alias("v")))
+    met = full.groupBy("k").agg(F.min("hub").alias("hub")).filter("k <> hub").select(F.col("hub").alias("u"), F.col("k").alias("v"))
+    tried = cut(linked.unionByName(met).distinct())
     links = cut(similar_pairs(tried, texts, n, least))
     for r in range(ROUNDS):
         placed = open_members(full, links)
