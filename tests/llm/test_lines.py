@@ -3,7 +3,7 @@
 import random
 
 from tests.llm.test_operators import slow_lines
-from turnloom.llm import lines
+from turnloom.llm import components, lines
 from turnloom.llm.components import cross_pairs
 
 
@@ -57,3 +57,45 @@ def test_sketches_of_similar_lines_are_near(spark):
     x = [r.x for r in lines.line_bands(lines.with_row_key(spark.createDataFrame(rows, "doc_id long, text string"))).orderBy(lines.DOC_KEY).collect()]
     far = [((x[0] ^ y) % 2**64).bit_count() for y in x[1:]]
     assert far[0] <= lines.FAR < far[1]
+
+
+def test_bucket_rows_are_shuffled_once(spark, monkeypatch):
+    """Counts and rows of buckets are read from one shuffle, also where no join broadcasts."""
+    made = []
+    monkeypatch.setattr(lines, "materialize", lambda df, name: made.append(df) or df)
+    bands = len(lines.band_values())
+    marked = spark.createDataFrame([(k, 0, *(100 * b + k % 40 for b in range(bands))) for k in range(80)], ", ".join(["k long", "x long", *(f"b{j} long" for j in range(bands))]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines.line_buckets(marked)
+        assert made[0].count() == 80 * lines.BANDS_AT_ONCE
+        made[0].collect()
+        plan = made[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") == 1, plan
+
+
+def test_small_rounds_of_components_make_no_shuffle(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(components, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df.checkpoint())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(60).selectExpr("id + 1 as u", "id as v")
+        assert {tuple(r) for r in components.connected_components(edges).collect()} == {(k, 0) for k in range(1, 61)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) > 1 and not any("Exchange hashpartitioning" in p for p in plans[1:]), plans[1]
+
+
+def test_pairs_that_share_several_buckets_and_blocks_are_linked(spark, monkeypatch):
+    """Two similar lines of any two blocks are linked, once, and unlike ones or those of far sketches are not."""
+    monkeypatch.setattr(lines, "BLOCK_LINES", 3)
+    rng = random.Random(31)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(120)) + "z" for _ in range(10)]
+    texts = [t for text in texts for t in (text, text[:60] + "#" + text[61:])]
+    members = spark.createDataFrame([(b, k, k, 2, 0 if k < 18 else -(k % 2), len(t)) for b in (1, 2) for k, t in enumerate(texts)], "bucket long, k long, root long, w long, x long, chars int")
+    got = lines.cross_links(members, spark.createDataFrame(list(enumerate(texts)), "k long, line string")).collect()
+    assert sorted(map(tuple, got)) == [(k, k + 1) for k in range(0, 18, 2)]

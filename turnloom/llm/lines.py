@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -112,21 +113,20 @@ def apart(a: Column, b: Column) -> Column:
 def line_buckets(marked: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """bucket, k of all buckets with several lines, and the tables that hold them.
 
-    A few bands are shuffled at a time, which bounds the disk that takes. Most
-    buckets have two lines, which the aggregate names itself; it leaves out those
-    whose sketches are far apart. Only lines of larger buckets are joined.
+    A few bands are shuffled at a time, which bounds the disk that takes. Their
+    rows are dealt by bucket once: the counts and the rows of the buckets that
+    stay are read from the same shuffle, for which both read the same columns.
+    Buckets of two lines, as most are, are left out if the sketches are far apart.
     """
-    parts, used = [], []
+    parts = []
     bands = len(band_values())
     for first in range(0, bands, BANDS_AT_ONCE):
         few = F.array(*(f"b{b}" for b in range(first, min(bands, first + BANDS_AT_ONCE))))
-        members = marked.select("k", "x", F.explode(few).alias("bucket"))
-        met = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.bit_xor("x").alias("x"))
-        met = materialize(met.filter(f"n > 2 or n = 2 and bit_count(x) <= {FAR}").select("bucket", "n", "lo", "hi"), "line-buckets")
-        more = materialize(members.join(met.filter("n > 2").select("bucket"), "bucket").select("bucket", "k"), "line-buckets")
-        parts += [met.filter("n = 2").select("bucket", F.explode(F.array("lo", "hi")).alias("k")), more]
-        used += [met, more]
-    return reduce(DataFrame.unionByName, parts), used
+        members = marked.select("k", "x", F.explode(few).alias("bucket")).repartition("bucket")
+        met = members.groupBy("bucket").agg(F.count("k").alias("n"), F.bit_xor("x").alias("x"))
+        met = met.filter(f"n > 2 or n = 2 and bit_count(x) <= {FAR}").select("bucket")
+        parts.append(materialize(members.join(met.hint("shuffle_hash"), "bucket").select("bucket", "k", "x"), "line-buckets"))
+    return reduce(DataFrame.unionByName, parts).select("bucket", "k"), parts
 
 
 def texts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -174,36 +174,41 @@ def cross_links(members: DataFrame, lines: DataFrame) -> DataFrame:
 
     A bucket's lines are dealt to blocks, and each pair of blocks is a row whose
     lines are compared in place: sketches first, then, of lines with a near one,
-    shingle sets, which are made once a block; only links come out. Of the
-    buckets that two lines share the least compares them.
+    lists of buckets, as of the buckets that two lines share the least compares
+    them, and of what is left shingle sets, which are made once a block; only
+    links come out.
     """
-    shared = members.groupBy("k").agg(F.first("root").alias("root"), F.first("x").alias("x"), F.collect_set("bucket").alias("buckets"))
+    shared = members.groupBy("k").agg(F.collect_set("bucket").alias("buckets"))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_LINES), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
     sizes = members.groupBy("bucket").agg(blocks.alias("blocks"))
-    dealt = members.select("bucket", "k").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("k", "bucket"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = members.select("bucket", "k", "root", "x").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("k", "bucket"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "bucket", "root", "x", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def may_be_similar(a: Column, b: Column) -> Column:
-        return (
-            (a["root"] != b["root"]) & ((F.col("i") == F.col("j")) | (a["own"] != b["own"])) & (apart(a["x"], b["x"]) <= FAR)
-            & (F.array_min(F.array_intersect(a["buckets"], b["buckets"])) == F.col("bucket"))
-        )
+    def near(a: Column, b: Column) -> Column:
+        return (a["root"] != b["root"]) & ((F.col("i") == F.col("j")) | (a["own"] != b["own"])) & (apart(a["x"], b["x"]) <= FAR)
+
+    def least_shared(a: Column, b: Column) -> Column:
+        return F.array_min(F.array_intersect(a["buckets"], b["buckets"])) == F.col("bucket")
+
+    def gathered(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct(*columns)).alias("all"))
 
-    def with_near(own: Column) -> Column:
-        return F.filter(own, lambda a: F.exists(own, lambda b: may_be_similar(a, b)))
+    def those_with(other: Callable[[Column, Column], Column], rows: DataFrame) -> DataFrame:
+        return cut(rows.select("bucket", "i", "j", F.inline(F.filter("all", lambda a: F.exists("all", lambda b: other(a, b))))))
 
-    slim = dealt.join(shared, "k").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "k", "root", "x", "buckets")).alias("all"))
-    near = cut(slim.select("bucket", "i", "j", F.inline(with_near(F.col("all")))))
-    rows = near.join(lines, "k").groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "k", "root", "x", "buckets", "line")).alias("all"))
+    slim = ["own", "k", "root", "x"]
+    met = those_with(near, gathered(dealt, *slim))
+    met = those_with(lambda a, b: near(a, b) & least_shared(a, b), gathered(met.join(shared, "k"), *slim, "buckets"))
+    rows = gathered(met.join(lines, "k"), *slim, "buckets", "line")
 
     def with_set(m: Column) -> Column:
-        kept = (m[c].alias(c) for c in ("own", "k", "root", "x", "buckets"))
+        kept = (m[c].alias(c) for c in (*slim, "buckets"))
         return F.struct(*kept, F.array_distinct(shingle_set(F.encode(m["line"], "UTF-16BE"))).alias("s"))
 
     def similar(a: Column, b: Column) -> Column:
         sizes = F.size(a["s"]) + F.size(b["s"])
         return (
-            (a["k"] < b["k"]) & may_be_similar(a, b)
+            (a["k"] < b["k"]) & near(a, b) & least_shared(a, b)
             & (F.least(F.size(a["s"]), F.size(b["s"])) >= LEAST * F.greatest(F.size(a["s"]), F.size(b["s"])))
             & bound(F.size(F.array_intersect(a["s"], b["s"])), lambda common: common >= LEAST * (sizes - common))
         )
