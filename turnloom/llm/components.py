@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     are only ever reduced to their minimum, never gathered. Each round is cut
     by a checkpoint, and the loop ends when the edge set stops changing. A round
     over FEW_EDGES edges or fewer, counted before it, is one task without a
-    shuffle; the steps are the same.
+    shuffle: its joins broadcast, as Spark deals both sides of any other join to
+    all partitions, also those of one. The steps are the same.
 
     Nodes without an edge to another node don't appear in the result
     (``node``, ``root``); null nodes and loops are ignored.
@@ -45,13 +46,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     )
     seen = _checksum(now)
     for _ in range(most_rounds if seen[0] else 0):
-        if seen[0] <= FEW_EDGES:
+        few = seen[0] <= FEW_EDGES
+        if few:
             now = now.coalesce(1)
         both = now.select(_both("u", "v", "v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(F.broadcast(least) if few else least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         hub = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = cut(large.join(hub, "u").select(_both("v", "m", "u", "m")).filter("u <> v").distinct())
+        now = cut(large.join(F.broadcast(hub) if few else hub, "u").select(_both("v", "m", "u", "m")).filter("u <> v").distinct())
         then, seen = seen, _checksum(now)
         if then == seen:
             break
