@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,7 +18,9 @@ SHINGLE, LEAST = 5, 0.8
 VALUES, ROWS = 72, 6
 #: Bands that are shuffled at a time.
 BANDS_AT_ONCE = 4
-#: Values of which a line's sketch has the lowest bit, and differing bits beyond which two lines aren't compared. At a similarity
+#: Steps in which values without a shingle borrow others, and values that each looks at besides its own.
+BORROWS, LOOKS = 4, 2
+#: Values of which a line's sketch has a bit, and differing bits beyond which two lines aren't compared. At a similarity
 #: of 0.8 each bit differs with a chance of 0.1, and more than 20 of 64 do with one of 5e-7.
 SKETCH, FAR = 64, 20
 #: Rounds of one pair per line at most, before all pairs that are left are compared.
@@ -25,7 +28,7 @@ ROUNDS = 3
 #: Lines and characters of a block of a bucket; two blocks are compared at a time.
 BLOCK_LINES, BLOCK_CHARS = 512, 1 << 22
 #: Shingles hashed per exploded row; the aggregate's cost is per row.
-STRIDE = 4
+STRIDE = 8
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -37,16 +40,6 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def masks(n: int) -> list[int]:
-    """Fixed 64-bit masks; xor with one is a permutation of the hashes."""
-    out, x = [], _GOLD
-    for _ in range(n):
-        x = (x * 0xD1342543DE82EF95 + _GOLD) % 2**64
-        y = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
-        out.append((y ^ (y >> 32)) - 2**63)
-    return out
-
-
 def band_values(values: int = VALUES, rows: int = ROWS) -> list[list[int]]:
     """The signature values of each band: the rows of a grid of all values, then its columns."""
     bands = values // rows
@@ -84,25 +77,56 @@ def different_lines(docs: DataFrame) -> DataFrame:
     return firsts.select("h1", "h2", "p.*", F.encode("line", "UTF-16BE").alias("b"))
 
 
-def line_bands(docs: DataFrame) -> DataFrame:
-    """Each different line with its place (__d, __t, pos), a number ``k``, a sketch ``x`` and its band keys b0, b1 and so on.
+def line_values(docs: DataFrame) -> DataFrame:
+    """Each different line with h1, h2, its place (__d, __t, pos) and the least hash of its shingles in each of VALUES bins, v0 and so on.
 
     Shingles are runs of SHINGLE characters (UTF-16 units), or the whole of a
-    shorter line. Each is hashed once; a signature value is the least xor of
-    the hashes with a fixed mask, and a band is the hash of ROWS values. A
-    sketch is the lowest bits of SKETCH values. The positions are exploded and aggregated again in generated code, where the
-    lines lie by their hashes already: the text is shuffled once, signatures
-    never. ``k`` is settled only when the table is written.
+    shorter line. Each is hashed once, and its hash tells the bin; of a bin
+    without a shingle the value is null. The positions are exploded and
+    aggregated again in generated code, where the lines lie by their hashes
+    already. A row's bins are marked in ``any``, so that an aggregate passes by
+    the rows that have nothing for it.
     """
-    n = F.greatest(F.expr("cast(length(b) div 2 as int)") - (SHINGLE - 1), F.lit(1))
     own = ["h1", "h2", DOC_KEY, TIE_KEY, "pos"]
-    at = different_lines(docs).withColumn("n", n).select(*own, "b", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STRIDE))).alias("i"))
-    places = [F.least(F.col("i") + j, F.col("n")) * 2 - 1 for j in range(STRIDE)]
-    hashed = at.select(*own, *(F.xxhash64(F.substring("b", x, F.lit(2 * SHINGLE))).alias(f"s{j}") for j, x in enumerate(places)))
-    least = [F.min(F.least(*(F.col(f"s{s}").bitwiseXOR(F.lit(m)) for s in range(STRIDE)))).alias(f"m{j}") for j, m in enumerate(masks(VALUES))]
-    bands = [F.xxhash64(F.lit(b), *(f"m{v}" for v in values)).alias(f"b{b}") for b, values in enumerate(band_values())]
-    sketch = reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"m{v}").bitwiseAND(F.lit(1).cast("long")), v) for v in range(SKETCH)))
-    return hashed.groupBy(*own).agg(*least).select(F.monotonically_increasing_id().alias("k"), DOC_KEY, TIE_KEY, "pos", sketch.alias("x"), *bands)
+    every = range(STRIDE)
+    at = different_lines(docs).selectExpr("*", f"greatest(cast(length(b) div 2 as int) - {SHINGLE - 1}, 1) as n")
+    at = at.selectExpr(*own, "b", "n", f"explode(sequence(1, n, {STRIDE})) as i")
+    hashed = at.selectExpr(*own, *(f"xxhash64(substring(b, least(i + {j}, n) * 2 - 1, {2 * SHINGLE})) as s{j}" for j in every))
+    dealt = hashed.selectExpr("*", *(f"cast(shiftrightunsigned(shiftrightunsigned(s{j}, 40) * {VALUES}L, 24) as int) as e{j}" for j in every))
+    dealt = dealt.selectExpr("*", " | ".join(f"shiftleft(1L, e{j})" for j in every) + " as any")
+    found = (", ".join(f"case when e{j} = {v} then s{j} end" for j in every) for v in range(VALUES))
+    return dealt.groupBy(*own).agg(*(F.expr(f"min(case when getbit(any, {v % 64}) = 1 then least({x}) end) as v{v}") for v, x in enumerate(found)))
+
+
+def borrowed(values: DataFrame) -> DataFrame:
+    """The place and the values of each line, in which those that are null are taken from other bins, drawn once for all lines.
+
+    Two lines agree on a value with a chance of their Jaccard similarity, also
+    where both borrow it, as both look at the same bins in the same order
+    (optimal densification, Shrivastava 2017). What is null after BORROWS steps
+    is the least of all. The steps are small for the sake of compiled code.
+    """
+    place = [DOC_KEY, TIE_KEY, "pos"]
+    names = [f"v{v}" for v in range(VALUES)]
+    now = values.selectExpr(*place, *names, f"least({', '.join(names)}) as least")
+    for step in range(BORROWS):
+        looks = [random.Random(f"{step} {look}").sample(names, VALUES) for look in range(LOOKS)]
+        now = now.selectExpr(*place, "least", *(f"coalesce({', '.join(x)}) as {x[0]}" for x in zip(names, *looks)))
+    return now.selectExpr(*place, *(f"coalesce({x}, least) as {x}" for x in names))
+
+
+def line_bands(docs: DataFrame) -> DataFrame:
+    """Each different line with its place (__d, __t, pos), a number ``k``, a sketch ``x`` and its band keys b0, b1 and so on.
+
+    One-permutation MinHash: values are those of ``line_values`` after
+    ``borrowed``, a band is the hash of ROWS values. A sketch has a bit of each
+    of SKETCH values, not the same of all, as values may be borrowed from one
+    bin. The text is shuffled once, signatures never. ``k`` is settled only when
+    the table is written.
+    """
+    bands = (f"xxhash64({b}, {', '.join(f'v{v}' for v in values)}) as b{b}" for b, values in enumerate(band_values()))
+    sketch = " | ".join(f"shiftleft(shiftright(v{v}, {v % 32}) & 1L, {v})" for v in range(SKETCH))
+    return borrowed(line_values(docs)).selectExpr("monotonically_increasing_id() as k", DOC_KEY, TIE_KEY, "pos", f"{sketch} as x", *bands)
 
 
 def apart(a: Column, b: Column) -> Column:
